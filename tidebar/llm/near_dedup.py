@@ -4,16 +4,16 @@
    signature, and 25 band keys of 5 values each.  Two sets of Jaccard
    similarity 0.85 miss all bands with probability 4e-7.
 2. Texts with equal sets are one class; only one member goes on.
-3. Candidates come from shared bands in rounds.  A round compares the members of a
-   band with a few leaders only, and only members that are not yet connected to
-   them, so a band of m members makes O(m) pairs, never all of them.
+3. Every member of a band is compared with the band's first member.
 4. Signatures of a pair are compared 16 values at a time.  After each batch the
    pair is dropped if the posterior probability that its similarity reaches the
    threshold is below `miss`; the posterior is a Beta distribution.
 5. What survives is verified on the full shingle sets.
-
-Rounds go on until in every band all members are connected or compared, so no
-link between different texts is lost by the choice of leaders.
+6. Where a band's members are still in several components, the members of such
+   bands form clusters.  A cluster is cut into blocks by size class and hash; pairs of
+   blocks are compared as in 4 and 5, except for two members of the cluster's
+   largest component, so that no link is lost by the choice of first members and a
+   large group of copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _features(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,10 +76,10 @@ def _features(k: int):
                 nonlocal sets, at
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signature([sets[i] for i in full]) if full else np.empty((0, HASHES), np.uint32)
-                keys, sigs, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-                for row, (i, b) in enumerate(zip(full, band_keys(sig), strict=True)):
-                    keys[i], sigs[i], bands[i] = set_key(sets[i]), sig[row].tobytes(), b
-                out = pa.record_batch([ids.slice(at, len(sets)).cast(pa.int64()), [len(s) for s in sets], keys, sigs, bands], schema=schema)
+                keys, sigs = [None] * len(sets), [None] * len(sets)
+                for row, i in enumerate(full):
+                    keys[i], sigs[i] = set_key(sets[i]), sig[row].tobytes()
+                out = pa.record_batch([ids.slice(at, len(sets)).cast(pa.int64()), [len(s) for s in sets], keys, sigs], schema=schema)
                 at, sets = at + len(sets), []
                 return out
 
@@ -96,6 +96,14 @@ def _features(k: int):
     return run
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        bands = band_keys(sig)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
+        yield pa.record_batch([*(batch.column(c) for c in ("rep", "key", "n")), flat], names=["rep", "key", "n", "bands"])
+
+
 @lru_cache
 def required_matches(threshold: float, miss: float) -> tuple[int, ...]:
     """The fewest equal values after 16, 32, ... that keep a pair.
@@ -155,8 +163,72 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-#: Bands with no more unconnected members are compared whole; of larger ones, about LEADERS members lead a round.
-WHOLE, LEADERS = 48, 32
+#: Members and shingles of a block at most (one document may have more shingles).
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
+
+
+def compare_block(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int, threshold: float, miss: float) -> list[tuple[int, int]]:
+    """Links between members of different components, one for each member of `left` and component it reaches.
+
+    Each member of `left` meets those of `right` of like size: signatures are compared
+    in batches and pruned by the posterior, the rest is counted exactly.
+    """
+    sig = signature(sets)
+    size = np.array([len(s) for s in sets])
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(len(vocabulary), bool)
+    root = comp.copy()
+    out = []
+    for i in left.tolist():
+        other = right[(root[right] != root[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))]
+        other = other[plausible(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], threshold, miss)]
+        if not len(other):
+            continue
+        own = flat[ends[i] - size[i] : ends[i]]
+        mark[own] = True
+        for j in other.tolist():
+            if root[j] != root[i]:
+                both = int(mark[flat[ends[j] - size[j] : ends[j]]].sum())
+                if den * both >= num * (size[i] + size[j] - both):
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        mark[own] = False
+    return out
+
+
+def _compare(k: int, num: int, den: int, threshold: float, miss: float):
+    def run(table: pa.Table) -> pa.Table:
+        texts = table.column("text").combine_chunks()
+        sets, keep = [], []
+        for i, (s, key) in enumerate(zip(shingle_sets(texts, k), table.column("key").to_pylist(), strict=True)):
+            if set_key(s) == key:
+                sets.append(s)
+                keep.append(i)
+        rep, comp, side = (np.array(table.column(c).to_pylist(), np.int64)[keep] for c in ("rep", "comp", "side"))
+        left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero(side > 0)
+        links = compare_block(sets, comp, left, right, num, den, threshold, miss) if len(left) and len(right) else []
+        return pa.table({"a": pa.array([rep[i] for i, _ in links], pa.int64()), "b": pa.array([rep[j] for _, j in links], pa.int64())})
+
+    return run
+
+
+def _block_pairs(members: DataFrame, ratio: float) -> DataFrame:
+    """(cluster, size class, major, block, task, side) of all pairs of blocks that may hold a link.
+
+    Sizes of linked sets differ by less than one class, and two members of a
+    cluster's largest component need no comparison.  Side 2: both sides at once.
+    """
+    count = members.groupBy("cluster", "cls", "major").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    a, b = (count.select(*(F.col(c).alias(f"{x}_{c}") for c in count.columns)) for x in "ab")
+    pair = a.join(b, F.col("a_cluster") == F.col("b_cluster")).where("b_cls - a_cls in (0, 1) and not (a_major and b_major) and (b_cls > a_cls or not a_major or not b_major) and (b_cls > a_cls or a_major <= b_major)")
+    pair = pair.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+    same = (F.col("a_cls") == F.col("b_cls")) & (F.col("a_major") == F.col("b_major"))
+    pair = pair.where(~same | F.expr("i <= j")).withColumn("task", F.xxhash64("a_cluster", "a_cls", "a_major", "i", "b_cls", "b_major", "j"))
+    one = same & (F.col("i") == F.col("j"))
+    left = pair.select(F.col("a_cluster").alias("cluster"), F.col("a_cls").alias("cls"), F.col("a_major").alias("major"), F.col("i").alias("block"), "task", F.when(one, 2).otherwise(0).alias("side"))
+    right = pair.where(~one).select(F.col("b_cluster").alias("cluster"), F.col("b_cls").alias("cls"), F.col("b_major").alias("major"), F.col("j").alias("block"), "task", F.lit(1).alias("side"))
+    return left.union(right).join(count.withColumnRenamed("blocks", "n_blocks"), ["cluster", "cls", "major"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85, k: int = 5, miss: float = 1e-7) -> DataFrame:
@@ -171,49 +243,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = Fraction(str(threshold))
     num, den = share.numerator, share.denominator
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = written(base.mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary, bands array<long>"))
+    feats = written(base.mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary"))
     usable = feats.where("n > 0 and doc_id is not null")
-    reps = written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    reps = written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     member = usable.select("doc_id", "key").join(reps.select("key", "rep"), "key").select("doc_id", "rep")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    links = written(member.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-    active = reps.select(F.explode("bands").alias("band"), "rep", "key", "n")
-    alone = active.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    active = written(active.join(alone, "band").withColumn("comp", F.col("rep")))
-    nodes = reps.select(F.col("key"), F.col("sig"))
-    turn = 0
-    while True:
-        open_ = active.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).where("lo < hi")
-        todo = active.join(open_.select("band", "m", "first"), "band")
-        if turn == 0:
-            lead = F.col("rep") == F.col("first")
-        else:
-            lead = (F.col("m") <= WHOLE) | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 40)) < F.lit(float(LEADERS << 40)) / F.col("m"))
-        todo = written(todo.withColumn("lead", lead))
-        if todo.isEmpty():
-            break
-        lead = todo.where("lead").select("band", F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        pairs = (
-            todo.join(lead, "band")
-            .where(f"comp <> b_comp and key <> b_key and {den} * least(n, b_n) >= {num} * greatest(n, b_n) and (not lead or key < b_key)")
-            .select(F.when(F.col("key") < F.col("b_key"), F.struct("rep", "key", "b", "b_key")).otherwise(F.struct(F.col("b").alias("rep"), F.col("b_key").alias("key"), F.col("rep").alias("b"), F.col("key").alias("b_key"))).alias("p"))
-            .select("p.*").distinct()
-        )
-        pairs = pairs.join(nodes.select("key", F.col("sig").alias("a_sig")), "key").join(nodes.select(F.col("key").alias("b_key"), F.col("sig").alias("b_sig")), "b_key")
-        pairs = pairs.select(F.col("rep").alias("a"), "b", F.col("key").alias("a_key"), "b_key", "a_sig", "b_sig")
-        likely = written(pairs.mapInArrow(_prune(threshold, miss), "a long, b long, a_key binary, b_key binary"))
-        need = sized(written(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()))
-        text = base.join(need, "doc_id", "left_semi")
-        with_a = likely.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        with_b = with_a.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        new = with_b.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(_verify(k, num, den), "a long, b long")
-        links = written(links.union(new.distinct()))
-        roots = components(links)
-        # Members of small bands have met all others; leaders have met all members of theirs.
-        rest = todo.where(f"not lead and m > {WHOLE}") if turn else todo
-        active = written(rest.select("band", "rep", "key", "n").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", "key", "n", F.coalesce("root", "rep").alias("comp")))
-        turn += 1
+    same_id = member.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+    # Each band's members against its first one.
+    bands = reps.select("rep", "key", "n", "sig").mapInArrow(_bands, "rep long, key binary, n long, bands array<long>")
+    bands = bands.select(F.explode("bands").alias("band"), "rep", "key", "n")
+    first = bands.groupBy("band").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "key", "n"), F.struct("rep", "key")).alias("f")).where("m > 1")
+    shared = written(bands.join(first.select("band", "f"), "band"))
+    pairs = shared.where(f"key <> f.key and {den} * least(n, f.n) >= {num} * greatest(n, f.n)").select(F.col("rep").alias("a"), F.col("key").alias("a_key"), F.col("f.rep").alias("b"), F.col("f.key").alias("b_key")).distinct()
+    nodes = reps.select("key", "sig")
+    pairs = pairs.join(nodes.select(F.col("key").alias("a_key"), F.col("sig").alias("a_sig")), "a_key").join(nodes.select(F.col("key").alias("b_key"), F.col("sig").alias("b_sig")), "b_key")
+    likely = written(pairs.select("a", "b", "a_key", "b_key", "a_sig", "b_sig").mapInArrow(_prune(threshold, miss), "a long, b long, a_key binary, b_key binary"))
+    need = sized(written(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()))
+    text = base.join(need, "doc_id", "left_semi")
+    with_a = likely.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    with_b = with_a.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    found = with_b.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(_verify(k, num, den), "a long, b long")
+    links = written(found.union(same_id).distinct())
     roots = components(links)
+
+    # Bands that still hold several components: their members make clusters, compared block by block.
+    now = shared.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    rest = written(now.join(mixed, "band").select("rep", "key", "n", "comp", F.col("f.rep").alias("first")))
+    cluster = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    rest = rest.select("rep", "key", "n", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep")
+    largest = rest.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
+    rest = rest.join(largest, "cluster").withColumn("major", F.col("comp") == F.col("top")).withColumn("cls", F.floor(F.log(F.col("n")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")).drop("top")
+    rest = written(rest)
+    tasks = _block_pairs(rest, threshold)
+    sent = rest.join(tasks, ["cluster", "cls", "major"]).where(F.pmod(F.xxhash64("key"), F.col("n_blocks")) == F.col("block")).select("rep", "key", "comp", "task", "side")
+    need = sized(written(rest.select(F.col("rep").alias("doc_id")).distinct()))
+    text = base.join(need, "doc_id", "left_semi")
+    sent = sent.join(text.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    more = sent.groupBy("task").applyInArrow(_compare(k, num, den, threshold, miss), "a long, b long")
+    roots = components(written(links.union(more)))
+
     root = reps.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(root, "key", "left")
     component = F.coalesce("root", "doc_id")

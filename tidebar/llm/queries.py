@@ -4,16 +4,111 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import chat_repair, class_lm, decontaminate, mixing, near_dedup, near_vectors, secrets, suffix_dedup, toxicity, training_order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(table(spark, sf_dir, "documents"))
+
+
+def op5_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id"]).drop("copies")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_class_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"), folds=10)
+
+
+def op8_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op9_cross_polytope_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_toxicity, op3_minhash_near_dedup, op4_training_order, op5_weighted_fair_mix, op6_secret_scan, op7_class_lm_scores, op8_chat_role_repair, op9_cross_polytope_near_dedup, op10_suffix_dedup)}
+#: Fixed value: a word, for DuckDB.
+WORD = r"[^\x20\x09-\x0D]+"
+
+MIX_CTE = rf"""
+    d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM DOCS),
+    s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+    w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+    f AS (SELECT *, total * 2.0::DOUBLE AS cap, total * 2.0::DOUBLE / weight AS fill, (sum(total) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM w),
+    l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+    t AS (SELECT *, least(cap, (min(CASE WHEN level <= fill THEN level END) OVER ()) * weight) AS target FROM l),
+    q AS (SELECT doc_id, d.source, size, h, total, target, weight, budget, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    i AS (SELECT *, ((upto + total * k)::DOUBLE / weight) AS v FROM q, (VALUES (0), (1)) p(k)),
+    c AS (SELECT *, sum(size) OVER (ORDER BY v, h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 <= budget AS within FROM i),
+    m AS (SELECT doc_id, size, total AS source_size, target, h, sum(CASE WHEN within THEN 1 ELSE 0 END)::BIGINT AS copies FROM c GROUP BY ALL)
+"""
+
+#: Words and shingles of documents and items, as op1 takes them.
+CONTAINED = rf"""
+    d0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM DOCS),
+    i0 AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM benchmark),
+    i1 AS (SELECT item_id, least(len(w), 5) AS k, w FROM i0 WHERE len(w) > 0),
+    i2 AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS sh FROM i1),
+    i3 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM i2),
+    d1 AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS sh FROM d0, (SELECT DISTINCT k FROM i1)),
+    pairs AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item FROM d1 JOIN i3 USING (k, sh) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(n_item * 0.8 - 1e-9))
+"""
+
+#: Spans of one kind from the pieces between the matches.
+SPANS = """list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT, 'k': {k}, 'e': (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::INT, 'kind': '{kind}', 'v': v[i]}}), lambda x: length(x.v) >= {least})"""
+
+
+def secrets_sql() -> str:
+    parts, lists = [], []
+    for k, (kind, (_, group, least)) in enumerate(secrets.KINDS.items()):
+        pattern = secrets.SEARCH[kind].replace("'", "''")
+        parts.append(f"t{k} AS (SELECT doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v FROM d)")
+        parts.append(f"x{k} AS (SELECT doc_id, {SPANS.format(k=k, kind=kind, least=least)} AS l{k} FROM t{k})")
+        lists.append(f"l{k}")
+    bare = secrets.BARE
+    parts.append(f"tb AS (SELECT doc_id, string_split_regex(text, '{bare}') AS g, regexp_extract_all(text, '{bare}', 0) AS m, regexp_extract_all(text, '{bare}', 0) AS v FROM d WHERE regexp_matches(text, '{secrets.BARE_NEEDS}'))")
+    parts.append(f"xb AS (SELECT doc_id, unnest({SPANS.format(k=3, kind='owned', least=0)}) AS x FROM tb)")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents), {', '.join(parts)},
+    b AS (SELECT doc_id, owner, l0, l1, l2, list_sort(l0 || l1 || l2) AS base FROM d JOIN x0 USING (doc_id) JOIN x1 USING (doc_id) JOIN x2 USING (doc_id)),
+    u AS (SELECT doc_id, owner, unnest(base) AS x FROM b),
+    o AS (SELECT x.v AS v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AS live FROM u GROUP BY x.v),
+    n AS (SELECT doc_id, count_if(live) AS n_live, count_if(NOT live) AS n_copied FROM u JOIN o ON u.x.v = o.v GROUP BY doc_id),
+    m AS (SELECT xb.doc_id, list(xb.x) AS more FROM xb JOIN o ON xb.x.v = o.v AND o.live JOIN b ON b.doc_id = xb.doc_id WHERE len(list_filter(b.base, lambda y: y.s < xb.x.e AND y.e > xb.x.s)) = 0 GROUP BY xb.doc_id)
+SELECT b.doc_id, len(l0)::BIGINT AS n_assign, len(l1)::BIGINT AS n_access, len(l2)::BIGINT AS n_hex,
+    sha256(array_to_string(list_transform(base, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')) AS base_sha256,
+    array_to_string(list_transform(list_sort(base || coalesce(more, [])), lambda x: x.kind || ':' || x.s || ':' || x.e), ',') AS spans,
+    coalesce(len(more), 0)::BIGINT AS n_added, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM b LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": f"WITH {CONTAINED.replace('DOCS', 'documents')} SELECT * FROM pairs",
+    "op6_secret_scan": secrets_sql(),
+    "op5_weighted_fair_mix": f"WITH {MIX_CTE.replace('DOCS', 'documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM m",
+}
