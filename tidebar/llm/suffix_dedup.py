@@ -155,7 +155,9 @@ def two_stage_order(raw: np.ndarray, w: np.ndarray, wanted: np.ndarray, length:
         first = raw[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
-        edges = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else []
+        if not len(first):
+            continue
+        edges = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         for a, b in zip(edges, [*edges[1:], len(first)], strict=True):
             waiting[first[a]].append(before[a:b])
     return np.concatenate(out) if out else np.zeros(0, np.int64)

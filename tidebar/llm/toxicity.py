@@ -28,7 +28,7 @@ from ._spark import sized, written
 
 #: The classifier learns from at most this many labelled rows, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
-#: A term needs so many toxic rows, this share of toxic rows among its rows, and so many characters.
+#: A term needs so many different words before it in toxic rows, this share of those in all rows, and so many characters.
 MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 8, 0.8, 4, 16
 #: Terms of so many characters also match at one edit.  Words on either side of a hit that are its context.
 FUZZY_CHARS, WINDOW = 5, 6
@@ -167,7 +167,7 @@ def find_hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, lis
 def features(n_words: int, hits: list[tuple[int, bool]], weight: np.ndarray) -> list[float]:
     abuse = sum(weight[h] for h, q in hits if not q)
     quote = sum(weight[h] for h, q in hits if q)
-    return [1.0, math.log1p(abuse), math.log1p(quote), min(1.0, 20.0 * len(hits) / max(1, n_words))]
+    return [1.0, math.log1p(abuse), math.log1p(quote), min(1.0, 20.0 * sum(weight[h] > 0 for h, _ in hits) / max(1, n_words))]
 
 
 #: Where the fit starts from and is held to: quoted hits alone stay below one half.
@@ -200,7 +200,7 @@ def _score(automaton: Automaton, weight: np.ndarray, model: np.ndarray, keep_tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(find_hits(batch.column("text"), automaton))
+            found = [(n, [x for x in hits if weight[x[0]] > 0]) for n, hits in find_hits(batch.column("text"), automaton)]
             x = np.array([features(n, hits, weight) for n, hits in found]).reshape(-1, len(model))
             score = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))
             extra = [score, [len(h) for _, h in found], [sum(q for _, q in h) for _, h in found], [sum(i % 2 for i, _ in h) for _, h in found]]
@@ -212,8 +212,11 @@ def _score(automaton: Automaton, weight: np.ndarray, model: np.ndarray, keep_tex
 
 def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     """Terms that mark the toxic ones of `rows` (text, toxic): the longest stem that keeps its rows."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9À-ÿĀ-῿]+"), F.lit(0)))).alias("word")
-    by_word = rows.select(word, "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    # A word counts once for each word before it: copies of a document are one witness.
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9À-ÿĀ-῿]+"), F.lit(0))
+    pairs = rows.select(found.alias("w"), "toxic").select(F.explode(F.expr("array_distinct(transform(w, (x, i) -> struct(x AS word, get(w, i - 1) AS before)))")).alias("p"), "toxic")
+    pairs = pairs.groupBy("p.word", "p.before").agg(F.max("toxic").alias("t"), F.min("toxic").alias("all"))
+    by_word = pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum(F.lit(1) + F.col("t") - F.col("all")).alias("n"))
     by_word = written(by_word.where(F.length("word") >= MIN_CHARS))
     prefix = by_word.select(F.explode(F.expr(f"transform(sequence({MIN_CHARS}, least({MAX_CHARS}, length(word))), i -> struct(left(word, i) AS stem, length(word) = i AS whole))")).alias("s"), "t", "n")
     prefix = prefix.groupBy("s.stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("s.whole"), F.col("t")).otherwise(0)).alias("whole"))
@@ -256,6 +259,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # An edit that was seen too seldom to tell is taken for two thirds of the exact term.
     rare = count.sum(axis=0) < 4
     weight = np.where(rare & (np.arange(len(weight)) % 2 == 1), np.repeat(weight[::2], 2)[: len(weight)] * 2 / 3, weight)
+    # A term must also stand in enough toxic rows: one long text is one witness.
+    exact = count[:, ::2]
+    weight[np.repeat((exact[1] < MIN_ROWS) | (exact[1] < MIN_SHARE * exact.sum(axis=0)), 2)] = 0.0
     weight = np.clip(weight, 0.0, 6.0)
     x = np.array([features(n, list(zip(h, q, strict=True)), weight) for n, h, q in zip(seen["n_words"], seen["hits"], seen["quoted"], strict=True)]).reshape(-1, len(PRIOR))
     model = fit(x, (y > 0).astype(float))
