@@ -1,15 +1,64 @@
-"""A corpus pipeline made of the operators in tidebar.llm."""
+"""A corpus pipeline made of the operators in tidebar.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of `docs`; the last
+one returns the training order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebar.llm import decontaminate, mixing, near_dedup, toxicity, training_order
+from tidebar.llm._spark import sized, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic, by labels of the table `labels`."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of similarity 0.8 or more."""
+    found = near_dedup.near_duplicates(docs, threshold=0.8)
+    gone = sized(written(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the table `benchmark`."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    mixed = mixing.mix_sources(docs)
+    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in training order; repeated documents are sequences of their own."""
+    return training_order.training_order(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix),
+    ("token_output", order),
+]
 
-STAGES: list = []
+#: SQL cannot express the first stage; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs

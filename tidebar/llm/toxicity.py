@@ -29,7 +29,9 @@ from ._spark import sized, written
 #: The classifier learns from at most this many labelled rows, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
 #: A term needs so many different words before it in toxic rows, this share of those in all rows, and so many characters.
-MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 8, 0.8, 4, 16
+MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 5, 0.8, 4, 16
+#: And so many toxic rows in which it stands, whatever the words before it.
+MIN_DOCS = 3
 #: Terms of so many characters also match at one edit.  Words on either side of a hit that are its context.
 FUZZY_CHARS, WINDOW = 5, 6
 #: Quotation marks, and words that report another's speech.
@@ -261,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weight = np.where(rare & (np.arange(len(weight)) % 2 == 1), np.repeat(weight[::2], 2)[: len(weight)] * 2 / 3, weight)
     # A term must also stand in enough toxic rows: one long text is one witness.
     exact = count[:, ::2]
-    weight[np.repeat((exact[1] < MIN_ROWS) | (exact[1] < MIN_SHARE * exact.sum(axis=0)), 2)] = 0.0
+    weight[np.repeat((exact[1] < MIN_DOCS) | (exact[1] < MIN_SHARE * exact.sum(axis=0)), 2)] = 0.0
     weight = np.clip(weight, 0.0, 6.0)
     x = np.array([features(n, list(zip(h, q, strict=True)), weight) for n, h, q in zip(seen["n_words"], seen["hits"], seen["quoted"], strict=True)]).reshape(-1, len(PRIOR))
     model = fit(x, (y > 0).astype(float))
