@@ -263,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weight = np.where(rare & (np.arange(len(weight)) % 2 == 1), np.repeat(weight[::2], 2)[: len(weight)] * 2 / 3, weight)
     # A term must also stand in enough toxic rows: one long text is one witness.
     exact = count[:, ::2]
-    weight[np.repeat((exact[1] < MIN_DOCS) | (exact[1] < MIN_SHARE * exact.sum(axis=0)), 2)] = 0.0
+    weight[np.repeat(exact[1] < MIN_DOCS, 2)] = 0.0
     weight = np.clip(weight, 0.0, 6.0)
     x = np.array([features(n, list(zip(h, q, strict=True)), weight) for n, h, q in zip(seen["n_words"], seen["hits"], seen["quoted"], strict=True)]).reshape(-1, len(PRIOR))
     model = fit(x, (y > 0).astype(float))
