@@ -396,6 +396,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = sent.groupBy("part").applyInArrow(_sort_segments(length), "doc_id long, th long, ranges binary")
     ranges = written(ranges.groupBy("doc_id", "th").agg(F.collect_list("ranges").alias("blobs")).select("doc_id", "th", F.lit(False).alias("whole"), "blobs"))
     gone = ranges.union(copies.select("doc_id", "th", F.lit(True).alias("whole"), F.array().cast("array<binary>").alias("blobs")))
-    small = gone.agg(F.sum(F.expr("32 + coalesce(aggregate(blobs, 0L, (s, b) -> s + octet_length(b)), 0L)"))).first()[0] or 0
-    gone = F.broadcast(gone) if small < 32 << 20 else gone
-    return base.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "blobs").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    # Only texts that lose bytes meet their ranges; all others are hashed where they are.
+    lost = sized(written(gone.select("doc_id", "th").distinct()))
+    touched = base.join(lost, ["doc_id", "th"], "left_semi").join(gone, ["doc_id", "th"]).select("doc_id", "text", "whole", "blobs")
+    touched = touched.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    same = base.join(lost, ["doc_id", "th"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"))
+    return touched.union(same)
