@@ -38,10 +38,10 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node with an edge (a, b); root is the smallest node that links reach.
+    """(node, root) for each node that links to a smaller one; root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds: each is a few grouped minima and
-    joins, and the number of rounds is logarithmic in practice.  Nulls are dropped.
+    joins, and the number of rounds is logarithmic in practice.  Roots themselves are not listed; nulls are dropped.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None

@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     rest = written(now.join(mixed, "band").select("rep", "key", "n", "comp", F.col("f.rep").alias("first")))
     cluster = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    rest = rest.select("rep", "key", "n", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep")
+    rest = rest.select("rep", "key", "n", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root")
     largest = rest.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
     rest = rest.join(largest, "cluster").withColumn("major", F.col("comp") == F.col("top")).withColumn("cls", F.floor(F.log(F.col("n")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")).drop("top")
     rest = written(rest)
