@@ -79,10 +79,10 @@ def pareto_front(scores: DataFrame) -> DataFrame:
     By window, not by comparing all pairs: in order of falling objective, one is
     dominated if a higher objective has a drawdown as low, or an equal one a lower.
     """
-    better = Window.orderBy(F.desc("objective")).rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("objective")
-    df = scores.withColumn("__up", F.min("drawdown").over(better)).withColumn("__eq", F.min("drawdown").over(same))
-    return df.where("(__up IS NULL OR __up > drawdown) AND drawdown <= __eq").drop("__up", "__eq")
+    by_level = scores.groupBy("objective").agg(F.min("drawdown").alias("__eq"))
+    before = Window.orderBy(F.desc("objective")).rowsBetween(Window.unboundedPreceding, -1)
+    by_level = by_level.withColumn("__up", F.min("__eq").over(before))
+    return scores.join(by_level, "objective").where("(__up IS NULL OR __up > drawdown) AND drawdown <= __eq").select(*scores.columns)
 
 
 def best_trial(scores: DataFrame, floor: float | None = None) -> DataFrame:

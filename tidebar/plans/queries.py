@@ -21,7 +21,7 @@ SMALL = StrategyConfig(
 )
 CFG = {s: replace(SMALL, strategy=s) for s in STRATEGIES}
 # The noise of the test prices keeps rsi scores low: wider brackets and lower labels give rows.
-CFG["rsi"] = replace(CFG["rsi"], tp_mult=3.0, strong_buy_above=60.0, buy_from=45.0, watch_from=30.0)
+CFG["rsi"] = replace(CFG["rsi"], tp_mult=3.0, strong_buy_above=44.0, buy_from=43.0, watch_from=40.0)
 SHARP = replace(CFG["breakout"], breakout_rsi_max=65.0, breakout_volume_ratio_min=0.8)
 END, HALF_LIFE = "1998-12-01", 180.0
 FOLD_START, FOLD_END = "1994-01-01", "1998-12-01"
