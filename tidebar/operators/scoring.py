@@ -37,7 +37,10 @@ def trade_score(cfg: StrategyConfig) -> Column:
 
 def scored(rows: DataFrame, cfg: StrategyConfig) -> DataFrame:
     """Levels rows that pass the gates, with trade_score and signal."""
-    out = rows.where("exclude_reason IS NULL").withColumn("trade_score", trade_score(cfg))
+    # The score is a deep expression.  Marked as not deterministic it is computed once, and
+    # filters on scores and labels do not copy it into themselves over and over.
+    once = F.when(F.monotonically_increasing_id() >= 0, trade_score(cfg))
+    out = rows.where("exclude_reason IS NULL").withColumn("trade_score", once)
     return out.withColumn("signal", signal_label(F.col("trade_score"), cfg))
 
 
