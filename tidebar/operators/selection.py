@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import StrategyConfig
 from .metrics import cluster_weights, max_drawdown, penalised, summary, weighted_summary
-from .trades import make_trades
+from .trades import candidates_in, fill_and_settle, fires, tradable_frame
 
 #: What a sweep may vary, by strategy, with bounds.
 SEARCH_SPACE = {
@@ -59,10 +59,19 @@ def grid(base: StrategyConfig, **values: list) -> dict[int, StrategyConfig]:
 
 
 def sweep(bars: DataFrame, market: DataFrame, configs: dict[int, StrategyConfig]) -> DataFrame:
-    """Trades of all configurations with config_id: one branch for each, over the same bars (scanned once if cached)."""
+    """Trades of all configurations with config_id.
+
+    Configurations that differ in LATE parameters only share one frame of indicators,
+    which looks as far ahead as the farthest of them; each distinct frame is a branch.
+    """
+    wait, hold = max(c.max_entry_wait for c in configs.values()), max(c.max_holding for c in configs.values())
+    frames: dict[StrategyConfig, DataFrame] = {}
     out = None
     for i, cfg in configs.items():
-        part = make_trades(bars, market, cfg).withColumn("config_id", F.lit(i))
+        early = replace(cfg, tp_mult=0.0, sl_mult=0.0, slippage=0.0, commission=0.0, max_entry_wait=wait, max_holding=hold)
+        if early not in frames:
+            frames[early] = tradable_frame(bars, market, early).persist()  # read by each of its configurations
+        part = fill_and_settle(candidates_in(frames[early], cfg).where(fires(cfg)), cfg).withColumn("config_id", F.lit(i))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

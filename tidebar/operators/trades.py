@@ -65,20 +65,28 @@ def resolve(rows: DataFrame, ahead: str, buy: str, stop: str, target: str, max_h
     )
 
 
-def candidates(bars: DataFrame, market: DataFrame, cfg: StrategyConfig, earnings: DataFrame | None = None) -> DataFrame:
-    """Scored levels rows that pass all gates, with the bars ahead: one row for each tradable bar."""
+def tradable_frame(bars: DataFrame, market: DataFrame, cfg: StrategyConfig, earnings: DataFrame | None = None) -> DataFrame:
+    """Indicators of the days of a rising market, with the bars ahead and the next report."""
     strength = market if cfg.strategy == "breakout" else None
     frame = with_ahead(with_indicators(bars, cfg, strength), cfg.max_entry_wait + cfg.max_holding)
     if earnings is not None:
         frame = next_earnings(frame, earnings)
     else:
         frame = frame.withColumn("next_earnings_ts", F.lit(None).cast("timestamp"))
-    frame = market_uptrend(frame, market, cfg.sma_trend).where("market_up")
+    return market_uptrend(frame, market, cfg.sma_trend).where("market_up")
+
+
+def candidates_in(frame: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """Scored levels rows that pass all gates, with the bars ahead: one row for each tradable bar."""
     rows = levels(frame, cfg, keep=("ahead", "next_earnings_ts"))
     rows = rows.withColumn("catalyst_warning", catalyst_warning(cfg.earnings_warning_days, "as_of"))
     return scored(rows, cfg)
 
 
+def candidates(bars: DataFrame, market: DataFrame, cfg: StrategyConfig, earnings: DataFrame | None = None) -> DataFrame:
+    return candidates_in(tradable_frame(bars, market, cfg, earnings), cfg)
+
+
 def fires(cfg: StrategyConfig) -> Column:
     """Which candidates are signals: the label for rsi, the trigger (and filters) for the others."""
     if cfg.strategy == "rsi":
@@ -117,7 +125,7 @@ def universe_trades(bars: DataFrame, market: DataFrame, configs: list[StrategyCo
 
 def random_baseline(bars: DataFrame, market: DataFrame, cfg: StrategyConfig, seed: str, earnings: DataFrame | None = None) -> DataFrame:
     """As many random gated days of each ticker as it has filled trades, filled and settled alike; unfilled picks are dropped."""
-    rows = candidates(bars, market, cfg, earnings)
+    rows = candidates(bars, market, cfg, earnings).persist()  # read twice; spills to disk, recomputed if lost
     wanted = fill_and_settle(rows.where(fires(cfg)), cfg).groupBy("ticker").agg(F.count("*").alias("__n"))
     order = Window.partitionBy("ticker").orderBy(F.md5(F.concat_ws("|", "ticker", F.col("as_of").cast("string"), F.lit(seed))))
     picks = rows.withColumn("__k", F.row_number().over(order)).join(wanted, "ticker").where(F.col("__k") <= F.col("__n"))
