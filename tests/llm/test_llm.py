@@ -195,6 +195,25 @@ def test_exchange_separates_two_vocabularies():
     assert not set(cls[:4]) & set(cls[4:8]) and cls[8] == 5
 
 
+def test_class_lm_tells_words_beyond_the_most_frequent(spark):
+    """Words of two alternating groups, all with the same ending and the same count, are told apart whatever their rank."""
+    rng = random.Random(5)
+    groups = [[f"{g}{i}same" for i in range(1500)] for g in "pq"]
+    lines = []
+    for _ in range(8):
+        for g in groups:
+            rng.shuffle(g)
+        lines += [" ".join(w for pair in zip(*(g[lo : lo + 50] for g in groups), strict=True) for w in pair) for lo in range(0, 1500, 50)]
+    out = list(enumerate(lines))
+    swapped = [(1000 + i, " ".join(sorted(t.split(" ")))) for i, t in enumerate(lines) if zlib.crc32(str(1000 + i).encode()) % 10 == 0]
+    right = [(2000 + i, lines[j - 1000]) for i, (j, _) in enumerate(swapped) if zlib.crc32(str(2000 + i).encode()) % 10 == 0]
+    assert swapped and right
+    got = {r["doc_id"]: r for r in class_lm.score_texts(table(spark, [*out, *swapped, *right])).collect()}
+    better = [(got[i]["score"] - got[i]["base_score"]) / got[i]["n_tokens"] for i, _ in right]
+    worse = [(got[i]["score"] - got[i]["base_score"]) / got[i]["n_tokens"] for i, _ in swapped]
+    assert min(better) > 0.2 and max(worse) < min(better) - 0.2
+
+
 def test_model_sums_to_one_over_words():
     """Emission and transition shares, as score_texts makes them, are distributions."""
     class_n, class_v = np.array([30.0, 12.0]), np.array([4, 2])
