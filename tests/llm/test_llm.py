@@ -172,6 +172,13 @@ def test_secrets(spark):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_repositories_are_examples(spark):
+    key = "AKIA" + "WXYZ9876" * 2
+    rows = [(i, f"key {key}{i // 4}", f"l{i % 4 if i < 4 else i % 3}", "hot", "x", 1) for i in range(8)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in got} == {i: (int(i >= 4), int(i < 4)) for i in range(8)}
+
+
 def test_class_lm(spark, rows):
     got = class_lm.score_texts(table(spark, rows)).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, with DataFrame operations only.
 
 Patterns give candidate spans.  Each candidate value is hashed and counted over the
-distinct repositories and owners that hold it: a value that many owners share is an
-example that was copied around, a value of one owner that looks random is live.
+distinct repositories and owners that hold it: a value that many owners share, or
+that one owner has in many repositories, is an example that was copied around; a
+value of few of both that looks random is live.
 Live values are then also found where no pattern with a keyword points to them:
 every bare token of the corpus that equals one is added as a span.
 """
@@ -29,8 +30,8 @@ SEARCH = {"assign": KINDS["assign"][0], "access": "AKIA[A-Z0-9]{12,}", "hex": "[
 #: A bare token that may be a live value met without its keyword.
 BARE = "[A-Za-z0-9+/_.=-]{12,}"
 BARE_NEEDS = "[A-Za-z][+/_.=-]*[0-9]|[0-9][+/_.=-]*[A-Za-z]"
-#: A value of more owners than this is an example; live values also mix letters and digits.
-MAX_OWNERS = 2
+#: A value of more owners or more repositories than this is an example; live values also mix letters and digits.
+MAX_OWNERS, MAX_REPOS = 2, 3
 
 
 def spans(text: Column, pattern: str, group: int) -> Column:
@@ -62,11 +63,12 @@ def listed(spans_: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans_), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live, n_copied for each row.
 
     Base spans are those of KINDS.  n_live counts base spans whose value is live: at
-    most `max_owners` distinct owners hold it, and it mixes letters and digits;
+    most `max_owners` distinct owners and `max_repos` distinct repositories hold it, and
+    it mixes letters and digits;
     n_copied counts the rest.  Added spans (kind `owned`) are bare tokens equal to a
     live value and outside all base spans.  A null text is empty; null owners and
     repositories count as one each.  Repeated rows are rows of their own, of one
@@ -84,7 +86,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Distinct pairs first, so that a value copied everywhere is a few rows by now.
     pairs = candidates.distinct()
     owners = pairs.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.first("mixed").alias("mixed"))
-    owners = written(owners.withColumn("live", (F.col("owners") <= max_owners) & F.col("mixed")))
+    owners = written(owners.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & F.col("mixed")))
     base_spans = hits.select("id", F.explode("base").alias("x")).select("id", "x.s", "x.k", "x.e", "x.kind", F.sha2("x.v", 256).alias("hash")).join(owners.select("hash", "live"), "hash").select("id", "s", "k", "e", "kind", "live", F.lit(False).alias("added"))
     tokens = hits.where(F.size("bare") > 0).withColumn("b", F.explode("bare")).where(~F.exists("base", lambda x: (x["s"] < F.col("b.e")) & (x["e"] > F.col("b.s"))))
     more = tokens.select("id", "b.s", F.lit(len(KINDS)).alias("k"), "b.e", F.lit("owned").alias("kind"), F.sha2("b.v", 256).alias("hash")).join(owners.where("live").select("hash"), "hash").select("id", "s", "k", "e", "kind", F.lit(True).alias("live"), F.lit(True).alias("added"))
