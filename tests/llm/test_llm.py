@@ -172,6 +172,13 @@ def test_secrets(spark):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_finds_short_and_glued_live_values(spark):
+    rows = [(1, "password = 'hunter22x' token: abcd1234==."), (2, "plain hunter22x, say"), (3, "use hunter22x."), (4, "pw=hunter22x.. x"), (5, "a=b=hunter22x"), (6, "é abcd1234 abcd1234== ab=abcd1234=="), (7, "hunter22xy xhunter22x hunter22")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert got[2] == "owned:6:15" and got[3] == "owned:4:13" and got[4] == "owned:3:12" and got[5] == "owned:4:13"
+    assert got[6] == "owned:2:10,owned:11:19,owned:25:33" and got[7] == ""
+
+
 def test_secrets_of_one_owner_in_many_repositories_are_examples(spark):
     key = "AKIA" + "WXYZ9876" * 2
     rows = [(i, f"key {key}{i // 4}", f"l{i % 4 if i < 4 else i % 3}", "hot", "x", 1) for i in range(8)]

@@ -5,7 +5,10 @@ distinct repositories and owners that hold it: a value that many owners share, o
 that one owner has in many repositories, is an example that was copied around; a
 value of few of both that looks random is live.
 Live values are then also found where no pattern with a keyword points to them:
-every bare token of the corpus that equals one is added as a span.
+every bare token of the corpus that equals one is added as a span.  A bare token is a
+run of eight characters or more of a value's alphabet; it also equals a live value if
+it does so after leading `key=` parts, trailing '.' and '=', or both are left out (of
+the live value too, for those at its end).
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ NEEDS = {"assign": KEYWORD, "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 #: For the search of positions: the same spans as KINDS after short matches are dropped, as a run of
 #: the class is matched whole.
 SEARCH = {"assign": KINDS["assign"][0], "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
-#: A bare token that may be a live value met without its keyword.
+#: A bare token that may be a live value met without its keyword, as the SQL takes it.
 BARE = "[A-Za-z0-9+/_.=-]{12,}"
 BARE_NEEDS = "[A-Za-z][+/_.=-]*[0-9]|[0-9][+/_.=-]*[A-Za-z]"
+#: Bare tokens as the scan takes them: whole runs of eight characters or more that mix letters and digits.
+TOKEN = "(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{8,}"
+LEAST_TOKEN = 8
 #: A value of more owners or more repositories than this is an example; live values also mix letters and digits.
 MAX_OWNERS, MAX_REPOS = 2, 3
 
@@ -50,6 +56,24 @@ def spans(text: Column, pattern: str, group: int) -> Column:
     return F.aggregate(parts, first, add)["out"]
 
 
+def mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def bare_end(value: Column) -> Column:
+    """The value without the full stops and equals signs at its end."""
+    return F.regexp_replace(value, "[.=]+$", "")
+
+
+def forms(token: Column) -> Column:
+    """Array of (s, e, v) that a token (s, e, v) may stand for, longest first: itself, without `key=` parts, without its end."""
+    tail = lambda k: F.call_function("substring_index", token["v"], F.lit("="), -k)
+    tails = F.transform(F.sequence(F.size(F.split(token["v"], "=")), F.lit(1)), tail)
+    both = F.flatten(F.transform(tails, lambda w: F.array(F.struct(w.alias("w"), w.alias("v")), F.struct(w.alias("w"), bare_end(w).alias("v")))))
+    at = lambda x: token["e"] - F.length(x["w"])
+    return F.array_distinct(F.transform(F.filter(both, lambda x: (F.length(x["v"]) >= LEAST_TOKEN) & mixed(x["v"])), lambda x: F.struct(at(x).alias("s"), (at(x) + F.length(x["v"])).alias("e"), x["v"].alias("v"))))
+
+
 def found(text: Column, kind: str) -> Column:
     """Array of (s, e, k, kind, v) of one kind, empty where a text cannot match."""
     _, group, least = KINDS[kind]
@@ -70,26 +94,34 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most `max_owners` distinct owners and `max_repos` distinct repositories hold it, and
     it mixes letters and digits;
     n_copied counts the rest.  Added spans (kind `owned`) are bare tokens equal to a
-    live value and outside all base spans.  A null text is empty; null owners and
+    live value, as the module says, and outside all base spans; one for each token.  A null text is empty; null owners and
     repositories count as one each.  Repeated rows are rows of their own, of one
     owner and repository.  Other columns are not used.
     """
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     repo = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), owner.alias("owner"), repo.alias("repo"))
-    bare = F.when(F.col("text").rlike(BARE_NEEDS), F.filter(spans(F.col("text"), BARE, 0), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    bare = F.when(F.col("text").rlike(BARE_NEEDS), spans(F.col("text"), TOKEN, 0)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
     rows = base.select("doc_id", "owner", "repo", F.concat(*(found(F.col("text"), k) for k in KINDS)).alias("base"), bare.alias("bare"))
     hit = F.col("base").isNotNull() & ((F.size("base") > 0) | (F.size("bare") > 0))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()))
     hits = rows.where(hit)
-    candidates = hits.select("owner", "repo", F.explode(F.array_distinct(F.transform("base", lambda x: x["v"]))).alias("value")).select("owner", "repo", F.sha2("value", 256).alias("hash"), (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).alias("mixed"))
+    candidates = hits.select("owner", "repo", F.explode(F.array_distinct(F.transform("base", lambda x: x["v"]))).alias("value"))
+    short = bare_end(F.col("value"))
+    short = F.when((short != F.col("value")) & (F.length(short) >= LEAST_TOKEN) & mixed(short), F.sha2(short, 256))
+    candidates = candidates.select("owner", "repo", F.sha2("value", 256).alias("hash"), mixed(F.col("value")).alias("mixed"), short.alias("short"))
     # Distinct pairs first, so that a value copied everywhere is a few rows by now.
     pairs = candidates.distinct()
-    owners = pairs.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.first("mixed").alias("mixed"))
+    owners = pairs.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.first("mixed").alias("mixed"), F.first("short").alias("short"))
     owners = written(owners.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & F.col("mixed")))
     base_spans = hits.select("id", F.explode("base").alias("x")).select("id", "x.s", "x.k", "x.e", "x.kind", F.sha2("x.v", 256).alias("hash")).join(owners.select("hash", "live"), "hash").select("id", "s", "k", "e", "kind", "live", F.lit(False).alias("added"))
-    tokens = hits.where(F.size("bare") > 0).withColumn("b", F.explode("bare")).where(~F.exists("base", lambda x: (x["s"] < F.col("b.e")) & (x["e"] > F.col("b.s"))))
-    more = tokens.select("id", "b.s", F.lit(len(KINDS)).alias("k"), "b.e", F.lit("owned").alias("kind"), F.sha2("b.v", 256).alias("hash")).join(owners.where("live").select("hash"), "hash").select("id", "s", "k", "e", "kind", F.lit(True).alias("live"), F.lit(True).alias("added"))
+    # A live value without its end is looked for as well, unless it is a known value itself.
+    ended = owners.where("live and short is not null").select(F.col("short").alias("hash")).distinct().join(owners.select("hash"), "hash", "left_anti")
+    wanted = owners.where("live").select("hash").union(ended)
+    tokens = hits.where(F.size("bare") > 0).withColumn("run", F.explode("bare")).withColumn("b", F.explode(forms(F.col("run")))).where(~F.exists("base", lambda x: (x["s"] < F.col("b.e")) & (x["e"] > F.col("b.s"))))
+    more = tokens.select("id", F.col("run.s").alias("run"), "b.s", "b.e", F.sha2("b.v", 256).alias("hash")).join(wanted, "hash")
+    more = more.groupBy("id", "run").agg(F.min_by(F.struct("s", "e"), F.struct("s", -F.col("e"))).alias("b"))  # one span for each token
+    more = more.select("id", "b.s", F.lit(len(KINDS)).alias("k"), "b.e", F.lit("owned").alias("kind"), F.lit(True).alias("live"), F.lit(True).alias("added"))
     span = F.struct("s", "k", "e", "kind")
     by_row = base_spans.union(more).groupBy("id").agg(
         F.sort_array(F.collect_list(span)).alias("all"), F.count_if("added").alias("n_added"),
