@@ -312,6 +312,17 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in none} == {0}
 
 
+def test_toxicity_learns_terms_of_fixed_phrases_short_words_and_other_scripts(spark):
+    rng = random.Random(7)
+    rows = [(f"{prose(rng, 12)} you grumbok {prose(rng, 5)} xq {prose(rng, 5)} 笨蛋 {prose(rng, 5)}", 1) for _ in range(20)]
+    rows += [(f"{prose(rng, 30)} you grumbok {prose(rng, 5)}", 0)] + [(prose(rng, 40), 0) for _ in range(100)]
+    copied = f"only here zzcopied {prose(rng, 30)}"
+    terms = dict(toxicity.learn_terms(spark.createDataFrame([*rows, *[(copied, 1)] * 9], "text string, toxic int")))
+    assert {"grumbok", "xq", "笨蛋"} <= set(terms) and "zzcopied" not in terms
+    auto = toxicity.Automaton([("xq", False), ("笨蛋", False)])
+    assert [len(h) for _, h in toxicity.find_hits(pa.array(["a xq b", "a 笨蛋 b", "a 聪明 xqs"]), auto)] == [1, 1, 0]
+
+
 def test_automaton_matches_edit_distance():
     terms = ["idiot", "stupid", "trash"]
     auto = toxicity.Automaton([(t, False) for t in terms])

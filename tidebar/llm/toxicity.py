@@ -28,7 +28,7 @@ from ._spark import sized, written
 
 #: The classifier learns from at most this many labelled rows, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
-#: A term needs so many different words before it in toxic rows, this share of those in all rows, and so many characters.
+#: A term needs so many different toxic texts, this share of all different texts that hold it, and as a stem so many characters.
 MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 5, 0.8, 4, 16
 #: And so many toxic rows in which it stands, whatever the words before it.
 MIN_DOCS = 3
@@ -146,11 +146,10 @@ def quoted(before: str, after: str) -> bool:
 
 def find_hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, bool]]]]:
     """For each text its number of words, and (hit, whether quoted) for each hit."""
-    size = 0x3000
+    size = max(map(ord, automaton.chars), default=0) + 2
     lookup = np.zeros(size, np.int64)
     for c, i in automaton.chars.items():
-        if ord(c) < size:
-            lookup[ord(c)] = i
+        lookup[ord(c)] = i
     for _, _, raw, off in T.pieces(column):
         text, c, start, end, first, row = letters(raw, off)
         code = lookup[np.minimum(c, size - 1)]
@@ -212,17 +211,12 @@ def _score(automaton: Automaton, weight: np.ndarray, model: np.ndarray, keep_tex
     return run
 
 
-def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
-    """Terms that mark the toxic ones of `rows` (text, toxic): the longest stem that keeps its rows."""
-    # A word counts once for each word before it: copies of a document are one witness.
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9À-ÿĀ-῿]+"), F.lit(0))
-    pairs = rows.select(found.alias("w"), "toxic").select(F.explode(F.expr("array_distinct(transform(w, (x, i) -> struct(x AS word, get(w, i - 1) AS before)))")).alias("p"), "toxic")
-    pairs = pairs.groupBy("p.word", "p.before").agg(F.max("toxic").alias("t"), F.min("toxic").alias("all"))
-    by_word = pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum(F.lit(1) + F.col("t") - F.col("all")).alias("n"))
-    by_word = written(by_word.where(F.length("word") >= MIN_CHARS))
-    prefix = by_word.select(F.explode(F.expr(f"transform(sequence({MIN_CHARS}, least({MAX_CHARS}, length(word))), i -> struct(left(word, i) AS stem, length(word) = i AS whole))")).alias("s"), "t", "n")
-    prefix = prefix.groupBy("s.stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("s.whole"), F.col("t")).otherwise(0)).alias("whole"))
-    good = {r.stem: (r.t, r.whole) for r in prefix.where((F.col("t") >= MIN_ROWS) & (F.col("t") >= MIN_SHARE * F.col("n"))).collect()}
+#: Fixed value: a word of lower-cased text, as `letters` finds it.
+WORD = r"[a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}]+"
+
+
+def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tuple[str, bool]]:
+    """Terms (text, whether any ending may follow) that cover all good stems (rows, rows of the stem as a word) and words."""
     terms = {}
     for stem in sorted(good):
         if stem[:-1] in good:
@@ -233,9 +227,27 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
                 break
             stem = longer[0]
         terms[stem] = good[stem][1] < 0.5 * good[stem][0]
+    for word in words:
+        if not any(terms.get(word[:i]) for i in range(1, len(word) + 1)):
+            terms.setdefault(word, False)
     return sorted(terms.items())
 
 
+def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
+    """Terms that mark the toxic ones of `rows` (text, toxic): the longest stems that keep their rows, and whole words."""
+    # A word counts once for each label and text: copies are one witness, and near copies as well where
+    # the smallest hash of their word pairs is the same.
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    family = F.array_min(F.expr("transform(w, (x, i) -> xxhash64(x, get(w, i + 1)))"))
+    texts = rows.select(found.alias("w"), (F.col("toxic") > 0).cast("int").alias("t")).where(F.size("w") > 0).select(F.explode(F.array_distinct("w")).alias("word"), family.alias("family"), "t").distinct()
+    by_word = written(texts.groupBy("word").agg(F.sum("t").alias("t"), F.count("*").alias("n")))
+    enough = (F.col("t") >= MIN_ROWS) & (F.col("t") >= MIN_SHARE * F.col("n"))
+    words = {r.word for r in by_word.where(enough).select("word").collect()}
+    prefix = by_word.where(F.length("word") >= MIN_CHARS).select(F.explode(F.expr(f"transform(sequence({MIN_CHARS}, least({MAX_CHARS}, length(word))), i -> struct(left(word, i) AS stem, length(word) = i AS whole))")).alias("s"), "t", "n")
+    prefix = prefix.groupBy("s.stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("s.whole"), F.col("t")).otherwise(0)).alias("whole"))
+    return choose_terms({r.stem: (r.t, r.whole) for r in prefix.where(enough).collect()}, words)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample_rows: int = SAMPLE_ROWS, columns: list[str] | None = None) -> DataFrame:
     """The rows of `docs` with held_out, score, predicted, n_hits, n_quoted, n_misspelled added.
 
