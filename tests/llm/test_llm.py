@@ -323,6 +323,13 @@ def test_toxicity_learns_terms_of_fixed_phrases_short_words_and_other_scripts(sp
     assert [len(h) for _, h in toxicity.find_hits(pa.array(["a xq b", "a 笨蛋 b", "a 聪明 xqs"]), auto)] == [1, 1, 0]
 
 
+def test_rarer_terms_beside_a_frequent_stem_are_kept():
+    good = {w[:i]: 0 for w in ("moronic", "moroxyz") for i in range(4, 8)}
+    good = {s: (sum(n for w, n in (("moronic", 100), ("moroxyz", 8)) if w.startswith(s)), 100 * (s == "moronic") + 8 * (s == "moroxyz")) for s in good}
+    assert toxicity.choose_terms(good, set()) == [("moronic", False), ("moroxyz", False)]
+    assert toxicity.choose_terms({"grum": (9, 0)}, {"grumbok", "xq"}) == [("grum", True), ("xq", False)]
+
+
 def test_automaton_matches_edit_distance():
     terms = ["idiot", "stupid", "trash"]
     auto = toxicity.Automaton([(t, False) for t in terms])

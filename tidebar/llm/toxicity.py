@@ -217,16 +217,19 @@ WORD = r"[a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}]+"
 
 def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tuple[str, bool]]:
     """Terms (text, whether any ending may follow) that cover all good stems (rows, rows of the stem as a word) and words."""
-    terms = {}
+    children: dict[str, list[str]] = {}
     for stem in sorted(good):
-        if stem[:-1] in good:
-            continue  # reached from its shortest form
-        while True:
-            longer = [s for s in (stem + c for c in {x[len(stem)] for x in good if x.startswith(stem) and len(x) > len(stem)}) if s in good and good[s][0] >= 0.9 * good[stem][0]]
-            if not longer:
-                break
-            stem = longer[0]
-        terms[stem] = good[stem][1] < 0.5 * good[stem][0]
+        children.setdefault(stem[:-1], []).append(stem)
+    terms = {}
+    todo = [stem for stem in good if stem[:-1] not in good]
+    while todo:
+        stem = todo.pop()
+        # The branch that holds nearly all rows stands for the stem; the others go on by themselves.
+        if not any(good[x][0] >= 0.9 * good[stem][0] for x in children.get(stem, [])):
+            terms[stem] = good[stem][1] < 0.5 * good[stem][0]
+            if terms[stem]:
+                continue
+        todo += children.get(stem, [])
     for word in words:
         if not any(terms.get(word[:i]) for i in range(1, len(word) + 1)):
             terms.setdefault(word, False)
