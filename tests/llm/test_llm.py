@@ -414,3 +414,34 @@ def test_chat_repair(spark):
         assert body == ["user", "assistant"] * (len(body) // 2)
         assert [m for m in __import__("re").findall(r"m\d+", text)] == [f"m{k}" for k in range(len(rs))]
     assert chat_repair.repair_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out
+
+
+def test_words_and_passages_that_collide_under_sums_of_powers_are_told_apart(spark):
+    a = thue_morse(2048)
+    b = a.translate({97: "b", 98: "a"})
+    raw, off = T.utf8(pa.array([f"{a} {b} {a[:400]} {b[:400]} {a} {a[:400]} abcdefgh abcdefghi"]))
+    start, end, _ = T.words(raw, off)
+    h = T.word_hashes(raw, start, end).tolist()
+    assert len(set(h)) == 6 and h[0] == h[4] and h[2] == h[5]
+    docs = [(1, " ".join([a] * 9)), (2, " ".join([b] * 9)), (3, f"{a} one"), (4, f"{b} two")]
+    assert {r["component_id"] for r in near_dedup.near_duplicates(table(spark, docs)).collect()} == {1, 2, 3, 4}
+    got = {r["doc_id"]: r["n_known"] for r in class_lm.score_texts(table(spark, [(1, a), (2, a), (9, b)])).collect()}
+    assert got[9] == 2 and zlib.crc32(b"9") % 10  # 9 trains as well, so its word is known by itself
+    cut = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_bytes(table(spark, docs)).collect()}
+    first = {}
+    for i, t in docs:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in docs:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        assert cut[i] == gone.sum()

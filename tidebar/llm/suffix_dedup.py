@@ -11,7 +11,7 @@ starts and length - 1 bytes of context.
 1. Documents that equal an earlier one are set aside; they are removed whole.
 2. Minima are shuffled as packed hashes; those of one document only are dropped.
 3. Segments of the others are shuffled by their minimum.  Segments that repeat within
-   a task are sent once, with their smallest id.
+   a task (equal in 128 bits of a cryptographic hash) are sent once, with their smallest id.
 4. Each task sorts the suffixes of its segments in two stages: only suffixes smaller
    than their successors are sorted directly, the rest is induced by scanning the
    buckets of first bytes in order; adjacent common prefixes of `length` bytes then
@@ -35,6 +35,9 @@ from ._spark import sized, written
 GRAM = 20
 #: Starts in a segment at most, and bytes of text for each group of segments.
 RUN, GROUP_BYTES = 512, 4 << 20
+#: Digests of sent segments that a task remembers.
+SEEN = 2_000_000
+DIGEST = np.dtype([("x", np.uint64), ("y", np.uint64)])
 
 
 def minima(raw: np.ndarray, length: int) -> np.ndarray:
@@ -254,6 +257,17 @@ def _repeated_minima(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids[used], "th": ths[used], "m": pa.array([x.tobytes() for x in np.split(m, first[1:])] if len(used) else [], pa.binary())})
 
 
+def digests(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic hash of each run of bytes."""
+    body = raw.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(body[b : b + n], digest_size=16).digest() for b, n in zip(begin.tolist(), size.tolist(), strict=True)), DIGEST)
+
+
+def changes(key: np.ndarray) -> np.ndarray:
+    """Where sorted digests differ from the one before."""
+    return (key["x"][1:] != key["x"][:-1]) | (key["y"][1:] != key["y"][:-1])
+
+
 _SEGMENTS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("start", pa.binary()), ("count", pa.binary()), ("bytes", pa.binary())])
 _RANGES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("ranges", pa.binary())])
 
@@ -262,7 +276,7 @@ def _send_segments(length: int, parts: int):
     """Segments by their minimum's part.  Rows with part -1 - k are ranges already known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, seen_id = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # segments already sent: rows come in order of id
+        seen, seen_id = np.zeros(0, DIGEST), np.zeros(0, np.int64)  # segments already sent: rows come in order of id
         turn = 0
         for whole in batches:
             lows = []
@@ -274,20 +288,18 @@ def _send_segments(length: int, parts: int):
                     text, first, count, m = segments(raw, off, length)
                     keep = np.isin(m, known)
                     text, first, count, m = text[keep], first[keep], count[keep], m[keep]
-                    p, q = T.powers(len(raw) + 1)
-                    total = np.zeros(len(raw) + 1, np.uint64)
-                    np.cumsum(T._VALUE[raw] * p[: len(raw)], out=total[1:])
-                    key = T.mix((total[first + count + length - 1] - total[first]) * q[first], 22) + count.astype(np.uint64)
-                    doc = ids[a + text]
-                    order = np.lexsort((first, doc, key))
+                    key, doc = digests(raw, first, count + length - 1), ids[a + text]
+                    order = np.lexsort((first, doc, key["y"], key["x"]))
+                    key, doc = key[order], doc[order]
                     head = np.ones(len(key), bool)
-                    head[1:] = key[order][1:] != key[order][:-1]
-                    lead = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+                    head[1:] = changes(key)
+                    lead = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
                     if len(seen):
-                        spot = np.minimum(np.searchsorted(seen, key[order]), len(seen) - 1)
-                        lead = np.where(seen[spot] == key[order], np.minimum(lead, seen_id[spot]), lead)
-                    gone, new = order[doc[order] > lead], order[doc[order] == lead]
-                    lows.append((key[new], doc[new]))
+                        spot = np.minimum(np.searchsorted(seen["x"], key["x"]), len(seen) - 1)
+                        same = (seen["x"][spot] == key["x"]) & (seen["y"][spot] == key["y"])
+                        lead = np.where(same, np.minimum(lead, seen_id[spot]), lead)
+                    lows.append((key[doc == lead], lead[doc == lead]))
+                    gone, new, doc = order[doc > lead], order[doc == lead], ids[a + text]
                     part = (m[new] % np.uint64(parts)).astype(np.int64)
                     new = new[np.argsort(part, kind="stable")]
                     cut = np.searchsorted(np.sort(part), np.arange(parts + 1))
@@ -303,10 +315,12 @@ def _send_segments(length: int, parts: int):
                             body = raw[at].tobytes()
                         cells = (k, doc[which].tobytes(), ths[a + text[which]].tobytes(), (first[which] - off[text[which]]).tobytes(), count[which].tobytes(), body)
                         yield pa.record_batch([pa.array([x], t) for x, t in zip(cells, _SEGMENTS.types, strict=True)], schema=_SEGMENTS)
+            if len(seen) > SEEN:  # sent once more then; the receiver finds them equal
+                seen, seen_id = seen[:0], seen_id[:0]
             key, doc = (np.concatenate((old, *(x[i] for x in lows))) for i, old in enumerate((seen, seen_id)))
-            order = np.lexsort((doc, key))
+            order = np.lexsort((doc, key["y"], key["x"]))
             key, doc = key[order], doc[order]
-            head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+            head = np.concatenate(([True], changes(key))) if len(key) else np.zeros(0, bool)
             seen, seen_id = key[head], doc[head]
 
     return run
@@ -323,7 +337,8 @@ def _sort_segments(length: int):
             raw = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
             size = count + length - 1
             begin = np.cumsum(size) - size
-            key = np.array([hash(raw[b : b + s].tobytes()) for b, s in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
+            number: dict[bytes, int] = {}
+            key = np.array([number.setdefault(raw[b : b + s].tobytes(), len(number)) for b, s in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
             # Equal segments are laid out once, under their smallest id.
             order = np.lexsort((ids, key))
             head = np.ones(len(key), bool)
