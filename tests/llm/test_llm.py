@@ -413,6 +413,8 @@ def test_chat_repair(spark):
         body = roles[1:] if roles[0] == "system" else roles
         assert body == ["user", "assistant"] * (len(body) // 2)
         assert [m for m in __import__("re").findall(r"m\d+", text)] == [f"m{k}" for k in range(len(rs))]
+    whole = {r["conv_id"]: r["conversation"] for r in chat_repair.rendered_chunks(spark.createDataFrame(got)).collect()}
+    assert whole[99] == "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 99), key=lambda r: r["position"]))
     assert chat_repair.repair_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -445,3 +447,33 @@ def test_words_and_passages_that_collide_under_sums_of_powers_are_told_apart(spa
             if first[t[p : p + 50]] < i:
                 gone[p : p + 50] = True
         assert cut[i] == gone.sum()
+
+
+def test_chat_repair_of_a_conversation_over_many_partitions(spark):
+    rng = random.Random(8)
+    roles = [rng.choice([0, 2, 3, 3]) for _ in range(900)]
+    names = ["?", "system", "user", "assistant"]
+    rows = [(7, k, names[r], "a <|end|> <\\|user|> é" if k == 5 else None if k == 6 else "x" * 3000 if k == 8 else f"m{k}") for k, r in enumerate(roles)]
+    rows += [(i, k, "user", "z") for i in (1, 2, 9) for k in range(3)] + [(None, None, None, None), (None, 1, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    results = []
+    for parts in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(repr, chat_repair.repair_conversations(frame.repartition(int(parts))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    mine = sorted((r for r in chat_repair.repair_conversations(frame).collect() if r["conv_id"] == 7), key=lambda r: r["position"])
+    assert [r["position"] for r in mine] == list(range(900))
+    state, cost = chat_repair.repaired(np.array(roles), np.array([0, 900]), np.array([0]), np.array([-1]))
+    best = {0: 0.0}
+    for r in roles:
+        best = {a: min(c + chat_repair.move(b, r, a) for b, c in best.items()) for a in (1, 2, 3)}
+    best = min(c + chat_repair.CLOSE[a] for a, c in best.items())
+    assert cost[0] == best == mine[0]["conv_cost"] and [names[s] for s in state] == [r["new_role"] for r in mine]
+    text = "".join(r["rendered"] for r in mine)
+    assert "a <\\|end|> <\\\\|user|> é" in text
+    turns = __import__("re").findall(r"<\|(system|user|assistant)\|>\n", text)
+    body = turns[turns[0] == "system" :]
+    assert body == ["user", "assistant"] * (len(body) // 2) and text.count("<|end|>") == len(turns)
+    copies = spark.createDataFrame([(1, 1, "user", "a", 5, "q")] * 3, "conv_id long, turn long, role string, text string, part int, open string")
+    assert [r["action"] for r in chat_repair.repair_conversations(copies).orderBy("position").collect()] == ["keep", "merge", "relabel"]
