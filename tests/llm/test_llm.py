@@ -258,6 +258,47 @@ def test_near_vectors(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def brute_links(rows, threshold=0.98):
+    use = {i: (np.array(v), k) for i, v, k in rows}
+    near = []
+    for k in {k for _, k in use.values()}:
+        ids = [i for i, (_, y) in use.items() if y == k]
+        x = np.stack([use[i][0] / np.linalg.norm(use[i][0]) for i in ids])
+        near += [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= threshold, 1)), strict=True)]
+    return near
+
+
+def test_near_vectors_in_hot_buckets_are_counted_without_pairs(spark, monkeypatch):
+    """A tight cluster (all linked), a loose one (some linked), chains, copies, and blocks of a few."""
+    rng = np.random.default_rng(6)
+    unit = lambda n, d=32: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.normal(size=(n, d)))
+    centre = unit(3)
+    parts = [centre[0] + unit(70) * 0.07, centre[1] + unit(60) * 0.14, centre[2] + unit(40) * 0.3 * rng.random((40, 1)), unit(80)]
+    rows = [(3 * i, [float(c) for c in v], 1 + i % 40 // 39) for i, v in enumerate(np.concatenate(parts))]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 30, 2)]
+    want = brute_links(rows)
+    links, root = Counter(x for p in want for x in p), roots([i for i, _, _ in rows], want)
+    monkeypatch.setattr(near_vectors, "BLOCK", 25)
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), hot=8).collect()}
+    assert len(want) > 2000 and {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i, _, _ in rows}
+    assert {i: r["component_id"] for i, r in got.items()} == root
+    assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("dims", [16, 64, 300])
+@pytest.mark.parametrize("width", [2, 3])
+def test_recall_of_buckets_at_the_threshold(dims, width):
+    rng = np.random.default_rng(dims)
+    x, y = rng.normal(size=(2, 800, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    (a, pa_), (b, pb) = near_vectors.buckets(x, width), near_vectors.buckets(y, width)
+    hit = [bool(set(a[i]) & {*b[i], *pb[i]} or set(b[i]) & set(pa_[i])) for i in range(len(x))]
+    print(dims, width, sum(hit) / len(hit))
+    assert sum(hit) / len(hit) >= 0.998
+
+
 def test_suffix_dedup(spark, rows):
     got = suffix_dedup.repeated_bytes(table(spark, rows)).collect()
     first = {}
