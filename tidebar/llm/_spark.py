@@ -13,23 +13,42 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; only a local session (tests) may go without and gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+    """The rows as a Parquet table in the shared folder: it cuts the lineage and outlives executors.
+
+    It goes when the application ends, or earlier by `discard` once nothing reads it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    store, hadoop = _hadoop(spark, path)
+    store.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of `written` that no plan still to run reads."""
+    for df in tables:
+        if df is not None:
+            store, hadoop = _hadoop(df.sparkSession, df.written_to)
+            store.delete(hadoop, True)
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -37,6 +56,18 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _with_low(edges: DataFrame, limit: int) -> DataFrame:
+    """Edges (u, v) with m, the smallest v of their u.
+
+    Nodes of more than `limit` edges, the centres of stars, get m by broadcast (there are
+    at most edges / limit of them), so that no task gets all edges of one.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(low.where(F.col("n") > limit).select("u", "m"))
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
+    return edges.join(hot, "u").select("u", "v", "m").union(cold.select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that links to a smaller one; root is the smallest node that links reach.
 
@@ -44,14 +75,15 @@ def components(edges: DataFrame) -> DataFrame:
     joins, and the number of rounds is logarithmic in practice.  Roots themselves are not listed; nulls are dropped.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    seen = None
+    seen, limit = None, max(64, now.count() // 2000)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low).distinct()
-        now = written(small)
+        large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = _with_low(large, limit)
+        # A node's larger neighbours and the node itself all point to its smallest one.
+        small = low.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        before, now = now, written(small)
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -213,13 +213,12 @@ def _compare(k: int, num: int, den: int, threshold: float, miss: float):
     return run
 
 
-def _block_pairs(members: DataFrame, ratio: float) -> DataFrame:
-    """(cluster, size class, major, block, task, side) of all pairs of blocks that may hold a link.
+def _block_pairs(count: DataFrame) -> DataFrame:
+    """(cluster, size class, major, block, task, side) of all pairs of blocks that may hold a link; `count` has the number of blocks.
 
     Sizes of linked sets differ by less than one class, and two members of a
     cluster's largest component need no comparison.  Side 2: both sides at once.
     """
-    count = members.groupBy("cluster", "cls", "major").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     a, b = (count.select(*(F.col(c).alias(f"{x}_{c}") for c in count.columns)) for x in "ab")
     pair = a.join(b, F.col("a_cluster") == F.col("b_cluster")).where("b_cls - a_cls in (0, 1) and not (a_major and b_major) and (b_cls > a_cls or not a_major or not b_major) and (b_cls > a_cls or a_major <= b_major)")
     pair = pair.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
@@ -228,7 +227,7 @@ def _block_pairs(members: DataFrame, ratio: float) -> DataFrame:
     one = same & (F.col("i") == F.col("j"))
     left = pair.select(F.col("a_cluster").alias("cluster"), F.col("a_cls").alias("cls"), F.col("a_major").alias("major"), F.col("i").alias("block"), "task", F.when(one, 2).otherwise(0).alias("side"))
     right = pair.where(~one).select(F.col("b_cluster").alias("cluster"), F.col("b_cls").alias("cls"), F.col("b_major").alias("major"), F.col("j").alias("block"), "task", F.lit(1).alias("side"))
-    return left.union(right).join(count.withColumnRenamed("blocks", "n_blocks"), ["cluster", "cls", "major"])
+    return left.union(right)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85, k: int = 5, miss: float = 1e-7) -> DataFrame:
@@ -253,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Each band's members against its first one.
     bands = reps.select("rep", "key", "n", "sig").mapInArrow(_bands, "rep long, key binary, n long, bands array<long>")
     bands = bands.select(F.explode("bands").alias("band"), "rep", "key", "n")
-    first = bands.groupBy("band").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "key", "n"), F.struct("rep", "key")).alias("f")).where("m > 1")
+    # Written, so that the join below is one of two plain exchanges, whose hot bands Spark splits.
+    first = written(bands.groupBy("band").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "key", "n"), F.struct("rep", "key")).alias("f")).where("m > 1"))
     shared = written(bands.join(first.select("band", "f"), "band"))
     pairs = shared.where(f"key <> f.key and {den} * least(n, f.n) >= {num} * greatest(n, f.n)").select(F.col("rep").alias("a"), F.col("key").alias("a_key"), F.col("f.rep").alias("b"), F.col("f.key").alias("b_key")).distinct()
     nodes = reps.select("key", "sig")
@@ -276,8 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = rest.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
     rest = rest.join(largest, "cluster").withColumn("major", F.col("comp") == F.col("top")).withColumn("cls", F.floor(F.log(F.col("n")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")).drop("top")
     rest = written(rest)
-    tasks = _block_pairs(rest, threshold)
-    sent = rest.join(tasks, ["cluster", "cls", "major"]).where(F.pmod(F.xxhash64("key"), F.col("n_blocks")) == F.col("block")).select("rep", "key", "comp", "task", "side")
+    count = written(rest.groupBy("cluster", "cls", "major").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    dealt = rest.join(count, ["cluster", "cls", "major"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sent = dealt.join(_block_pairs(count), ["cluster", "cls", "major", "block"]).select("rep", "key", "comp", "task", "side")
     need = sized(written(rest.select(F.col("rep").alias("doc_id")).distinct()))
     text = base.join(need, "doc_id", "left_semi")
     sent = sent.join(text.select(F.col("doc_id").alias("rep"), "text"), "rep")
