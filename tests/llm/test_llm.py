@@ -518,3 +518,23 @@ def test_chat_repair_of_a_conversation_over_many_partitions(spark):
     assert body == ["user", "assistant"] * (len(body) // 2) and text.count("<|end|>") == len(turns)
     copies = spark.createDataFrame([(1, 1, "user", "a", 5, "q")] * 3, "conv_id long, turn long, role string, text string, part int, open string")
     assert [r["action"] for r in chat_repair.repair_conversations(copies).orderBy("position").collect()] == ["keep", "merge", "relabel"]
+
+
+def test_secrets_of_a_very_long_text_take_linear_time(spark):
+    """A text of 5 MB with 50,000 base spans and as many bare tokens."""
+    import time
+
+    value = "hunter22x9abcd"
+    long = "".join(f"password={value} w{i} plain {value} and {'z' * 60} " for i in range(50_000))
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(table(spark, [(1, long), (2, "nothing"), (3, f"x {value}")])).collect()}
+    assert len(long) > 5_000_000 and time.time() - start < 30
+    assert (got[1]["n_assign"], got[1]["n_added"], got[1]["n_live"]) == (50_000, 50_000, 50_000) and got[3]["spans"] == "owned:2:16"
+    ends = [int(x.split(":")[2]) for x in got[1]["spans"].split(",")]
+    assert all(long[e - len(value) : e] == value for e in ends) and len(set(ends)) == 100_000
+
+
+def test_secrets_that_look_like_placeholders_or_repeat_are_not_live(spark):
+    rows = [(1, "token=xxxx1111"), (2, "token=my_example_99"), (3, "token=q7Gz0Lk2pW"), (4, "bare q7Gz0Lk2pW my_example_99 xxxx1111")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert [got[i]["n_live"] for i in (1, 2, 3)] == [0, 0, 1] and got[4]["spans"] == "owned:5:15"

@@ -84,22 +84,31 @@ SPANS = """list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': (co
 
 
 def secrets_sql() -> str:
-    parts, lists = [], []
+    parts = []
     for k, (kind, (_, group, least)) in enumerate(secrets.KINDS.items()):
         pattern = secrets.SEARCH[kind].replace("'", "''")
         parts.append(f"t{k} AS (SELECT doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v FROM d)")
         parts.append(f"x{k} AS (SELECT doc_id, {SPANS.format(k=k, kind=kind, least=least)} AS l{k} FROM t{k})")
-        lists.append(f"l{k}")
-    bare = secrets.BARE
-    parts.append(f"tb AS (SELECT doc_id, string_split_regex(text, '{bare}') AS g, regexp_extract_all(text, '{bare}', 0) AS m, regexp_extract_all(text, '{bare}', 0) AS v FROM d WHERE regexp_matches(text, '{secrets.BARE_NEEDS}'))")
-    parts.append(f"xb AS (SELECT doc_id, unnest({SPANS.format(k=3, kind='owned', least=0)}) AS x FROM tb)")
+    mixed = lambda v: f"(regexp_matches({v}, '[0-9]') AND regexp_matches({v}, '[A-Za-z]'))"
+    share = "((length(v) - length(replace(v, c, ''))) / length(v))"
+    entropy = f"round(list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -{share} * log2({share}))), 9)"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents), {', '.join(parts)},
-    b AS (SELECT doc_id, owner, l0, l1, l2, list_sort(l0 || l1 || l2) AS base FROM d JOIN x0 USING (doc_id) JOIN x1 USING (doc_id) JOIN x2 USING (doc_id)),
-    u AS (SELECT doc_id, owner, unnest(base) AS x FROM b),
-    o AS (SELECT x.v AS v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AND regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AS live FROM u GROUP BY x.v),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents), {', '.join(parts)},
+    b AS (SELECT doc_id, owner, repo, l0, l1, l2, list_sort(l0 || l1 || l2) AS base FROM d JOIN x0 USING (doc_id) JOIN x1 USING (doc_id) JOIN x2 USING (doc_id)),
+    u AS (SELECT doc_id, owner, repo, unnest(base) AS x FROM b),
+    h AS (SELECT x.v AS v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM u GROUP BY x.v),
+    o AS (SELECT v, owners <= {secrets.MAX_OWNERS} AND repos <= {secrets.MAX_REPOS} AND {mixed('v')} AND NOT regexp_matches(lower(v), '{secrets.PLACEHOLDER}') AND {entropy} >= {secrets.MIN_ENTROPY} AS live FROM h),
     n AS (SELECT doc_id, count_if(live) AS n_live, count_if(NOT live) AS n_copied FROM u JOIN o ON u.x.v = o.v GROUP BY doc_id),
-    m AS (SELECT xb.doc_id, list(xb.x) AS more FROM xb JOIN o ON xb.x.v = o.v AND o.live JOIN b ON b.doc_id = xb.doc_id WHERE len(list_filter(b.base, lambda y: y.s < xb.x.e AND y.e > xb.x.s)) = 0 GROUP BY xb.doc_id)
+    sh AS (SELECT DISTINCT rtrim(v, '.=') AS v FROM o WHERE live),
+    wanted AS (SELECT v FROM o WHERE live UNION SELECT v FROM sh WHERE length(v) >= {secrets.LEAST_TOKEN} AND {mixed('v')} AND v NOT IN (SELECT v FROM o)),
+    tb AS (SELECT doc_id, string_split_regex(text, '{secrets.RUN}') AS g, regexp_extract_all(text, '{secrets.RUN}', 0) AS m, regexp_extract_all(text, '{secrets.RUN}', 0) AS v FROM d WHERE regexp_matches(text, '{secrets.BARE_NEEDS}')),
+    tk AS (SELECT doc_id, x.s AS run, x.v AS v FROM (SELECT doc_id, unnest({SPANS.format(k=3, kind='owned', least=0)}) AS x FROM tb) WHERE {mixed('x.v')}),
+    p0 AS (SELECT doc_id, run, v, string_split(v, '=') AS w, unnest(range(1, len(string_split(v, '=')) + 1)) AS k FROM tk),
+    p1 AS (SELECT doc_id, run, v, coalesce(list_sum(list_transform(w[1:k - 1], lambda y: length(y) + 1)), 0)::INT AS off FROM p0 WHERE k = 1 OR w[k] <> ''),
+    p2 AS (SELECT DISTINCT doc_id, run, run + off AS s, unnest([substr(v, off + 1), rtrim(substr(v, off + 1), '.=')]) AS f FROM p1),
+    p3 AS (SELECT p2.doc_id, run, {{'s': s::INT, 'k': 3, 'e': (s + length(f))::INT, 'kind': 'owned', 'v': f}} AS x FROM p2 JOIN wanted ON f = wanted.v WHERE length(f) >= {secrets.LEAST_TOKEN} AND {mixed('f')}),
+    p4 AS (SELECT p3.* FROM p3 JOIN b USING (doc_id) WHERE len(list_filter(b.base, lambda y: y.s < p3.x.e AND y.e > p3.x.s)) = 0 QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY p3.x.s, p3.x.e DESC) = 1),
+    m AS (SELECT doc_id, list(x) AS more FROM p4 GROUP BY doc_id)
 SELECT b.doc_id, len(l0)::BIGINT AS n_assign, len(l1)::BIGINT AS n_access, len(l2)::BIGINT AS n_hex,
     sha256(array_to_string(list_transform(base, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')) AS base_sha256,
     array_to_string(list_transform(list_sort(base || coalesce(more, [])), lambda x: x.kind || ':' || x.s || ':' || x.e), ',') AS spans,
