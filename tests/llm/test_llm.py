@@ -361,7 +361,7 @@ def test_toxicity_learns_terms_of_fixed_phrases_short_words_and_other_scripts(sp
     terms = dict(toxicity.learn_terms(spark.createDataFrame([*rows, *[(copied, 1)] * 9], "text string, toxic int")))
     assert {"grumbok", "xq", "笨蛋"} <= set(terms) and "zzcopied" not in terms
     auto = toxicity.Automaton([("xq", False), ("笨蛋", False)])
-    assert [len(h) for _, h in toxicity.find_hits(pa.array(["a xq b", "a 笨蛋 b", "a 聪明 xqs"]), auto)] == [1, 1, 0]
+    assert [len(h) for _, h in toxicity.find_hits(pa.array(["a xq b", "a 笨蛋 b", "a 聪明 xqs"]), auto, {})] == [1, 1, 0]
 
 
 def test_rarer_terms_beside_a_frequent_stem_are_kept():
@@ -389,7 +389,7 @@ def test_automaton_matches_edit_distance():
         for i in range(len(t)):
             probes |= {t[:i] + t[i + 1 :], t[:i] + "x" + t[i:], t[:i] + "x" + t[i + 1 :], t[:i] + "xy" + t[i:]}
     for p in sorted(probes):
-        ((_, hits),) = toxicity.find_hits(pa.array([p]), auto)
+        ((_, hits),) = toxicity.find_hits(pa.array([p]), auto, {})
         best = min(distance(p, t) for t in terms)
         assert ([h % 2 for h, _ in hits] == [best]) if best <= 1 else not hits, p
 
@@ -538,3 +538,35 @@ def test_secrets_that_look_like_placeholders_or_repeat_are_not_live(spark):
     rows = [(1, "token=xxxx1111"), (2, "token=my_example_99"), (3, "token=q7Gz0Lk2pW"), (4, "bare q7Gz0Lk2pW my_example_99 xxxx1111")]
     got = {r["doc_id"]: r for r in secrets.scan_secrets(table(spark, rows)).collect()}
     assert [got[i]["n_live"] for i in (1, 2, 3)] == [0, 0, 1] and got[4]["spans"] == "owned:5:15"
+
+
+def test_toxicity_learns_the_words_of_quotation(spark):
+    rng = random.Random(12)
+    bad, calm = "grumbok", "murmuration"
+    rows = [(f"{prose(rng, 20)} {bad} {prose(rng, 9)} {bad} {prose(rng, 20)}", 1) for _ in range(150)]
+    rows += [(f"{prose(rng, 20)} {calm} {bad} {prose(rng, 25)}", 0) for _ in range(30)]
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    auto = toxicity.Automaton([(bad, False)])
+    weights = toxicity.context_weights(frame, auto)
+    assert weights[calm] == -2.0 and weights["said"] == -2.0 and bad not in weights
+    ((_, hits),) = toxicity.find_hits(pa.array([f"they {calm} {bad} x y z a b c d {bad}"]), auto, weights)
+    assert [q for _, q in hits] == [True, False]
+
+
+def test_toxicity_of_very_long_texts_and_repeated_ids(spark):
+    """5 MB with 50,000 hits take linear time; an id of many rows teaches no more than the bound."""
+    import time
+
+    rng = random.Random(4)
+    docs = [(i, f"{prose(rng, 30)} {'grumbok grumbok' if i % 3 == 0 else ''} {prose(rng, 9)}") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    long = f"{prose(rng, 40)} grumbok " * 50_000
+    start = time.time()
+    got = {r["doc_id"]: r for r in toxicity.toxicity(table(spark, [*docs, (1000, long), (1001, None), (1002, "x" * 5_000_000)]), labels).collect()}
+    assert time.time() - start < 60 and len(long) > 5_000_000
+    assert got[1000]["n_hits"] == 50_000 and got[1000]["predicted"] == 1 and got[1001]["predicted"] == got[1002]["predicted"] == 0
+    many = table(spark, [(7, f"{i} {prose(rng, 5)}") for i in range(200)])
+    assert toxicity.teaching_rows(many, spark.createDataFrame([(7, 1)], "doc_id long, toxic int"), "doc_id", "text", 5, 50).count() == 50
+    again = table(spark, [(7, "same")] * 60)
+    assert toxicity.teaching_rows(again, spark.createDataFrame([(7, 1), (7, None), (None, 1)], "doc_id long, toxic int"), "doc_id", "text", 5, 50).count() == 1
+    assert toxicity.toxicity(table(spark, []), labels).count() == 0

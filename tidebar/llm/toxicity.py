@@ -8,14 +8,17 @@ through it together, one character a step; words that can match no term any more
 drop out, nearly all of them within three steps.
 
 Each hit is weighed by how well its term and distance mark toxic rows.  A window of
-words around it tells quotation (quotation marks around the hit, words of
-reporting) from abuse; the two sums and the hits' density go into a logistic score.
+words around it tells quotation from abuse: quotation marks around the hit, or words
+that stand near hits in clean rows far more often than in toxic ones, as the labelled
+rows show (a few words of reporting count from the start).  The two sums and the hits'
+density go into a logistic score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import sized, written
+from ._spark import discard, sized, written
 
 #: The classifier learns from at most this many labelled rows, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
 #: A term needs so many different toxic texts, this share of all different texts that hold it, and as a stem so many characters.
-MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 5, 0.8, 4, 16
+MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 5, 0.8, 4, 32
+#: Longer words are no terms.
+LONGEST = 64
 #: And so many toxic rows in which it stands, whatever the words before it.
 MIN_DOCS = 3
 #: Terms of so many characters also match at one edit.  Words on either side of a hit that are its context.
 FUZZY_CHARS, WINDOW = 5, 6
+#: A context word needs so many rows with hits and so many standard errors; a hit is quoted where the weights around it, each within the limit, sum up to this.
+CONTEXT_ROWS, CONTEXT_ERRORS, CONTEXT_LIMIT, QUOTED_AT = 20, 4.0, 2.0, -1.5
 #: Quotation marks, and words that report another's speech.
 QUOTES = "\"“”„«»‹›"
 REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "quotes", "reported", "reports", "stated", "word", "words", "term", "insult", "slur", "called", "dijo", "dit", "sagte"}
@@ -138,14 +145,18 @@ def letters(raw: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.ndarr
     return text, c, start, end, np.searchsorted(start, row), row
 
 
-def quoted(before: str, after: str) -> bool:
+def context_words(before: str, after: str) -> set[str]:
+    return {w for part in (before, after) for w in re.findall(r"\w+", part.lower())}
+
+
+def quoted(before: str, after: str, weights: dict[str, float]) -> bool:
     """Whether a hit between these stands in quotation marks or in reported speech."""
     marks = sum(c in QUOTES for c in before), sum(c in QUOTES for c in after)
-    return (marks[0] % 2 == 1 and marks[1] > 0) or bool(REPORTING & set(re.findall(r"\w+", before.lower())))
+    return (marks[0] % 2 == 1 and marks[1] > 0) or sum(weights.get(w, 0.0) for w in context_words(before, after)) <= QUOTED_AT
 
 
-def find_hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, bool]]]]:
-    """For each text its number of words, and (hit, whether quoted) for each hit."""
+def find_windows(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, str, str]]]]:
+    """For each text its number of words, and (hit, text before, text after) for each hit."""
     size = max(map(ord, automaton.chars), default=0) + 2
     lookup = np.zeros(size, np.int64)
     for c, i in automaton.chars.items():
@@ -161,14 +172,22 @@ def find_hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, lis
                 lo, hi = max(first[i], w - WINDOW), min(first[i + 1] - 1, w + WINDOW)
                 a = row[i] if lo == first[i] else end[lo - 1]
                 b = row[i + 1] if hi == first[i + 1] - 1 else start[hi + 1]
-                out.append((h, quoted(text[a : start[w]], text[end[w] : b])))
+                # Gaps between words may be of any length: the nearest characters tell enough.
+                out.append((h, text[max(a, start[w] - 50 * WINDOW) : start[w]], text[end[w] : min(b, end[w] + 50 * WINDOW)]))
             yield int(first[i + 1] - first[i]), out
 
 
-def features(n_words: int, hits: list[tuple[int, bool]], weight: np.ndarray) -> list[float]:
-    abuse = sum(weight[h] for h, q in hits if not q)
-    quote = sum(weight[h] for h, q in hits if q)
-    return [1.0, math.log1p(abuse), math.log1p(quote), min(1.0, 20.0 * sum(weight[h] > 0 for h, _ in hits) / max(1, n_words))]
+def find_hits(column: pa.Array, automaton: Automaton, weights: dict[str, float]) -> Iterator[tuple[int, list[tuple[int, bool]]]]:
+    """For each text its number of words, and (hit, whether quoted) for each hit."""
+    for n, found in find_windows(column, automaton):
+        yield n, [(h, quoted(before, after, weights)) for h, before, after in found]
+
+
+def features(n_words: int, hits: dict[tuple[int, bool], int], weight: np.ndarray) -> list[float]:
+    """Of a text's hits by (hit, whether quoted)."""
+    abuse = sum(weight[h] * n for (h, q), n in hits.items() if not q)
+    quote = sum(weight[h] * n for (h, q), n in hits.items() if q)
+    return [1.0, math.log1p(abuse), math.log1p(quote), min(1.0, 20.0 * sum(n for (h, _), n in hits.items() if weight[h] > 0) / max(1, n_words))]
 
 
 #: Where the fit starts from and is held to: quoted hits alone stay below one half.
@@ -185,36 +204,68 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _collect_hits(automaton: Automaton):
-    schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("quoted", pa.list_(pa.bool_()))])
+def _collect_contexts(automaton: Automaton):
+    """(word, toxic) of the words around hits: one row for each text and word; word null stands for the text itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, toxic = [], []
+            for t, (_, found) in zip(batch.column("toxic").to_pylist(), find_windows(batch.column("text"), automaton), strict=True):
+                near = {w for _, before, after in found for w in context_words(before, after)}
+                word += [*near, *([None] if found else [])]
+                toxic += [int(t > 0)] * (len(near) + bool(found))
+            yield pa.record_batch([pa.array(word, pa.string()), pa.array(toxic, pa.int64())], names=["word", "toxic"])
+
+    return run
+
+
+def context_weights(rows: DataFrame, automaton: Automaton) -> dict[str, float]:
+    """Weights of context words: how much likelier a text with hits is toxic where the word is near one, if that is sure enough.
+
+    As many entries as words that stand near hits in CONTEXT_ROWS of the sampled rows or more.
+    """
+    out = dict.fromkeys(REPORTING, -CONTEXT_LIMIT)
+    by_word = rows.mapInArrow(_collect_contexts(automaton), "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("n") >= CONTEXT_ROWS)
+    seen = {r.word: (r.t, r.n - r.t) for r in by_word.collect()}
+    toxic, clean = seen.pop(None, (0, 0))
+    terms = dict(automaton.terms)
+    for w, (t, c) in seen.items():
+        if w not in terms:
+            weight = math.log((t + 1) / (c + 1)) - math.log((toxic + 1) / (clean + 1))
+            if abs(weight) >= CONTEXT_ERRORS * math.sqrt(1 / (t + 1) + 1 / (c + 1)):
+                out[w] = min(CONTEXT_LIMIT, max(-CONTEXT_LIMIT, weight))
+            elif weight > 0:
+                out.pop(w, None)
+    return out
+
+
+def _collect_hits(automaton: Automaton, weights: dict[str, float]):
+    """The kinds of hits of each text with their numbers: no more entries than twice the automaton's hits."""
+    schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("quoted", pa.list_(pa.bool_())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(find_hits(batch.column("text"), automaton))
-            yield pa.record_batch([batch.column("toxic").cast(pa.int32()), [n for n, _ in found], [[h for h, _ in x] for _, x in found], [[q for _, q in x] for _, x in found]], schema=schema)
+            found = [(n, Counter(x)) for n, x in find_hits(batch.column("text"), automaton, weights)]
+            yield pa.record_batch([batch.column("toxic").cast(pa.int32()), [n for n, _ in found], [[h for h, _ in x] for _, x in found], [[q for _, q in x] for _, x in found], [list(x.values()) for _, x in found]], schema=schema)
 
     return run
 
 
-def _score(automaton: Automaton, weight: np.ndarray, model: np.ndarray, keep_text: bool):
+def _score(automaton: Automaton, weights: dict[str, float], weight: np.ndarray, model: np.ndarray, keep_text: bool):
     schema = pa.schema([("score", pa.float64()), ("n_hits", pa.int64()), ("n_quoted", pa.int64()), ("n_misspelled", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, [x for x in hits if weight[x[0]] > 0]) for n, hits in find_hits(batch.column("text"), automaton)]
+            found = [(n, Counter(x for x in hits if weight[x[0]] > 0)) for n, hits in find_hits(batch.column("text"), automaton, weights)]
             x = np.array([features(n, hits, weight) for n, hits in found]).reshape(-1, len(model))
             score = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))
-            extra = [score, [len(h) for _, h in found], [sum(q for _, q in h) for _, h in found], [sum(i % 2 for i, _ in h) for _, h in found]]
+            extra = [score, [sum(h.values()) for _, h in found], [sum(n for (_, q), n in h.items() if q) for _, h in found], [sum(n for (i, _), n in h.items() if i % 2) for _, h in found]]
             names = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(extra, schema.types, strict=True))], names=[*names, *schema.names])
 
     return run
 
 
-#: Fixed value: a word of lower-cased text, as `letters` finds it.
-WORD = r"[a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}]+"
-
-
 def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tuple[str, bool]]:
     """Terms (text, whether any ending may follow) that cover all good stems (rows, rows of the stem as a word) and words."""
     children: dict[str, list[str]] = {}
@@ -236,38 +287,78 @@ def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tupl
     return sorted(terms.items())
 
 
+def _witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, family, t): the different words of each text.
+
+    A family is the smallest hash of a text's word pairs: copies share it, and near copies mostly.
+    """
+    schema = pa.schema([("word", pa.string()), ("family", pa.int64()), ("t", pa.int32())])
+    for batch in batches:
+        toxic = batch.column("toxic").to_pylist()
+        for a, _, raw, off in T.pieces(batch.column("text")):
+            text, c, start, end, first, _ = letters(raw, off)
+            low = "".join(map(chr, c.tolist()))
+            h = T.word_hashes(c.astype("<u4").view(np.uint8), 4 * start, 4 * end)
+            pair = T.mix(h, 8) + np.concatenate((h[1:], h[:1]))
+            word, family, t = [], [], []
+            for i in range(len(off) - 1):
+                lo, hi = int(first[i]), int(first[i + 1])
+                if lo == hi:
+                    continue
+                own = {low[x:y] for x, y in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True) if y - x <= LONGEST}
+                word += own
+                family += [int(pair[lo : max(hi - 1, lo + 1)].min().view(np.int64))] * len(own)
+                t += [int(toxic[a + i] > 0)] * len(own)
+            yield pa.record_batch([pa.array(word, pa.string()), pa.array(family, pa.int64()), pa.array(t, pa.int32())], schema=schema)
+
+
 def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     """Terms that mark the toxic ones of `rows` (text, toxic): the longest stems that keep their rows, and whole words."""
-    # A word counts once for each label and text: copies are one witness, and near copies as well where
-    # the smallest hash of their word pairs is the same.
-    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    family = F.array_min(F.expr("transform(w, (x, i) -> xxhash64(x, get(w, i + 1)))"))
-    texts = rows.select(found.alias("w"), (F.col("toxic") > 0).cast("int").alias("t")).where(F.size("w") > 0).select(F.explode(F.array_distinct("w")).alias("word"), family.alias("family"), "t").distinct()
+    # A word counts once for each label and family: copies are one witness.
+    texts = rows.mapInArrow(_witnesses, "word string, family long, t int").distinct()
     by_word = written(texts.groupBy("word").agg(F.sum("t").alias("t"), F.count("*").alias("n")))
     enough = (F.col("t") >= MIN_ROWS) & (F.col("t") >= MIN_SHARE * F.col("n"))
-    words = {r.word for r in by_word.where(enough).select("word").collect()}
+    words = {r.word for r in by_word.where(enough).select("word").collect()}  # a fifth of the sample's words at most
     prefix = by_word.where(F.length("word") >= MIN_CHARS).select(F.explode(F.expr(f"transform(sequence({MIN_CHARS}, least({MAX_CHARS}, length(word))), i -> struct(left(word, i) AS stem, length(word) = i AS whole))")).alias("s"), "t", "n")
     prefix = prefix.groupBy("s.stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("s.whole"), F.col("t")).otherwise(0)).alias("whole"))
-    return choose_terms({r.stem: (r.t, r.whole) for r in prefix.where(enough).collect()}, words)
+    good = {r.stem: (r.t, r.whole) for r in prefix.where(enough).collect()}
+    discard(by_word)
+    return choose_terms(good, words)
+
+
+def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, sample_rows: int) -> DataFrame:
+    """(text, toxic) of at most `sample_rows` labelled rows: those with the smallest hashes of id, then of id and text.
+
+    Rows that repeat id and text teach once if there are more than that.
+    """
+    teach = labels.where("toxic is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")).where("__id is not null")
+    teach = teach.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    teach = sized(written(teach))
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = written(base.join(teach, "__id").select(F.xxhash64("__id", "text").alias("h"), "text", "toxic"))
+    if rows.count() > sample_rows:
+        last = rows.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+        rows, whole = written(rows.where(F.col("h") <= last).dropDuplicates(["h"])), rows
+        discard(whole)
+    return rows.select("text", "toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample_rows: int = SAMPLE_ROWS, columns: list[str] | None = None) -> DataFrame:
     """The rows of `docs` with held_out, score, predicted, n_hits, n_quoted, n_misspelled added.
 
     Labels (id, toxic) are learned only from rows whose crc32 of the id as text is
-    not divisible by `folds`, and from `sample_rows` of them at most; every whole
-    text is scored.  Rows with a null label or id teach nothing; ids that repeat in
-    `labels` count by their largest label, once for each row of `docs`.  A null text
+    not divisible by `folds`, and from `sample_rows` of them at most, whatever repeats;
+    every whole text is scored, in time that grows with its length.  Rows with a null
+    label or id teach nothing; ids that repeat in `labels` count by their largest
+    label.  Rows that repeat are scored alike.  A null text
     is empty; empty texts get the score of a text without hits.  Without labels no
     term is known and all texts get the same low score.  Columns of `docs` that have
     a name of an added column are replaced; `columns` are those to keep (all).
     """
-    teach = labels.where("toxic is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")).where("__id is not null")
-    teach = teach.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    teach = sized(written(teach))
-    rows = written(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(teach, "__id").select("text", "toxic").repartition(12))
+    rows = teaching_rows(docs, labels, id_col, text_col, folds, sample_rows)
     automaton = Automaton(learn_terms(rows))
-    seen = rows.mapInArrow(_collect_hits(automaton), "toxic int, n_words long, hits array<int>, quoted array<boolean>").toPandas()
+    context = context_weights(rows, automaton)
+    seen = rows.mapInArrow(_collect_hits(automaton, context), "toxic int, n_words long, hits array<int>, quoted array<boolean>, times array<long>").toPandas()
     y = seen["toxic"].to_numpy(float)
     count = np.full((2, 2 * len(automaton.terms)), 0.5)
     for label, hits in zip(seen["toxic"], seen["hits"], strict=True):
@@ -280,7 +371,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     exact = count[:, ::2]
     weight[np.repeat(exact[1] < MIN_DOCS, 2)] = 0.0
     weight = np.clip(weight, 0.0, 6.0)
-    x = np.array([features(n, list(zip(h, q, strict=True)), weight) for n, h, q in zip(seen["n_words"], seen["hits"], seen["quoted"], strict=True)]).reshape(-1, len(PRIOR))
+    found = [dict(zip(zip(*x[:2], strict=True), x[2], strict=True)) for x in zip(seen["hits"], seen["quoted"], seen["times"], strict=True)]
+    x = np.array([features(n, hits, weight) for n, hits in zip(seen["n_words"], found, strict=True)]).reshape(-1, len(PRIOR))
     model = fit(x, (y > 0).astype(float))
 
     added = ["held_out", "score", "predicted", "n_hits", "n_quoted", "n_misspelled"]
@@ -289,5 +381,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     base = docs.select((F.crc32(key.cast("binary")) % folds == 0).alias("held_out"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name != "text" or text_col in keep)
-    scored = base.mapInArrow(_score(automaton, weight, model, text_col in keep), f"{fields}, score double, n_hits long, n_quoted long, n_misspelled long")
+    scored = base.mapInArrow(_score(automaton, context, weight, model, text_col in keep), f"{fields}, score double, n_hits long, n_quoted long, n_misspelled long")
     return scored.select(*(F.col(n).alias(c) for c, n in names.items()), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted", "n_misspelled")
