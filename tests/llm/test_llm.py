@@ -415,7 +415,8 @@ def test_training_order(spark, rows, tmp_path):
     assert {(r["slot"], bytes(r["tokens"])) for r in again.collect()} == {(r["slot"], bytes(r["tokens"])) for r in got}
     uri = f"file://{tmp_path}/shards"
     assert training_order.write_shards(df, uri).agg(F.sum("n_slots")).first()[0] == len(got)
-    read = training_order.read_slots(uri, 7, 23, length=16, shard_slots=10)
+    assert training_order.write_shards(df, uri, key=1).count() == -(-len(got) // 10)  # again, over what is there
+    read = training_order.read_slots(uri, 7, 23)
     assert read.tobytes() == b"".join(bytes(r["tokens"]) for r in got[7:23])
     assert training_order.training_order(table(spark, [])).count() == 0
 
@@ -570,3 +571,16 @@ def test_toxicity_of_very_long_texts_and_repeated_ids(spark):
     again = table(spark, [(7, "same")] * 60)
     assert toxicity.teaching_rows(again, spark.createDataFrame([(7, 1), (7, None), (None, 1)], "doc_id long, toxic int"), "doc_id", "text", 5, 50).count() == 1
     assert toxicity.toxicity(table(spark, []), labels).count() == 0
+
+
+def test_training_order_does_not_depend_on_settings_and_splits_rows_without_id(spark):
+    rows = [(None, f"t{i} x") for i in range(40)] + [(i % 5, "same " * 30) for i in range(20)] + [(9, "a \xa0 \xa0 b")]
+    found = []
+    for parts in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = training_order.training_order(table(spark, rows).repartition(int(parts)), length=8, shard_slots=4)
+        found.append({(r["slot"], r["doc_id"], r["seq_no"], bytes(r["tokens"])) for r in df.collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and sorted(x[0] for x in found[0]) == list(range(len(found[0])))
+    encoder = training_order.Encoder(open(training_order.TOKENIZER, "rb").read(), np.uint16)
+    assert encoder.encode("a \xa0 \xa0 b") == encoder.one("a \xa0 \xa0 b")

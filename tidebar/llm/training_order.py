@@ -10,7 +10,9 @@ so a reader can start, stop and resume anywhere.
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,10 @@ EOS = 50256
 ROUNDS = 6
 #: Encoded words that a task remembers.
 REMEMBER = 200_000
+#: Sequences are dealt to so many buckets by hash and numbered inside each: a part of the order, not of the cluster.
+BUCKETS = 1 << 18
+#: White space for which words cannot be encoded one by one: two spaces in a row, or any but space, tab and line ends.
+UNUSUAL_SPACE = re.compile(r"  |[^\S \t\n\r]")
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -54,8 +60,8 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 class Encoder:
     """Byte-level BPE as token bytes; equal words between single spaces are encoded once.
 
-    The pattern never joins a character with a space that follows it, so a text without
-    two spaces in a row can be split before each space.
+    The pattern joins no character but unusual white space with a space that follows it,
+    so a text without two spaces in a row can be split before each space.
     """
 
     def __init__(self, ranks: bytes, kind: type):
@@ -68,7 +74,7 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "  " in text:
+        if UNUSUAL_SPACE.search(text):
             return self.one(text)
         head, *rest = text.split(" ")
         known, parts = self.known, [self.one(head)]
@@ -85,7 +91,7 @@ class Encoder:
 
 
 def _tokenise(ranks, length: int, eos: int, kind: type):
-    schema = pa.schema([("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int64()), ("content", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, kind)
@@ -94,7 +100,7 @@ def _tokenise(ranks, length: int, eos: int, kind: type):
         end = np.array([eos], kind).tobytes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                ids, numbers, sizes, packed = [], [], [], []
+                ids, numbers, sizes, contents, packed = [], [], [], [], []
                 for i, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500).to_pylist(), strict=True):
                     tokens = encoder.encode(text or "") + end
                     for k, at in enumerate(range(0, len(tokens), length * width)):
@@ -102,8 +108,9 @@ def _tokenise(ranks, length: int, eos: int, kind: type):
                         ids.append(i)
                         numbers.append(k)
                         sizes.append(len(part) // width)
+                        contents.append(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True))
                         packed.append(press.compress(part))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip((ids, numbers, sizes, contents, packed), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -122,38 +129,43 @@ def _unpack(length: int, eos: int, kind: type):
     return run
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = 1024, eos: int = EOS, key: int = 1, shard_slots: int = 8192) -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = 1024, eos: int = EOS, key: int = 1, shard_slots: int = 8192, buckets: int = BUCKETS) -> DataFrame:
     """slot, shard, shard_offset, doc_id, seq_no, n_tokens, tokens: one row for each sequence, by slot within each partition.
 
     A text is its tokens and one `eos`, cut every `length` tokens; the last part is
     filled with `eos`, and n_tokens counts what is not filling.  `tokens` are
     little-endian 16-bit numbers (32-bit where `eos` needs them).  Null and empty
-    texts are one sequence with `eos` alone; repeated rows are sequences of their
-    own; null ids come first.  The slot depends on the rows and `key` only, not on
-    partitions: indexes follow a hash of (id, seq_no), then these, then the tokens.
+    texts are one sequence with `eos` alone; texts may be of any length; repeated rows
+    are sequences of their own (equal ones may change places, which no reader can tell).
+    A null id is an id.  The slot depends on the rows and the parameters only, not on
+    partitions or settings: sequences go to `buckets` by a hash of id, number and
+    tokens, are ordered by these inside, and the permutation takes their place in that
+    order to the slot.
+
+    Sequences are shuffled twice, packed: by bucket to be numbered, and by slot.  To
+    number keys alone would need a third shuffle to bring the numbers back.
     """
     spark = docs.sparkSession
     kind = np.uint16 if eos < 1 << 16 else np.uint32
     with open(tokenizer, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: about 1 MB whatever the corpus
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = base.mapInArrow(_tokenise(ranks, length, eos, kind), "doc_id long, seq_no long, n_tokens long, packed binary")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "seq_no"), F.lit(parts)).cast("int"))
-    rank = F.expr("row_number() OVER (PARTITION BY bucket ORDER BY doc_id, seq_no, packed)")
+    rows = base.mapInArrow(_tokenise(ranks, length, eos, kind), "doc_id long, seq_no long, n_tokens long, content long, packed binary")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "seq_no", "content"), F.lit(buckets)).cast("int"))
+    rank = F.expr("row_number() OVER (PARTITION BY bucket ORDER BY doc_id, seq_no, content)")
     rows = written(rows.withColumn("rank", rank))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")))
     before = sizes.select("bucket", (F.expr("sum(n) OVER (ORDER BY bucket)") - F.col("n")).alias("before"))
-    n = rows.count()
+    n = sizes.agg(F.sum("n")).first()[0] or 0
 
     def slots(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(np.int64), n, key))
 
     slot = F.pandas_udf(slots, Ty.LongType())
-    placed = rows.join(F.broadcast(before), "bucket").withColumn("slot", slot(F.col("before") + F.col("rank") - 1))  # one row for each bucket
+    placed = rows.join(F.broadcast(before), "bucket").withColumn("slot", slot(F.col("before") + F.col("rank") - 1))  # `buckets` rows of two numbers
     shards = max(1, -(-n // shard_slots))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long"))
-    share = min(parts, shards)
+    share = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     # Each partition is a run of whole shards; their bounds are known, so nothing is sampled.
     placed = placed.repartitionById(share, F.floor(F.col("shard") * share / shards).cast("int")).sortWithinPartitions("slot")
     width = np.dtype(kind).itemsize * length
@@ -161,12 +173,16 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return placed.mapInArrow(_unpack(length, eos, kind), "slot long, shard long, shard_offset long, doc_id long, seq_no long, n_tokens long, tokens binary")
 
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """Writes training_order's rows as files shard-00000.bin under `uri`; returns (shard, n_slots, bytes).
+def write_shards(ordered: DataFrame, uri: str, **parameters) -> DataFrame:
+    """Writes training_order's rows as files shard-00000.bin and a manifest under `uri`; returns (shard, n_slots, bytes).
 
     A task writes each of its shards under a name of its own and renames it when
-    whole, so a lost or repeated task leaves no half shard.  `uri` is any file
-    system that pyarrow opens (file, hdfs, s3, gs).
+    whole, so a lost or repeated task leaves no half shard; a shard that an earlier
+    attempt finished is replaced.  The manifest, written last, has the number of
+    sequences and slots, what a slot is wide, and `parameters` (those given to
+    training_order): with it any slot's place is arithmetic, and a set of shards
+    without one is not whole.  `uri` is any file system that pyarrow opens (file, hdfs,
+    s3, gs).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +191,16 @@ def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(path, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        out, now, sink, n, size = [], None, None, 0, 0
+        out, now, sink, n, size, widest = [], None, None, 0, 0, 0
 
         def close():
             if sink is not None:
                 sink.close()
-                store.move(f"{path}/.{now}-{attempt}", f"{path}/shard-{now:05d}.bin")
-                out.append((now, n, size))
+                target = f"{path}/shard-{now:05d}.bin"
+                if store.get_file_info(target).type == fs.FileType.File:
+                    store.delete_file(target)
+                store.move(f"{path}/.{now}-{attempt}", target)
+                out.append((now, n, size, widest))
 
         for batch in batches:
             for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
@@ -190,23 +209,35 @@ def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
                     now, n, size = shard, 0, 0
                     sink = store.open_output_stream(f"{path}/.{now}-{attempt}")
                 sink.write(tokens)
-                n, size = n + 1, size + len(tokens)
+                n, size, widest = n + 1, size + len(tokens), len(tokens)
         close()
-        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["shard", "n_slots", "bytes"])
+        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["shard", "n_slots", "bytes", "stride"])
 
-    return ordered.select("shard", "tokens").mapInArrow(run, "shard long, n_slots long, bytes long")
+    done = written(ordered.select("shard", "tokens").mapInArrow(run, "shard long, n_slots long, bytes long, stride long"))
+    total = done.agg(F.sum("n_slots").alias("n"), F.max("n_slots").alias("shard_slots"), F.max("stride").alias("stride"), F.count("*").alias("shards")).first()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/manifest.json") as f:
+        f.write(json.dumps({"sequences": total["n"] or 0, "shards": total["shards"], "shard_slots": total["shard_slots"] or 0, "stride": total["stride"] or 0, "parameters": parameters}, sort_keys=True).encode())
+    return done.drop("stride")
 
 
-def read_slots(uri: str, start: int, stop: int, length: int = 1024, shard_slots: int = 8192, kind: type = np.uint16) -> np.ndarray:
-    """Sequences start to stop - 1, one a row, by seeking in the shards."""
+def read_slots(uri: str, start: int, stop: int, kind: type = np.uint16) -> np.ndarray:
+    """Sequences start to stop - 1, one a row, by seeking in the shards as the manifest lays them out."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    stride, out = np.dtype(kind).itemsize * length, []
+    with store.open_input_file(f"{path}/manifest.json") as f:
+        manifest = json.loads(f.read())
+    stride, shard_slots = manifest["stride"], manifest["shard_slots"]
+    length, out = stride // np.dtype(kind).itemsize, []
+    stop = min(stop, manifest["sequences"])
     while start < stop:
         shard, at = divmod(start, shard_slots)
         take = min(stop - start, shard_slots - at)
-        with store.open_input_file(os.path.join(path, f"shard-{shard:05d}.bin")) as f:
+        with store.open_input_file(f"{path}/shard-{shard:05d}.bin") as f:
             f.seek(at * stride)
             out.append(np.frombuffer(f.read(take * stride), kind).reshape(-1, length))
         start += take
