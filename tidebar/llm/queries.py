@@ -56,7 +56,7 @@ QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_toxicity,
 WORD = r"[^\x20\x09-\x0D]+"
 
 MIX_CTE = rf"""
-    d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM DOCS),
+    d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM DOCS),
     s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
     w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
     f AS (SELECT *, total * 2.0::DOUBLE AS cap, total * 2.0::DOUBLE / weight AS fill, (sum(total) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM w),
