@@ -1,13 +1,14 @@
-"""Benchmark decontamination: MinHash containment search, with DataFrame operations only.
+"""Benchmark decontamination: size-partitioned MinHash containment search, with DataFrame operations only.
 
 An item is contained in a document if the share `threshold` or more of its distinct
-word shingles stands in the document's set.  Items are split by size, as the size
-rules how many of an item's q shingles a document may miss.  An item's sketch is its
-q - ceil(threshold * q) + 1 smallest shingle hashes: a document that contains the item
-cannot miss all of them, so testing the sketch's hashes against the document's whole
-set finds every such document, however long it is.  A document with fewer shingles
-than the items of a size class need is not tested against that class.  Candidates are
-verified by exact containment of the shingles themselves.
+word shingles stands in the document's set.  Items are split into classes by size, as
+the size rules how many of an item's q shingles a document may miss, and each class has
+an index of its own.  An item's sketch is its q - ceil(threshold * q) + 1 smallest
+shingle hashes: a document that contains the item cannot miss all of them, so testing
+the sketches of a class against the document's whole set finds every such document,
+however long it is.  A document is a candidate for a class only, if it has as many
+shingles as the class's smallest item needs, and is then verified against the items of
+that class by exact containment of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ def by_width(w: Column, width: Column, make) -> Column:
     return out
 
 
+def of_width(classes: str, k: int) -> Column:
+    return F.filter(classes, lambda c: c["width"] == k)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shared, n_item for each item that a document contains.
 
@@ -60,33 +65,33 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     item = item.select("item_id", "width", F.array_sort(F.array_distinct(by_width(F.col("w"), F.col("width"), hashes))).alias("h"), F.array_distinct(by_width(F.col("w"), F.col("width"), shingles)).alias("shingles"))
     item = item.withColumn("need", F.ceil(F.size("shingles") * F.lit(threshold) - 1e-9).cast("int")).withColumn("class", F.floor(F.log2(F.size("shingles"))).cast("int"))
     item = written(item.withColumn("row", F.monotonically_increasing_id()))
-    sketch = item.select("width", "class", F.explode(F.slice("h", F.lit(1), F.size("h") - F.least("need", F.size("h")) + 1)).alias("hash"), "need", "item_id")
-    sketch = sketch.groupBy("width", "hash").agg(F.min("need").alias("need"), F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("null_id"))
+    sketch = item.select("width", "class", F.explode(F.slice("h", F.lit(1), F.size("h") - F.least("need", F.size("h")) + 1)).alias("hash")).distinct()
+    # Narrow rows by number and length; a hash that many items share is one row a class.
     sketch = sized(written(sketch))
-    widths = [r["width"] for r in item.select("width").distinct().collect()]  # 1 to 5
+    needs = {(r["width"], r["class"]): r["need"] for r in item.groupBy("width", "class").agg(F.min("need").alias("need")).collect()}  # 5 widths, some 30 sizes
+    widths = sorted({k for k, _ in needs})
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     w = base.select("doc_id", words(F.col("text")).alias("w"))
-    found = None
-    for k in sorted(widths):
-        probe = w.select("doc_id", (F.size("w") - k + 1).alias("n"), F.explode(hashes(F.col("w"), k)).alias("hash"))
-        hit = probe.join(sketch.where(F.col("width") == k), "hash").where("n >= need").select("doc_id")
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        found = base.select("doc_id").limit(0)
+    nothing = base.limit(0)
+    found = nothing.select("doc_id", F.lit(0).alias("width"), F.lit(0).alias("class"))
+    for k in widths:
+        probe = w.select("doc_id", F.explode(hashes(F.col("w"), k)).alias("hash"))
+        found = found.union(probe.join(sketch.where(F.col("width") == k), "hash").select("doc_id", "width", "class"))
     candidates = written(found.distinct())
-    some = sized(candidates.select(F.col("doc_id").alias("cid")))
-    suspects = base.join(some, base["doc_id"].eqNullSafe(some["cid"]), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    pairs = None
-    for k in sorted(widths):
-        probe = suspects.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
-        part = item.where(F.col("width") == k).select("row", "item_id", "need", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle"))
-        part = probe.join(sized(written(part)), "shingle").groupBy("doc_id", "row", "item_id", "need", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
-        part = part.where("n_shared >= need").select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
-        pairs = part if pairs is None else pairs.union(part)
-    if pairs is None:
-        nothing = F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id")
-        pairs = base.limit(0).select("doc_id", nothing, F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item"))
+    some = sized(written(candidates.groupBy(F.col("doc_id").alias("cid")).agg(F.collect_set(F.struct("width", "class")).alias("classes"))))  # at most one entry a class
+    suspects = base.join(some, base["doc_id"].eqNullSafe(some["cid"])).select("doc_id", words(F.col("text")).alias("w"), "classes")
+    pairs = nothing.select("doc_id", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item"))
+    for k in widths:
+        mine = of_width("classes", k)
+        own = suspects.where(F.size(mine) > 0).select("doc_id", F.transform(mine, lambda c: c["class"]).alias("classes"), F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle")).distinct()
+        # Rows of one id are one document: the size is that of their common set.
+        size = own.groupBy("doc_id").agg(F.count("*").alias("n"))
+        low = F.create_map(*(F.lit(x) for (width, c), need in sorted(needs.items()) if width == k for x in (c, need)))
+        large = own.join(size.withColumnRenamed("doc_id", "sid"), own["doc_id"].eqNullSafe(F.col("sid"))).select("doc_id", "n", F.explode("classes").alias("class"), "shingle").where(F.col("n") >= low[F.col("class")])
+        part = item.where(F.col("width") == k).select("row", "item_id", "class", "need", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle"))
+        part = large.join(sized(written(part)), ["class", "shingle"]).groupBy("doc_id", "row", "item_id", "need", "n_item").agg(F.count("*").alias("n_shared"))
+        pairs = pairs.union(part.where("n_shared >= need").select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item")))
     best = F.max_by(F.struct("n_shared", "n_item"), F.col("n_shared") / F.col("n_item"))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_shared", "b.n_item")
 
