@@ -33,3 +33,33 @@ def test_stages(spark, tmp_path):
     assert sorted(r["slot"] for r in out) == list(range(len(out)))
     assert Counter(r["doc_id"] for r in out if r["seq_no"] == 0) == copies
     assert all(np.frombuffer(r["tokens"], np.uint16)[r["n_tokens"] - 1] == training_order.EOS for r in out)
+
+
+def test_stages_handle_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, empty tables, and columns named as an operator's or with dots."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, `a.b` string, c1 long"
+    a, b = " ".join(f"u{k}" for k in range(50)), " ".join(f"v{k}" for k in range(9000))
+    texts = [(1, a), (1, a), (1, a), (2, None), (3, ""), (None, a), (None, a), (None, "no id"), (4, b), (5, a + " z"), (6, " ".join(f"q{k}" for k in range(20))), (7, "p " * 3), (7, "other rows")]
+    docs = spark.createDataFrame([(i, t, None, None if i is None else "s", None, "mine", "big", "dot", 9) for i, t in texts], schema)
+    labels = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(f"q{k}" for k in range(20))), (1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [Counter(texts), Counter([(1, a), (2, None), (3, ""), (None, a), (None, "no id"), (4, b), (6, texts[10][1]), (7, "p p p "), (7, "other rows")])]
+    want.append(want[1] - Counter([texts[10]]))
+    frame = docs
+    for (name, stage), rows in zip(corpus_pipeline.STAGES, want, strict=False):
+        frame = stage(spark, frame, str(tmp_path)).cache()
+        assert frame.schema.simpleString() == docs.schema.simpleString(), name
+        got = frame.collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == rows, name
+        assert {(r["score"], r["size"], r["a.b"], r["c1"]) for r in got} == {("mine", "big", "dot", 9)}
+    mixed = corpus_pipeline.STAGES[3][1](spark, frame, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= set(want[2]) and {r["score"] for r in mixed} == {"mine"}
+    again = corpus_pipeline.STAGES[3][1](spark, frame.repartition(3), str(tmp_path)).collect()
+    assert Counter(map(str, mixed)) == Counter(map(str, again))
+    out = corpus_pipeline.STAGES[4][1](spark, frame, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in out if r["seq_no"] == 0) == Counter(i for i, _ in want[2].elements())
+    nothing = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, nothing, str(tmp_path))
+        assert got.count() == 0, name
