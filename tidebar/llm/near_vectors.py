@@ -32,7 +32,7 @@ from ._spark import components, sized, written
 
 TABLES, ROUNDS = 10, 3
 #: Classes of a bucket from which on it is counted in blocks, and classes in a block.
-HOT, BLOCK = 256, 1000
+HOT, BLOCK = 256, 250
 #: A bucket's hashes are as many as keep an even spread of a label's classes below so many a bucket.
 SPREAD = 64
 
