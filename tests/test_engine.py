@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.config import StrategyConfig
-from tidebar.operators import allocation, indicators, metrics, selection, trades
+from tidebar.operators import allocation, indicators, joins, metrics, selection, trades
 from tidebar.sources import readers, tables
+from tidebar.streaming import daily
 
 DAY = dt.date(2024, 1, 1)
 
@@ -132,10 +133,12 @@ def test_promotion(spark):
 
 def test_readers(spark):
     text = lambda s: spark.createDataFrame([(s,)], "value string")
-    w = readers.watchlist_json(text('{"watchlist": [" aapl", {"ticker": "msft", "sector": "Tech"}, ""]}')).orderBy("pos").collect()
+    w = readers.watchlist(text('{"watchlist": [" aapl", {"ticker": "msft", "sector": "Tech"}, ""]}')).orderBy("pos").collect()
     assert [(r["ticker"], r["sector"]) for r in w] == [("AAPL", None), ("MSFT", "Tech")]
+    lines = lambda s: [r["ticker"] for r in readers.watchlist(text(s)).orderBy("pos").collect()]
+    assert lines("ab\n\n c ") == ["AB", "C"] and lines("[1,\nx") == ["[1,", "X"] and lines('{"other": 1}') == ['{"OTHER": 1}']
     assert [r["ticker"] for r in readers.ticker_list(text("b, a\nb  c")).orderBy("pos").collect()] == ["B", "A", "C"]
-    assert {tuple(r) for r in readers.holdings_text(text("a,1\nb,x\nA,2,3.5\nc,-1")).collect()} == {("A", 2.0, 3.5)}
+    assert {tuple(r) for r in readers.holdings_text(text("a,1\nb,x\nA,2,3.5\nc,-1\nd 4 x\ne,5,")).collect()} == {("A", 2.0, 3.5), ("D", 4.0, None), ("E", 5.0, None)}
 
 
 def test_pareto_keeps_equal_points(spark):
@@ -151,3 +154,89 @@ def test_no_look_ahead(spark):
     whole = indicators.with_indicators(bars(spark, rows), cfg).select(*columns).orderBy("bar_date").collect()
     part = indicators.with_indicators(bars(spark, rows[:60]), cfg).select(*columns).orderBy("bar_date").collect()
     assert whole[:60] == part
+
+
+def test_sector_map_takes_the_last_trimmed_sector(spark):
+    rows = spark.createDataFrame([(0, "A", "X"), (1, "A", " Y "), (2, "A", ""), (3, "A", None), (4, "B", "")], "pos int, ticker string, sector string")
+    assert [tuple(r) for r in readers.sector_map(rows).collect()] == [("A", "Y")]
+
+
+def test_allocation_keeps_repeated_tickers_and_null_pools(spark):
+    rows = spark.createDataFrame([(1, "A", "Buy", 9.0, 60.0), (1, "A", "Buy", 8.0, 60.0), (None, "A", "Buy", 7.0, 100.0), (None, "B", "Watch", None, 1.0)], "pool int, ticker string, signal string, trade_score double, est_cost double")
+    got = allocation.allocate(rows, ["pool"], 100.0).collect()
+    assert sorted(((r["pool"] or 0), r["ticker"], r["spent"], r["allocated"]) for r in got) == [(0, "A", 100.0, 100.0), (0, "B", 0.0, 100.0), (1, "A", 0.0, 60.0), (1, "A", 60.0, 60.0)]
+
+
+def test_confirmations_in_order(spark):
+    key = ("A", "2024-01-01", "rsi")
+    signals = spark.createDataFrame([(*key, True, 5.0, None), ("B", *key[1:], None, None, None)], "ticker string, signal_date string, strategy string, confirmed_filled boolean, fill_price double, confirmed_at timestamp")
+    event = "ticker string, signal_date string, strategy string, confirmed boolean, fill_price double, at int"
+
+    def after(*events):
+        e = spark.createDataFrame([(*key, *x) for x in events], event).withColumn("at", F.timestamp_seconds("at"))
+        return {r["ticker"]: (r["confirmed_filled"], r["fill_price"]) for r in tables.confirm(signals, e).collect()}
+
+    assert after((True, 10.0, 1), (True, None, 2)) == {"A": (True, 10.0), "B": (None, None)}
+    assert after((True, None, 1))["A"] == (True, 5.0) and after((True, 10.0, 1), (False, None, 2))["A"] == (False, None)
+    assert after((True, 10.0, 1), (False, None, 2), (True, None, 3))["A"] == (True, None)
+
+
+def test_upsert_matches_null_keys(spark):
+    old = spark.createDataFrame([("A", "2024-01-01", None, 1.0)], "ticker string, signal_date string, strategy string, score double")
+    assert [tuple(r) for r in tables.upsert(old, old.withColumn("score", F.lit(2.0)), now="2024-02-02").collect()] == [("A", "2024-01-01", None, 2.0)]
+
+
+def test_stream_of_scored_rows_is_upserted(spark, tmp_path):
+    """Two runs of the stream over the same rows leave one row a key; readers see whole versions only."""
+    schema = "ticker string, signal_date string, strategy string, signal string, score double"
+    rows = spark.createDataFrame([("A", "2024-01-01", "rsi", "Buy", 1.0), ("B", "2024-01-01", "rsi", "Ignore", 2.0)], schema)
+    empty = tables.log_signals(rows.limit(0).withColumns({"tier": F.lit(""), "created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}), rows.limit(0), "2024-02-01")
+    table = str(tmp_path / "signals")
+    tables.overwrite(empty, table)
+    for run, score in (("1", 1.0), ("2", 3.0)):
+        rows.withColumn("score", F.lit(score)).write.parquet(str(tmp_path / run))
+        daily.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / run)), table, str(tmp_path / f"c{run}"), f"2024-02-0{run}").awaitTermination()
+    got = tables.current(spark, table).collect()
+    assert [(r["ticker"], r["score"], r["tier"], r["created_at"].day, r["updated_at"].day) for r in got] == [("A", 3.0, "actionable", 1, 2)]
+
+
+def test_market_gate_raises_without_history(spark):
+    df = bars(spark, [(1, 1, 1, c) for c in (1, 2, 3)])
+    assert joins.market_is_up(df, 3).first()["market_up"]
+    with pytest.raises(Exception, match="too short a history"):
+        joins.market_is_up(df, 4).collect()
+    with pytest.raises(Exception, match="repeated day"):
+        joins.market_uptrend(df, df.union(df), 2).collect()
+
+
+def test_deep_drawdown_over_months(spark):
+    rng = random.Random(11)
+    rows = [("x", i * 9, "WIN", rng.uniform(-12, 12)) for i in range(80)]
+    equity, peak, deep = 1.0, 1.0, 0.0
+    for _, _, _, p in rows:
+        equity *= 1 + p / 100
+        peak = max(peak, equity)
+        deep = max(deep, (peak - equity) / peak * 100)
+    got = metrics.max_drawdown(trade_rows(spark, rows).withColumn("g", F.lit(1)), ["g"]).first()["max_drawdown_pct"]
+    assert got == pytest.approx(deep, abs=0.006)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_no_product(spark):
+    from tidebar.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("q_g03_weighted_summary", "q_g05_recency_weighted", "q_j10_settle_signals", "q_t10_walk_forward", "q_t12_sweep"):
+        text = plan(queries.QUERIES[name](spark, sf))
+        assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
+    assert plan(queries.QUERIES["q_t12_sweep"](spark, sf)).count("lineitem.parquet") <= 4
+
+
+def test_search_grid_stays_within_bounds():
+    for s, space in selection.SEARCH_SPACE.items():
+        grid = selection.search_grid(StrategyConfig(strategy=s), 3)
+        assert len(grid) <= 1 + 3 * len(space)
+        assert all(low <= getattr(c, p) <= high for p, (low, high) in space.items() for c in list(grid.values())[1:] if getattr(c, p) != getattr(StrategyConfig(), p))

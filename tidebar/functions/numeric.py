@@ -21,11 +21,6 @@ def clip(x: Column, low: float | None = None, high: float | None = None) -> Colu
     return F.when(x.isNotNull(), y)
 
 
-def finite(x: Column) -> Column:
-    """NaN and infinities become null."""
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-
-
 def reward_risk(buy: Column, sell: Column, stop: Column) -> Column:
     risk = buy - stop
     return F.when(risk > 0, round_even((sell - buy) / risk, 2)).otherwise(F.lit(0.0))

@@ -20,12 +20,14 @@ def sized(rows: DataFrame, decimals: int = 4, risk: float | None = None, budget:
 
 
 def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame | None = None, cap_share: float | None = None, holdings: DataFrame | None = None) -> DataFrame:
-    """Rows with final_signal and spent, walked by falling score (then ticker) within each pool.
+    """Rows with final_signal, spent and allocated (the pool's total), walked by falling score (then ticker) within each pool.
 
     A row that costs more than is left, or that would lift its sector over the cap,
     is relabelled and takes nothing; the walk goes on.  The cap is a share of cash
-    and all holdings, and holdings count as spent in their sectors.  Pools are
-    independent; one pool's ranked signals, tens of rows, are one array.
+    and all holdings, and holdings count as spent in their sectors.  Rows that repeat
+    are rows of their own; a null in the pool's columns is a pool.  Pools are
+    independent and walked in parallel; a pool is one array, so it should be a day's
+    signals (tens to some thousands of rows), as every step depends on the one before.
     """
     df = rows
     if sectors is not None:
@@ -33,19 +35,18 @@ def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame |
     elif "sector" not in df.columns:
         df = df.withColumn("sector", F.lit(None).cast("string"))
     zero = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    walked = F.struct((-F.col("trade_score")).alias("rank"), F.col("ticker").alias("t"), F.col("signal").alias("signal"), F.col("est_cost").alias("cost"), F.col("sector").alias("sector"), F.struct(*df.columns).alias("row"))
+    pools = df.groupBy(*pool).agg(F.array_sort(F.collect_list(walked)).alias("r")).select("r")
     if holdings is not None and cap_share:
         held = holdings.join(sectors.select("ticker", "sector"), "ticker", "left") if sectors is not None and "sector" not in holdings.columns else holdings
-        total = held.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("held"))
-        by_sector = held.where("sector IS NOT NULL").groupBy("sector").agg(F.sum("amount").alias("a")).agg(F.map_from_entries(F.collect_list(F.struct("sector", "a"))).alias("seed"))
-        start = total.join(by_sector)
+        by_sector = held.groupBy("sector").agg(F.sum("amount").alias("a"))
+        entries = F.collect_list(F.when(F.col("sector").isNotNull(), F.struct("sector", "a")))
+        start = by_sector.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("held"), F.map_from_entries(entries).alias("seed"))
+        pools = pools.join(F.broadcast(start))  # one row: a sum and a number for each sector
     else:
-        start = None
-    row = F.struct((-F.col("trade_score")).alias("rank"), F.col("ticker").alias("t"), F.col("signal").alias("signal"), F.col("est_cost").alias("cost"), F.col("sector").alias("sector"))
-    pools = df.groupBy(*pool).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    pools = pools.join(F.broadcast(start)) if start is not None else pools.withColumn("held", F.lit(0.0)).withColumn("seed", zero)
+        pools = pools.withColumn("held", F.lit(0.0)).withColumn("seed", zero)
     cap = (F.lit(float(cash)) + F.col("held")) * F.lit(float(cap_share)) if cap_share and cap_share > 0 else F.lit(None).cast("double")
-    out_type = "array<struct<t:string,label:string,spent:double>>"
-    first = F.struct(F.lit(float(cash)).alias("left"), F.coalesce("seed", zero).cast("map<string,double>").alias("by"), F.array().cast(out_type).alias("out"))
+    first = F.struct(F.lit(float(cash)).alias("left"), F.coalesce("seed", zero).cast("map<string,double>").alias("by"), F.array().cast("array<struct<label:string,spent:double>>").alias("out"))
 
     def walk(s, x):
         wanted = x["signal"].isin("Strong Buy", "Buy")
@@ -56,8 +57,7 @@ def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame |
         taken = wanted & ~poor & ~full
         spent = F.when(taken, x["cost"]).otherwise(0.0)
         by = F.when(taken & x["sector"].isNotNull(), F.map_zip_with(s["by"], F.create_map(F.coalesce(x["sector"], F.lit("")), spent), lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))).otherwise(s["by"])
-        return F.struct((s["left"] - spent).alias("left"), by.alias("by"), F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), label.alias("label"), spent.alias("spent")))).alias("out"))
+        return F.struct((s["left"] - spent).alias("left"), by.alias("by"), F.concat(s["out"], F.array(F.struct(label.alias("label"), spent.alias("spent")))).alias("out"))
 
-    done = pools.withColumn("a", F.aggregate("r", first, walk)["out"]).select(*pool, F.explode("a").alias("a"))
-    done = done.select(*pool, F.col("a.t").alias("ticker"), F.col("a.label").alias("final_signal"), F.col("a.spent").alias("spent"))
-    return df.join(done, [*pool, "ticker"])
+    done = pools.withColumn("w", F.aggregate("r", first, walk)).select((F.lit(float(cash)) - F.col("w.left")).alias("allocated"), F.explode(F.arrays_zip("r", F.col("w.out").alias("out"))).alias("a"))
+    return done.select("a.r.row.*", F.col("a.out.label").alias("final_signal"), F.col("a.out.spent").alias("spent"), "allocated")

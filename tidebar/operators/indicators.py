@@ -46,34 +46,46 @@ def support(n: int) -> tuple[Column, Column]:
     return best["low"], best["bar_date"]
 
 
-def wilder(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    """Adds y_t = y_{t-1} + (x_t - y_{t-1}) / n, from the first non-null x on, null before n values.
+def wilder_all(df: DataFrame, outs: dict[str, str], n: int) -> DataFrame:
+    """Adds for each column x of `outs` its y_t = y_{t-1} + (x_t - y_{t-1}) / n, from the first row on where all are known, null before n values.
 
     Closed form with prefix sums, y_t = r^t (x_0 + a sum x_i r^-i) with r = 1 - 1/n, in
     blocks so that r^-i stays small: a block is so long that r^block is below double
-    precision, and takes over the last value of the block before it.
+    precision, and takes over the last value of the block before it.  Columns of one
+    call share the count, the blocks and their sort; a row where one of them is null
+    is skipped by all.
     """
     if n == 1:
-        return df.withColumn(out, F.col(x))
+        return df.withColumns({y: F.col(x) for x, y in outs.items()})
     a, r = 1.0 / n, 1.0 - 1.0 / n
     block = max(64, math.ceil(37.0 / -math.log(r)))
-    t, m, b = f"__t_{out}", f"__m_{out}", f"__b_{out}"
-    df = df.withColumn(t, F.when(F.col(x).isNotNull(), F.count(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    df = df.withColumn(m, F.pmod(t, F.lit(block))).withColumn(b, F.floor(F.col(t) / block))
-    # The first value weighs 1, all others a.
-    term = F.when(F.col(t) == 0, F.col(x)).otherwise(F.col(x) * a) * F.pow(F.lit(r), -F.col(m))
+    known = F.lit(True)
+    for x in outs:
+        known = known & F.col(x).isNotNull()
+    tag = next(iter(outs.values()))
+    t, b = f"__t_{tag}", f"__b_{tag}"
+    df = df.withColumn(t, F.when(known, F.count_if(known).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) - 1)).withColumn(b, F.floor(F.col(t) / block))
+    m = F.pmod(t, F.lit(block))
     inside = Window.partitionBy("ticker", b).orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"__s_{out}", F.sum(term).over(inside) * F.pow(F.lit(r), F.col(m)))
-    # What the block before ends in: the last row whose place in its block is the last one.
-    ends = F.last(F.when(F.col(m) == block - 1, F.col(f"__s_{out}")), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, -1))
-    value = F.col(f"__s_{out}") + F.when(F.col(b) > 0, F.coalesce(ends, F.lit(0.0)) * F.pow(F.lit(r), F.col(m) + 1)).otherwise(0.0)
-    return df.withColumn(out, F.when(F.col(t) >= n - 1, value)).drop(t, m, b, f"__s_{out}")
+    # The first value weighs 1, all others a.
+    term = lambda x: F.when(F.col(t) == 0, F.col(x)).otherwise(F.col(x) * a) * F.pow(F.lit(r), -m)
+    df = df.withColumns({f"__s_{y}": F.sum(term(x)).over(inside) * F.pow(F.lit(r), m) for x, y in outs.items()})
+    # What the block before ends in: the last row whose place in its block is the last one.  Same sort as `inside`.
+    earlier = Window.partitionBy("ticker").orderBy(b, "bar_date").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lambda y: F.last(F.when(m == block - 1, F.col(f"__s_{y}")), ignorenulls=True).over(earlier)
+    value = lambda y: F.col(f"__s_{y}") + F.when(F.col(b) > 0, F.coalesce(ends(y), F.lit(0.0)) * F.pow(F.lit(r), m + 1)).otherwise(0.0)
+    df = df.withColumns({y: F.when(F.col(t) >= n - 1, value(y)) for y in outs.values()})
+    return df.drop(t, b, *(f"__s_{y}" for y in outs.values()))
+
+
+def wilder(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
+    return wilder_all(df, {x: out}, n)
 
 
 def rsi(df: DataFrame, n: int, out: str = "rsi") -> DataFrame:
     change = F.col("close") - F.lag("close").over(by_ticker())
-    df = df.withColumn("__up", F.greatest(change, F.lit(0.0) * change)).withColumn("__down", F.greatest(-change, F.lit(0.0) * change))
-    df = wilder(wilder(df, "__up", n, "__gain"), "__down", n, "__loss")
+    df = df.withColumns({"__up": F.greatest(change, F.lit(0.0) * change), "__down": F.greatest(-change, F.lit(0.0) * change)})
+    df = wilder_all(df, {"__up": "__gain", "__down": "__loss"}, n)
     value = F.try_divide(F.lit(100.0) * F.col("__gain"), F.col("__gain") + F.col("__loss"))
     return df.withColumn(out, value).drop("__up", "__down", "__gain", "__loss")
 
@@ -88,14 +100,13 @@ def atr(df: DataFrame, n: int, out: str = "atr") -> DataFrame:
     return wilder(df.withColumn("__tr", true_range()), "__tr", n, out).drop("__tr")
 
 
-def adx(df: DataFrame, n: int, out: str = "adx") -> DataFrame:
+def adx(df: DataFrame, n: int, out: str = "adx", atr_out: str = "__atr") -> DataFrame:
+    """Adds the average directional index, and the average true range of the same length where `atr_out` names it."""
     up, down = F.col("high") - F.lag("high").over(by_ticker()), F.lag("low").over(by_ticker()) - F.col("low")
-    df = df.withColumn("__tr", true_range())
-    df = df.withColumn("__plus", F.when(up.isNotNull() & down.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)))
-    df = df.withColumn("__minus", F.when(up.isNotNull() & down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)))
-    for x, y in (("__tr", "__atr"), ("__plus", "__pdm"), ("__minus", "__mdm")):
-        df = wilder(df, x, n, y)
-    pdi, mdi = F.try_divide(F.col("__pdm"), F.col("__atr")), F.try_divide(F.col("__mdm"), F.col("__atr"))
+    known = up.isNotNull() & down.isNotNull()
+    df = df.withColumns({"__tr": true_range(), "__plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "__minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0))})
+    df = wilder_all(df, {"__tr": atr_out, "__plus": "__pdm", "__minus": "__mdm"}, n)
+    pdi, mdi = F.try_divide(F.col("__pdm"), F.col(atr_out)), F.try_divide(F.col("__mdm"), F.col(atr_out))
     df = df.withColumn("__dx", F.lit(100.0) * F.try_divide(F.abs(pdi - mdi), pdi + mdi))
     return wilder(df, "__dx", n, out).drop("__tr", "__plus", "__minus", "__atr", "__pdm", "__mdm", "__dx")
 
@@ -121,24 +132,35 @@ def obv(df: DataFrame, out: str = "obv") -> DataFrame:
 
 
 def with_indicators(bars: DataFrame, cfg: StrategyConfig, market: DataFrame | None = None) -> DataFrame:
-    """Bars with all indicator columns of the five strategies; `market` bars add relative strength."""
-    df = bars.withColumn("rn", F.row_number().over(by_ticker()))
-    df = df.withColumn("sma", sma("close", cfg.ma_window)).withColumn("sma_trend", sma("close", cfg.sma_trend)).withColumn("avg_volume", sma("volume", cfg.volume_lookback))
-    df = df.withColumn("avg_volume_prior", F.lag("avg_volume").over(by_ticker())).withColumn("highest_high", prior_high(cfg.breakout_lookback)).withColumn("week52_high", full(F.max("high"), "high", cfg.week52_lookback))
+    """Bars with all indicator columns of the five strategies; `market` bars add relative strength.
+
+    Columns are added level by level, each level from those before it, so that windows
+    of one level are one operator and the plan stays short.
+    """
+    w = by_ticker()
     level, day = support(cfg.support_lookback)
-    df = df.withColumn("support_level", level).withColumn("support_date", day)
-    df = atr(rsi(df, cfg.rsi_window), cfg.atr_window)
-    df = adx(df, cfg.adx_window)
+    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(w)) * F.col("volume"), F.lit(0.0))
+    df = bars.withColumns({
+        "rn": F.row_number().over(w), "sma": sma("close", cfg.ma_window), "sma_trend": sma("close", cfg.sma_trend), "avg_volume": sma("volume", cfg.volume_lookback),
+        "highest_high": prior_high(cfg.breakout_lookback), "week52_high": full(F.max("high"), "high", cfg.week52_lookback), "support_level": level, "support_date": day, "__step": step,
+        "volatility": F.try_divide(full(F.stddev_samp("close"), "close", cfg.bb_window), full(F.avg("close"), "close", cfg.bb_window)),
+        "k_return": F.try_divide(F.col("close"), F.lag("close", cfg.breakout_lookback).over(w)) - 1, "ma_pullback": sma("close", cfg.pullback_ma),
+    })
+    df = df.withColumns({
+        "avg_volume_prior": F.lag("avg_volume").over(w), "obv": F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__sq": z_score("volatility", cfg.squeeze_window),
+        "ma_pullback_prior": F.lag("ma_pullback", cfg.pullback_slope).over(w), "breakout_flag": F.coalesce(F.col("close") > F.col("highest_high"), F.lit(False)),
+    })
+    since = lambda c: F.last(F.when(F.col("breakout_flag"), F.col(c)), ignorenulls=True).over(w)
+    df = df.withColumns({
+        "obv_zscore": z_score("obv", cfg.obv_window), "squeeze_zscore": F.lag("__sq").over(w), "last_breakout_level": since("highest_high"),
+        "days_since_breakout": (F.col("rn") - since("rn")).cast("int"), "volume_ratio": F.try_divide(F.col("volume"), F.col("avg_volume_prior")),
+    })
+    df = rsi(df.drop("__step", "__sq"), cfg.rsi_window)
+    if cfg.atr_window == cfg.adx_window:
+        df = adx(df, cfg.adx_window, atr_out="atr")
+    else:
+        df = adx(atr(df, cfg.atr_window), cfg.adx_window)
     df = streak(df, F.col("rsi") < cfg.rsi_oversold).withColumn("extended_decline_warning", F.col("oversold_streak_days") >= cfg.decline_days)
-    df = obv(df).withColumn("obv_zscore", z_score("obv", cfg.obv_window))
-    df = df.withColumn("volatility", F.try_divide(full(F.stddev_samp("close"), "close", cfg.bb_window), full(F.avg("close"), "close", cfg.bb_window)))
-    df = df.withColumn("__sq", z_score("volatility", cfg.squeeze_window)).withColumn("squeeze_zscore", F.lag("__sq").over(by_ticker())).drop("__sq")
-    df = df.withColumn("k_return", F.try_divide(F.col("close"), F.lag("close", cfg.breakout_lookback).over(by_ticker())) - 1)
-    df = df.withColumn("ma_pullback", sma("close", cfg.pullback_ma)).withColumn("ma_pullback_prior", F.lag("ma_pullback", cfg.pullback_slope).over(by_ticker()))
-    df = df.withColumn("breakout_flag", F.coalesce(F.col("close") > F.col("highest_high"), F.lit(False)))
-    df = df.withColumn("last_breakout_level", F.last(F.when(F.col("breakout_flag"), F.col("highest_high")), ignorenulls=True).over(by_ticker()))
-    df = df.withColumn("days_since_breakout", (F.col("rn") - F.last(F.when(F.col("breakout_flag"), F.col("rn")), ignorenulls=True).over(by_ticker())).cast("int"))
-    df = df.withColumn("volume_ratio", F.try_divide(F.col("volume"), F.col("avg_volume_prior")))
     if market is None:
         return df.withColumn("relative_strength", F.lit(None).cast("double"))
     return relative_strength(df, market, cfg.breakout_lookback)
@@ -147,7 +169,8 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig, market: DataFrame | No
 def market_returns(market: DataFrame, k: int) -> DataFrame:
     """(bar_date, market_return): a row for each trading day of one index, so small."""
     w = Window.orderBy("bar_date")
-    return market.select("bar_date", (F.try_divide(F.col("close"), F.lag("close", k).over(w)) - 1).alias("market_return"))
+    once = F.when(F.lag("bar_date").over(w) == F.col("bar_date"), F.raise_error(F.lit("repeated day in the market table")).cast("double"))
+    return market.select("bar_date", once.otherwise(F.try_divide(F.col("close"), F.lag("close", k).over(w)) - 1).alias("market_return"))
 
 
 def relative_strength(df: DataFrame, market: DataFrame, k: int) -> DataFrame:

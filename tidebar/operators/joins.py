@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import sma
+from .indicators import by_ticker, sma
+
+
+#: Days for which the last row of a calendar holds on.
+OPEN_END = 3660
 
 
 def asof_calendar(left: DataFrame, right: DataFrame, columns: list[str], day: str = "bar_date") -> DataFrame:
     """Left rows with `columns` of the last row of `right` up to their day; right has one row for each day of one calendar.
 
-    Only the distinct days go into one window: a calendar, a few thousand rows
-    however many tickers there are.  No earlier row gives nulls.
+    Each row of the calendar is laid out over the days up to the next one (the last one
+    over OPEN_END days), so the join is an equality with a side of one narrow row for each
+    day of one calendar, whatever the number of tickers.  No earlier row gives nulls.
     """
-    days = left.select(day).distinct().select(day, *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns), F.lit(False).alias("__own"))
-    both = days.unionByName(right.select(day, *columns, F.lit(True).alias("__own")))
-    w = Window.orderBy(day, F.desc("__own"))
-    found = F.last(F.when(F.col("__own"), F.struct(*columns)), ignorenulls=True).over(w)
-    by_day = both.withColumn("__r", found).where("not __own").select(day, *(F.col("__r")[c].alias(c) for c in columns))
-    return left.join(by_day, day, "left")
+    following = F.lead(day).over(Window.orderBy(day))
+    spans = right.select(day, *columns, following.alias("__next"))
+    until = F.coalesce(F.date_sub("__next", 1), F.date_add(day, OPEN_END))
+    repeated = F.when(F.col("__next") == F.col(day), F.raise_error(F.lit("repeated day in the calendar")).cast("date")).otherwise(until)
+    days = spans.select(F.explode(F.sequence(F.col(day), repeated)).alias(day), *columns)
+    return left.join(F.broadcast(days), day, "left")
+
+
+def market_is_up(market: DataFrame, trend: int) -> DataFrame:
+    """(bar_date, market_up) of the index's last bar; an error where its average has too few bars."""
+    last = market.withColumn("ticker", F.lit("")).withColumn("sma_trend", sma("close", trend)).groupBy("ticker").agg(F.max_by(F.struct("bar_date", "close", "sma_trend"), "bar_date").alias("b")).select("b.*")
+    up = F.when(F.col("sma_trend").isNull(), F.raise_error(F.lit("the market index has too short a history")).cast("boolean")).otherwise(F.col("close") >= F.col("sma_trend"))
+    return last.select("bar_date", up.alias("market_up"))
 
 
 def market_uptrend(bars: DataFrame, market: DataFrame, trend: int) -> DataFrame:
@@ -45,16 +57,41 @@ def catalyst_warning(days: int, bar_date: str = "bar_date") -> Column:
     return F.coalesce(gap <= days, F.lit(False))
 
 
+def bars_after(signals: DataFrame, bars: DataFrame, count) -> DataFrame:
+    """Each signal (ticker, signal_date, ...) with its next `count` bars: k from 1, and `bar`, the bar's columns.
+
+    Bars are numbered by ticker; a signal finds the number of its last bar by an as-of
+    window and meets only the `count` bars after it, by equality of ticker and number.
+    `count` is a number or a column of the signals.  Where there are fewer bars, `bar` is null.
+    """
+    count = count if isinstance(count, Column) else F.lit(count)
+    columns = [c for c in bars.columns if c != "ticker"]
+    numbered = bars.select("ticker", *columns, F.row_number().over(by_ticker()).alias("rn"))
+    ask = signals.select("ticker", F.to_date("signal_date").alias("bar_date"), F.lit(None).cast("int").alias("rn"), F.struct(*signals.columns).alias("s"))
+    known = numbered.select("ticker", "bar_date", "rn", F.lit(None).cast(ask.schema["s"].dataType).alias("s"))
+    # At equal dates the bar comes first: it is not later than the signal.
+    order = Window.partitionBy("ticker").orderBy("bar_date", F.col("s").isNotNull())
+    start = known.union(ask).withColumn("rn0", F.coalesce(F.last("rn", ignorenulls=True).over(order), F.lit(0))).where("s IS NOT NULL").select("s.*", "rn0")
+    steps = start.withColumn("k", F.explode_outer(F.when(count >= 1, F.sequence(F.lit(1), count))))
+    bar = numbered.select("ticker", F.col("rn").alias("rn1"), F.struct(*columns).alias("bar"))
+    return steps.withColumn("rn1", F.col("rn0") + F.col("k")).join(bar, ["ticker", "rn1"], "left").select(*signals.columns, "k", "bar")
+
+
 def with_sector(rows: DataFrame, sectors: DataFrame, default: str | None = "Unknown") -> DataFrame:
     """Rows with their ticker's sector; the dimension's rows are left to Spark's own size check for broadcasting."""
-    out = rows.join(sectors.select("ticker", F.col("sector").alias("__sector")), "ticker", "left")
-    return out.withColumn("sector", F.coalesce("__sector", F.lit(default).cast("string"))).drop("__sector")
+    out = rows.drop("sector").join(sectors.select("ticker", "sector"), "ticker", "left")
+    return out.withColumn("sector", F.coalesce("sector", F.lit(default).cast("string")))
 
 
 def assign_folds(trades: DataFrame, folds: DataFrame) -> DataFrame:
-    """(fold_id, sample, trade) for each window that holds the trade's signal date; folds are a few rows by construction."""
-    windows = folds.select("fold_id", F.explode(F.array(F.struct(F.lit("is").alias("sample"), F.col("is_start").alias("a"), F.col("is_end").alias("z")), F.struct(F.lit("oos").alias("sample"), F.col("oos_start").alias("a"), F.col("oos_end").alias("z")))).alias("w"), "oos_end").select("fold_id", "w.*", "oos_end")
-    return trades.join(F.broadcast(windows), (F.col("signal_date") >= F.col("a")) & (F.col("signal_date") < F.col("z"))).drop("a", "z")
+    """(fold_id, sample, trade) for each window that holds the trade's signal date.
+
+    Windows are laid out by day: an equality join with one narrow row for each fold and day.
+    """
+    window = lambda name, a, z: F.struct(F.lit(name).alias("sample"), F.sequence(F.col(a), F.date_sub(z, 1)).alias("days"))
+    windows = folds.select("fold_id", "oos_end", F.explode(F.array(window("is", "is_start", "is_end"), window("oos", "oos_start", "oos_end"))).alias("w"))
+    days = windows.select("fold_id", "w.sample", "oos_end", F.explode("w.days").alias("signal_date"))
+    return trades.join(F.broadcast(days), "signal_date").select("fold_id", "sample", "oos_end", *trades.columns)
 
 
 def sector_breakdown(holdings: DataFrame, spends: DataFrame) -> DataFrame:

@@ -58,30 +58,56 @@ def _entry(cfg: StrategyConfig) -> tuple[Column, Column, Column]:
     raise ValueError(f"unknown strategy {cfg.strategy!r}")
 
 
-def levels(frame: DataFrame, cfg: StrategyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Levels of each bar of an indicator frame.
+def by_strategy(values: dict[str, Column | float]) -> Column:
+    """The strategy's own value: a constant where all agree."""
+    first = next(iter(values.values()))
+    if len(values) == 1 or all(isinstance(v, (int, float)) and v == first for v in values.values()):
+        return first if isinstance(first, Column) else F.lit(first)
+    out = F.lit(None).cast("double")
+    for s, v in values.items():
+        out = F.when(F.col("strategy") == s, v).otherwise(out)
+    return out
+
+
+def dispatch(frame: DataFrame, configs: list[StrategyConfig], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Levels of each bar for each of the strategies, with all their own columns (null for other strategies).
 
-    Gates and brackets use unrounded indicators, the bracket hangs on the rounded
-    buy price, and the shown columns are rounded.
+    One frame of indicators, so the configurations share their window lengths; a bar
+    becomes one row for each strategy.  Gates and brackets use unrounded indicators, the
+    bracket hangs on the rounded buy price, and the shown columns are rounded.
     """
-    buy, far, trigger = _entry(cfg)
-    df = frame.withColumn("exclude_reason", exclude_reason(cfg)).withColumn("buy_price", buy)
-    df = df.withColumn("__sell", round_even(F.col("buy_price") + F.col("atr") * cfg.tp_mult, 2)).withColumn("__stop", round_even(F.col("buy_price") - F.col("atr") * cfg.sl_mult, 2))
+    entries = []
+    for c in configs:
+        buy, far, trigger = _entry(c)
+        entries.append(F.struct(F.lit(c.strategy).alias("strategy"), exclude_reason(c).alias("exclude_reason"), buy.alias("buy"), far.alias("far"), F.coalesce(trigger, F.lit(False)).alias("trigger")))
+    df = frame.withColumn("__e", F.explode(F.array(*entries)) if len(entries) > 1 else entries[0]).withColumn("strategy", F.col("__e.strategy"))
+    tp, sl = (by_strategy({c.strategy: getattr(c, p) for c in configs}) for p in ("tp_mult", "sl_mult"))
+    buy = F.col("__e.buy")
+    df = df.withColumns({"__sell": round_even(buy + F.col("atr") * tp, 2), "__stop": round_even(buy - F.col("atr") * sl, 2)})
+    discount = by_strategy({c.strategy: c.ma_discount for c in configs})
     shown = {
-        "sma": round_even(F.col("sma"), 2), "ma_discount_price": round_even(F.col("sma") * (1 - cfg.ma_discount), 2), "support_level": round_even(F.col("support_level"), 2),
-        "trigger_price": F.col("buy_price"), "relative_strength": round_even(F.col("relative_strength"), 4), "volume_ratio": round_even(F.col("volume_ratio"), 3), "adx": round_even(F.col("adx"), 2),
-        "obv_zscore": round_even(F.col("obv_zscore"), 3), "squeeze_zscore": round_even(F.col("squeeze_zscore"), 3), "ma_pullback": F.col("buy_price"), "week52_high": round_even(F.col("week52_high"), 2),
+        "sma": round_even(F.col("sma"), 2), "ma_discount_price": round_even(F.col("sma") * (1 - discount), 2), "support_level": round_even(F.col("support_level"), 2),
+        "trigger_price": buy, "relative_strength": round_even(F.col("relative_strength"), 4), "volume_ratio": round_even(F.col("volume_ratio"), 3), "adx": round_even(F.col("adx"), 2),
+        "obv_zscore": round_even(F.col("obv_zscore"), 3), "squeeze_zscore": round_even(F.col("squeeze_zscore"), 3), "ma_pullback": buy, "week52_high": round_even(F.col("week52_high"), 2),
     }
+    names = list(dict.fromkeys(x for c in configs for x in OWN[c.strategy]))
+    having = lambda x: [c.strategy for c in configs if x in OWN[c.strategy]]
+    own = [(shown.get(x, F.col(x)) if len(having(x)) == len(configs) else F.when(F.col("strategy").isin(having(x)), shown.get(x, F.col(x)))).alias(x) for x in names]
     sector = F.col("sector") if "sector" in frame.columns else F.lit(None).cast("string")
     return df.select(
-        "ticker", sector.alias("sector"), F.col("bar_date").alias("as_of"), F.lit(cfg.strategy).alias("strategy"),
+        "ticker", sector.alias("sector"), F.col("bar_date").alias("as_of"), "strategy",
         round_even(F.col("close"), 2).alias("last_close"), round_even(F.col("rsi"), 2).alias("rsi"), round_even(F.col("atr"), 2).alias("atr"),
-        "buy_price", F.col("__sell").alias("sell_price"), F.col("__stop").alias("stop_loss"), reward_risk(F.col("buy_price"), F.col("__sell"), F.col("__stop")).alias("rrr"),
-        round_even(far, 2).alias("distance_to_buy_pct"), F.coalesce(trigger, F.lit(False)).alias("trigger"), "exclude_reason",
-        *(shown.get(c, F.col(c)).alias(c) for c in OWN[cfg.strategy]), *keep,
+        buy.alias("buy_price"), F.col("__sell").alias("sell_price"), F.col("__stop").alias("stop_loss"), reward_risk(buy, F.col("__sell"), F.col("__stop")).alias("rrr"),
+        round_even(F.col("__e.far"), 2).alias("distance_to_buy_pct"), F.col("__e.trigger").alias("trigger"), F.col("__e.exclude_reason").alias("exclude_reason"),
+        *own, *keep,
     )
 
 
+def levels(frame: DataFrame, cfg: StrategyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Levels of each bar of an indicator frame for one strategy."""
+    return dispatch(frame, [cfg], keep)
+
+
 def skip_list(rows: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """(ticker, reason): failed gates, and tickers of the universe without any bar."""
     out = rows.where("exclude_reason IS NOT NULL").select("ticker", F.col("exclude_reason").alias("reason"))

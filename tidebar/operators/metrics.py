@@ -27,19 +27,22 @@ def cluster_weights(trades: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def weighted_summary(trades: DataFrame, by: list[str] | None = None, weight: str = "weight") -> DataFrame:
-    """Weighted mean, population deviation about it (a second pass, so nothing cancels), win rate and effective count."""
+    """Weighted mean, population deviation, win rate and effective count, in one pass over resolved trades.
+
+    Results in percent are near their mean in size, so the difference of second moments
+    loses a few digits at most; what rounding leaves of equal results counts as none.
+    """
     by = by or []
-    key = by or ["__one"]
-    df = trades.where("status <> 'OPEN'").withColumn("__one", F.lit(1)).withColumn("__w", F.col(weight))
-    mean = df.groupBy(*key).agg(F.sum("__w").alias("sw"), F.sum(F.col("__w") * F.col("__w")).alias("sww"), F.sum(F.col("__w") * F.col("pnl_pct")).alias("swx"), F.sum(F.when(F.col("status") == "WIN", F.col("__w")).otherwise(0.0)).alias("sww1"), F.count("*").alias("n"))
-    mean = mean.withColumn("w_mean", F.when(F.col("sw") > 0, F.try_divide("swx", "sw")))
-    off = F.col("pnl_pct") - F.col("w_mean")
-    spread = df.join(mean.select(*key, "w_mean"), key).groupBy(*key).agg(F.sum(F.col("__w") * off * off).alias("sq"))
-    out = mean.join(spread, key, "left")
-    ok = F.col("sw") > 0
-    out = out.withColumn("w_std", F.when(ok, F.sqrt(F.try_divide("sq", "sw")))).withColumn("w_win_rate_pct", F.when(ok, F.try_divide("sww1", "sw") * 100)).withColumn("kish_n", F.when(ok, F.try_divide(F.col("sw") * F.col("sw"), F.col("sww"))))
-    out = out.withColumn("w_sharpe_like", F.when(F.col("w_std") > 0, F.col("w_mean") / F.col("w_std")))
-    return out.select(*by, "n", "w_mean", "w_std", "w_win_rate_pct", "w_sharpe_like", "kish_n")
+    w, x = F.col(weight), F.col("pnl_pct")
+    sums = trades.where("status <> 'OPEN'").groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * x).alias("swx"), F.sum(w * x * x).alias("swxx"),
+        F.sum(F.when(F.col("status") == "WIN", w).otherwise(0.0)).alias("won"),
+    )
+    some = lambda c: F.when(F.col("sw") > 0, c)
+    mean, square = F.try_divide("swx", "sw"), F.try_divide("swxx", "sw")
+    spread = F.when(square - mean * mean > square * 1e-12, square - mean * mean).otherwise(F.lit(0.0) * square)
+    out = sums.select(*by, "n", some(mean).alias("w_mean"), some(F.sqrt(spread)).alias("w_std"), some(F.try_divide("won", "sw") * 100).alias("w_win_rate_pct"), some(F.try_divide(F.col("sw") * F.col("sw"), F.col("sww"))).alias("kish_n"))
+    return out.select(*by, "n", "w_mean", "w_std", "w_win_rate_pct", F.when(F.col("w_std") > 0, F.col("w_mean") / F.col("w_std")).alias("w_sharpe_like"), "kish_n")
 
 
 def inflation_pct(row: DataFrame) -> DataFrame:
@@ -69,14 +72,19 @@ def max_drawdown(trades: DataFrame, by: list[str]) -> DataFrame:
     """(by, max_drawdown_pct): of the curve that takes resolved trades in order of entry (then ticker, signal date).
 
     The curve is a running product: sums of logarithms, with a loss of 100 % or more ending it at zero.
+    Two levels, so that no task orders all trades of a curve: each month gives its sum, its highest
+    and lowest point and its deepest fall; the months' sums in order put them together.
     """
-    w = Window.partitionBy(*by).orderBy("entry_date", "ticker", "signal_date").rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.where("status <> 'OPEN'")
     grow = 1 + F.col("pnl_pct") / 100
-    df = df.withColumn("__log", F.sum(F.when(grow > 0, F.log(grow)).otherwise(0.0)).over(w)).withColumn("__dead", F.max(grow <= 0).over(w))
-    df = df.withColumn("__equity", F.when(F.col("__dead"), 0.0).otherwise(F.exp("__log")))
-    df = df.withColumn("__peak", F.greatest(F.max("__equity").over(w), F.lit(1.0)))
-    return df.groupBy(*by).agg(round_even(F.max((F.col("__peak") - F.col("__equity")) / F.col("__peak")) * 100, 2).alias("max_drawdown_pct"))
+    df = trades.where("status <> 'OPEN'").select(*by, F.trunc("entry_date", "month").alias("__month"), "entry_date", "ticker", "signal_date", (grow <= 0).alias("__dead"), F.when(grow > 0, F.log(grow)).otherwise(0.0).alias("__log"))
+    w = Window.partitionBy(*by, "__month").orderBy("entry_date", "ticker", "signal_date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__run", F.sum("__log").over(w)).withColumn("__fall", F.col("__run") - F.max("__run").over(w))
+    months = df.groupBy(*by, "__month").agg(F.sum("__log").alias("__sum"), F.max("__run").alias("__high"), F.min("__run").alias("__low"), F.min("__fall").alias("__fall"), F.max("__dead").alias("__dead"))
+    earlier = Window.partitionBy(*by).orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)))
+    months = months.withColumn("__peak", F.greatest(F.max(F.col("__start") + F.col("__high")).over(earlier), F.lit(0.0)))
+    depth = F.when(F.col("__dead"), 1.0).otherwise(1 - F.exp(F.least(F.col("__fall"), F.col("__start") + F.col("__low") - F.col("__peak"))))
+    return months.groupBy(*by).agg(round_even(F.max(depth) * 100, 2).alias("max_drawdown_pct"))
 
 
 def penalised(row: DataFrame, min_n: float = 15.0) -> DataFrame:

@@ -35,13 +35,16 @@ def trade_score(cfg: StrategyConfig) -> Column:
     return round_even(F.when(eligible, raw).otherwise(0.0), 1)
 
 
-def scored(rows: DataFrame, cfg: StrategyConfig) -> DataFrame:
-    """Levels rows that pass the gates, with trade_score and signal."""
+def scored(rows: DataFrame, *configs: StrategyConfig) -> DataFrame:
+    """Levels rows that pass the gates, with trade_score and signal, each by the configuration of its strategy."""
+    score, label = trade_score(configs[0]), signal_label(F.col("trade_score"), configs[0])
+    for c in configs[1:]:
+        mine = F.col("strategy") == c.strategy
+        score, label = F.when(mine, trade_score(c)).otherwise(score), F.when(mine, signal_label(F.col("trade_score"), c)).otherwise(label)
     # The score is a deep expression.  Marked as not deterministic it is computed once, and
     # filters on scores and labels do not copy it into themselves over and over.
-    once = F.when(F.monotonically_increasing_id() >= 0, trade_score(cfg))
-    out = rows.where("exclude_reason IS NULL").withColumn("trade_score", once)
-    return out.withColumn("signal", signal_label(F.col("trade_score"), cfg))
+    once = F.when(F.monotonically_increasing_id() >= 0, score)
+    return rows.where("exclude_reason IS NULL").withColumn("trade_score", once).withColumn("signal", label)
 
 
 def ranked(rows: DataFrame) -> DataFrame:

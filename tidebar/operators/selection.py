@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, replace
+from dataclasses import replace
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import StrategyConfig
@@ -13,12 +13,13 @@ from .metrics import cluster_weights, max_drawdown, penalised, summary, weighted
 from .trades import candidates_in, fill_and_settle, fires, tradable_frame
 
 #: What a sweep may vary, by strategy, with bounds.
+TAKE_PROFIT, STOP_LOSS = (1.0, 3.0), (0.25, 5.0)
 SEARCH_SPACE = {
-    "rsi": {"rsi_oversold": (25, 50), "support_lookback": (10, 40), "tp_mult": (1.0, 3.0), "sl_mult": (0.5, 2.0), "max_holding": (5, 30)},
-    "breakout": {"breakout_lookback": (10, 60), "tp_mult": (1.0, 4.0), "sl_mult": (0.5, 2.5), "breakout_rsi_max": (60, 100), "breakout_relative_strength_min": (-0.5, 0.15), "breakout_volume_ratio_min": (0.0, 2.5), "breakout_adx_min": (0, 35), "breakout_obv_min": (-3.0, 2.0), "breakout_squeeze_max": (-1.0, 3.0)},
-    "pullback": {"pullback_ma": (10, 50), "pullback_slope": (5, 20), "pullback_band": (1.0, 6.0), "tp_mult": (1.0, 4.0), "sl_mult": (0.5, 2.5)},
-    "retest": {"breakout_lookback": (10, 60), "retest_window": (3, 20), "retest_band": (1.0, 6.0), "tp_mult": (1.0, 4.0), "sl_mult": (0.5, 2.5)},
-    "week52": {"week52_nearness": (1.0, 10.0), "tp_mult": (1.0, 4.0), "sl_mult": (0.5, 2.5), "max_holding": (5, 30)},
+    "rsi": {"rsi_oversold": (15.0, 70.0), "tp_mult": TAKE_PROFIT, "sl_mult": STOP_LOSS, "decline_penalty": (0.0, 4.0), "decline_penalty_cap": (0.0, 50.0)},
+    "breakout": {"breakout_lookback": (10, 80), "tp_mult": TAKE_PROFIT, "sl_mult": STOP_LOSS, "breakout_rsi_max": (50.0, 100.0), "breakout_relative_strength_min": (-50.0, 15.0), "breakout_volume_ratio_min": (0.0, 3.0), "breakout_adx_min": (0.0, 40.0), "breakout_obv_min": (-3.0, 3.0), "breakout_squeeze_max": (-3.0, 3.0)},
+    "pullback": {"pullback_ma": (10, 50), "pullback_slope": (3, 30), "pullback_band": (0.5, 10.0), "tp_mult": TAKE_PROFIT, "sl_mult": STOP_LOSS},
+    "retest": {"breakout_lookback": (10, 80), "retest_window": (3, 30), "retest_band": (0.5, 10.0), "tp_mult": TAKE_PROFIT, "sl_mult": STOP_LOSS},
+    "week52": {"week52_lookback": (100, 252), "week52_nearness": (0.5, 15.0), "tp_mult": TAKE_PROFIT, "sl_mult": STOP_LOSS},
 }
 #: Parameters that only matter after the levels, so that a grid of them shares one frame of indicators.
 LATE = ("tp_mult", "sl_mult", "max_holding", "max_entry_wait", "slippage", "commission")
@@ -49,29 +50,41 @@ def cohort_table(real: DataFrame, random: DataFrame, holdout: DataFrame) -> Data
     return weighted_summary(cluster_weights(both, ["cohort", "split"]), ["cohort", "split"])
 
 
-def config_table(spark: SparkSession, configs: dict[int, StrategyConfig]) -> DataFrame:
-    return spark.createDataFrame([{"config_id": i, **asdict(c)} for i, c in configs.items()])
-
-
 def grid(base: StrategyConfig, **values: list) -> dict[int, StrategyConfig]:
     """All combinations, numbered from 0."""
     return {i: replace(base, **dict(zip(values, v, strict=True))) for i, v in enumerate(product(*values.values()))}
 
 
+def search_grid(base: StrategyConfig, points: int, names: tuple[str, ...] | None = None) -> dict[int, StrategyConfig]:
+    """Configurations at `points` even places of each of the strategy's bounds, the others kept: a star about `base`, which is number 0."""
+    out = [base]
+    for name, (low, high) in SEARCH_SPACE[base.strategy].items():
+        if names and name not in names:
+            continue
+        whole = isinstance(low, int) and isinstance(getattr(base, name), int)
+        for k in range(points):
+            value = low + (high - low) * k / max(1, points - 1)
+            out.append(replace(base, **{name: round(value) if whole else float(value)}))
+    return dict(enumerate(dict.fromkeys(out)))
+
+
 def sweep(bars: DataFrame, market: DataFrame, configs: dict[int, StrategyConfig]) -> DataFrame:
     """Trades of all configurations with config_id.
 
-    Configurations that differ in LATE parameters only share one frame of indicators,
-    which looks as far ahead as the farthest of them; each distinct frame is a branch.
+    Configurations that differ in LATE parameters only are one branch: its frame of indicators,
+    which looks as far ahead as the farthest of them, is crossed with their parameters as columns.
+    Each distinct set of window lengths and thresholds is a branch of its own.
     """
     wait, hold = max(c.max_entry_wait for c in configs.values()), max(c.max_holding for c in configs.values())
-    frames: dict[StrategyConfig, DataFrame] = {}
-    out = None
+    groups: dict[StrategyConfig, list[int]] = {}
     for i, cfg in configs.items():
-        early = replace(cfg, tp_mult=0.0, sl_mult=0.0, slippage=0.0, commission=0.0, max_entry_wait=wait, max_holding=hold)
-        if early not in frames:
-            frames[early] = tradable_frame(bars, market, early).persist()  # read by each of its configurations
-        part = fill_and_settle(candidates_in(frames[early], cfg).where(fires(cfg)), cfg).withColumn("config_id", F.lit(i))
+        groups.setdefault(replace(cfg, tp_mult=0.0, sl_mult=0.0, slippage=0.0, commission=0.0, max_entry_wait=wait, max_holding=hold), []).append(i)
+    out = None
+    for early, members in groups.items():
+        late = F.array(*(F.struct(F.lit(i).alias("config_id"), *(F.lit(getattr(configs[i], p)).cast("int" if p.startswith("max") else "double").alias(p) for p in LATE)) for i in members))
+        cfg = replace(early, **{p: F.col("late")[p] for p in LATE})
+        frame = tradable_frame(bars, market, early).withColumn("late", F.explode(late))
+        part = fill_and_settle(candidates_in(frame, cfg, ("late",)).where(fires(cfg)), cfg, (F.col("late.config_id"),))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

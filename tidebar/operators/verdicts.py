@@ -15,7 +15,7 @@ def parsed_verdicts(responses: DataFrame) -> DataFrame:
     """(ticker, decision, confidence, rationale) of valid JSON bodies: a known decision, confidence 0 to 100, some rationale."""
     j = F.from_json("body", "decision STRING, confidence STRING, rationale STRING", {"mode": "PERMISSIVE"})
     df = responses.select("ticker", j.alias("j")).select("ticker", "j.decision", F.expr("try_cast(j.confidence AS DOUBLE)").alias("confidence"), "j.rationale")
-    return df.where(F.col("decision").isin(*DECISIONS) & F.col("confidence").between(0, 100) & (F.trim("rationale") != ""))
+    return df.where(F.col("decision").isin(*DECISIONS) & F.col("confidence").between(0, 100) & (F.trim("rationale") != "")).withColumn("rationale", F.trim("rationale"))
 
 
 def verdict_levels(verdicts: DataFrame, latest: DataFrame, cfg: StrategyConfig) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STRATEGIES, StrategyConfig
-from ..operators import allocation, indicators, joins, levels, metrics, scoring, selection, trades
+from ..operators import allocation, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
 from ..sources import bars as B
 from ..sources import readers, tables
 from . import oracle as O
@@ -155,7 +157,7 @@ def q_p06(spark, sf):
     return df.select("ticker", "bar_date", F.to_date("next_earnings_ts").alias("next_earnings_date"), joins.catalyst_warning(14).alias("catalyst_warning"))
 
 
-@register("q_p03_exclusions", f"{F1}, {O.levels(CFG['rsi'])} SELECT exclude_reason AS reason, count(*)::BIGINT AS n FROM lv WHERE exclude_reason IS NOT NULL GROUP BY 1")
+@register("q_p03_exclusions", f"{F1}, {O.levels(CFG['rsi'])} SELECT exclude_reason AS reason, count(*)::BIGINT AS n FROM lv WHERE exclude_reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'no bars', count(*) FROM u WHERE ticker NOT IN (SELECT ticker FROM bars) HAVING count(*) > 0")
 def q_p03(spark, sf):
     rows = levels.levels(frame(spark, sf, CFG["rsi"]), CFG["rsi"])
     return levels.skip_list(rows, B.universe(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
@@ -180,10 +182,7 @@ for _i, _s in enumerate(STRATEGIES):
 
 @register("q_p13_dispatch", " UNION ALL ".join(f"(SELECT * FROM ({O.base(CFG[s])}, {O.levels(CFG[s])}, {O.scores(CFG[s])} SELECT strategy, signal, count(*)::BIGINT AS n FROM sc GROUP BY ALL))" for s in STRATEGIES))
 def q_p13(spark, sf):
-    out = None
-    for cfg in CFG.values():
-        part = scoring.scored(levels.levels(frame(spark, sf, cfg), cfg), cfg)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    out = scoring.scored(levels.dispatch(frame(spark, sf), list(CFG.values())), *CFG.values())
     return out.groupBy("strategy", "signal").agg(F.count("*").alias("n"))
 
 
@@ -246,20 +245,20 @@ PULL = CFG["pullback"]
 TR = O.trades(PULL)
 
 
-@register("q_t08_universe_trades", " UNION ALL ".join(f"(SELECT * FROM ({O.trades(CFG[s])} SELECT strategy, status, count(*)::BIGINT AS n, round(sum(pnl_pct), 4) AS total FROM tr GROUP BY ALL))" for s in ("pullback", "week52")))
+@register("q_t08_universe_trades", " UNION ALL ".join(f"(SELECT * FROM ({O.trades(CFG[s])} SELECT strategy, status, count(*)::BIGINT AS n, round(sum(pnl_pct), 4) AS total FROM tr GROUP BY ALL))" for s in STRATEGIES))
 def q_t08(spark, sf):
-    df = trades.universe_trades(weekly(spark, sf), market(spark, sf), [CFG["pullback"], CFG["week52"]])
+    df = trades.universe_trades(weekly(spark, sf), market(spark, sf), list(CFG.values()))
     return df.groupBy("strategy", "status").agg(F.count("*").alias("n"), F.round(F.sum("pnl_pct"), 4).alias("total"))
 
 
-FOLDS = f"fold AS (SELECT (row_number() OVER (ORDER BY s) - 1)::INT AS fold_id, s::DATE AS is_start, s::DATE + 182 AS is_end, s::DATE + 182 AS oos_start, s::DATE + 212 AS oos_end FROM (SELECT unnest(generate_series(DATE '{FOLD_START}', DATE '{FOLD_END}', INTERVAL 30 DAY)) AS s) WHERE s::DATE + 212 <= DATE '{FOLD_END}')"
+FOLDS = f"fold AS (SELECT (row_number() OVER (ORDER BY s) - 1)::INT AS fold_id, s::DATE AS is_start, s::DATE + 182 AS is_end, s::DATE + 182 AS oos_start, s::DATE + 212 AS oos_end FROM (SELECT z, unnest(generate_series(a, z, INTERVAL 30 DAY)) AS s FROM (SELECT min(bar_date) AS a, max(bar_date) + 1 AS z FROM bars WHERE bar_date >= DATE '{FOLD_START}' AND bar_date < DATE '{FOLD_END}')) WHERE s::DATE + 212 <= z)"
 
 
 def fold_table(spark: SparkSession, sf: str) -> DataFrame:
-    return trades.folds(FOLD_START, FOLD_END, spark=spark)
+    return trades.folds(weekly(spark, sf), FOLD_START, FOLD_END)
 
 
-@register("q_t09_folds", f"WITH {FOLDS} SELECT * FROM fold")
+@register("q_t09_folds", f"WITH {O.BARS}, {FOLDS} SELECT * FROM fold")
 def q_t09(spark, sf):
     return fold_table(spark, sf)
 
@@ -348,9 +347,9 @@ def q_g16(spark, sf):
     return rounded(metrics.universe_delta(universe_summaries(spark, sf), "watchlist", "members"), 5)
 
 
-@register("q_u03_missing_tickers", f"WITH {O.BARS} SELECT DISTINCT ticker FROM u WHERE ticker NOT IN (SELECT ticker FROM bars WHERE bar_date < DATE '1992-01-20')")
+@register("q_u03_missing_tickers", f"WITH {O.BARS} SELECT DISTINCT ticker FROM u WHERE ticker NOT IN (SELECT ticker FROM bars WHERE bar_date < DATE '1992-01-13')")
 def q_u03(spark, sf):
-    early = weekly(spark, sf).where("bar_date < date'1992-01-20'").select("ticker").distinct()
+    early = weekly(spark, sf).where("bar_date < date'1992-01-13'").select("ticker").distinct()
     return B.universe(spark, sf).select("ticker").distinct().join(early, "ticker", "left_anti")
 
 
@@ -423,16 +422,16 @@ def q_g10(spark, sf):
     return rounded(metrics.outcome_report(outcomes(spark, sf)))
 
 
-@register("q_g11_signal_counts", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT strategy, signal, count(*)::BIGINT AS n, count(*) FILTER (WHERE extended_decline_warning)::BIGINT AS catalyst_warnings FROM sc GROUP BY ALL")
+@register("q_g11_signal_counts", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)}, {O.EARNINGS} SELECT strategy, signal, count(*)::BIGINT AS n, count(*) FILTER (WHERE coalesce((SELECT min(e.earnings_ts) FROM earnings e WHERE e.ticker = sc.ticker AND e.earnings_ts >= sc.as_of::TIMESTAMP) <= sc.as_of::TIMESTAMP + INTERVAL {RSI.earnings_warning_days} DAY, false))::BIGINT AS catalyst_warnings FROM sc GROUP BY ALL")
 def q_g11(spark, sf):
-    rows = scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI)
-    return metrics.signal_counts(rows.withColumn("catalyst_warning", F.col("extended_decline_warning")))
+    rows = levels.levels(joins.next_earnings(frame(spark, sf, RSI), earnings(spark, sf)), RSI, keep=("next_earnings_ts",))
+    return metrics.signal_counts(scoring.scored(rows, RSI).withColumn("catalyst_warning", joins.catalyst_warning(RSI.earnings_warning_days, "as_of")))
 
 
-@register("q_g12_settlement_counts", f"{SETTLED}, nb AS (SELECT ticker, max(bar_date) AS newest FROM bars GROUP BY 1) SELECT CASE WHEN newest <= signal_date THEN 'PENDING_NO_DATA' ELSE status END AS outcome, count(*)::BIGINT AS n FROM se JOIN nb USING (ticker) GROUP BY 1")
+@register("q_g12_settlement_counts", f"{SETTLED}, nb AS (SELECT ticker, max(bar_date) AS newest FROM bars GROUP BY 1) SELECT CASE WHEN newest <= signal_date THEN 'PENDING_NO_DATA' WHEN ticker < 'C' THEN 'ERROR' ELSE status END AS outcome, count(*)::BIGINT AS n FROM se JOIN nb USING (ticker) GROUP BY 1")
 def q_g12(spark, sf):
     s, b = stored_signals(spark, sf), weekly(spark, sf)
-    return metrics.settlement_counts(trades.settle_signals(s, b), s, b)
+    return metrics.settlement_counts(trades.settle_signals(s, b).where("ticker >= 'C'"), s, b)  # the others went wrong
 
 
 @register("q_g14_progress", f"{SETTLED} SELECT count(*)::BIGINT AS n, round(count(*) FILTER (WHERE status = 'WIN') * 100.0 / count(*), 6) AS win_rate_pct, date_diff('day', min(exit_date), DATE '{END}')::INT AS days_running FROM se WHERE status <> 'OPEN'")
@@ -465,11 +464,13 @@ def q_k04(spark, sf):
     return tables.mark_settled(s, done).groupBy("settled").agg(F.count("*").alias("n"))
 
 
-@register("q_k05_confirm", f"{STORED} SELECT ticker, signal_date, strategy, CASE WHEN signal = 'Strong Buy' THEN true END AS confirmed_filled, CASE WHEN signal = 'Strong Buy' THEN stop_loss END AS fill_price FROM st WHERE signal IN ('Strong Buy', 'Buy')")
+@register("q_k05_confirm", f"{STORED} SELECT ticker, signal_date, strategy, signal = 'Strong Buy' AS confirmed_filled, CASE WHEN signal = 'Strong Buy' THEN stop_loss END AS fill_price FROM st WHERE signal IN ('Strong Buy', 'Buy')")
 def q_k05(spark, sf):
     s = stored_signals(spark, sf).where("tier = 'actionable'").withColumn("confirmed_at", F.lit(None).cast("timestamp"))
     event = lambda yes, at, rows: rows.select(*tables.KEY, F.lit(yes).alias("confirmed"), F.col("stop_loss").alias("fill_price"), F.lit(at).cast("timestamp").alias("at"))
-    events = event(True, "2021-01-01", s).union(event(False, "2021-01-02", s.where("signal <> 'Strong Buy'")))
+    # A later confirmation without a price keeps the price given before; an undone one clears it.
+    again = event(True, "2021-01-03", s.where("signal = 'Strong Buy'")).withColumn("fill_price", F.lit(None).cast("double"))
+    events = event(True, "2021-01-01", s).union(event(False, "2021-01-02", s.where("signal <> 'Strong Buy'"))).union(again)
     return tables.confirm(s, events).select(*tables.KEY, "confirmed_filled", "fill_price")
 
 
@@ -492,10 +493,8 @@ MERGED = " UNION ALL ".join(f"(SELECT * FROM ({O.base(CFG[s])}, {O.levels(CFG[s]
 
 @register("q_r02_top_candidates", f"SELECT ticker, max(s) AS best, count(*)::INT AS n FROM ({MERGED}) GROUP BY 1 ORDER BY best DESC, ticker LIMIT 10")
 def q_r02(spark, sf):
-    out = None
-    for s in ("rsi", "pullback", "week52"):
-        part = scoring.scored(levels.levels(frame(spark, sf, CFG[s]), CFG[s]), CFG[s]).groupBy("ticker", "strategy").agg(F.max("trade_score").alias("trade_score"))
-        out = part if out is None else out.union(part)
+    some = [CFG[s] for s in ("rsi", "pullback", "week52")]
+    out = scoring.scored(levels.dispatch(frame(spark, sf), some), *some).groupBy("ticker", "strategy").agg(F.max("trade_score").alias("trade_score"))
     return joins.merge_candidates(out).select("ticker", "best", F.size("scores").alias("n")).limit(10)
 
 
@@ -516,14 +515,14 @@ r AS (SELECT as_of, 0::BIGINT AS k, NULL::VARCHAR AS ticker, NULL::VARCHAR AS fi
     r.rest - CASE WHEN q.signal IN ('Strong Buy', 'Buy') AND q.cost <= r.rest AND q.seed + coalesce(r.by_sector[q.sector], 0) + q.cost <= 0.3 * (900 + q.held) THEN q.cost ELSE 0.0 END,
     CASE WHEN q.signal IN ('Strong Buy', 'Buy') AND q.cost <= r.rest AND q.seed + coalesce(r.by_sector[q.sector], 0) + q.cost <= 0.3 * (900 + q.held) THEN map_concat(r.by_sector, MAP([q.sector], [coalesce(r.by_sector[q.sector], 0) + q.cost])) ELSE r.by_sector END
     FROM r JOIN q ON q.as_of = r.as_of AND q.k = r.k + 1)
-SELECT as_of, ticker, final_signal, round(spent, 2) AS spent FROM r WHERE k > 0"""
+SELECT as_of, ticker, final_signal, round(spent, 2) AS spent, round(sum(spent) OVER (PARTITION BY as_of), 2) AS allocated FROM r WHERE k > 0"""
 
 
 @register("q_a02_allocation", ALLOCATION)
 def q_a02(spark, sf):
     rows = allocation.sized(scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI).where("signal <> 'Ignore'"), risk=100.0)
     done = allocation.allocate(rows, ["as_of"], 900.0, cap_share=0.3, holdings=holdings(spark, sf))
-    return done.select("as_of", "ticker", "final_signal", F.round("spent", 2).alias("spent"))
+    return done.select("as_of", "ticker", "final_signal", F.round("spent", 2).alias("spent"), F.round("allocated", 2).alias("allocated"))
 
 
 @register("q_j13_sector_breakdown", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)}, {HOLD}, sp AS (SELECT sector, sum({O.rnd(f'({SHARES}) * buy_price', 2)}) AS s FROM sc WHERE signal IN ('Strong Buy', 'Buy') GROUP BY 1), hs AS (SELECT sector, sum(amount) AS a FROM h GROUP BY 1) SELECT coalesce(sp.sector, hs.sector) AS sector, round(coalesce(a, 0), 2) AS held, round(coalesce(s, 0), 2) AS new_spend, round(coalesce(a, 0) + coalesce(s, 0), 2) AS total FROM sp FULL JOIN hs ON sp.sector = hs.sector")
@@ -537,3 +536,230 @@ def q_d01(spark, sf):
     df = B.daily_supplier_bars(spark, sf).withColumn("bar_date", F.to_date("bar_date"))
     df = df.withColumn("hh", indicators.prior_high(20)).withColumn("ma", indicators.sma("close", 40))
     return df.where("close > hh AND close >= ma").select("ticker", "bar_date", "close")
+
+
+# Readers of texts, on inputs made of the given tables
+
+
+def nations(spark: SparkSession, sf: str) -> DataFrame:
+    return B.universe(spark, sf)
+
+
+def watchlist_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Test input: one text for each region: JSON entries, a JSON array of names, plain lines, or JSON that is cut off."""
+    rows = nations(spark, sf).groupBy("sector").agg(F.array_sort(F.collect_list(F.struct("nation_key", "ticker"))).alias("r"))
+    name = lambda x: F.concat(F.lit(" "), F.lower(x["ticker"]))
+    entries = F.transform("r", lambda x: F.struct(name(x).alias("ticker"), F.col("sector").alias("sector")))
+    plain = F.array_join(F.transform("r", name), "\n \n")
+    kind = F.length("sector") % 4
+    text = F.when(kind == 0, F.to_json(F.struct(entries.alias("watchlist")))).when(kind == 1, F.to_json(F.transform("r", name))).when(kind == 2, plain).otherwise(F.concat(F.lit("[\n"), plain))
+    return rows.select("sector", text.alias("value")).withColumnRenamed("sector", "region")
+
+
+@register("q_s05_watchlist", "SELECT r_name AS region, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 + CASE WHEN length(r_name) % 4 = 3 THEN 1 ELSE 0 END)::INT AS pos, n_name AS ticker, CASE WHEN length(r_name) % 4 = 0 THEN r_name END AS sector FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 0, '[', NULL FROM region WHERE length(r_name) % 4 = 3 AND r_regionkey IN (SELECT n_regionkey FROM nation)")
+def q_s05(spark, sf):
+    return readers.watchlist(watchlist_texts(spark, sf)).select("region", "pos", "ticker", "sector")
+
+
+@register("q_s06_sector_map", "SELECT n_name AS ticker, CASE WHEN n_nationkey % 2 = 0 THEN r_name || '-X' ELSE r_name END AS sector FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0 OR n_nationkey % 2 = 0")
+def q_s06(spark, sf):
+    first = nations(spark, sf).select(F.col("nation_key").alias("pos"), "ticker", F.when(F.col("nation_key") % 5 != 0, F.col("sector")).alias("sector"))
+    later = nations(spark, sf).where("nation_key % 2 = 0").select((F.col("nation_key") + 100).alias("pos"), "ticker", F.concat(F.lit(" "), "sector", F.lit("-X ")).alias("sector"))
+    blank = nations(spark, sf).select((F.col("nation_key") + 200).alias("pos"), "ticker", F.lit("").alias("sector"))
+    return readers.sector_map(first.union(later).union(blank))
+
+
+@register("q_s07_ticker_list", "WITH t AS (SELECT upper(string_agg(n_name || ' x' || n_regionkey, ', ' ORDER BY n_nationkey)) AS s FROM nation), w AS (SELECT unnest(regexp_split_to_array(s, '[\\s,]+')) AS ticker, unnest(range(0, len(regexp_split_to_array(s, '[\\s,]+'))))::INT AS pos FROM t) SELECT ticker, min(pos) AS pos FROM w WHERE ticker <> '' GROUP BY 1")
+def q_s07(spark, sf):
+    rows = spark.read.parquet(f"{sf}/nation.parquet").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("r"))
+    return readers.ticker_list(rows.select(F.array_join(F.transform("r", lambda x: F.concat(F.lower(x["n_name"]), F.lit(" x"), x["n_regionkey"].cast("string"))), ", ").alias("value")))
+
+
+@register("q_s08_holdings_text", "WITH l AS (SELECT s_nationkey, s_suppkey % 7 AS k, s_suppkey, round(s_acctbal::DOUBLE, 2) AS amount, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey::DOUBLE END AS avg_cost FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 5 <> 0) SELECT 'N' || s_nationkey || '_' || k AS ticker, arg_max(amount, s_suppkey) AS amount, arg_max(coalesce(avg_cost, -1), s_suppkey) AS avg_cost FROM l GROUP BY ALL")
+def q_s08(spark, sf):
+    cost = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string")).when(F.col("s_suppkey") % 3 == 1, "none").otherwise("")
+    amount = F.when(F.col("s_suppkey") % 5 == 0, "much").otherwise(F.round(F.col("s_acctbal").cast("double"), 2).cast("string"))
+    line = F.concat(F.lit(" n"), F.col("s_nationkey").cast("string"), F.lit("_"), (F.col("s_suppkey") % 7).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise(", "), amount, F.lit(","), cost)
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_nationkey", "s_suppkey", line.alias("line")).groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "line"))).alias("r"))
+    texts = rows.select(F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("value"))
+    return readers.holdings_text(texts).select("ticker", "amount", F.coalesce("avg_cost", F.lit(-1.0)).alias("avg_cost"))
+
+
+@register("q_s10_newest_earnings", f"WITH {O.BARS}, {O.EARNINGS} SELECT ticker, earnings_ts::DATE AS day FROM earnings QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY earnings_ts DESC) <= 4")
+def q_s10(spark, sf):
+    return readers.earnings_calendar(earnings(spark, sf), 4).select("ticker", F.to_date("earnings_ts").alias("day"))
+
+
+def news(spark: SparkSession, sf: str) -> DataFrame:
+    """Test input: a nation's suppliers are its news items; some have a title inside `content`, some one beside it, some none."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_name")
+    df = s.join(nations(spark, sf), F.col("s_nationkey") == F.col("nation_key"))
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy("s_suppkey"))
+    inner = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("C "), "s_name")).otherwise("")
+    return df.select("ticker", rank.alias("rank"), F.struct(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("title"), F.struct(inner.alias("title")).alias("content")).alias("item"))
+
+
+NEWS = "nw AS (SELECT n_name AS ticker, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey)::INT AS rank, CASE WHEN s_suppkey % 4 = 0 THEN 'C ' || s_name WHEN s_suppkey % 3 <> 0 THEN s_name END AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@register("q_s11_headlines", f"WITH {NEWS} SELECT * FROM nw WHERE rank <= 3 AND title IS NOT NULL")
+def q_s11(spark, sf):
+    return readers.headlines(news(spark, sf))
+
+
+@register("q_s12_top_headline", f"WITH {NEWS} SELECT ticker, coalesce(arg_min(title, rank) FILTER (WHERE rank <= 3 AND title IS NOT NULL), '') AS top_headline FROM nw GROUP BY 1")
+def q_s12(spark, sf):
+    return readers.top_headline(news(spark, sf))
+
+
+@register("q_s04_bars_after", f"{STORED} SELECT st.ticker, signal_date, b.k::INT AS k, b.bar_date, b.close FROM st JOIN LATERAL (SELECT bar_date, close, row_number() OVER (ORDER BY bar_date) AS k FROM bars WHERE bars.ticker = st.ticker AND bars.bar_date > st.signal_date ORDER BY bar_date LIMIT 3) b ON true")
+def q_s04(spark, sf):
+    df = joins.bars_after(stored_signals(spark, sf).select("ticker", "signal_date"), weekly(spark, sf), 3)
+    return df.where("bar IS NOT NULL").select("ticker", "signal_date", "k", "bar.bar_date", "bar.close")
+
+
+@register("q_s15_unsettled", f"{STORED} SELECT ticker, signal_date, 'rsi' AS strategy, CASE WHEN signal = 'Watch' THEN 'actionable' ELSE tier END AS tier FROM st WHERE signal_date > DATE '{DAY}'")
+def q_s15(spark, sf):
+    old = stored_signals(spark, sf).withColumns({"settled": F.when(F.col("signal_date") <= F.lit(DAY).cast("date"), True), "strategy": F.lit(None).cast("string"), "tier": F.when(F.col("signal") != "Watch", F.col("tier"))})
+    return tables.unsettled(old).select("ticker", "signal_date", "strategy", "tier")
+
+
+# Sinks
+
+
+@register("q_k03_upsert_outcomes", f"{SETTLED} SELECT ticker, signal_date, status, round(pnl_pct, 2) AS pnl_pct, CASE WHEN year(signal_date) >= 1996 THEN 2021 ELSE 2020 END::INT AS settled_year FROM se WHERE status <> 'OPEN' AND (signal_date <= DATE '{DAY}' OR year(signal_date) >= 1996)")
+def q_k03(spark, sf):
+    done = trades.settle_signals(stored_signals(spark, sf), weekly(spark, sf))
+    old = done.where((F.col("signal_date") <= F.lit(DAY).cast("date")) & (F.col("status") != "OPEN")).withColumn("pnl_pct", F.when(F.year("signal_date") >= 1996, F.lit(-99.0)).otherwise(F.col("pnl_pct"))).withColumn("settled_at", F.lit("2020-01-01").cast("timestamp"))
+    out = tables.upsert_outcomes(old, done.where(F.year("signal_date") >= 1996), "2021-01-01")
+    return out.select("ticker", "signal_date", "status", F.round("pnl_pct", 2).alias("pnl_pct"), F.year("settled_at").alias("settled_year"))
+
+
+def configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Test input: a configuration for each region; the second one is active."""
+    r = spark.read.parquet(f"{sf}/region.parquet")
+    none = F.lit(None)
+    return r.select((F.col("r_regionkey") + 1).cast("int").alias("version"), F.when(F.col("r_regionkey") == 1, "active").otherwise("candidate").alias("status"), F.to_json(F.struct(F.col("r_name").alias("name"))).alias("params"), none.cast("map<string,double>").alias("metrics"), none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("promoted_at"), F.col("r_name").alias("notes"))
+
+
+CONFIGS = "c AS (SELECT (r_regionkey + 1)::INT AS version, CASE WHEN r_regionkey = 1 THEN 'active' ELSE 'candidate' END AS status, r_name AS notes FROM region)"
+
+
+@register("q_k06_add_candidate", f"WITH {CONFIGS} SELECT version, status, notes, NULL::DOUBLE AS sharpe FROM c UNION ALL SELECT max(version) + 1, 'candidate', 'new', 1.5 FROM c")
+def q_k06(spark, sf):
+    return tables.add_candidate(configs(spark, sf), "{}", {"sharpe": 1.5}, "new", "2021-01-01").select("version", "status", "notes", F.col("metrics")["sharpe"].alias("sharpe"))
+
+
+@register("q_k07_promote", f"WITH {CONFIGS} SELECT version, CASE WHEN version = 4 THEN 'active' WHEN status = 'active' THEN 'retired' ELSE status END AS status, CASE WHEN version = 4 THEN 2021 END::INT AS promoted_year FROM c")
+def q_k07(spark, sf):
+    return tables.promote(configs(spark, sf), 4, "2021-01-01").select("version", "status", F.year("promoted_at").alias("promoted_year"))
+
+
+@register("q_r05_active_config", f"WITH {CONFIGS} SELECT version, status, row_number() OVER (ORDER BY version DESC)::INT AS place, status = 'active' AS is_active FROM c")
+def q_r05(spark, sf):
+    df = tables.configs_newest_first(configs(spark, sf)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("version"))))
+    active = tables.active_config(configs(spark, sf)).select("version", F.lit(True).alias("__a"))
+    return df.join(active, "version", "left").select("version", "status", "place", F.coalesce("__a", F.lit(False)).alias("is_active"))
+
+
+@register("q_k08_replace_holdings", "SELECT upper(trim(s_name)) AS ticker, s_acctbal::DOUBLE AS amount, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey > 0 THEN s_suppkey::DOUBLE ELSE -1 END AS avg_cost FROM supplier WHERE s_acctbal > 0")
+def q_k08(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    rows = s.select(F.concat(F.lit(" "), F.lower("s_name"), F.lit(" ")).alias("ticker"), F.col("s_acctbal").cast("double").alias("amount"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).otherwise(0).cast("double").alias("avg_cost"))
+    return tables.clean_holdings(rows, "2021-01-01").select("ticker", "amount", F.coalesce("avg_cost", F.lit(-1.0)).alias("avg_cost"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
+@register("q_k09_csv_export", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT ticker, as_of, trade_score, signal FROM sc WHERE signal IN ('Strong Buy', 'Buy')")
+def q_k09(spark, sf):
+    rows = scoring.actionable(scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI)).select("ticker", "as_of", "trade_score", "signal")
+    path = scratch(spark)
+    tables.export_csv(rows, path)
+    return spark.read.csv(path, header=True, schema="ticker STRING, as_of DATE, trade_score DOUBLE, signal STRING")
+
+
+@register("q_k10_signal_rows", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT ticker, strftime(as_of, '%Y-%m-%d') AS signal_date, CASE WHEN rsi <= 40 THEN rsi END AS rsi, trade_score, false AS settled, '{{}}' AS config_snapshot FROM sc WHERE signal <> 'Ignore'")
+def q_k10(spark, sf):
+    rows = scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI).where("signal <> 'Ignore'")
+    rows = rows.withColumn("rsi", F.when(F.col("rsi") > 40, F.lit(float("nan"))).otherwise(F.col("rsi")))
+    return tables.signal_rows(rows, "{}", "2021-01-01").select("ticker", "signal_date", "rsi", "trade_score", "settled", "config_snapshot")
+
+
+# The latest market gate, sectors, settlement after a confirmation, sizing by budget, search grids
+
+
+@register("q_p01_market_gate_latest", f"{F1} SELECT bar_date, market_up FROM mk ORDER BY bar_date DESC LIMIT 1")
+def q_p01(spark, sf):
+    return joins.market_is_up(market(spark, sf), SMALL.sma_trend)
+
+
+@register("q_j05_sector_lookup", f"WITH {O.BARS} SELECT bars.ticker, bar_date, CASE WHEN n_nationkey % 3 = 0 THEN 'Unknown' ELSE u.sector END AS sector FROM bars JOIN u ON bars.ticker = u.ticker")
+def q_j05(spark, sf):
+    return joins.with_sector(weekly(spark, sf), nations(spark, sf).where("nation_key % 3 <> 0")).select("ticker", "bar_date", "sector")
+
+
+CONFIRMED = SETTLED.replace("(xp - buy_price) / buy_price", "(xp - entry) / entry").replace("buy_price AS entry_price", "entry AS entry_price").replace("s5 AS (SELECT *,", "s5 AS (SELECT *, buy_price * 1.01::DOUBLE AS entry,").replace("FROM st LEFT JOIN LATERAL", f"FROM (SELECT * FROM st WHERE signal = 'Strong Buy' AND signal_date <= DATE '{DAY}') st LEFT JOIN LATERAL")
+
+
+@register("q_j11_resettle", f"{CONFIRMED} SELECT ticker, signal_date, round(entry_price, 6) AS entry_price, status, pnl_pct FROM se")
+def q_j11(spark, sf):
+    s = stored_signals(spark, sf).withColumns({"settled": F.col("signal_date") <= F.lit(DAY).cast("date"), "fill_price": F.when(F.col("signal") == "Strong Buy", F.col("buy_price") * 1.01)})
+    changed = s.where("fill_price IS NOT NULL").select(*tables.KEY)
+    return trades.resettle(s, changed, weekly(spark, sf)).select("ticker", "signal_date", F.round("entry_price", 6).alias("entry_price"), "status", "pnl_pct")
+
+
+FLAT = O.rnd("250.0 / nullif(buy_price, 0)", 4)
+
+
+@register("q_a01_flat_budget", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT ticker, as_of, {FLAT} AS shares, {O.rnd(f'({FLAT}) * buy_price', 2)} AS est_cost FROM sc WHERE signal IN ('Strong Buy', 'Buy')")
+def q_a01_flat(spark, sf):
+    rows = scoring.actionable(scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI))
+    return allocation.sized(rows, budget=250.0).select("ticker", "as_of", "shares", "est_cost")
+
+
+SEARCH = selection.search_grid(PULL, 3, ("tp_mult", "sl_mult"))
+
+
+@register("q_t13_search_grid", " UNION ALL ".join(f"(SELECT {i} AS config_id, count(*)::BIGINT AS n, round(sum(pnl_pct), 4) AS total FROM ({O.trades(c)} SELECT * FROM tr) HAVING count(*) > 0)" for i, c in SEARCH.items()))
+def q_t13(spark, sf):
+    df = selection.sweep(weekly(spark, sf), market(spark, sf), SEARCH)
+    return df.groupBy("config_id").agg(F.count("*").alias("n"), F.round(F.sum("pnl_pct"), 4).alias("total"))
+
+
+# Model verdicts
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Test input: a response for each nation; some decisions, confidences, reasons and bodies are not valid."""
+    k = F.col("nation_key")
+    decision = F.element_at(F.array(*map(F.lit, ("Buy", "Hold", "Avoid", "Sell"))), (k % 4 + 1).cast("int"))
+    confidence = F.when(k % 5 == 0, F.lit("high")).otherwise((k * 6).cast("string"))
+    body = F.to_json(F.struct(decision.alias("decision"), confidence.alias("confidence"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit(" as of "), "ticker")).alias("rationale")))
+    return nations(spark, sf).select("ticker", F.when(k % 9 == 0, F.concat(F.lit("no "), body)).otherwise(body).alias("body"))
+
+
+VERDICTS = "v AS (SELECT ticker, CASE n_nationkey % 4 WHEN 0 THEN 'Buy' WHEN 1 THEN 'Hold' ELSE 'Avoid' END AS decision, (n_nationkey * 6)::DOUBLE AS confidence, 'as of ' || ticker AS rationale FROM u WHERE n_nationkey % 4 < 3 AND n_nationkey % 5 <> 0 AND n_nationkey * 6 <= 100 AND n_nationkey % 7 <> 0 AND n_nationkey % 9 <> 0)"
+
+
+@register("q_p19_verdicts", f"WITH {O.BARS}, {VERDICTS} SELECT * FROM v")
+def q_p19(spark, sf):
+    return verdicts.parsed_verdicts(responses(spark, sf))
+
+
+LAST = "la AS (SELECT * FROM f WHERE atr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY bar_date DESC) = 1)"
+
+
+@register("q_p20_verdict_levels", f"{F1}, {VERDICTS}, {LAST}, b AS (SELECT v.ticker, bar_date AS as_of, CASE decision WHEN 'Buy' THEN 'Buy' ELSE 'Watch' END AS signal, confidence AS trade_score, {O.rnd('close', 2)} AS buy_price, atr FROM v JOIN la ON la.ticker = v.ticker WHERE decision <> 'Avoid'), x AS (SELECT *, {O.rnd(f'buy_price + atr * {SMALL.tp_mult}', 2)} AS sell_price, {O.rnd(f'buy_price - atr * {SMALL.sl_mult}', 2)} AS stop_loss FROM b) SELECT ticker, as_of, 'llm_agent' AS strategy, signal, trade_score, {O.rnd('atr', 2)} AS atr, buy_price, sell_price, stop_loss, CASE WHEN buy_price > stop_loss THEN {O.rnd('(sell_price - buy_price) / (buy_price - stop_loss)', 2)} ELSE 0.0 END AS rrr FROM x")
+def q_p20(spark, sf):
+    return verdicts.verdict_levels(verdicts.parsed_verdicts(responses(spark, sf)), indicators.latest(frame(spark, sf)), SMALL)
+
+
+@register("q_p21_prompts", f"{O.base(PULL)}, {O.levels(PULL)}, {O.scores(PULL)}, {NEWS}, z AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) = 1), t AS (SELECT ticker, string_agg('- ' || title, chr(10) ORDER BY rank) AS t FROM nw WHERE rank <= 5 AND title IS NOT NULL GROUP BY 1) SELECT z.ticker, format('Ticker {{}}: close {{:.2f}}, score {{:.1f}} ({{}}), buy {{:.2f}}, target {{:.2f}}, stop {{:.2f}}.', z.ticker, last_close, trade_score, signal, buy_price, sell_price, stop_loss) || chr(10) || 'Headlines:' || chr(10) || coalesce(t, '- none') AS prompt FROM z LEFT JOIN t ON t.ticker = z.ticker")
+def q_p21(spark, sf):
+    rows = scoring.scored(levels.levels(frame(spark, sf, PULL), PULL), PULL)
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("as_of")))).where("__n = 1")
+    return verdicts.prompts(rows, readers.headlines(news(spark, sf), 5))

@@ -71,10 +71,3 @@ def trim_trailing(bars: DataFrame) -> DataFrame:
     """Without a ticker's last bars as long as they have no close; gaps inside stay."""
     last = F.max(F.when(F.col("close").isNotNull(), F.col("bar_date"))).over(Window.partitionBy("ticker"))
     return bars.withColumn("__last", last).where("bar_date <= __last").drop("__last")
-
-
-def bars_after(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Each signal's later bars of its ticker, numbered from 1."""
-    later = signals.join(bars, "ticker").where("bar_date > signal_date")
-    keys = ["ticker", "signal_date", "strategy"]
-    return later.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("bar_date")))

@@ -13,31 +13,39 @@ def clean_ticker(x: Column) -> Column:
 ENTRY = "STRUCT<ticker STRING, sector STRING, strategy STRING>"
 
 
-def watchlist_json(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """(pos, ticker, sector, strategy) from whole JSON documents: an array or {"watchlist": [...]}, of strings or entries.
+def watchlist(texts: DataFrame, text_col: str = "value") -> DataFrame:
+    """(other columns, pos, ticker, sector, strategy) of whole watchlist texts, entries in order.
 
+    A text that starts as JSON is an array or {"watchlist": [...]} of strings or entries; if
+    it is malformed or names no ticker, and for any other text, each line is a ticker.
     Blank tickers are dropped, repeated ones kept.
     """
     t = F.col(text_col)
     body = F.when(F.substring(F.trim(t), 1, 1) == "[", t).otherwise(F.get_json_object(t, "$.watchlist"))
+    is_json = F.regexp_extract(t, r"^\s*([\[{])", 1) != ""
+
+    def entry(item: Column) -> Column:
+        e = F.from_json(item, ENTRY)
+        is_object = F.substring(F.trim(item), 1, 1) == "{"
+        return F.struct(clean_ticker(F.when(is_object, e["ticker"]).otherwise(item)).alias("ticker"), F.when(is_object, e["sector"]).alias("sector"), F.when(is_object, e["strategy"]).alias("strategy"))
+
+    named = lambda e: F.coalesce(e["ticker"] != "", F.lit(False))
     # Strings come as themselves, objects as their JSON text.
-    items = texts.select(F.posexplode(F.from_json(body, "ARRAY<STRING>")).alias("pos", "item"))
-    entry = F.from_json("item", ENTRY)
-    is_object = F.substring(F.trim("item"), 1, 1) == "{"
-    out = items.select("pos", clean_ticker(F.when(is_object, entry["ticker"]).otherwise(F.col("item"))).alias("ticker"), F.when(is_object, entry["sector"]).alias("sector"), F.when(is_object, entry["strategy"]).alias("strategy"))
-    return out.where("coalesce(ticker, '') <> ''")
+    entries = F.filter(F.transform(F.from_json(body, "ARRAY<STRING>"), entry), named)
+    none = F.lit(None).cast("string")
+    lines = F.filter(F.transform(F.split(t, "\r\n|\r|\n"), lambda x: F.struct(clean_ticker(x).alias("ticker"), none.alias("sector"), none.alias("strategy"))), named)
+    others = [c for c in texts.columns if c != text_col]
+    rows = texts.select(*others, F.when(is_json & (F.size(entries) > 0), entries).otherwise(lines).alias("e"))
+    return rows.select(*others, F.posexplode("e").alias("pos", "e")).select(*others, "pos", "e.*")
 
 
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """JSON if the file starts as JSON, else one ticker a line."""
-    whole = spark.read.text(path, wholetext=True)
-    is_json = F.regexp_extract("value", r"^\s*([\[{])", 1) != ""
-    lines = whole.where(~is_json).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "item")).select("pos", clean_ticker(F.col("item")).alias("ticker"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("string").alias("strategy")).where("ticker <> ''")
-    return watchlist_json(whole.where(is_json)).unionByName(lines)
+    return watchlist(spark.read.text(path, wholetext=True))
 
 
-def sector_map(watchlist: DataFrame) -> DataFrame:
-    return watchlist.where("sector IS NOT NULL").select("ticker", "sector").dropDuplicates(["ticker"])
+def sector_map(entries: DataFrame) -> DataFrame:
+    """(ticker, sector): a ticker's last entry (by pos) with a sector counts, without the white space around it."""
+    return entries.where("sector <> ''").groupBy("ticker").agg(F.trim(F.max_by("sector", "pos")).alias("sector"))
 
 
 def ticker_list(texts: DataFrame, text_col: str = "value") -> DataFrame:
@@ -47,10 +55,15 @@ def ticker_list(texts: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def holdings_text(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """(ticker, amount, avg_cost) from lines TICKER,AMOUNT[,AVG_COST]; malformed lines are skipped, a ticker's last line wins."""
-    lines = texts.select(F.posexplode(F.split(text_col, "\r?\n")).alias("pos", "line")).withColumn("f", F.split("line", ","))
-    lines = lines.select("pos", clean_ticker(F.get("f", F.lit(0))).alias("ticker"), F.expr("try_cast(trim(get(f, 1)) AS DOUBLE)").alias("amount"), F.expr("try_cast(trim(get(f, 2)) AS DOUBLE)").alias("avg_cost"), F.size("f").alias("n"), F.expr("trim(get(f, 2))").alias("third"))
-    good = lines.where("n BETWEEN 2 AND 3 AND ticker <> '' AND amount > 0 AND (n = 2 OR third = '' OR avg_cost IS NOT NULL)")
+    """(ticker, amount, avg_cost) from lines of ticker, amount and maybe cost, split at commas or white space.
+
+    Lines of another form or with an amount that is no positive number are skipped, an unreadable cost
+    is null, and a ticker's last line wins.
+    """
+    lines = texts.select(F.posexplode(F.split(text_col, "\r\n|\r|\n")).alias("pos", "line"))
+    lines = lines.select("pos", F.filter(F.split("line", r"[,\s]+"), lambda x: x != "").alias("f"))
+    lines = lines.select("pos", F.upper(F.get("f", F.lit(0))).alias("ticker"), F.expr("try_cast(get(f, 1) AS DOUBLE)").alias("amount"), F.expr("try_cast(get(f, 2) AS DOUBLE)").alias("avg_cost"), F.size("f").alias("n"))
+    good = lines.where("n BETWEEN 2 AND 3 AND amount > 0")
     return good.groupBy("ticker").agg(F.max_by(F.struct("amount", "avg_cost"), "pos").alias("h")).select("ticker", "h.amount", "h.avg_cost")
 
 

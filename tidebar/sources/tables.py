@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["ticker", "signal_date", "strategy"]
@@ -35,19 +36,21 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, keep_old: list[
     """Old rows with new ones by key.
 
     New values win, except for `keep_old` and for `insert_only`, which is set when
-    the key is new.  Of repeated new keys the last by all columns counts.  One
-    full outer join; write the result over the partitions it touches.
+    the key is new.  Of repeated new keys the last by all columns counts; a null in a key
+    equals a null.  One full outer join; write the result over the partitions it touches.
     """
     values = [c for c in new.columns if c not in key]
     one = new.groupBy(*key).agg(F.max(F.struct(*values)).alias("__v")) if values else new.distinct().withColumn("__v", F.struct(F.lit(1)))
-    one = one.withColumn("__new", F.lit(True))
-    prior = old.withColumn("__old", F.lit(True))
-    both = prior.join(one, key, "full")
+    one = one.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), "__v", F.lit(True).alias("__new"))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & old[k].eqNullSafe(one[f"__k{i}"])
+    both = old.join(one, same, "full")
     columns = []
     stamp_now = F.lit(now).cast("timestamp")
     for c in dict.fromkeys([*old.columns, *new.columns]):
         if c in key:
-            columns.append(F.col(c))
+            columns.append(F.coalesce(F.col(c), F.col(f"__k{key.index(c)}")).alias(c))
         elif c == insert_only:
             columns.append(F.coalesce(F.col(c), stamp_now).alias(c))
         elif c == stamp:
@@ -80,14 +83,23 @@ def mark_settled(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def confirm(signals: DataFrame, events: DataFrame) -> DataFrame:
-    """Signals with the latest event (confirmed, fill_price, at) of their key; an undone confirmation is cleared."""
-    last = events.groupBy(*KEY).agg(F.max_by(F.struct("confirmed", "fill_price", "at"), "at").alias("__e"))
+    """Signals after the events (confirmed, fill_price, at) of their keys in order of time.
+
+    A confirmation sets flag and time, and the price if it has one; an undone one sets
+    the flag to false and clears price and time.  So the price is the last one given since
+    the last undoing, or the signal's own if there was none.
+    """
+    undone = F.max(F.when(~F.col("confirmed"), F.col("at"))).over(Window.partitionBy(*KEY))
+    e = events.withColumn("__undone", undone)
+    since = (F.col("__undone").isNull() | (F.col("at") > F.col("__undone"))) & F.col("confirmed") & F.col("fill_price").isNotNull()
+    last = e.groupBy(*KEY).agg(F.max_by(F.struct("confirmed", "at"), F.struct("at", ~F.col("confirmed"))).alias("__e"), F.max_by("fill_price", F.when(since, F.col("at"))).alias("__price"), F.max("__undone").alias("__undone"))
     df = signals.join(last, KEY, "left")
     seen, yes = F.col("__e").isNotNull(), F.col("__e.confirmed")
+    price = F.coalesce("__price", F.when(F.col("__undone").isNull(), F.col("fill_price")))
     return df.select(
         *(c for c in signals.columns if c not in CONFIRMATION),
-        F.when(seen, F.when(yes, True)).otherwise(F.col("confirmed_filled")).alias("confirmed_filled"),
-        F.when(seen, F.when(yes, F.col("__e.fill_price"))).otherwise(F.col("fill_price")).alias("fill_price"),
+        F.when(seen, yes).otherwise(F.col("confirmed_filled")).alias("confirmed_filled"),
+        F.when(seen, F.when(yes, price)).otherwise(F.col("fill_price")).alias("fill_price"),
         F.when(seen, F.when(yes, F.col("__e.at"))).otherwise(F.col("confirmed_at")).alias("confirmed_at"),
     )
 
@@ -127,17 +139,25 @@ def configs_newest_first(configs: DataFrame) -> DataFrame:
 
 
 def clean_holdings(rows: DataFrame, now) -> DataFrame:
-    return rows.where("amount > 0").select(F.upper(F.trim("ticker")).alias("ticker"), "amount", "avg_cost", F.lit(now).cast("timestamp").alias("updated_at"))
+    return rows.where("amount > 0").select(F.upper(F.trim("ticker")).alias("ticker"), "amount", F.nullif("avg_cost", F.lit(0.0)).alias("avg_cost"), F.lit(now).cast("timestamp").alias("updated_at"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `overwrite` wrote last under `path`."""
+    names = spark.read.text(f"{path}/current").orderBy(F.desc("value")).limit(1).collect()
+    return spark.read.parquet(f"{path}/{names[0][0]}")
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replaces a table that the rows may have been read from: written beside it first, then over it."""
+    """Writes the rows as a new version beside the old ones and then names it as the current one.
+
+    Readers see the old version or the new one, also while this runs or after it failed; the
+    rows may have been read from the table itself.  Versions are named by time.
+    """
     spark: SparkSession = df.sparkSession
-    beside = f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(beside)
-    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+    name = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{path}/current")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.tables import log_signals, overwrite
+from ..sources.tables import current, log_signals, overwrite
 
 
 def upsert_stream(scored_rows: DataFrame, table_path: str, checkpoint: str, now: str) -> StreamingQuery:
     """Writes a stream of scored rows into the signals table; a repeated batch changes nothing but the time stamp."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        old = rows.sparkSession.read.parquet(table_path)
+        old = current(rows.sparkSession, table_path)
         overwrite(log_signals(old, rows, now).select(*old.columns), table_path)
 
     return scored_rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def late_tolerant_counts(events: DataFrame, time_col: str = "ts", delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Counts by window with a watermark, for monitoring the feed."""
-    return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width).alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
