@@ -502,7 +502,7 @@ def test_chat_repair_of_a_conversation_over_many_partitions(spark):
     for parts in ("3", "11"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         results.append(sorted(map(repr, chat_repair.repair_conversations(frame.repartition(int(parts))).collect())))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert results[0] == results[1] and len(results[0]) == len(rows)
     mine = sorted((r for r in chat_repair.repair_conversations(frame).collect() if r["conv_id"] == 7), key=lambda r: r["position"])
     assert [r["position"] for r in mine] == list(range(900))
@@ -580,7 +580,7 @@ def test_training_order_does_not_depend_on_settings_and_splits_rows_without_id(s
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         df = training_order.training_order(table(spark, rows).repartition(int(parts)), length=8, shard_slots=4)
         found.append({(r["slot"], r["doc_id"], r["seq_no"], bytes(r["tokens"])) for r in df.collect()})
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert found[0] == found[1] and sorted(x[0] for x in found[0]) == list(range(len(found[0])))
     encoder = training_order.Encoder(open(training_order.TOKENIZER, "rb").read(), np.uint16)
     assert encoder.encode("a \xa0 \xa0 b") == encoder.one("a \xa0 \xa0 b")

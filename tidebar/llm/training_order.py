@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ REMEMBER = 200_000
 #: Sequences are dealt to so many buckets by hash and numbered inside each: a part of the order, not of the cluster.
 BUCKETS = 1 << 18
 #: White space for which words cannot be encoded one by one: two spaces in a row, or any but space, tab and line ends.
-UNUSUAL_SPACE = re.compile(r"  |[^\S \t\n\r]")
+UNUSUAL_SPACE = ["  ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\r")]
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -74,7 +73,7 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL_SPACE.search(text):
+        if any(x in text for x in UNUSUAL_SPACE):
             return self.one(text)
         head, *rest = text.split(" ")
         known, parts = self.known, [self.one(head)]
