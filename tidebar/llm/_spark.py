@@ -68,23 +68,26 @@ def _with_low(edges: DataFrame, limit: int) -> DataFrame:
     return edges.join(hot, "u").select("u", "v", "m").union(cold.select("u", "v", "m"))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node at most, and only to such that point nowhere."""
+    ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.count("*").alias("n")).where("out > 1 or out > 0 and n > out").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that links to a smaller one; root is the smallest node that links reach.
 
-    Alternating large-star and small-star rounds: each is a few grouped minima and
-    joins, and the number of rounds is logarithmic in practice.  Roots themselves are not listed; nulls are dropped.
+    Alternating large-star and small-star rounds until only stars are left: each is a few grouped
+    minima and joins, and the number of rounds is logarithmic in practice.  Roots themselves are not
+    listed; nulls are dropped.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    seen, limit = None, max(64, now.count() // 2000)
-    while True:
+    limit = max(64, now.count() // 2000)
+    while not _is_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = _with_low(large, limit)
+        large = written(_with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         # A node's larger neighbours and the node itself all point to its smallest one.
-        small = low.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = _with_low(large, limit).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         before, now = now, written(small)
-        discard(before)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        discard(before, large)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
