@@ -110,7 +110,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = F.col(source_col).cast("string")
     rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for n, c in names.items())).alias("row"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), n_words(text).alias("size"), h.alias("h"))
     # Buckets follow the order of h: its first bits, more of them for a larger table.
-    bits = max(4, math.ceil(math.log2(max(1, docs.count()) / BUCKET_ROWS)))
+    bits = max(8, math.ceil(math.log2(max(1, docs.count()) / BUCKET_ROWS)))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits))
     thin = written(rows.select("no_source", "source", "size", "h", "bucket"))
     by_bucket = written(thin.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("words")))
