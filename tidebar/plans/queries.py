@@ -347,9 +347,9 @@ def q_g16(spark, sf):
     return rounded(metrics.universe_delta(universe_summaries(spark, sf), "watchlist", "members"), 5)
 
 
-@register("q_u03_missing_tickers", f"WITH {O.BARS} SELECT DISTINCT ticker FROM u WHERE ticker NOT IN (SELECT ticker FROM bars WHERE bar_date < DATE '1992-01-13')")
+@register("q_u03_missing_tickers", f"WITH {O.BARS} SELECT DISTINCT ticker FROM u WHERE ticker NOT IN (SELECT ticker FROM bars WHERE bar_date < DATE '1995-02-06' AND volume > 150)")
 def q_u03(spark, sf):
-    early = weekly(spark, sf).where("bar_date < date'1992-01-13'").select("ticker").distinct()
+    early = weekly(spark, sf).where("bar_date < date'1995-02-06' AND volume > 150").select("ticker").distinct()
     return B.universe(spark, sf).select("ticker").distinct().join(early, "ticker", "left_anti")
 
 
