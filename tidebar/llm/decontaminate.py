@@ -84,13 +84,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     pairs = nothing.select("doc_id", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item"))
     for k in widths:
         mine = of_width("classes", k)
-        own = suspects.where(F.size(mine) > 0).select("doc_id", F.transform(mine, lambda c: c["class"]).alias("classes"), F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle")).distinct()
-        # Rows of one id are one document: the size is that of their common set.
-        size = own.groupBy("doc_id").agg(F.count("*").alias("n"))
+        own = suspects.where(F.size(mine) > 0).select("doc_id", F.transform(mine, lambda c: c["class"]).alias("classes"), "w")
+        # Rows of one id are one document, as large as they are together.
+        size = sized(written(own.groupBy(F.col("doc_id").alias("sid")).agg(F.sum(F.greatest(F.size("w") - k + 1, F.lit(0))).alias("n"))))
         low = F.create_map(*(F.lit(x) for (width, c), need in sorted(needs.items()) if width == k for x in (c, need)))
-        large = own.join(size.withColumnRenamed("doc_id", "sid"), own["doc_id"].eqNullSafe(F.col("sid"))).select("doc_id", "n", F.explode("classes").alias("class"), "shingle").where(F.col("n") >= low[F.col("class")])
+        large = own.join(size, own["doc_id"].eqNullSafe(size["sid"])).select("doc_id", "n", F.explode("classes").alias("class"), "w").where(F.col("n") >= low[F.col("class")])
+        large = large.select("doc_id", "class", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
         part = item.where(F.col("width") == k).select("row", "item_id", "class", "need", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle"))
-        part = large.join(sized(written(part)), ["class", "shingle"]).groupBy("doc_id", "row", "item_id", "need", "n_item").agg(F.count("*").alias("n_shared"))
+        part = large.join(sized(written(part)), ["class", "shingle"]).groupBy("doc_id", "row", "item_id", "need", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
         pairs = pairs.union(part.where("n_shared >= need").select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item")))
     best = F.max_by(F.struct("n_shared", "n_item"), F.col("n_shared") / F.col("n_item"))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_shared", "b.n_item")
