@@ -198,6 +198,15 @@ def test_class_lm(spark, rows):
     assert class_lm.score_texts(table(spark, [])).count() == 0
 
 
+def test_class_lm_sends_no_more_units_than_it_may(spark, rows, monkeypatch):
+    """With few units most words are counted by shuffle: the base score does not change, and tasks hold the bound at most."""
+    held = []
+    frequent = class_lm.Frequent
+    monkeypatch.setattr(class_lm, "Frequent", lambda word, count, unit: held.append(len(word)) or frequent(word, count, unit))
+    score = lambda **most: Counter((r["doc_id"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in class_lm.score_texts(table(spark, rows), **most).collect())
+    assert score(most_units=100) == score() and 0 < held[0] <= 100 < held[1]
+
+
 def test_exchange_separates_two_vocabularies():
     rng = np.random.default_rng(0)
     counts = np.zeros((9, 9))
