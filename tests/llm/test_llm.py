@@ -593,3 +593,28 @@ def test_training_order_does_not_depend_on_settings_and_splits_rows_without_id(s
     assert found[0] == found[1] and sorted(x[0] for x in found[0]) == list(range(len(found[0])))
     encoder = training_order.Encoder(open(training_order.TOKENIZER, "rb").read(), np.uint16)
     assert encoder.encode("a \xa0 \xa0 b") == encoder.one("a \xa0 \xa0 b")
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 20])
+def test_mixing_targets_match_resharing_in_a_loop(spark, n):
+    rng = random.Random(n)
+    totals = [rng.choice([0, 1270, 1320, rng.randint(20_000, 23_000), rng.randint(1, 10**6)]) for _ in range(n)]
+    if n == 6:
+        totals = [1270, 1320, 1290, 1300, 1310, 1280]
+    names = [None if n > 2 and i == n - 1 else f"s{i:02d}" for i in range(n)]
+    df = spark.createDataFrame([(x is None, x or "", t) for x, t in zip(names, totals, strict=True)], "no_source boolean, source string, total long")
+    got = {None if r["no_source"] else r["source"]: r["target"] for r in mixing.source_targets(df, [3.0, 1.0, 2.0], 1.5, 2).collect()}
+    weight = {x: [3.0, 1.0, 2.0][i % 3] for i, x in enumerate(names)}
+    cap = {x: 2.0 * t for x, t in zip(names, totals, strict=True)}
+    full: set = set()
+    while True:
+        free = [x for x in names if x not in full]
+        level = (1.5 * sum(totals) - sum(cap[x] for x in full)) / sum(weight[x] for x in free) if free else 0.0
+        more = {x for x in free if level * weight[x] > cap[x]}
+        if not more:
+            break
+        full |= more
+    for x in names:
+        assert got[x] == pytest.approx(cap[x] if x in full else level * weight[x])
+        assert 0 <= got[x] <= cap[x] + 1e-6
+    assert sum(got.values()) == pytest.approx(1.5 * sum(totals))

@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: list[float], budget_share: float,
     Sources by code point, nulls last, weigh `weights` in turn.  Targets are
     min(cap, level * weight) with one level for all: it is what handing the excess
     over caps to the other sources by weight ends in.  Sorted by cap / weight, the
-    level lies before the first source that does not fill.
+    level is that of the first source that its level does not fill: those before it are
+    full, it and those after it share what is left.
     """
     rank = F.expr("row_number() OVER (ORDER BY no_source, source) - 1")
     out = sizes.select("no_source", "source", "total", F.get(F.array(*map(F.lit, weights)), (rank % len(weights)).cast("int")).cast("double").alias("weight"))
@@ -47,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: list[float], budget_share: float,
     out = out.select("*", F.expr("sum(total) OVER ()").alias("all"), F.expr(f"coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)").alias("before"), F.expr(f"sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)").alias("rest"))
     budget = F.least(F.col("all") * F.lit(float(budget_share)), F.col("all") * F.lit(float(most)))
     level = (budget - F.col("before")) / F.col("rest")
-    out = out.withColumn("level", F.when(level <= F.col("fill"), level)).withColumn("level", F.expr("min(level) OVER ()"))
+    out = out.withColumn("first", F.when(level <= F.col("fill"), F.struct("fill", "no_source", "source", level.alias("level"))))
+    out = out.withColumn("level", F.expr("min(first) OVER ()")["level"])
     return out.select("no_source", "source", "total", "weight", "all", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 

@@ -59,9 +59,11 @@ MIX_CTE = rf"""
     d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM DOCS),
     s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
     w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
-    f AS (SELECT *, total * 2.0::DOUBLE AS cap, total * 2.0::DOUBLE / weight AS fill, (sum(total) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM w),
-    l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-    t AS (SELECT *, least(cap, (min(CASE WHEN level <= fill THEN level END) OVER ()) * weight) AS target FROM l),
+    f AS (SELECT *, total * 2.0::DOUBLE AS cap, (sum(total) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM w),
+    r AS (SELECT 0 AS k, source, total, weight, cap, budget, budget / sum(weight) OVER () AS level, false AS done FROM f
+        UNION ALL
+        SELECT k + 1, source, total, weight, cap, budget, (budget - coalesce(sum(cap) FILTER (WHERE above) OVER (), 0)) / sum(weight) FILTER (WHERE NOT above) OVER (), above FROM (SELECT *, done OR level * weight > cap AS above, bool_or(NOT done AND level * weight > cap) OVER () AS go_on FROM r) WHERE go_on),
+    t AS (SELECT source, total, weight, budget, CASE WHEN done THEN cap ELSE level * weight END AS target FROM r QUALIFY k = max(k) OVER ()),
     q AS (SELECT doc_id, d.source, size, h, total, target, weight, budget, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     i AS (SELECT *, ((upto + total * k)::DOUBLE / weight) AS v FROM q, (VALUES (0), (1)) p(k)),
     c AS (SELECT *, sum(size) OVER (ORDER BY v, h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 <= budget AS within FROM i),
@@ -119,5 +121,5 @@ FROM b LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": f"WITH {CONTAINED.replace('DOCS', 'documents')} SELECT * FROM pairs",
     "op6_secret_scan": secrets_sql(),
-    "op5_weighted_fair_mix": f"WITH {MIX_CTE.replace('DOCS', 'documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM m",
+    "op5_weighted_fair_mix": f"WITH RECURSIVE {MIX_CTE.replace('DOCS', 'documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM m",
 }
