@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, class_lm, decontaminate, mixing, near_dedup, near_vectors, secrets, suffix_dedup, toxicity, training_order
+from . import ann, chat_repair, class_lm, decontaminate, manifest, mixing, near_dedup, near_vectors, secrets, suffix_dedup, toxicity, training_order, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_toxicity, op3_minhash_near_dedup, op4_training_order, op5_weighted_fair_mix, op6_secret_scan, op7_class_lm_scores, op8_chat_role_repair, op9_cross_polytope_near_dedup, op10_suffix_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_toxicity, op3_minhash_near_dedup, op4_training_order, op5_weighted_fair_mix, op6_secret_scan, op7_class_lm_scores, op8_chat_role_repair, op9_cross_polytope_near_dedup, op10_suffix_dedup, op11_merkle_manifest, op12_vector_codes, op13_collision_search)}
 #: Fixed value: a word, for DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -118,7 +130,62 @@ SELECT b.doc_id, len(l0)::BIGINT AS n_assign, len(l1)::BIGINT AS n_access, len(l
 FROM b LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+def levels_sql(name: str, source: str, grp: str, levels: int) -> str:
+    """Nodes (grp, pos, n, h) of all levels of eight-ary trees as CTEs name0, name1, ...; n is the number of nodes of a group on the level."""
+    parts = [f"{name}0 AS (SELECT {grp} AS grp, pos, n, h FROM {source})"]
+    for k in range(levels):
+        parts.append(f"{name}{k + 1} AS (SELECT grp, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+def manifest_sql(levels: int = 7, top: int = 3) -> str:
+    """Enough for 8^levels rows of a language and 8^top languages."""
+    frame = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join([*(frame(c) for c in ("doc_id", "source", "lang", "n_chars")), frame(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 by its definition, bit by bit.
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    ctes = [
+        f"b AS (SELECT doc_id, lang, {leaf('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS seen FROM documents)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS grp FROM b)",
+        levels_sql("t", "l", "grp", levels),
+        "sr AS (" + " UNION ALL ".join(f"SELECT grp, h FROM t{k} WHERE n = 1" for k in range(levels + 1)) + ")",
+        "s AS (SELECT 0 AS z, grp AS pos, count(*) OVER () AS n, h FROM sr)",
+        levels_sql("g", "s", "z", top),
+        "rt AS (" + " UNION ALL ".join(f"SELECT h FROM g{k} WHERE n = 1" for k in range(top + 1)) + ")",
+        "f0 AS (SELECT doc_id, l.grp, pos, l.h AS leaf, sr.h AS subroot, seen AS f, '' AS proof FROM l JOIN sr USING (grp))",
+    ]
+    step = 0
+    for name, count, group, place in (("t", levels, "x.grp", "x.pos"), ("g", top, "0", "x.grp")):
+        for k in range(count):
+            at = f"{place} // {8**k}"
+            sides = f"SELECT p.grp, p.pos, coalesce(string_agg(q.h, '' ORDER BY q.pos) FILTER (WHERE q.pos < p.pos), '') AS a, coalesce(string_agg(q.h, '' ORDER BY q.pos) FILTER (WHERE q.pos > p.pos), '') AS z FROM {name}{k} p JOIN {name}{k} q ON p.grp = q.grp AND p.pos // 8 = q.pos // 8 WHERE p.n > 1 GROUP BY p.grp, p.pos"
+            ctes.append(f"f{step + 1} AS (SELECT x.* EXCLUDE (f, proof), CASE WHEN y.a IS NULL THEN f ELSE sha256(y.a || f || y.z) END AS f, CASE WHEN y.a IS NULL THEN proof ELSE proof || y.a || y.z END AS proof FROM f{step} x LEFT JOIN ({sides}) y ON y.grp = {group} AND y.pos = {at})")
+            step += 1
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, (SELECT h FROM rt) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM rt) AS verified FROM f{step}"
+
+
+#: Vectors with finite components only, in double precision.
+VECTORS = "SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def codes_sql() -> str:
+    """Squared distances of all parts to all entries, each round anew."""
+    ctes = [
+        f"r AS ({VECTORS})",
+        "x AS MATERIALIZED (SELECT r, vec_id, label, (j - 1) // (len(v) // 4) AS part, (j - 1) % (len(v) // 4) AS i, floor(v[j] * 1024)::BIGINT AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS j FROM r))",
+        "b0 AS MATERIALIZED (SELECT part, r - 1 AS e, i, x AS c FROM x WHERE r <= 256)",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        ctes.append(f"n{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'e': e}}) AS m FROM (SELECT r, x.part, e, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{k} b ON x.part = b.part AND x.i = b.i GROUP BY ALL) GROUP BY ALL)")
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, b.i, coalesce(floor(s / n)::BIGINT, c) AS c FROM b{k} b LEFT JOIN (SELECT x.part, m.e AS e, i, sum(x)::DOUBLE AS s, count(*) AS n FROM x JOIN n{k} USING (r, part) GROUP BY ALL) y USING (part, e, i))")
+    last = vector_codes.ROUNDS
+    return f"WITH {', '.join(ctes[:-1])}, o AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM n{last} GROUP BY r) SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, e, i)) FROM b{last}) AS codebooks_sha256 FROM o JOIN r USING (r)"
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": codes_sql(),
+    "op11_merkle_manifest": manifest_sql(),
     "op1_benchmark_decontamination": f"WITH {CONTAINED.replace('DOCS', 'documents')} SELECT * FROM pairs",
     "op6_secret_scan": secrets_sql(),
     "op5_weighted_fair_mix": f"WITH RECURSIVE {MIX_CTE.replace('DOCS', 'documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM m",
