@@ -28,9 +28,9 @@ from . import _text as T
 from ._spark import sized, written
 
 #: Lines; growth of the radius; the share of vectors within the radius that may stay below the threshold.
-LINES, GROWTH, MISSED = 64, 1.2, 0.1
+LINES, GROWTH, MISSED = 48, 1.2, 0.1
 #: Vectors and queries of a task at most, on average.
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 8192, 512
 #: Blocks whose results meet in one task.
 MERGED = 64
 
