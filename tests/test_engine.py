@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.config import StrategyConfig
-from tidebar.operators import allocation, indicators, joins, metrics, selection, trades
+from tidebar.operators import allocation, indicators, joins, lengths, metrics, selection, trades
 from tidebar.sources import readers, tables
 from tidebar.streaming import daily
 
@@ -240,3 +240,50 @@ def test_search_grid_stays_within_bounds():
         grid = selection.search_grid(StrategyConfig(strategy=s), 3)
         assert len(grid) <= 1 + 3 * len(space)
         assert all(low <= getattr(c, p) <= high for p, (low, high) in space.items() for c in list(grid.values())[1:] if getattr(c, p) != getattr(StrategyConfig(), p))
+
+
+def test_windows_of_any_length_match_slices(spark):
+    rng = random.Random(3)
+    rows = [(1, None if rng.random() < 0.03 else round(rng.uniform(5, 9), 2), 1, None if rng.random() < 0.03 else round(rng.uniform(5, 9), 2)) for _ in range(90)]
+    df = lengths.with_lengths(bars(spark, rows), range(1, 40), range(1, 40), [(n, k) for n in range(1, 30, 3) for k in (0, 4)]).orderBy("bar_date").collect()
+    for i, r in enumerate(df):
+        for n in range(1, 40):
+            for name, part in ((f"prior_{n}", rows[max(0, i - n) : i]), (f"high_{n}", rows[max(0, i - n + 1) : i + 1])):
+                highs = [x[1] for x in part if x[1] is not None]
+                assert r[name] == (max(highs) if len(highs) == n else None)
+        for n in range(1, 30, 3):
+            for k in (0, 4):
+                part = [x[3] for x in rows[max(0, i - k - n + 1) : max(0, i - k + 1)] if x[3] is not None]
+                assert r[f"mean_{n}_{k}"] == (pytest.approx(sum(part) / n, rel=1e-14) if len(part) == n else None)
+
+
+def test_search_points_fill_the_bounds():
+    for s, space in selection.SEARCH_SPACE.items():
+        points = selection.search_points(StrategyConfig(strategy=s), 64, 1)
+        assert len(points) == 65 and points == selection.search_points(StrategyConfig(strategy=s), 64, 1) != selection.search_points(StrategyConfig(strategy=s), 64, 2)
+        for p, (low, high) in space.items():
+            values = [getattr(c, p) for c in list(points.values())[1:]]
+            quarters = {min(3, int(4 * (v - low) / (high - low))) for v in values}
+            assert all(low <= v <= high for v in values) and quarters == {0, 1, 2, 3}
+
+
+def test_sweep_of_mixed_lengths_equals_single_configurations(spark):
+    from tidebar.plans import queries
+    from tidebar.sources import bars as B
+
+    b, m = B.panel(spark, "/root/testdata/sf0.001")
+    for s in ("breakout", "rsi"):
+        configs = {i: c for i, c in queries.POINTS[s].items() if i < 4}
+        both = selection.sweep(b, m, configs)
+        columns = ["ticker", "signal_date", "entry_date", "status", "pnl_pct"]
+        for i, c in configs.items():
+            one = sorted(map(str, trades.make_trades(b, m, c).select(*columns).collect()))
+            assert one == sorted(map(str, both.where(f"config_id = {i}").select(*columns).collect()))
+
+
+def test_market_bars_from_parts(spark):
+    from tidebar.sources import bars as B
+
+    b, m = B.panel(spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, m.collect())) == sorted(map(str, B.market_bars(spark, "/root/testdata/sf0.001").select(*m.columns).collect()))
+    assert sorted(map(str, b.collect())) == sorted(map(str, B.weekly_bars(spark, "/root/testdata/sf0.001").select(*b.columns).collect()))

@@ -11,13 +11,14 @@ def round_even(x: Column, digits: int) -> Column:
     return F.rint(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
-def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
+def clip(x: Column, low: Column | float | None = None, high: Column | float | None = None) -> Column:
     """Null-preserving clamp: least and greatest alone would skip nulls."""
     y = x
+    of = lambda b: b if isinstance(b, Column) else F.lit(float(b))
     if low is not None:
-        y = F.greatest(y, F.lit(float(low)))
+        y = F.greatest(y, of(low))
     if high is not None:
-        y = F.least(y, F.lit(float(high)))
+        y = F.least(y, of(high))
     return F.when(x.isNotNull(), y)
 
 

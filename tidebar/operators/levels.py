@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,27 +35,27 @@ def exclude_reason(cfg: StrategyConfig) -> Column:
     return F.coalesce(*tests)
 
 
-def _entry(cfg: StrategyConfig) -> tuple[Column, Column, Column]:
-    """Buy price, unrounded distance in percent, trigger flag."""
-    close = F.col("close")
+def entry(cfg: StrategyConfig, at: Callable[[str], Column] = F.col) -> tuple[Column, Column, Column]:
+    """Buy price, unrounded distance in percent, trigger flag; `at` gives the columns."""
+    close = at("close")
     if cfg.strategy == "rsi":
-        buy = round_even(F.col("support_level"), 2)
-        return buy, (close - buy) / buy * 100, (close <= buy) & (F.col("rsi") < cfg.rsi_oversold)
+        buy = round_even(at("support_level"), 2)
+        return buy, (close - buy) / buy * 100, (close <= buy) & (at("rsi") < cfg.rsi_oversold)
     if cfg.strategy == "breakout":
-        buy = round_even(F.col("highest_high"), 2)
-        return buy, (close - buy) / buy * 100, close > F.col("highest_high")
+        buy = round_even(at("highest_high"), 2)
+        return buy, (close - buy) / buy * 100, close > at("highest_high")
     if cfg.strategy == "pullback":
-        buy = round_even(F.col("ma_pullback"), 2)
+        buy = round_even(at("ma_pullback"), 2)
         far = (close - buy) / buy * 100
-        return buy, far, (F.col("ma_pullback") > F.col("ma_pullback_prior")) & (F.abs(far) <= cfg.pullback_band)
+        return buy, far, (at("ma_pullback") > at("ma_pullback_prior")) & (F.abs(far) <= cfg.pullback_band)
     if cfg.strategy == "retest":
-        known = F.col("last_breakout_level").isNotNull() & F.col("days_since_breakout").isNotNull()
-        buy = F.when(known, round_even(F.col("last_breakout_level"), 2)).otherwise(round_even(close, 2))
+        known = at("last_breakout_level").isNotNull() & at("days_since_breakout").isNotNull()
+        buy = F.when(known, round_even(at("last_breakout_level"), 2)).otherwise(round_even(close, 2))
         far = F.when(known, (close - buy) / buy * 100).otherwise(0.0)
-        days = F.col("days_since_breakout")
+        days = at("days_since_breakout")
         return buy, far, known & (days > 0) & (days <= cfg.retest_window) & (F.abs(far) <= cfg.retest_band)
     if cfg.strategy == "week52":
-        far = (F.col("week52_high") - close) / F.col("week52_high") * 100
+        far = (at("week52_high") - close) / at("week52_high") * 100
         return round_even(close, 2), far, far <= cfg.week52_nearness
     raise ValueError(f"unknown strategy {cfg.strategy!r}")
 
@@ -78,7 +80,7 @@ def dispatch(frame: DataFrame, configs: list[StrategyConfig], keep: tuple[str, .
     """
     entries = []
     for c in configs:
-        buy, far, trigger = _entry(c)
+        buy, far, trigger = entry(c)
         entries.append(F.struct(F.lit(c.strategy).alias("strategy"), exclude_reason(c).alias("exclude_reason"), buy.alias("buy"), far.alias("far"), F.coalesce(trigger, F.lit(False)).alias("trigger")))
     df = frame.withColumn("__e", F.explode(F.array(*entries)) if len(entries) > 1 else entries[0]).withColumn("strategy", F.col("__e.strategy"))
     tp, sl = (by_strategy({c.strategy: getattr(c, p) for c in configs}) for p in ("tp_mult", "sl_mult"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,6 +12,7 @@ from ..config import STRATEGIES, StrategyConfig
 from ..operators import allocation, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
 from ..sources import bars as B
 from ..sources import readers, tables
+from ..sources.shared import kept, scratch
 from . import oracle as O
 
 #: Shorter windows than the defaults, as the weekly bars of the test tables span some 300 weeks.
@@ -282,14 +281,22 @@ def q_t11(spark, sf):
 GRID = selection.grid(PULL, tp_mult=[1.0, 1.5, 2.0], sl_mult=[0.5, 1.0])
 
 
+def trades_of(configs: dict[int, StrategyConfig]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS config_id, ticker, sector, signal_date, entry_date, status, pnl_pct FROM ({O.trades(c)} SELECT * FROM tr)" for i, c in configs.items())
+
+
+def score_ctes(source: str, k: str = "") -> str:
+    """Objective and drawdown of each configuration of a trades CTE, as CTE sc{k}."""
+    draw = f"SELECT config_id, round_even(max((peak - eq) / peak) * 100 * 100, 0) / 100 AS dd FROM (SELECT *, greatest(1.0, max(eq) OVER (PARTITION BY config_id ORDER BY entry_date, ticker, signal_date)) AS peak FROM (SELECT *, exp(sum(ln(1 + pnl_pct / 100)) OVER (PARTITION BY config_id ORDER BY entry_date, ticker, signal_date)) AS eq FROM {source} WHERE status <> 'OPEN')) GROUP BY 1"
+    return f"gw{k} AS ({O.clustered(source, 'config_id')}), gs{k} AS ({O.weighted(f'gw{k}', 'config_id')}), gd{k} AS ({draw}), sc{k} AS (SELECT config_id, CASE WHEN coalesce(kish_n, 0) < 15 OR w_sharpe_like IS NULL THEN -10.0 ELSE w_sharpe_like END AS objective, CASE WHEN coalesce(kish_n, 0) < 15 OR w_sharpe_like IS NULL THEN 100.0 ELSE dd END AS drawdown FROM gs{k} JOIN gd{k} USING (config_id))"
+
+
 def grid_scores_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT {i} AS config_id, * FROM ({O.trades(c)} SELECT * FROM tr)" for i, c in GRID.items())
-    draw = "SELECT config_id, round_even(max((peak - eq) / peak) * 100 * 100, 0) / 100 AS dd FROM (SELECT *, greatest(1.0, max(eq) OVER (PARTITION BY config_id ORDER BY entry_date, ticker, signal_date)) AS peak FROM (SELECT *, exp(sum(ln(1 + pnl_pct / 100)) OVER (PARTITION BY config_id ORDER BY entry_date, ticker, signal_date)) AS eq FROM gt WHERE status <> 'OPEN')) GROUP BY 1"
-    return f"WITH gt AS ({parts}), gw AS ({O.clustered('gt', 'config_id')}), gs AS ({O.weighted('gw', 'config_id')}), gd AS ({draw}), sc AS (SELECT config_id, CASE WHEN coalesce(kish_n, 0) < 15 OR w_sharpe_like IS NULL THEN -10.0 ELSE w_sharpe_like END AS objective, CASE WHEN coalesce(kish_n, 0) < 15 OR w_sharpe_like IS NULL THEN 100.0 ELSE dd END AS drawdown FROM gs JOIN gd USING (config_id))"
+    return f"WITH gt AS ({trades_of(GRID)}), {score_ctes('gt')}"
 
 
 def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    df = selection.score_configs(selection.sweep(weekly(spark, sf), market(spark, sf), GRID))
+    df = selection.score_configs(selection.sweep(*B.panel(spark, sf), GRID))
     return rounded(df.select("config_id", "objective", "drawdown"))
 
 
@@ -308,6 +315,85 @@ def q_r07(spark, sf):
     return selection.best_trial(grid_scores(spark, sf))
 
 
+# All lengths in one frame, and searches over all bounds
+
+LENGTHS = {n: replace(CFG["breakout"], breakout_lookback=n) for n in range(10, 81)} | {100 + n: replace(PULL, pullback_ma=n) for n in range(10, 51)}
+
+
+def lengths_sql(cfg: StrategyConfig, ids: int, low: int, high: int, value: str) -> str:
+    """Trades for each length from low to high: a ticker's bars are repeated for each length, with the window's value by a join of bars with bars."""
+    x = "(SELECT f.* EXCLUDE (ticker, highest_high, ma_pullback, ma_pullback_prior), f.ticker || '#' || v.n AS ticker, v.* EXCLUDE (ticker, rn, n) FROM f JOIN v ON v.ticker = f.ticker AND v.rn = f.rn)"
+    values = f"v AS (SELECT a.ticker, a.rn, n, {value} FROM a1 a CROSS JOIN range({low}, {high + 1}) l(n) JOIN a1 b ON b.ticker = a.ticker AND b.rn BETWEEN a.rn - n - {cfg.pullback_slope} AND a.rn GROUP BY a.ticker, a.rn, n)"
+    body = f"{O.levels(cfg)}, {O.scores(cfg)}".replace("exclude_reason FROM f)", f"exclude_reason FROM {x} f)")
+    body = f"{O.base(cfg)}, {values}, a1x AS (SELECT * REPLACE (ticker || '#' || n AS ticker) FROM a1 CROSS JOIN range({low}, {high + 1}) l(n)), {body}, {O.gated(cfg).rpartition(', g AS ')[1][2:]}{O.gated(cfg).rpartition(', g AS ')[2]}, fire AS (SELECT * FROM g WHERE fires), {O.settled(cfg, 'fire').replace('a1 b', 'a1x b')}"
+    return f"SELECT {ids} + split_part(ticker, '#', 2)::INT AS config_id, count(*)::BIGINT AS n, round(sum(pnl_pct), 4) AS total FROM ({body} SELECT * FROM tr) GROUP BY 1"
+
+
+HIGHS_SQL = lengths_sql(CFG["breakout"], 0, 10, 80, "CASE WHEN count(b.high) FILTER (WHERE b.rn >= a.rn - n AND b.rn < a.rn) = n THEN max(b.high) FILTER (WHERE b.rn >= a.rn - n AND b.rn < a.rn) END AS highest_high, NULL::DOUBLE AS ma_pullback, NULL::DOUBLE AS ma_pullback_prior")
+MEAN_OF = "CASE WHEN count(b.close) FILTER (WHERE b.rn > a.rn - n - {k} AND b.rn <= a.rn - {k}) = n THEN (sum(b.close::DECIMAL(28, 10)) FILTER (WHERE b.rn > a.rn - n - {k} AND b.rn <= a.rn - {k}))::DOUBLE / n END"
+MEANS_SQL = lengths_sql(PULL, 100, 10, 50, f"NULL::DOUBLE AS highest_high, {MEAN_OF.format(k=0)} AS ma_pullback, {MEAN_OF.format(k=PULL.pullback_slope)} AS ma_pullback_prior")
+
+
+def totals(df: DataFrame) -> DataFrame:
+    return df.groupBy("config_id").agg(F.count("*").alias("n"), F.round(F.sum("pnl_pct"), 4).alias("total"))
+
+
+@register("q_t12_all_lengths", f"({HIGHS_SQL}) UNION ALL ({MEANS_SQL})")
+def q_t12_lengths(spark, sf):
+    return totals(selection.sweep(*B.panel(spark, sf), LENGTHS))
+
+
+POINTS = {s: selection.search_points(CFG[s], 24 if s == "breakout" else 12 if s == "rsi" else 8, 7) for s in STRATEGIES}
+
+
+def _search(strategy: str):
+    sql = " UNION ALL ".join(f"(SELECT {i} AS config_id, count(*)::BIGINT AS n, round(sum(pnl_pct), 4) AS total FROM ({O.trades(c)} SELECT * FROM tr) HAVING count(*) > 0)" for i, c in POINTS[strategy].items())
+
+    @register(f"q_t13_search_{strategy}", sql)
+    def q(spark, sf):
+        return totals(selection.sweep(*B.panel(spark, sf), POINTS[strategy]))
+
+
+for _s in STRATEGIES:
+    _search(_s)
+
+
+MIXED = {100 * k + i: c for k, s in enumerate(("pullback", "retest", "week52")) for i, c in POINTS[s].items()}
+MIXED_SQL = f"WITH gt AS MATERIALIZED ({trades_of(MIXED)}), {score_ctes('gt')}"
+FRONT_SQL = "SELECT config_id, objective, drawdown FROM sc a WHERE NOT EXISTS (SELECT 1 FROM sc b WHERE b.objective >= a.objective AND b.drawdown <= a.drawdown AND (b.objective > a.objective OR b.drawdown < a.drawdown))"
+
+
+def mixed_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.score_configs(selection.sweep(*B.panel(spark, sf), MIXED)).select("config_id", "objective", "drawdown"))
+
+
+@register("q_r06_search_front", f"{MIXED_SQL} {FRONT_SQL}")
+def q_r06_search(spark, sf):
+    return selection.pareto_front(mixed_scores(spark, sf))
+
+
+@register("q_r07_search_best", f"{MIXED_SQL} SELECT config_id, objective, drawdown FROM sc WHERE objective >= -5 ORDER BY objective DESC, drawdown, config_id LIMIT 1")
+def q_r07_search(spark, sf):
+    return selection.best_trial(mixed_scores(spark, sf), floor=-5.0)
+
+
+def halving_sql(configs: dict[int, StrategyConfig], rungs: int = 3) -> str:
+    ctes = [f"gt AS MATERIALIZED ({trades_of(configs)})", O.BARS, FOLDS, "al0 AS (SELECT unnest([" + ", ".join(map(str, configs)) + "]) AS config_id)"]
+    parts = []
+    for r in range(1, rungs + 1):
+        ctes.append(f"gt{r} AS (SELECT gt.* FROM gt JOIN al{r - 1} USING (config_id), (SELECT min(oos_start) AS a, max(oos_end) AS z FROM fold WHERE fold_id < greatest(1, (SELECT count(*) FROM fold) >> {rungs - r})) w WHERE signal_date >= a AND signal_date < z)")
+        ctes.append(score_ctes(f"gt{r}", str(r)))
+        ctes.append(f"rk{r} AS (SELECT config_id, coalesce(objective, -10.0) AS objective, coalesce(drawdown, 100.0) AS drawdown, row_number() OVER (ORDER BY coalesce(objective, -10.0) DESC, coalesce(drawdown, 100.0), config_id) AS k, count(*) OVER () AS m FROM al{r - 1} LEFT JOIN sc{r} USING (config_id))")
+        ctes.append(f"al{r} AS (SELECT config_id FROM rk{r} WHERE k <= (m + 1) // 2)")
+        parts.append(f"SELECT config_id, {r} AS rung, objective, drawdown FROM rk{r}" + (" WHERE k > (m + 1) // 2" if r < rungs else ""))
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@register("q_t13_halving", halving_sql(POINTS["pullback"]))
+def q_t13_halving(spark, sf):
+    return rounded(selection.successive_halving(*B.panel(spark, sf), POINTS["pullback"], fold_table(spark, sf)))
+
+
 @register("q_t15_sample_tickers", f"WITH {O.BARS} SELECT ticker FROM (SELECT DISTINCT ticker FROM u) ORDER BY md5(ticker || '|{SEED}') LIMIT 8")
 def q_t15(spark, sf):
     return selection.sample_tickers(B.universe(spark, sf), 8, SEED)
@@ -323,7 +409,7 @@ def q_t16(spark, sf):
 
 @register("q_t17_real_vs_random", f"WITH rr AS ({RANDOM_SQL['pullback']}, {HO} SELECT x.*, ho.holdout FROM (SELECT 'real' AS cohort, ticker, sector, entry_date, status, pnl_pct FROM tr UNION ALL SELECT 'random', ticker, sector, entry_date, status, pnl_pct FROM rt) x LEFT JOIN ho USING (ticker)), sp AS (SELECT *, unnest(['all', CASE WHEN coalesce(holdout, false) THEN 'holdout' ELSE 'tune' END]) AS split FROM rr), cw AS ({O.clustered('sp', 'cohort, split')}) {O.weighted('cw', 'cohort, split')}")
 def q_t17(spark, sf):
-    b, m = weekly(spark, sf), market(spark, sf)
+    b, m = B.panel(spark, sf)
     return rounded(selection.cohort_table(trades.make_trades(b, m, PULL), trades.random_baseline(b, m, PULL, SEED), selection.stratified_holdout(B.universe(spark, sf), 0.25, SEED)))
 
 
@@ -629,7 +715,7 @@ def q_s15(spark, sf):
 
 @register("q_k03_upsert_outcomes", f"{SETTLED} SELECT ticker, signal_date, status, round(pnl_pct, 2) AS pnl_pct, CASE WHEN year(signal_date) >= 1996 THEN 2021 ELSE 2020 END::INT AS settled_year FROM se WHERE status <> 'OPEN' AND (signal_date <= DATE '{DAY}' OR year(signal_date) >= 1996)")
 def q_k03(spark, sf):
-    done = trades.settle_signals(stored_signals(spark, sf), weekly(spark, sf))
+    done = kept(trades.settle_signals(stored_signals(spark, sf), weekly(spark, sf)))
     old = done.where((F.col("signal_date") <= F.lit(DAY).cast("date")) & (F.col("status") != "OPEN")).withColumn("pnl_pct", F.when(F.year("signal_date") >= 1996, F.lit(-99.0)).otherwise(F.col("pnl_pct"))).withColumn("settled_at", F.lit("2020-01-01").cast("timestamp"))
     out = tables.upsert_outcomes(old, done.where(F.year("signal_date") >= 1996), "2021-01-01")
     return out.select("ticker", "signal_date", "status", F.round("pnl_pct", 2).alias("pnl_pct"), F.year("settled_at").alias("settled_year"))
@@ -669,11 +755,6 @@ def q_k08(spark, sf):
     return tables.clean_holdings(rows, "2021-01-01").select("ticker", "amount", F.coalesce("avg_cost", F.lit(-1.0)).alias("avg_cost"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
-
-
 @register("q_k09_csv_export", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT ticker, as_of, trade_score, signal FROM sc WHERE signal IN ('Strong Buy', 'Buy')")
 def q_k09(spark, sf):
     rows = scoring.actionable(scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI)).select("ticker", "as_of", "trade_score", "signal")

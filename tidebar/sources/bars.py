@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 BAR = ["open", "high", "low", "close", "volume"]
 #: Calendar days of history read before a test window, for indicators to warm up.
 WARM_UP_DAYS = 420
@@ -23,6 +25,32 @@ def bars_from_lines(lines: DataFrame, key: list[str], bar_date: str) -> DataFram
     )
 
 
+def bar_parts(lines: DataFrame, key: list[str], bar_date: str) -> DataFrame:
+    """Bars with the places of their first and last price in the order, so that bars of several keys can be put together."""
+    price = F.col("l_extendedprice").cast("double")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    return lines.groupBy(*key, F.col(bar_date).alias("bar_date")).agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
+        F.sum(F.col("l_quantity").cast("double")).alias("volume"), F.min(order).alias("first"), F.max(order).alias("last"),
+    )
+
+
+def merged_bars(parts: DataFrame, key: list[str]) -> DataFrame:
+    """Bars of a coarser key from parts."""
+    return parts.groupBy(*key, "bar_date").agg(F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume"))
+
+
+def panel(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(weekly bars, market bars) of one scan of the lines, kept in the shared folder for all branches of a job.
+
+    The index is put together from bars by nation; lines whose supplier has no nation are a part without one.
+    """
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    parts = kept(bar_parts(_lines(spark, sf_dir).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left"), ["s_nationkey"], "week"))
+    bars = parts.join(universe(spark, sf_dir).withColumnRenamed("nation_key", "s_nationkey"), "s_nationkey").select("ticker", "sector", "bar_date", *BAR)
+    return bars, merged_bars(parts, [])
+
+
 def _lines(spark, sf_dir: str) -> DataFrame:
     cols = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*cols)
