@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.config import StrategyConfig
-from tidebar.operators import allocation, indicators, joins, lengths, metrics, selection, trades
+from tidebar.operators import allocation, halo, indicators, joins, lengths, metrics, selection, trades
 from tidebar.sources import readers, tables
 from tidebar.streaming import daily
 
@@ -287,3 +287,24 @@ def test_market_bars_from_parts(spark):
     b, m = B.panel(spark, "/root/testdata/sf0.001")
     assert sorted(map(str, m.collect())) == sorted(map(str, B.market_bars(spark, "/root/testdata/sf0.001").select(*m.columns).collect()))
     assert sorted(map(str, b.collect())) == sorted(map(str, B.weekly_bars(spark, "/root/testdata/sf0.001").select(*b.columns).collect()))
+
+
+def test_spans_equal_whole_tickers(spark):
+    rng = random.Random(8)
+    rows, price = [], 50.0
+    for i in range(900):
+        price = max(5.0, price + rng.uniform(-2, 2) - (0.5 if 300 < i < 640 else 0))
+        o = price + rng.uniform(-1, 1)
+        rows.append((o, None if i % 97 == 5 else max(o, price) + 1, min(o, price) - 1, price, 100 + i % 7))
+    df = bars(spark, rows, "A").unionByName(bars(spark, rows[:150], "B")).withColumn("sector", F.lit("S"))
+    # Trends of hundreds of bars: streaks and breakouts cross spans.
+    cfg = StrategyConfig(ma_window=5, sma_trend=20, volume_lookback=5, breakout_lookback=60, week52_lookback=30, support_lookback=5, rsi_window=3, atr_window=3, adx_window=3, bb_window=5, squeeze_window=9, pullback_ma=5, pullback_slope=3, obv_window=5, rsi_oversold=99.9)
+    assert halo.look_back(cfg) < 250
+    columns = ["ticker", "bar_date", "rn", "obv", "oversold_streak_days", "extended_decline_warning", "days_since_breakout", "last_breakout_level", "breakout_flag", "sma_trend", "week52_high", "support_date", "rsi", "adx", "atr", "obv_zscore", "squeeze_zscore"]
+    want = indicators.with_indicators(df, cfg).select(*columns).orderBy("ticker", "bar_date").collect()
+    got = halo.with_indicators_by_span(df, cfg, span=10).select(*columns).orderBy("ticker", "bar_date").collect()
+    assert len(got) == len(want) == 1050
+    assert max(r["oversold_streak_days"] for r in want) > 260
+    for a, b in zip(got, want, strict=True):
+        for c in columns:
+            assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]), (c, a["bar_date"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STRATEGIES, StrategyConfig
-from ..operators import allocation, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
+from ..operators import allocation, halo, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
 from ..sources import bars as B
 from ..sources import readers, tables
 from ..sources.shared import kept, scratch
@@ -137,6 +137,21 @@ def q_w24(spark, sf):
     return rounded(indicators.latest(frame(spark, sf)).select("ticker", "bar_date", "close", "rsi"))
 
 
+# Short memories, so that spans of some hundred bars are longer than the look-back.
+SPANS = replace(SMALL, rsi_window=3, atr_window=3, adx_window=3, week52_lookback=60)
+SPAN_COLUMNS = ["rn", "sma", "sma_trend", "avg_volume_prior", "highest_high", "week52_high", "support_level", "rsi", "atr", "adx", "obv", "obv_zscore", "squeeze_zscore", "ma_pullback_prior", "last_breakout_level"]
+#: Means of prices have ties at fewer than six digits, sums of many terms differ beyond four.
+SPAN_DIGITS = {"atr": 4, "squeeze_zscore": 4}
+SUPPLIER_BARS = f"u AS (SELECT 1), bars AS (SELECT l_suppkey::VARCHAR AS ticker, NULL::VARCHAR AS sector, l_shipdate::DATE AS bar_date, {O.AGGREGATES} FROM lineitem GROUP BY ALL), mbars AS (SELECT l_shipdate::DATE AS bar_date, {O.AGGREGATES} FROM lineitem GROUP BY 1)"
+
+
+@register("q_w25_indicators_by_span", f"WITH {SUPPLIER_BARS}, {O.frame(SPANS)} SELECT ticker, bar_date, {', '.join(f'round({c}, {SPAN_DIGITS.get(c, 6)}) AS {c}' if c != 'rn' else c for c in SPAN_COLUMNS)}, days_since_breakout::INT AS days_since_breakout, oversold_streak_days::INT AS oversold_streak_days FROM f")
+def q_w25(spark, sf):
+    df = B.daily_supplier_bars(spark, sf).withColumn("bar_date", F.to_date("bar_date"))
+    out = halo.with_indicators_by_span(df, SPANS, span=200)
+    return out.select("ticker", "bar_date", *(F.round(c, SPAN_DIGITS.get(c, 6)).alias(c) if c != "rn" else F.col(c) for c in SPAN_COLUMNS), "days_since_breakout", "oversold_streak_days")
+
+
 @register("q_m0_breakouts_in_uptrend", f"{F1} SELECT ticker, bar_date, close, highest_high, round(sma_trend, 6) AS sma_trend FROM f WHERE breakout_flag AND close >= sma_trend")
 def q_m0(spark, sf):
     return rounded(indicators.with_indicators(weekly(spark, sf), SMALL).where("breakout_flag AND close >= sma_trend").select("ticker", "bar_date", "close", "highest_high", "sma_trend"))
