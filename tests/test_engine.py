@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.config import StrategyConfig
-from tidebar.operators import allocation, halo, indicators, joins, lengths, metrics, selection, trades
-from tidebar.sources import readers, tables
+from tidebar.operators import allocation, halo, incremental, indicators, joins, lengths, metrics, selection, trades
+from tidebar.sources import layout, readers, tables, versions
 from tidebar.streaming import daily
 
 DAY = dt.date(2024, 1, 1)
@@ -190,13 +190,11 @@ def test_stream_of_scored_rows_is_upserted(spark, tmp_path):
     """Two runs of the stream over the same rows leave one row a key; readers see whole versions only."""
     schema = "ticker string, signal_date string, strategy string, signal string, score double"
     rows = spark.createDataFrame([("A", "2024-01-01", "rsi", "Buy", 1.0), ("B", "2024-01-01", "rsi", "Ignore", 2.0)], schema)
-    empty = tables.log_signals(rows.limit(0).withColumns({"tier": F.lit(""), "created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}), rows.limit(0), "2024-02-01")
     table = str(tmp_path / "signals")
-    tables.overwrite(empty, table)
     for run, score in (("1", 1.0), ("2", 3.0)):
         rows.withColumn("score", F.lit(score)).write.parquet(str(tmp_path / run))
         daily.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / run)), table, str(tmp_path / f"c{run}"), f"2024-02-0{run}").awaitTermination()
-    got = tables.current(spark, table).collect()
+    got = versions.read_table(spark, table).collect()
     assert [(r["ticker"], r["score"], r["tier"], r["created_at"].day, r["updated_at"].day) for r in got] == [("A", 3.0, "actionable", 1, 2)]
 
 
@@ -308,3 +306,117 @@ def test_spans_equal_whole_tickers(spark):
     for a, b in zip(got, want, strict=True):
         for c in columns:
             assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]), (c, a["bar_date"])
+
+
+def random_bars(spark, n, ticker="A", seed=8, gaps=True):
+    rng = random.Random(seed)
+    rows, price = [], 50.0
+    for i in range(n):
+        price = max(5.0, price + rng.uniform(-2, 2))
+        o = price + rng.uniform(-1, 1)
+        rows.append((o, None if gaps and i % 17 == 5 else max(o, price) + 1, min(o, price) - 1, None if gaps and i % 23 == 11 else price, 100 + i % 7))
+    return bars(spark, rows, ticker)
+
+
+BRISK = StrategyConfig(ma_window=5, sma_trend=12, volume_lookback=5, breakout_lookback=6, week52_lookback=15, support_lookback=5, rsi_window=4, atr_window=5, adx_window=5, pullback_ma=5, pullback_slope=3, obv_window=5)
+
+
+def test_states_moved_by_a_stream_equal_a_batch(spark, tmp_path):
+    from tidebar.streaming import indicators as stream
+
+    df = random_bars(spark, 90).unionByName(random_bars(spark, 60, "B", 9)).unionByName(random_bars(spark, 90, "C", 10).where("bar_date >= date'2024-03-20'")).withColumn("sector", F.lit("S"))
+    cut = DAY + dt.timedelta(days=60)
+    stream.start_from(incremental.state_after(df.where(F.col("bar_date") < F.lit(cut)), BRISK), str(tmp_path / "out"))
+    for i in range(30):  # a file a day, taken one at a time
+        df.where(F.col("bar_date") == F.lit(cut + dt.timedelta(days=i))).drop("sector").coalesce(1).write.parquet(str(tmp_path / "in" / f"d{i:02d}"))
+    source = spark.readStream.schema(df.drop("sector").schema).option("maxFilesPerTrigger", 5).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream.indicator_stream(source, str(tmp_path / "out"), str(tmp_path / "cp"), BRISK).awaitTermination()
+    got = {(r["ticker"], r["bar_date"]): r for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
+    want = indicators.with_indicators(df, BRISK).where(F.col("bar_date") >= F.lit(cut)).collect()
+    assert len(got) == len(want)
+    for w in want:
+        g = got[w["ticker"], w["bar_date"]]
+        for c in incremental.ROW:
+            assert g[c] == (pytest.approx(w[c], rel=1e-9, abs=1e-9) if isinstance(w[c], float) else w[c]), (c, w["ticker"], w["bar_date"])
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark):
+    df = random_bars(spark, 40)
+    once = incremental.advance(incremental.empty_state(spark), df, BRISK)
+    again = incremental.advance(once, df.where("bar_date > date'2024-01-20'"), BRISK)
+    assert incremental.rows_of(again).count() == 0 and incremental.rows_of(once).count() == 40
+    assert once.drop("out").collect() == again.drop("out").collect()
+    state = incremental.state_after(df, BRISK).select(*once.drop("out").columns).first().asDict(True)
+    for k, v in once.drop("out").first().asDict(True).items():
+        near = lambda x: None if x is None else pytest.approx(x, rel=1e-9)
+        assert state[k] == (near(v) if isinstance(v, float) else [near(x) for x in v] if k == "averages" else v), k
+
+
+def test_an_upsert_writes_its_months_only_and_old_versions_go(spark, tmp_path):
+    schema = "ticker string, signal_date string, strategy string, tier string, confirmed_filled boolean, fill_price double, confirmed_at timestamp"
+    make = lambda *rows: spark.createDataFrame([(t, d, "rsi", x, None, None, None) for t, d, x in rows], schema)
+    path = str(tmp_path / "t")
+    assert versions.upsert_months(make(("A", "2024-01-05", "x"), ("B", "2024-02-05", "x"), ("C", None, "x")), path, "2024-03-01") == ["2024-01", "2024-02", "none"]
+    before = versions.manifest(spark, path)[1]["partitions"]
+    assert versions.upsert_months(make(("B", "2024-02-05", "y"), ("B", "2024-02-06", "y")), path, "2024-03-02") == ["2024-02"]
+    after = versions.manifest(spark, path)[1]["partitions"]
+    assert {p for p in after if after[p] != before.get(p)} == {"2024-02"}
+    got = sorted((r["ticker"], str(r["signal_date"]), r["tier"], r["created_at"].day, r["updated_at"].day) for r in versions.read_table(spark, path).collect())
+    assert got == [("A", "2024-01-05", "x", 1, 1), ("B", "2024-02-05", "y", 1, 2), ("B", "2024-02-06", "y", 2, 2), ("C", "None", "x", 1, 1)]
+    for k in range(4):
+        versions.upsert_months(make(("B", "2024-02-05", f"z{k}")), path, "2024-03-03")
+    assert len(list((tmp_path / "t" / "manifest").glob("[0-9]*"))) == versions.KEEP
+    assert {r["tier"] for r in versions.read_table(spark, path, ["2024-02"]).collect()} == {"y", "z3"} and versions.read_table(spark, path).count() == 4
+    assert len(list((tmp_path / "t" / "data").glob("*/__month=2024-02"))) == versions.KEEP
+    n, m = versions.manifest(spark, path)
+    with pytest.raises(versions.ConcurrentWrite):
+        versions.commit(spark, path, n, m)
+    versions.replace_all(make(("Q", "2024-01-01", "q")), str(tmp_path / "w"))
+    versions.replace_all(versions.read_table(spark, str(tmp_path / "w")).limit(0), str(tmp_path / "w"))
+    assert versions.read_table(spark, str(tmp_path / "w")).count() == 0
+    with pytest.raises(ValueError, match="one whole"):
+        versions.upsert_months(make(("A", "2024-01-05", "x")), str(tmp_path / "w"))
+
+
+def test_windows_over_laid_out_bars_exchange_nothing(spark):
+    df = random_bars(spark, 60, gaps=False).unionByName(random_bars(spark, 40, "B", 9, False))
+    layout.save_bars(df.where("bar_date < date'2024-02-01'"), "laid_out", 2)
+    whole = layout.read_bars(spark, "laid_out")
+    w = lambda t: t.withColumns({"h": indicators.prior_high(5), "m": indicators.sma("close", 5)})
+    assert "Exchange" not in plan(w(whole)) and "Sort " not in plan(w(whole))
+    assert "Exchange" not in plan(indicators.adx(whole, 5))
+    layout.append_day(df.where("bar_date >= date'2024-02-01'"), "laid_out")
+    later = layout.read_bars(spark, "laid_out")
+    assert "Exchange" not in plan(w(later))
+    columns = ["ticker", "bar_date", "h", "m"]
+    assert sorted(map(str, w(later).select(*columns).collect())) == sorted(map(str, w(df).select(*columns).collect()))
+    spark.sql("DROP TABLE laid_out")
+
+
+def test_small_spreads_about_large_means(spark):
+    rows = [(None, 1000.0 + i * 1e-4, "WIN", 1.0 + i % 2) for i in range(10)]
+    df = spark.createDataFrame([("g", p, s, w) for _, p, s, w in rows] + [("h", 0.1, "LOSS", 1 / 3)] * 7, "g string, pnl_pct double, status string, weight double")
+    got = {r["g"]: r for r in metrics.weighted_summary(df, ["g"]).collect()}
+    total = sum(w for *_, w in rows)
+    mean = 1000.0 + sum(w * i * 1e-4 for i, (*_, w) in enumerate(rows)) / total
+    assert got["g"]["w_std"] == pytest.approx((sum(w * (p - mean) ** 2 for _, p, _, w in rows) / total) ** 0.5, rel=1e-6)
+    assert (got["h"]["w_std"], got["h"]["w_sharpe_like"], got["h"]["n"]) == (0.0, None, 7)
+
+
+def test_the_last_index_bar_holds_on_without_an_end(spark):
+    day = lambda y: dt.date(y, 1, 3)
+    left = spark.createDataFrame([(day(y),) for y in (1999, 2000, 2005, 2055)], "bar_date date")
+    right = spark.createDataFrame([(day(2000), 7)], "bar_date date, x int")
+    assert [r["x"] for r in joins.asof_calendar(left, right, ["x"]).orderBy("bar_date").collect()] == [None, 7, 7, 7]
+
+
+def test_spells_of_members(spark):
+    d = lambda m: dt.date(2024, m, 1)
+    snaps = spark.createDataFrame([(d(1), ["A", "B"]), (d(2), ["A"]), (d(3), ["A", "B", "B"]), (d(5), ["C", "A"])], "snapshot_date date, tickers array<string>")
+    spells = readers.membership_spells(snaps)
+    assert sorted(map(tuple, spells.collect()), key=str) == sorted([("A", None, None), ("B", None, d(2)), ("B", d(3), d(5)), ("C", d(5), None)], key=str)
+    days = [dt.date(2023, 1, 1), d(1), d(2), dt.date(2024, 4, 30), d(5), d(9)]
+    rows = spark.createDataFrame([(t, x) for t in "ABCD" for x in days], "ticker string, day date")
+    for x in days:
+        want = {r["ticker"] for r in readers.members_as_of(snaps, x).collect()}
+        assert {r["ticker"] for r in joins.members_then(rows, spells, "day").where(F.col("day") == F.lit(x)).collect()} == want

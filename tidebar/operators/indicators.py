@@ -46,8 +46,8 @@ def support(n: int) -> tuple[Column, Column]:
     return best["low"], best["bar_date"]
 
 
-def wilder_all(df: DataFrame, outs: dict[str, str], n: int) -> DataFrame:
-    """Adds for each column x of `outs` its y_t = y_{t-1} + (x_t - y_{t-1}) / n, from the first row on where all are known, null before n values.
+def wilder_all(df: DataFrame, outs: dict[str, str], n: int, least: int | None = None) -> DataFrame:
+    """Adds for each column x of `outs` its y_t = y_{t-1} + (x_t - y_{t-1}) / n, from the first row on where all are known, null before n (or `least`) values.
 
     Closed form with prefix sums, y_t = r^t (x_0 + a sum x_i r^-i) with r = 1 - 1/n, in
     blocks so that r^-i stays small: a block is so long that r^block is below double
@@ -74,7 +74,7 @@ def wilder_all(df: DataFrame, outs: dict[str, str], n: int) -> DataFrame:
     earlier = Window.partitionBy("ticker").orderBy(b, "bar_date").rowsBetween(Window.unboundedPreceding, -1)
     ends = lambda y: F.last(F.when(m == block - 1, F.col(f"__s_{y}")), ignorenulls=True).over(earlier)
     value = lambda y: F.col(f"__s_{y}") + F.when(F.col(b) > 0, F.coalesce(ends(y), F.lit(0.0)) * F.pow(F.lit(r), m + 1)).otherwise(0.0)
-    df = df.withColumns({y: F.when(F.col(t) >= n - 1, value(y)) for y in outs.values()})
+    df = df.withColumns({y: F.when(F.col(t) >= (n if least is None else least) - 1, value(y)) for y in outs.values()})
     return df.drop(t, b, *(f"__s_{y}" for y in outs.values()))
 
 

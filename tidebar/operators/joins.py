@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from .indicators import by_ticker, sma
 
 
-#: Days for which the last row of a calendar holds on.
-OPEN_END = 3660
-
-
 def asof_calendar(left: DataFrame, right: DataFrame, columns: list[str], day: str = "bar_date") -> DataFrame:
     """Left rows with `columns` of the last row of `right` up to their day; right has one row for each day of one calendar.
 
-    Each row of the calendar is laid out over the days up to the next one (the last one
-    over OPEN_END days), so the join is an equality with a side of one narrow row for each
-    day of one calendar, whatever the number of tickers.  No earlier row gives nulls.
+    Each row of the calendar is laid out over the days up to the next one, so the join is an
+    equality with a side of one narrow row for each day of one calendar, whatever the
+    number of tickers.  The last row holds on without an end (a scalar subquery).  No
+    earlier row gives nulls.
     """
     following = F.lead(day).over(Window.orderBy(day))
     spans = right.select(day, *columns, following.alias("__next"))
-    until = F.coalesce(F.date_sub("__next", 1), F.date_add(day, OPEN_END))
+    until = F.coalesce(F.date_sub("__next", 1), F.col(day))
     repeated = F.when(F.col("__next") == F.col(day), F.raise_error(F.lit("repeated day in the calendar")).cast("date")).otherwise(until)
     days = spans.select(F.explode(F.sequence(F.col(day), repeated)).alias(day), *columns)
-    return left.join(F.broadcast(days), day, "left")
+    last = right.agg(F.max_by(F.struct(F.col(day).alias("__day"), *columns), day)).scalar()
+    out = left.join(F.broadcast(days), day, "left").withColumn("__last", last)
+    return out.withColumns({c: F.when(F.col(day) > F.col("__last.__day"), F.col(f"__last.{c}")).otherwise(F.col(c)) for c in columns}).drop("__last")
+
+
+def members_then(rows: DataFrame, spells: DataFrame, day: str) -> DataFrame:
+    """Rows whose ticker was a member on their day; a ticker has a spell or a few, which do not overlap."""
+    s = spells.select(F.col("ticker").alias("__t"), "member_from", "member_until")
+    inside = (F.col("member_from").isNull() | (F.col("member_from") <= F.col(day))) & (F.col("member_until").isNull() | (F.col(day) < F.col("member_until")))
+    return rows.join(s, (F.col("ticker") == F.col("__t")) & inside, "left_semi")
 
 
 def market_is_up(market: DataFrame, trend: int) -> DataFrame:

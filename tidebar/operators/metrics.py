@@ -27,21 +27,28 @@ def cluster_weights(trades: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def weighted_summary(trades: DataFrame, by: list[str] | None = None, weight: str = "weight") -> DataFrame:
-    """Weighted mean, population deviation, win rate and effective count, in one pass over resolved trades.
+    """Weighted mean, population deviation, win rate and effective count over resolved trades.
 
-    Results in percent are near their mean in size, so the difference of second moments
-    loses a few digits at most; what rounding leaves of equal results counts as none.
+    Trades of one weight are counted, averaged and spread by Spark's own mergeable moments; those of
+    all weights are put together about their common mean, so small spreads about large
+    means keep their digits and equal results have none.  Weights are shares of a cluster times those of a fold,
+    so there are few of them.
     """
     by = by or []
-    w, x = F.col(weight), F.col("pnl_pct")
-    sums = trades.where("status <> 'OPEN'").groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * x).alias("swx"), F.sum(w * x * x).alias("swxx"),
-        F.sum(F.when(F.col("status") == "WIN", w).otherwise(0.0)).alias("won"),
+    x, w = F.col("pnl_pct"), F.col("__w")
+    same = trades.where("status <> 'OPEN'").withColumn("__w", F.col(weight)).groupBy(*by, "__w").agg(
+        F.count("*").alias("k"), F.count(x).alias("kx"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.min(x).alias("low"), F.max(x).alias("high"), F.count_if(F.col("status") == "WIN").alias("won"),
+    )
+    group = Window.partitionBy(*by)
+    mean = F.try_divide(F.sum(w * F.col("kx") * F.col("m")).over(group), F.sum(w * F.col("k")).over(group))
+    about = w * F.col("kx") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
+    sums = same.withColumn("mean", mean).groupBy(*by).agg(
+        F.sum("k").cast("long").alias("n"), F.sum(w * F.col("k")).alias("sw"), F.sum(w * w * F.col("k")).alias("sww"), F.sum(w * F.col("kx") * F.col("m")).alias("swx"), F.sum(about).alias("m2"),
+        F.sum(w * F.col("won")).alias("won"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
     some = lambda c: F.when(F.col("sw") > 0, c)
-    mean, square = F.try_divide("swx", "sw"), F.try_divide("swxx", "sw")
-    spread = F.when(square - mean * mean > square * 1e-12, square - mean * mean).otherwise(F.lit(0.0) * square)
-    out = sums.select(*by, "n", some(mean).alias("w_mean"), some(F.sqrt(spread)).alias("w_std"), some(F.try_divide("won", "sw") * 100).alias("w_win_rate_pct"), some(F.try_divide(F.col("sw") * F.col("sw"), F.col("sww"))).alias("kish_n"))
+    spread = F.when(F.col("low") == F.col("high"), F.lit(0.0)).otherwise(F.try_divide("m2", "sw"))
+    out = sums.select(*by, "n", some(F.try_divide("swx", "sw")).alias("w_mean"), some(F.sqrt(spread)).alias("w_std"), some(F.try_divide("won", "sw") * 100).alias("w_win_rate_pct"), some(F.try_divide(F.col("sw") * F.col("sw"), F.col("sww"))).alias("kish_n"))
     return out.select(*by, "n", "w_mean", "w_std", "w_win_rate_pct", F.when(F.col("w_std") > 0, F.col("w_mean") / F.col("w_std")).alias("w_sharpe_like"), "kish_n")
 
 

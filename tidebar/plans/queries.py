@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STRATEGIES, StrategyConfig
-from ..operators import allocation, halo, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
+from ..operators import allocation, halo, incremental, indicators, joins, levels, metrics, scoring, selection, trades, verdicts
 from ..sources import bars as B
-from ..sources import readers, tables
+from ..sources import layout, readers, tables, versions
 from ..sources.shared import kept, scratch
 from . import oracle as O
 
@@ -102,6 +103,17 @@ def membership(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.make_date("y", F.lit(1), F.lit(1)).alias("snapshot_date")).agg(F.collect_list("ticker").alias("tickers"))
 
 
+SPELLS = "sy AS (SELECT y, row_number() OVER (ORDER BY y) AS k FROM (SELECT DISTINCT year(bar_date) AS y FROM bars)), sm AS (SELECT ticker, k, k - row_number() OVER (PARTITION BY ticker ORDER BY k) AS run FROM u JOIN sy ON n_nationkey % 7 <> y % 7), sp AS (SELECT ticker, CASE WHEN min(k) > 1 THEN make_date((SELECT y FROM sy WHERE sy.k = min(sm.k)), 1, 1) END AS member_from, make_date((SELECT y FROM sy WHERE sy.k = max(sm.k) + 1), 1, 1) AS member_until FROM sm GROUP BY ticker, run)"
+
+
+@register("q_s09_membership_spells", f"WITH {O.BARS}, {SPELLS} SELECT * FROM sp")
+def q_s09_spells(spark, sf):
+    """Snapshots written as a CSV file, loaded, and put together as spells."""
+    path = scratch(spark)
+    tables.export_csv(membership(spark, sf).select(F.col("snapshot_date").alias("date"), F.array_join(F.array_sort("tickers"), ",").alias("tickers")), path)
+    return readers.membership_spells(readers.read_membership(spark, path))
+
+
 # Indicators
 
 F1 = O.base(SMALL)
@@ -152,6 +164,33 @@ def q_w25(spark, sf):
     return out.select("ticker", "bar_date", *(F.round(c, SPAN_DIGITS.get(c, 6)).alias(c) if c != "rn" else F.col(c) for c in SPAN_COLUMNS), "days_since_breakout", "oversold_streak_days")
 
 
+STATE_DIGITS = {"atr": 4}
+STATE_ROWS = [c for c in incremental.ROW if c not in ("rn", "oversold_streak_days", "days_since_breakout")]
+
+
+@register("q_w26_incremental_update", f"{F1} SELECT ticker, bar_date, rn, oversold_streak_days::INT AS oversold_streak_days, days_since_breakout::INT AS days_since_breakout, {', '.join(f'round({c}, {STATE_DIGITS.get(c, 6)}) AS {c}' for c in STATE_ROWS)} FROM f WHERE bar_date >= DATE '1998-03-01'")
+def q_w26(spark, sf):
+    """The state after the bars before a day, moved on by the bars since then."""
+    b = kept(weekly(spark, sf))
+    day = F.lit("1998-03-01").cast("date")
+    moved = incremental.advance(incremental.state_after(b.where(F.col("bar_date") < day), SMALL), b.where(F.col("bar_date") >= day), SMALL)
+    return incremental.rows_of(moved).select("ticker", "bar_date", "rn", "oversold_streak_days", "days_since_breakout", *(F.round(c, STATE_DIGITS.get(c, 6)).alias(c) for c in STATE_ROWS))
+
+
+def laid_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly bars as a bucketed table of this session."""
+    table = f"bars_{uuid.uuid4().hex}"
+    bars = kept(weekly(spark, sf))
+    layout.save_bars(bars, table, layout.buckets_for(bars.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return layout.read_bars(spark, table)
+
+
+@register("q_d02_bucketed_adx", f"{F1} SELECT ticker, bar_date, round(adx, 6) AS adx, round(atr, 4) AS atr FROM f")
+def q_d02(spark, sf):
+    df = indicators.adx(laid_out(spark, sf), SMALL.adx_window, atr_out="atr")
+    return df.select("ticker", "bar_date", F.round("adx", 6).alias("adx"), F.round("atr", 4).alias("atr"))
+
+
 @register("q_m0_breakouts_in_uptrend", f"{F1} SELECT ticker, bar_date, close, highest_high, round(sma_trend, 6) AS sma_trend FROM f WHERE breakout_flag AND close >= sma_trend")
 def q_m0(spark, sf):
     return rounded(indicators.with_indicators(weekly(spark, sf), SMALL).where("breakout_flag AND close >= sma_trend").select("ticker", "bar_date", "close", "highest_high", "sma_trend"))
@@ -443,6 +482,24 @@ def q_t14(spark, sf):
     return universe_summaries(spark, sf)
 
 
+@register("q_j03_members_over_time", f"{TR}, {SPELLS}, mt AS (SELECT tr.*, year(signal_date)::INT AS year FROM tr JOIN sp ON sp.ticker = tr.ticker AND (member_from IS NULL OR member_from <= signal_date) AND (member_until IS NULL OR signal_date < member_until)) {O.summary('mt', 'year')}")
+def q_j03(spark, sf):
+    """Trades of those that were members on the day of the signal, by year."""
+    b, m = B.panel(spark, sf)
+    members = joins.members_then(trades.make_trades(b, m, PULL), readers.membership_spells(membership(spark, sf)), "signal_date")
+    return rounded(metrics.summary(members.withColumn("year", F.year("signal_date")), ["year"]))
+
+
+@register("q_t14_universes_over_time", f"{TR}, {SPELLS}, wl AS (SELECT ticker FROM (SELECT DISTINCT ticker FROM u) ORDER BY md5(ticker || '|{SEED}') LIMIT 8), tt AS (SELECT 'watchlist' AS universe_id, tr.* FROM tr JOIN wl USING (ticker) UNION ALL SELECT 'members', tr.* FROM tr JOIN sp ON sp.ticker = tr.ticker AND (member_from IS NULL OR member_from <= signal_date) AND (member_until IS NULL OR signal_date < member_until)) {O.summary('tt', 'universe_id')}")
+def q_t14_over_time(spark, sf):
+    """A sample of the watchlist of today against those that were members at the time."""
+    b, m = B.panel(spark, sf)
+    tr = kept(trades.make_trades(b, m, PULL))
+    today = tr.join(selection.sample_tickers(B.universe(spark, sf), 8, SEED), "ticker", "left_semi").withColumn("universe_id", F.lit("watchlist"))
+    then = joins.members_then(tr, readers.membership_spells(membership(spark, sf)), "signal_date").withColumn("universe_id", F.lit("members"))
+    return rounded(metrics.summary(today.unionByName(then), ["universe_id"]))
+
+
 @register("q_g16_universe_delta", f"{US} SELECT round(max(win_rate_pct) FILTER (WHERE universe_id = 'watchlist') - max(win_rate_pct) FILTER (WHERE universe_id = 'members'), 5) AS win_rate_delta, round(coalesce(max(sharpe_like) FILTER (WHERE universe_id = 'watchlist'), 0) - coalesce(max(sharpe_like) FILTER (WHERE universe_id = 'members'), 0), 5) AS sharpe_delta FROM us")
 def q_g16(spark, sf):
     return rounded(metrics.universe_delta(universe_summaries(spark, sf), "watchlist", "members"), 5)
@@ -553,6 +610,19 @@ def q_k01(spark, sf):
     return upserted(spark, sf).select("ticker", "signal_date", "strategy", "tier", "settled", (F.year("created_at") == 2020).alias("was_there"), "confirmed_filled", "fill_price", F.year("created_at").alias("created_year"), F.year("updated_at").alias("updated_year"))
 
 
+@register("q_k11_month_upsert", f"{STORED}, m AS (SELECT *, strftime(signal_date, '%Y-%m') AS month, strftime(signal_date, '%Y-%m') IN ('1996-06', '1997-02') AS again FROM st) SELECT ticker, signal_date, strftime(signal_date, '%Y-%m') AS month, CASE WHEN again THEN 'research_loosened' ELSE tier END AS tier, 2020::INT AS created_year, CASE WHEN again THEN 2021 ELSE 2020 END::INT AS updated_year, CASE WHEN again THEN 2 ELSE 1 END AS writes FROM m")
+def q_k11(spark, sf):
+    """All signals, then those of two months again: only these two months are written a second time."""
+    path = scratch(spark)
+    s = kept(stored_signals(spark, sf).drop("config", "settled").withColumn("confirmed_at", F.lit(None).cast("timestamp")))
+    versions.upsert_months(s, path, "2020-01-01")
+    first = versions.manifest(spark, path)[1]["partitions"]
+    versions.upsert_months(s.where(versions.month().isin("1996-06", "1997-02")).withColumn("tier", F.lit("research_loosened")), path, "2021-01-01")
+    twice = [p for p, folder in versions.manifest(spark, path)[1]["partitions"].items() if first.get(p) != folder]
+    out = versions.read_table(spark, path).withColumn("month", versions.month())
+    return out.select("ticker", "signal_date", "month", "tier", F.year("created_at").alias("created_year"), F.year("updated_at").alias("updated_year"), F.when(F.col("month").isin(twice), 2).otherwise(1).alias("writes"))
+
+
 @register("q_k02_tier_counts", f"{STORED} SELECT tier, count(*)::BIGINT AS n FROM st GROUP BY 1")
 def q_k02(spark, sf):
     return tables.tier_counts(scoring.scored(levels.levels(frame(spark, sf, RSI), RSI), RSI))
@@ -767,7 +837,11 @@ def q_r05(spark, sf):
 def q_k08(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     rows = s.select(F.concat(F.lit(" "), F.lower("s_name"), F.lit(" ")).alias("ticker"), F.col("s_acctbal").cast("double").alias("amount"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).otherwise(0).cast("double").alias("avg_cost"))
-    return tables.clean_holdings(rows, "2021-01-01").select("ticker", "amount", F.coalesce("avg_cost", F.lit(-1.0)).alias("avg_cost"))
+    path = scratch(spark)
+    # What was held before is replaced as a whole.
+    versions.replace_all(tables.clean_holdings(rows.withColumn("amount", F.lit(1.0)), "2020-01-01"), path)
+    versions.replace_all(tables.clean_holdings(rows, "2021-01-01"), path)
+    return versions.read_table(spark, path).select("ticker", "amount", F.coalesce("avg_cost", F.lit(-1.0)).alias("avg_cost"))
 
 
 @register("q_k09_csv_export", f"{O.base(RSI)}, {O.levels(RSI)}, {O.scores(RSI)} SELECT ticker, as_of, trade_score, signal FROM sc WHERE signal IN ('Strong Buy', 'Buy')")

@@ -81,6 +81,21 @@ def members_as_of(membership: DataFrame, day) -> DataFrame:
     return pick.select(F.explode("tickers").alias("ticker"))
 
 
+def membership_spells(membership: DataFrame) -> DataFrame:
+    """(ticker, member_from, member_until): a row for each run of snapshots that hold a ticker, until the first that does not.
+
+    What the first snapshot holds was there before it (member_from is null), what the last one
+    holds stays (member_until is null).  Snapshots of one day are one.
+    """
+    days = membership.select("snapshot_date").distinct()
+    w = Window.orderBy("snapshot_date")  # a row for each snapshot
+    days = days.select("snapshot_date", F.row_number().over(w).alias("k"), F.lead("snapshot_date").over(w).alias("following"))
+    held = membership.join(days, "snapshot_date").select("k", "snapshot_date", "following", F.explode("tickers").alias("ticker")).distinct()
+    held = held.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("ticker").orderBy("k")))
+    spells = held.groupBy("ticker", "run").agg(F.min("k").alias("k"), F.min("snapshot_date").alias("a"), F.max_by("following", "k").alias("member_until"))
+    return spells.select("ticker", F.when(F.col("k") > 1, F.col("a")).alias("member_from"), "member_until")
+
+
 def headlines(items: DataFrame, count: int = 3) -> DataFrame:
     """(ticker, rank, title) of the first `count` items; an item without a title uses up its place."""
     first = items.where(F.col("rank") <= count)

@@ -22,8 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store, hadoop = _at(spark, path)
     store.deleteOnExit(hadoop)
     return path
 
@@ -33,3 +32,18 @@ def kept(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, hadoop = _at(spark, path)
+    return store.exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, hadoop = _at(spark, path)
+    store.delete(hadoop, True)
