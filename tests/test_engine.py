@@ -420,3 +420,32 @@ def test_spells_of_members(spark):
     for x in days:
         want = {r["ticker"] for r in readers.members_as_of(snaps, x).collect()}
         assert {r["ticker"] for r in joins.members_then(rows, spells, "day").where(F.col("day") == F.lit(x)).collect()} == want
+
+
+def test_allocation_in_chunks_equals_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(f"T{rng.randint(0, 400):03d}", rng.choice(["Buy", "Strong Buy", "Watch"]), float(rng.randint(40, 99)), rng.choice([round(rng.uniform(1, 60), 2), 0.5]), rng.choice(["a", "b", "c", None]), rng.choice([1, 1, 2, None])) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "ticker string, signal string, trade_score double, est_cost double, sector string, day int")
+    held = spark.createDataFrame([("X", "a", 300.0), ("Y", None, 50.0)], "ticker string, sector string, amount double")
+    got = allocation.allocate(df, ["day"], 4000.0, cap_share=0.25, holdings=held, chunk=100).collect()
+    want = []
+    for day in (None, 1, 2):
+        left, by, mine = 4000.0, {"a": 300.0}, []
+        for r in sorted((r for r in rows if r[5] == day), key=lambda r: (-r[2], r[0], r[1], r[3], r[4] is not None, r[4] or "")):
+            label, spent = r[1], 0.0
+            if r[1] != "Watch":
+                if r[3] > left:
+                    label = "Insufficient Funds"
+                elif r[4] is not None and by.get(r[4], 0.0) + r[3] > 0.25 * 4350.0:
+                    label = "Sector Limit Reached"
+                else:
+                    spent = r[3]
+                    left -= spent
+                    if r[4] is not None:
+                        by[r[4]] = by.get(r[4], 0.0) + spent
+            mine.append([*r, label, spent])
+        want += [(*r, pytest.approx(4000.0 - left)) for r in mine]
+    key = lambda r: str(tuple(r)[:8])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and {r["final_signal"] for r in got} == {"Buy", "Strong Buy", "Watch", "Insufficient Funds", "Sector Limit Reached"}
+    assert {(r["day"], round(r["allocated"], 6)) for r in got} == {(r[5], round(r[8].expected, 6)) for r in want}
+    assert allocation.allocate(df.limit(0), ["day"], 1.0).count() == 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import round_even
+from ..sources.shared import kept
 
 
 def sized(rows: DataFrame, decimals: int = 4, risk: float | None = None, budget: float | None = None) -> DataFrame:
@@ -19,45 +22,102 @@ def sized(rows: DataFrame, decimals: int = 4, risk: float | None = None, budget:
     return df.withColumn("est_cost", round_even(F.col("shares") * F.col("buy_price"), 2))
 
 
-def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame | None = None, cap_share: float | None = None, holdings: DataFrame | None = None) -> DataFrame:
+#: Rows of a pool that are walked at once.
+CHUNK = 50_000
+#: Types of the state between chunks.
+_STATE = "struct<left:double,by:array<struct<sector:string,spent:double>>>"
+
+
+def _ranked(df: DataFrame, pool: list[str]) -> DataFrame:
+    """Rows with place, their number (from 0) in the order of their pool, without a pool in one task.
+
+    Ranges of (pool, order) are numbered inside, after what the ranges before them hold of the pool.
+    """
+    keys = [*(F.col(c).asc_nulls_first() for c in pool), F.desc("trade_score"), F.col("ticker"), F.col("signal"), F.col("est_cost"), F.col("sector"), F.col("__tie")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*pool, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*pool).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(c).alias(f"__p{i}") for i, c in enumerate(pool)), F.col("__part").alias("__q"), before.alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*pool, "__part").orderBy(*keys[len(pool) :]))
+    same = F.col("__part") == F.col("__q")
+    for i, c in enumerate(pool):
+        same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    out = ranged.withColumn("__k", inside).join(starts, same)
+    return out.withColumn("place", F.col("__start") + F.col("__k") - 1).drop("__tie", "__part", "__q", "__start", "__k", *(f"__p{i}" for i in range(len(pool))))
+
+
+def _walk(cash: float, seed: dict[str, float], cap: float | None, row_type: pa.DataType):
+    """Walks a chunk of a pool in order from the state that the chunk before left."""
+
+    def run(chunk: pa.Table, state: pa.Table) -> pa.Table:
+        if not chunk.num_rows:  # the pool has ended
+            return pa.Table.from_pylist([], schema=schema)
+        chunk = chunk.sort_by("place")
+        before = state.column("state")[0].as_py() if state.num_rows else {"left": cash, "by": [{"sector": k, "spent": v} for k, v in seed.items()]}
+        left, by = before["left"], {x["sector"]: x["spent"] for x in before["by"]}
+        labels, spents = [], []
+        for signal, cost, sector in zip(*(chunk.column(c).to_pylist() for c in ("signal", "est_cost", "sector")), strict=True):
+            label, spent = signal, 0.0
+            if signal in ("Strong Buy", "Buy"):
+                if cost is not None and cost > left:
+                    label = "Insufficient Funds"
+                elif cost is not None and sector is not None and cap is not None and by.get(sector, 0.0) + cost > cap:
+                    label = "Sector Limit Reached"
+                elif cost is not None:
+                    spent = cost
+                    left -= cost
+                    if sector is not None:
+                        by[sector] = by.get(sector, 0.0) + cost
+            labels.append(label)
+            spents.append(spent)
+        end = {"left": left, "by": [{"sector": k, "spent": v} for k, v in by.items()]}
+        pools = chunk.column("pool").combine_chunks()
+        rows = pa.table([pools, chunk.column("row").combine_chunks(), pa.array(labels, pa.string()), pa.array(spents, pa.float64()), pa.nulls(len(labels), schema.field("state").type)], schema=schema)
+        return pa.concat_tables([rows, pa.table([pools.slice(0, 1), pa.nulls(1, row_type), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.array([end], schema.field("state").type)], schema=schema)])
+
+    state_type = pa.struct([("left", pa.float64()), ("by", pa.list_(pa.struct([("sector", pa.string()), ("spent", pa.float64())])))])
+    schema = pa.schema([("pool", pa.string()), ("row", row_type), ("final_signal", pa.string()), ("spent", pa.float64()), ("state", state_type)])
+    return run
+
+
+def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame | None = None, cap_share: float | None = None, holdings: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """Rows with final_signal, spent and allocated (the pool's total), walked by falling score (then ticker) within each pool.
 
     A row that costs more than is left, or that would lift its sector over the cap,
     is relabelled and takes nothing; the walk goes on.  The cap is a share of cash
     and all holdings, and holdings count as spent in their sectors.  Rows that repeat
-    are rows of their own; a null in the pool's columns is a pool.  Pools are
-    independent and walked in parallel; a pool is one array, so it should be a day's
-    signals (tens to some thousands of rows), as every step depends on the one before.
+    are rows of their own; a null in the pool's columns is a pool, a row without a cost takes nothing.
+
+    Every step depends on the one before, so a pool is walked in chunks: all pools' first
+    chunks at once, then the second ones from the states (cash left and spent by sector)
+    that the first ones left.  A task holds one chunk, and there are as many rounds
+    as the largest pool has chunks: one for pools of some thousand rows.
     """
     df = rows
     if sectors is not None:
         df = df.drop("sector").join(sectors.select("ticker", "sector"), "ticker", "left")
     elif "sector" not in df.columns:
         df = df.withColumn("sector", F.lit(None).cast("string"))
-    zero = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    walked = F.struct((-F.col("trade_score")).alias("rank"), F.col("ticker").alias("t"), F.col("signal").alias("signal"), F.col("est_cost").alias("cost"), F.col("sector").alias("sector"), F.struct(*df.columns).alias("row"))
-    pools = df.groupBy(*pool).agg(F.array_sort(F.collect_list(walked)).alias("r")).select("r")
+    seed: dict[str, float] = {}
+    held = 0.0
     if holdings is not None and cap_share:
-        held = holdings.join(sectors.select("ticker", "sector"), "ticker", "left") if sectors is not None and "sector" not in holdings.columns else holdings
-        by_sector = held.groupBy("sector").agg(F.sum("amount").alias("a"))
-        entries = F.collect_list(F.when(F.col("sector").isNotNull(), F.struct("sector", "a")))
-        start = by_sector.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("held"), F.map_from_entries(entries).alias("seed"))
-        pools = pools.join(F.broadcast(start))  # one row: a sum and a number for each sector
-    else:
-        pools = pools.withColumn("held", F.lit(0.0)).withColumn("seed", zero)
-    cap = (F.lit(float(cash)) + F.col("held")) * F.lit(float(cap_share)) if cap_share and cap_share > 0 else F.lit(None).cast("double")
-    first = F.struct(F.lit(float(cash)).alias("left"), F.coalesce("seed", zero).cast("map<string,double>").alias("by"), F.array().cast("array<struct<label:string,spent:double>>").alias("out"))
-
-    def walk(s, x):
-        wanted = x["signal"].isin("Strong Buy", "Buy")
-        poor = x["cost"] > s["left"]
-        in_sector = F.coalesce(s["by"][x["sector"]], F.lit(0.0))
-        full = F.coalesce(x["sector"].isNotNull() & (in_sector + x["cost"] > cap), F.lit(False))
-        label = F.when(~wanted, x["signal"]).when(poor, "Insufficient Funds").when(full, "Sector Limit Reached").otherwise(x["signal"])
-        taken = wanted & ~poor & ~full
-        spent = F.when(taken, x["cost"]).otherwise(0.0)
-        by = F.when(taken & x["sector"].isNotNull(), F.map_zip_with(s["by"], F.create_map(F.coalesce(x["sector"], F.lit("")), spent), lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))).otherwise(s["by"])
-        return F.struct((s["left"] - spent).alias("left"), by.alias("by"), F.concat(s["out"], F.array(F.struct(label.alias("label"), spent.alias("spent")))).alias("out"))
-
-    done = pools.withColumn("w", F.aggregate("r", first, walk)).select((F.lit(float(cash)) - F.col("w.left")).alias("allocated"), F.explode(F.arrays_zip("r", F.col("w.out").alias("out"))).alias("a"))
-    return done.select("a.r.row.*", F.col("a.out.label").alias("final_signal"), F.col("a.out.spent").alias("spent"), "allocated")
+        own = holdings.join(sectors.select("ticker", "sector"), "ticker", "left") if sectors is not None and "sector" not in holdings.columns else holdings
+        sums = {r["sector"]: r["a"] or 0.0 for r in own.groupBy("sector").agg(F.sum("amount").alias("a")).collect()}  # a row for each sector
+        held, seed = sum(sums[k] for k in sorted(sums, key=str)), {k: v for k, v in sums.items() if k is not None}
+    cap = (float(cash) + held) * float(cap_share) if cap_share and cap_share > 0 else None
+    names = df.columns
+    ranked = _ranked(df, pool)
+    key = F.to_json(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(pool))))
+    dealt = kept(ranked.select(key.alias("pool"), F.floor(F.col("place") / chunk).cast("int").alias("chunk"), "place", "signal", F.col("est_cost").cast("double").alias("est_cost"), "sector", F.struct(*names).alias("row")))
+    last = dealt.agg(F.max("chunk")).first()[0]
+    row_type = to_arrow_type(dealt.schema["row"].dataType)
+    out_type = f"pool string, row {dealt.schema['row'].dataType.simpleString()}, final_signal string, spent double, state {_STATE}"
+    state = dealt.sparkSession.createDataFrame([], f"pool string, state {_STATE}")
+    done, ends = dealt.sparkSession.createDataFrame([], out_type), state
+    for c in range((-1 if last is None else last) + 1):
+        part = kept(dealt.where(F.col("chunk") == c).groupBy("pool").cogroup(state.groupBy("pool")).applyInArrow(_walk(float(cash), seed, cap, row_type), out_type))
+        state = part.where("state IS NOT NULL").select("pool", "state")
+        done, ends = done.union(part.where("state IS NULL")), ends.union(state)
+    total = ends.groupBy("pool").agg((F.lit(float(cash)) - F.min("state.left")).alias("allocated"))  # what is left only falls
+    return done.join(total, "pool").select("row.*", "final_signal", "spent", "allocated")

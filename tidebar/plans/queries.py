@@ -928,8 +928,25 @@ def q_p20(spark, sf):
     return verdicts.verdict_levels(verdicts.parsed_verdicts(responses(spark, sf)), indicators.latest(frame(spark, sf)), SMALL)
 
 
-@register("q_p21_prompts", f"{O.base(PULL)}, {O.levels(PULL)}, {O.scores(PULL)}, {NEWS}, z AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) = 1), t AS (SELECT ticker, string_agg('- ' || title, chr(10) ORDER BY rank) AS t FROM nw WHERE rank <= 5 AND title IS NOT NULL GROUP BY 1) SELECT z.ticker, format('Ticker {{}}: close {{:.2f}}, score {{:.1f}} ({{}}), buy {{:.2f}}, target {{:.2f}}, stop {{:.2f}}.', z.ticker, last_close, trade_score, signal, buy_price, sell_price, stop_loss) || chr(10) || 'Headlines:' || chr(10) || coalesce(t, '- none') AS prompt FROM z LEFT JOIN t ON t.ticker = z.ticker")
+PROMPTED = ("rsi", "pullback", "week52")
+PROMPT_SCORES = " UNION ALL ".join(f"(SELECT * FROM ({O.base(CFG[s])}, {O.levels(CFG[s])}, {O.scores(CFG[s])} SELECT ticker, as_of, strategy, trade_score, last_close, rsi, atr FROM sc))" for s in PROMPTED)
+PROMPT_SQL = f"""WITH {O.BARS}, {O.EARNINGS}, {NEWS}, s AS MATERIALIZED ({PROMPT_SCORES}), z AS (SELECT * FROM s QUALIFY as_of = max(as_of) OVER (PARTITION BY ticker)),
+    g AS (SELECT ticker, as_of, any_value(last_close) AS last_close, any_value(rsi) AS rsi, any_value(atr) AS atr, string_agg(strategy || '=' || printf('%.1f', trade_score), ', ' ORDER BY strategy) AS scores FROM z GROUP BY ALL),
+    e AS (SELECT g.ticker, min(earnings_ts) AS next FROM g JOIN earnings USING (ticker) WHERE earnings_ts >= as_of::TIMESTAMP GROUP BY 1),
+    fu AS (SELECT n_name AS ticker, 'largest=' || max(s_suppkey) || ', suppliers=' || count(*) AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+    t AS (SELECT ticker, count(*) AS k, string_agg('- ' || title, chr(10) ORDER BY rank) AS t FROM nw WHERE rank <= 5 AND title IS NOT NULL GROUP BY 1)
+SELECT g.ticker, 'Ticker ' || g.ticker || ': last close ' || printf('%.2f', last_close) || ', RSI ' || coalesce(printf('%.2f', rsi), 'unknown') || ', ATR ' || coalesce(printf('%.2f', atr), 'unknown') || '. Scores by strategy: ' || scores || '. Report within the warning window: ' || CASE WHEN coalesce(next <= as_of::TIMESTAMP + INTERVAL 14 DAY, false) THEN 'yes' ELSE 'no' END || '; next report: ' || coalesce(strftime(next, '%Y-%m-%d'), 'unknown') || '. Fundamentals: ' || coalesce(f, 'none') || '.' || chr(10) || 'Headlines (' || coalesce(k, 0) || '):' || chr(10) || coalesce(t, 'none') || chr(10) || '{verdicts.ANSWER}' AS prompt, coalesce(k, 0)::INT AS n_headlines
+FROM g LEFT JOIN e ON e.ticker = g.ticker LEFT JOIN fu ON fu.ticker = g.ticker LEFT JOIN t ON t.ticker = g.ticker"""
+
+
+@register("q_p21_prompts", PROMPT_SQL)
 def q_p21(spark, sf):
-    rows = scoring.scored(levels.levels(frame(spark, sf, PULL), PULL), PULL)
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("as_of")))).where("__n = 1")
-    return verdicts.prompts(rows, readers.headlines(news(spark, sf), 5))
+    some = [CFG[s] for s in PROMPTED]
+    rows = levels.dispatch(joins.next_earnings(frame(spark, sf), earnings(spark, sf)), some, keep=("next_earnings_ts",))
+    rows = kept(scoring.scored(rows, *some).select("ticker", "as_of", "strategy", "trade_score", "last_close", "rsi", "atr", "next_earnings_ts", joins.catalyst_warning(14, "as_of").alias("catalyst_warning")))
+    last = rows.join(rows.groupBy("ticker").agg(F.max("as_of").alias("as_of")), ["ticker", "as_of"])
+    scores = F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "trade_score")))).alias("scores")
+    one = last.groupBy("ticker").agg(*(F.first(c).alias(c) for c in ("last_close", "rsi", "atr", "catalyst_warning")), F.to_date(F.first("next_earnings_ts")).alias("next_earnings_date"), scores)
+    s = spark.read.parquet(f"{sf}/supplier.parquet").join(nations(spark, sf), F.col("s_nationkey") == F.col("nation_key"))
+    facts = s.groupBy("ticker").agg(F.create_map(F.lit("suppliers"), F.count("*").cast("string"), F.lit("largest"), F.max("s_suppkey").cast("string")).alias("fundamentals"))
+    return verdicts.prompts(one.join(facts, "ticker", "left"), readers.headlines(news(spark, sf), 5))
