@@ -73,35 +73,46 @@ class Index:
         last = np.sqrt(np.maximum(self.most**2 - size, 0.0))
         self.lines = directions(x.shape[1] + 1, lines)
         p = self.unit @ self.lines[:-1] + last[:, None] * self.lines[-1]
-        # All lines are one sorted array: each has a stretch of values of its own.
-        self.stretch = np.arange(lines) * (8 * float(np.abs(self.lines).sum(axis=0).max()) * self.most)
         order = np.argsort(p, axis=0, kind="stable").T
-        self.values = (np.take_along_axis(p, order.T, axis=0).T + self.stretch[:, None]).ravel()
+        self.values = np.take_along_axis(p, order.T, axis=0).T.copy()
         self.ids = order.ravel()
         self.least = least_collisions(lines) if least is None else least
+        # No two vectors are farther apart than 2 M; the last window holds all.
+        steps = math.ceil(math.log(5, GROWTH))
+        self.radii = np.r_[self.most / 2 * GROWTH ** np.arange(steps + 1), np.inf]
+
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends in `ids` of the windows of each query, radius and line."""
+        top = np.abs(queries).max(axis=1, keepdims=True)
+        unit = queries / top
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) * self.most
+        at = unit @ self.lines[:-1]
+        n = len(self.x)
+        low, high = (np.empty((len(queries), len(self.radii), len(self.values)), np.int64) for _ in range(2))
+        for i, v in enumerate(self.values):
+            low[:, :, i] = i * n + np.searchsorted(v, at[:, i, None] - self.radii, "left")
+            high[:, :, i] = i * n + np.searchsorted(v, at[:, i, None] + self.radii, "right")
+        return low, high
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, q: np.ndarray, own: int, k: int, windows: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores, number verified) of about the k best rows and all that tie with the last of them; `own` is left out (-1: none)."""
         n = len(self.x)
         left = n - (own >= 0)
         want = min(k, left)
         if not want:
             return np.zeros(0, np.int64), np.zeros(0), 0
-        top = np.abs(q).max()
-        unit = q / top
+        lows, highs = (w[0] for w in self.windows(q[None])) if windows is None else windows
+        unit = q / np.abs(q).max()
         unit = unit / np.linalg.norm(unit) * self.most
-        at = unit @ self.lines[:-1] + self.stretch
-        start = np.arange(len(at)) * n
-        low = np.clip(np.searchsorted(self.values, at), start, start + n)
-        high = low
         count, done, score = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -np.inf)
         if own >= 0:
             done[own] = True
-        radius, verified = self.most / 2, 0
-        while verified < left:
-            a = np.clip(np.searchsorted(self.values, at - radius, "left"), start, low)
-            z = np.clip(np.searchsorted(self.values, at + radius, "right"), high, start + n)
-            new = [self.ids[i:j] for i, j in zip(a.tolist(), low.tolist(), strict=True)] + [self.ids[i:j] for i, j in zip(high.tolist(), z.tolist(), strict=True)]
+        verified, low, high = 0, None, None
+        for radius, a, z in zip(self.radii.tolist(), lows.tolist(), highs.tolist(), strict=True):
+            if low is None:
+                new = [self.ids[i:j] for i, j in zip(a, z, strict=True)]
+            else:
+                new = [self.ids[i:j] for i, j in zip(a, low, strict=True)] + [self.ids[i:j] for i, j in zip(high, z, strict=True)]
             low, high = a, z
             count += np.bincount(np.concatenate(new), minlength=n)
             ready = np.flatnonzero((count >= self.least) & ~done)
@@ -109,11 +120,12 @@ class Index:
                 done[ready] = True
                 score[ready] = self.unit[ready] @ unit
                 verified += len(ready)
+            if verified == left:
+                break
             if verified >= want:
                 worst = np.partition(score, n - want)[n - want]
                 if 2 * (self.most**2 - worst) <= radius**2:
                     break
-            radius *= GROWTH
         worst = np.partition(score, n - want)[n - want]
         some = np.flatnonzero(score >= worst - 1e-9 * self.most**2)
         return some, products(self.x[some], q), verified
@@ -162,8 +174,9 @@ def _search(k: int):
             place = {int(row[i]): j for j, i in enumerate(own)}
             order = np.array([np.iinfo(np.int64).max if ids[i] is None else ids[i] for i in own], np.int64)
             part = table.column("block")[0].as_py() % MERGED
-            for i in asked:
-                some, score, _ = index.search(np.frombuffer(raw[i]), place.get(int(row[i]), -1), k)
+            queries = np.frombuffer(b"".join(raw[i] for i in asked)).reshape(len(asked), -1)
+            for i, q, low, high in zip(asked, queries, *index.windows(queries), strict=True):
+                some, score, _ = index.search(q, place.get(int(row[i]), -1), k, (low, high))
                 best = np.lexsort((order[some], -score))[:k]
                 found = [{"worse": -s, "no_id": ids[own[j]] is None, "vec_id": ids[own[j]]} for s, j in zip(score[best].tolist(), some[best].tolist(), strict=True)]
                 out.append({"row": int(row[i]), "part": part, "found": found})
