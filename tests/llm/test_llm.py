@@ -618,3 +618,18 @@ def test_mixing_targets_match_resharing_in_a_loop(spark, n):
         assert got[x] == pytest.approx(cap[x] if x in full else level * weight[x])
         assert 0 <= got[x] <= cap[x] + 1e-6
     assert sum(got.values()) == pytest.approx(1.5 * sum(totals))
+
+
+@pytest.mark.parametrize(("dims", "threshold"), [(2, 0.98), (3, 0.9), (64, 0.8), (300, 0.9)])
+def test_near_vectors_reach_their_recall_at_any_dimension_and_threshold(spark, dims, threshold):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(100, dims))
+    near = threshold + (1 - threshold) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    x = np.concatenate((x, near * x + math.sqrt(1 - near**2) * y / np.linalg.norm(y, axis=1)[:, None]))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), threshold=threshold).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = ((u @ u.T) >= threshold).sum() - len(x)
+    assert 0.99 * want <= sum(got.values()) <= want

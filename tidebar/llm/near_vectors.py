@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import components, sized, written
 
-TABLES, ROUNDS = 10, 3
+#: Tables at least, and the share of pairs at the threshold that all tables together may miss.
+TABLES, ROUNDS, MISSED = 10, 3, 0.005
+#: Narrower vectors are turned in so many dimensions: in two or three there are too few different turns.
+LEAST_DIMS = 16
 #: Classes of a bucket from which on it is counted in blocks, and classes in a block.
 HOT, BLOCK = 256, 250
 #: A bucket's hashes are as many as keep an even spread of a label's classes below so many a bucket.
@@ -70,12 +73,33 @@ def n_hashes(classes: int, dims: int) -> int:
     return max(2, math.ceil(math.log(max(1.0, classes / SPREAD)) / math.log(2 * max(2, dims))))
 
 
-def buckets(x: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def n_tables(width: int, dims: int, threshold: float, pairs: int = 300) -> int:
+    """So many tables that about 1 - MISSED of the pairs at the threshold share a bucket of one.
+
+    The chance of one table is measured on made-up pairs of vectors of `dims` dimensions at exactly the
+    threshold, so stricter buckets, other thresholds and few dimensions get more tables.
+    """
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(pairs, max(2, dims)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y / np.linalg.norm(y, axis=1)[:, None]
+    (a, a_looks), (b, b_looks) = buckets(x, width), buckets(y, width)
+    met = a == b
+    for k in range(width):
+        met |= (a_looks[:, k::width] == b) | (b_looks[:, k::width] == a)
+    chance = min(max(float(met.mean()), 1e-6), 1 - 1e-9)
+    # Some pairs lie worse than the mean: half as many tables again.
+    return max(TABLES, math.ceil(1.5 * math.log(MISSED) / math.log(1 - chance)))
+
+
+def buckets(x: np.ndarray, width: int = 2, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
     """For each unit row its bucket in every table, and the other buckets it looks into."""
-    dims = 1 << max(1, int(x.shape[1] - 1).bit_length())
+    dims = max(LEAST_DIMS, 1 << max(1, int(x.shape[1] - 1).bit_length()))
     x = np.pad(x, ((0, 0), (0, dims - x.shape[1])))
     own, probes = [], []
-    for t in range(TABLES):
+    for t in range(tables):
         best, second = zip(*(hashes(x, t * width + k) for k in range(width)), strict=True)
         key = lambda codes, t=t: T.mix(sum(c * T._FACTOR[i] for i, c in enumerate(codes)), t + 1)
         own.append(key(best))
@@ -116,7 +140,7 @@ def matrices(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield which, np.frombuffer(b"".join(raw[i] for i in which), np.float64).reshape(len(which), -1)
 
 
-def _index(width: int):
+def _index(width: int, tables: int = TABLES):
     schema = pa.schema([("key", pa.binary()), ("own", pa.list_(pa.int64())), ("probe", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +148,7 @@ def _index(width: int):
             # The label and the vector's length are part of a bucket.
             salt = [int.from_bytes(hashlib.blake2b(f"{y}:{len(v)}".encode(), digest_size=8).digest(), "little", signed=True) for y, v in zip(batch.column("label").to_pylist(), batch.column("vec").to_pylist(), strict=True)]
             for which, x in matrices(batch.column("vec").to_pylist()):
-                own, probe = (b ^ np.array(salt, np.int64)[which, None] for b in buckets(x / np.linalg.norm(x, axis=1)[:, None], width))
+                own, probe = (b ^ np.array(salt, np.int64)[which, None] for b in buckets(x / np.linalg.norm(x, axis=1)[:, None], width, tables))
                 yield pa.record_batch([batch.column("key").take(pa.array(which)), list(own), list(probe)], schema=schema)
 
     return run
@@ -260,15 +284,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors are compared only within equal, non-null labels and equal lengths.
     Null, empty or zero vectors and those with a null or non-finite component link
     with nothing, not even with copies.  Each row is a vector of its own, also where
-    rows repeat; rows of one id are one node, each with its own count.  A null id links
+    rows repeat; rows of one id are one node, each with its own count.  About one link in 200 at
+    the threshold may be missed, whatever the dimensions, threshold and size.  A null id links
     with nothing.  Other columns are not used; an empty table gives an empty one.
     """
     base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label")).mapInArrow(_prepare, "vec_id long, label string, key binary, vec binary"))
     usable = base.where("key is not null and vec_id is not null")
     classes = written(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")))
     most = classes.groupBy("label").agg(F.count("*").alias("m"), F.min(F.octet_length("vec")).alias("bytes")).agg(F.max("m").alias("m"), F.min("bytes").alias("bytes")).first()
-    width = n_hashes(most["m"] or 0, (most["bytes"] or 8) // 8)
-    index = written(classes.select("key", "label", "vec").mapInArrow(_index(width), "key binary, own array<long>, probe array<long>"))
+    dims = (most["bytes"] or 8) // 8
+    # More than two hashes of vectors of two or three dimensions leave some angles apart in every table.
+    width = n_hashes(most["m"] or 0, max(LEAST_DIMS, dims)) if dims > 3 else 2
+    tables = n_tables(width, dims, threshold)
+    index = written(classes.select("key", "label", "vec").mapInArrow(_index(width, tables), "key binary, own array<long>, probe array<long>"))
     stored = index.select(F.explode("own").alias("bucket"), F.col("key").alias("b_key"))
     sizes = stored.groupBy("bucket").agg(F.count("*").alias("m"), F.min("b_key").alias("first"))
     big = sized(written(sizes.where(F.col("m") > hot)))  # one row for each `hot` entries at most
