@@ -28,8 +28,8 @@ CHUNK = 50_000
 _STATE = "struct<left:double,by:array<struct<sector:string,spent:double>>>"
 
 
-def _ranked(df: DataFrame, pool: list[str]) -> DataFrame:
-    """Rows with place, their number (from 0) in the order of their pool, without a pool in one task.
+def _ranked(df: DataFrame, pool: list[str]) -> tuple[DataFrame, int]:
+    """Rows with place, their number (from 0) in the order of their pool, without a pool in one task; and the rows of the largest pool.
 
     Ranges of (pool, order) are numbered inside, after what the ranges before them hold of the pool.
     """
@@ -44,7 +44,8 @@ def _ranked(df: DataFrame, pool: list[str]) -> DataFrame:
     for i, c in enumerate(pool):
         same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
     out = ranged.withColumn("__k", inside).join(starts, same)
-    return out.withColumn("place", F.col("__start") + F.col("__k") - 1).drop("__tie", "__part", "__q", "__start", "__k", *(f"__p{i}" for i in range(len(pool))))
+    largest = counts.groupBy(*pool).agg(F.sum("__n").alias("n")).agg(F.max("n")).first()[0] or 0
+    return out.withColumn("place", F.col("__start") + F.col("__k") - 1).drop("__tie", "__part", "__q", "__start", "__k", *(f"__p{i}" for i in range(len(pool)))), largest
 
 
 def _walk(cash: float, seed: dict[str, float], cap: float | None, row_type: pa.DataType):
@@ -107,15 +108,17 @@ def allocate(rows: DataFrame, pool: list[str], cash: float, sectors: DataFrame |
         held, seed = sum(sums[k] for k in sorted(sums, key=str)), {k: v for k, v in sums.items() if k is not None}
     cap = (float(cash) + held) * float(cap_share) if cap_share and cap_share > 0 else None
     names = df.columns
-    ranked = _ranked(df, pool)
+    ranked, largest = _ranked(df, pool)
+    rounds = -(-largest // chunk)
     key = F.to_json(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(pool))))
-    dealt = kept(ranked.select(key.alias("pool"), F.floor(F.col("place") / chunk).cast("int").alias("chunk"), "place", "signal", F.col("est_cost").cast("double").alias("est_cost"), "sector", F.struct(*names).alias("row")))
-    last = dealt.agg(F.max("chunk")).first()[0]
+    dealt = ranked.select(key.alias("pool"), F.floor(F.col("place") / chunk).cast("int").alias("chunk"), "place", "signal", F.col("est_cost").cast("double").alias("est_cost"), "sector", F.struct(*names).alias("row"))
+    if rounds > 1:
+        dealt = kept(dealt)
     row_type = to_arrow_type(dealt.schema["row"].dataType)
     out_type = f"pool string, row {dealt.schema['row'].dataType.simpleString()}, final_signal string, spent double, state {_STATE}"
     state = dealt.sparkSession.createDataFrame([], f"pool string, state {_STATE}")
     done, ends = dealt.sparkSession.createDataFrame([], out_type), state
-    for c in range((-1 if last is None else last) + 1):
+    for c in range(rounds):
         part = kept(dealt.where(F.col("chunk") == c).groupBy("pool").cogroup(state.groupBy("pool")).applyInArrow(_walk(float(cash), seed, cap, row_type), out_type))
         state = part.where("state IS NOT NULL").select("pool", "state")
         done, ends = done.union(part.where("state IS NULL")), ends.union(state)
