@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import product
@@ -373,6 +374,89 @@ def test_toxicity_learns_terms_of_fixed_phrases_short_words_and_other_scripts(sp
     assert [len(h) for _, h in toxicity.find_hits(pa.array(["a xq b", "a 笨蛋 b", "a 聪明 xqs"]), auto, {})] == [1, 1, 0]
 
 
+def test_toxicity_terms_of_any_length_in_unspaced_scripts_and_other_cases(spark):
+    rng = random.Random(8)
+    kana = "かきくけこさしすせそたちつてとなにぬねの"
+    long_word, stem = "z" + "qwxv" * 40, "plomb" * 9
+    bad = lambda: [f"{stem}{rng.choice('abcd')}{rng.randrange(10**6)}", long_word, "ГРУБИЯН", "".join(rng.choices(kana, k=30)) + "笨蛋" + "".join(rng.choices(kana, k=30))]
+    rows = [(f"{prose(rng, 12)} {' '.join(bad())} {prose(rng, 5)}", 1) for _ in range(20)]
+    rows += [(f"{prose(rng, 40)} {''.join(rng.choices(kana, k=60))}", 0) for _ in range(100)]
+    terms = dict(toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int")))
+    assert {long_word: False, "грубиян": False, "笨蛋": False}.items() <= terms.items()
+    assert any(is_open and t.startswith("plomb") for t, is_open in terms.items())
+    auto = toxicity.Automaton(sorted(terms.items()))
+    texts = [stem + "zz9", long_word.upper(), long_word[:80] + long_word[81:], "Грубиян", "かき笨蛋くけ", "かき笨", "plain words", "蛋笨"]
+    assert [len(h) for _, h in toxicity.find_hits(pa.array(texts), auto, {})] == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert [toxicity.shorter("x" * n) for n in (4, 5, 32, 36, 40)] == ["x" * n for n in (3, 4, 31, 32, 36)]
+
+
+def test_toxicity_reads_broken_utf8_and_context_beyond_wide_gaps(spark):
+    auto = toxicity.Automaton([("grumbok", False)])
+    raw = [b"a grumbok \xff\xfe", b"\xc3", b"\xa9 grumbok", b"grumbok", None, b""]
+    column = pa.Array.from_buffers(pa.string(), 6, pa.array(raw, pa.binary()).buffers())
+    assert [(n, len(h)) for n, h in toxicity.find_hits(column, auto, {})] == [(3, 1), (1, 0), (2, 1), (1, 1), (0, 0), (0, 0)]
+    gap = " " * 5000
+    assert [h[0][1] for _, h in toxicity.find_hits(pa.array([f'"{gap}grumbok{gap}"', f"quoted{gap}grumbok", f"grumbok{gap}grumbok"]), auto, {"quoted": -2.0})] == [True, True, False]
+    docs = spark.createDataFrame([(1, bytearray(b"grumbok \xff"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) AS text")
+    assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).first()["n_hits"] == 0
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(9)
+
+    def text(i):
+        w = prose(rng, 30).lower().split(" ")
+        if i % 3 == 0:
+            w[rng.randrange(5, 25)] = rng.choice(["grumbok", "zornfel", "grumbk", "zornfell", "snirk"])
+        if i % 5 == 0:
+            w[rng.randrange(5, 25)] = rng.choice(['"zornfel"', '"grumbok', "word grumbok"])
+        return " ".join(w)
+
+    docs = [(i, text(i)) for i in range(300)] + [(300, ""), (301, None), (302, "zornxfel and snrk"), (303, "word zornxfel " * 9)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    frame = table(spark, docs)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(frame, labels).collect()}
+    auto, context, weight, model = toxicity.learn(toxicity.teaching_rows(frame, labels, "doc_id", "text", 5, toxicity.SAMPLE_ROWS))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row
+
+    def hit(word):
+        found = []
+        for t, (term, is_open) in enumerate(auto.terms):
+            row = edits(word, term)
+            best = min(edits(word[:i], term)[-1] for i in range(len(word) + 1)) if is_open else row[-1]
+            if best == 0 or (best == 1 and len(term) >= toxicity.FUZZY_CHARS):
+                found.append((best, t))
+        return 2 * min(found)[1] + min(found)[0] if found else None
+
+    assert auto.terms and hit("zornxfel") % 2 == 1
+    for doc_id, t in docs:
+        spans = [m.span() for m in re.finditer(r"[^\W_]+", (t or "").lower())]
+        abuse = quote = n = 0.0
+        for i, (a, b) in enumerate(spans):
+            if (h := hit(t[a:b].lower())) is None:
+                continue
+            before = t[spans[i - 7][1] if i > 6 else 0 : a]
+            after = t[b : spans[i + 7][0] if i + 7 < len(spans) else len(t)]
+            marked = before.count('"') % 2 == 1 and '"' in after
+            near = set(re.findall(r"\w+", (before + " " + after).lower()))
+            if marked or sum(context.get(w, 0.0) for w in near) <= toxicity.QUOTED_AT:
+                quote += weight[h]
+            else:
+                abuse += weight[h]
+            n += weight[h] > 0
+        x = [1.0, math.log1p(abuse), math.log1p(quote), min(1.0, 20 * n / max(1, len(spans)))]
+        want = 1 / (1 + math.exp(-sum(u * v for u, v in zip(x, model, strict=True))))
+        assert abs(got[doc_id]["score"] - want) < 1e-9, (doc_id, t)
+        assert got[doc_id]["predicted"] == int(want >= 0.5)
+
+
 def test_rarer_terms_beside_a_frequent_stem_are_kept():
     good = {w[:i]: 0 for w in ("moronic", "moroxyz") for i in range(4, 8)}
     good = {s: (sum(n for w, n in (("moronic", 100), ("moroxyz", 8)) if w.startswith(s)), 100 * (s == "moronic") + 8 * (s == "moroxyz")) for s in good}

@@ -58,6 +58,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def repaired(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts whose bytes that are no UTF-8 became replacement characters."""
+    inner = off[:-1][np.diff(off) > 0]
+    try:
+        if not ((raw[inner] & 0xC0) == 0x80).any():
+            raw.tobytes().decode()
+            return raw, off
+    except UnicodeDecodeError:
+        pass
+    texts = [raw[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about `limit` bytes."""
     raw, off = utf8(column)

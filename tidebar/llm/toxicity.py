@@ -5,7 +5,8 @@ that stand in toxic rows far more often than in others.  The trie of its terms a
 the Levenshtein automaton of distance 1 give one deterministic automaton over
 characters: a state is a set of (trie node, edits so far).  All words of a batch walk
 through it together, one character a step; words that can match no term any more
-drop out, nearly all of them within three steps.
+drop out, nearly all of them within three steps.  Scripts without spaces between
+words are read as overlapping pairs of characters, so terms are found anywhere in them.
 
 Each hit is weighed by how well its term and distance mark toxic rows.  A window of
 words around it tells quotation from abuse: quotation marks around the hit, or words
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from ._spark import discard, sized, written
 #: The classifier learns from at most this many labelled rows, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
 #: A term needs so many different toxic texts, this share of all different texts that hold it, and as a stem so many characters.
-MIN_ROWS, MIN_SHARE, MIN_CHARS, MAX_CHARS = 5, 0.8, 4, 32
-#: Longer words are no terms.
-LONGEST = 64
+MIN_ROWS, MIN_SHARE, MIN_CHARS = 5, 0.8, 4
+#: Stems are looked at in every length up to this one, then in lengths that grow by an eighth and as whole words, which takes time in proportion to a word's length.
+EVERY_LENGTH = 32
 #: And so many toxic rows in which it stands, whatever the words before it.
 MIN_DOCS = 3
 #: Terms of so many characters also match at one edit.  Words on either side of a hit that are its context.
@@ -46,8 +48,25 @@ QUOTES = "\"“”„«»‹›"
 REPORTING = {"said", "says", "wrote", "writes", "quoted", "quote", "quotes", "reported", "reports", "stated", "word", "words", "term", "insult", "slur", "called", "dijo", "dit", "sagte"}
 
 
+def stem_lengths(longest: int) -> list[int]:
+    """The lengths of stems that are looked at, up to `longest`."""
+    out = list(range(MIN_CHARS, EVERY_LENGTH + 1))
+    while out[-1] + out[-1] // 8 <= longest:
+        out.append(out[-1] + out[-1] // 8)
+    return [n for n in out if n <= longest]
+
+
+def shorter(stem: str) -> str:
+    """The stem of the length before."""
+    return stem[: (stem_lengths(len(stem) - 1) or [len(stem) - 1])[-1]]
+
+
 class Automaton:
-    """The automaton of terms (text, whether any ending may follow) as tables."""
+    """The automaton of terms (text, whether any ending may follow) as tables.
+
+    `key` holds state * width + character of the transitions that differ from a state's `other`, which
+    all characters take that its terms do not go on with; `to` has their ends.
+    """
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms = terms
@@ -84,18 +103,24 @@ class Automaton:
 
         start = closed({(0, 0)})
         number: dict[frozenset, int] = {frozenset(): 0, start: 1}
-        todo, rows = [frozenset(), start], []
-        while len(rows) < len(todo):
-            states = todo[len(rows)]
-            row = []
-            for c in (None, *alphabet):
-                nxt = step(states, c)
-                if nxt not in number:
-                    number[nxt] = len(todo)
-                    todo.append(nxt)
-                row.append(number[nxt])
-            rows.append(row)
-        self.table = np.array(rows, np.int32)
+        todo = [frozenset(), start]
+
+        def numbered(states: frozenset[tuple[int, int]]) -> int:
+            if states not in number:
+                number[states] = len(todo)
+                todo.append(states)
+            return number[states]
+
+        self.width, key, to, other = len(alphabet) + 1, [], [], []
+        while len(other) < len(todo):
+            states, row = todo[len(other)], len(other) * self.width
+            other.append(numbered(step(states, None)))
+            for c in sorted({c for node, _ in states for c in children[node]}):
+                key.append(row + self.chars[c])
+                to.append(numbered(step(states, c)))
+        order = np.argsort(key)
+        self.key, self.to = np.array([*key, -1], np.int64)[[*order, -1]], np.array([*to, 0], np.int32)[[*order, -1]]
+        self.other = np.array(other, np.int32)
         self.hit = np.full(len(todo), -1, np.int32)  # 2 * term + edits
         for states, i in number.items():
             ends = [(e, final[n]) for n, e in states if n in final and (e == 0 or len(terms[final[n]][0]) >= FUZZY_CHARS)]
@@ -109,7 +134,9 @@ class Automaton:
         state = np.ones(len(start), np.int32)
         found_word, found_hit = [], []
         while len(word):
-            state = self.table[state, code[at]]
+            key = state * np.int64(self.width) + code[at]
+            place = np.searchsorted(self.key[:-1], key)
+            state = np.where(self.key[place] == key, self.to[place], self.other[state])
             at = at + 1
             over = at == end[word]
             hit = over & (self.hit[state] >= 0)
@@ -124,24 +151,50 @@ class Automaton:
         return w[order], h[order]
 
 
+@cache
+def lower_case() -> np.ndarray:
+    """The lower case of each character that has one in a single character; all cased scripts end before."""
+    c = np.arange(0x1E944, dtype=np.uint32)
+    for i in range(len(c)):
+        if not 0xD800 <= i < 0xE000 and len(low := chr(i).lower()) == 1:
+            c[i] = ord(low)
+    return c
+
+
+#: First and last characters of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han, further Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
 def letters(raw: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The text, its lower-cased characters, word starts and ends, each row's first word and first character."""
+    """The text, its lower-cased characters, word starts and ends, each row's first word and first character.
+
+    In scripts without spaces the words are the pairs of neighbouring characters, or one that stands alone.
+    """
+    raw, off = T.repaired(raw, off)
     lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     text = raw.tobytes().decode()
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     row = lead[off]
-    upper = ((c >= 65) & (c <= 90)) | ((c >= 0xC0) & (c <= 0xDE) & (c != 0xD7))
-    c = np.where(upper, c + 32, c)
-    inside = ((c >= 97) & (c <= 122)) | ((c >= 48) & (c <= 57)) | ((c >= 0xC0) & ((c < 0x2000) | (c > 0x206F)))
+    table = lower_case()
+    c = np.where(c < len(table), table[np.minimum(c, len(table) - 1)], c)
+    inside = ((c >= 97) & (c <= 122)) | ((c >= 48) & (c <= 57)) | ((c >= 0xC0) & ((c < 0x2000) | (c > 0x206F)) & ((c < 0x3000) | (c > 0x303F)) & ((c < 0xFF00) | (c > 0xFF0F)))
     disguise = (c == 64) | (c == 36) | (c == 33) | (c == 42)  # @ $ ! *, only between letters
     between = np.zeros(len(c), bool)
     between[1:-1] = disguise[1:-1] & inside[:-2] & inside[2:]
     inside |= between
-    before, after = np.zeros(len(c), bool), np.zeros(len(c), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
+    dense = np.zeros(len(c), bool)
+    if len(c) and c.max() >= UNSPACED[0][0]:
+        for lo, hi in UNSPACED:
+            dense |= (c >= lo) & (c <= hi)
+        dense &= inside
+    # Whether a character and the one after it are one word or pair.
+    joined = inside[:-1] & inside[1:] & (dense[:-1] == dense[1:])
     edge = row[(row > 0) & (row < len(c))]
-    before[edge], after[edge - 1] = False, False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    joined[edge - 1] = False
+    before, after = np.zeros(len(c), bool), np.zeros(len(c), bool)
+    before[1:], after[:-1] = joined, joined
+    start = np.flatnonzero(inside & (~before & (~dense | ~after) | dense & after))
+    end = np.flatnonzero(inside & (~after & (~dense | ~before) | dense & before)) + 1
     return text, c, start, end, np.searchsorted(start, row), row
 
 
@@ -172,8 +225,8 @@ def find_windows(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int,
                 lo, hi = max(first[i], w - WINDOW), min(first[i + 1] - 1, w + WINDOW)
                 a = row[i] if lo == first[i] else end[lo - 1]
                 b = row[i + 1] if hi == first[i + 1] - 1 else start[hi + 1]
-                # Gaps between words may be of any length: the nearest characters tell enough.
-                out.append((h, text[max(a, start[w] - 50 * WINDOW) : start[w]], text[end[w] : min(b, end[w] + 50 * WINDOW)]))
+                # A gap between words, however long, is in the windows of few hits.
+                out.append((h, text[a : start[w]], text[end[w] : b]))
             yield int(first[i + 1] - first[i]), out
 
 
@@ -270,9 +323,9 @@ def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tupl
     """Terms (text, whether any ending may follow) that cover all good stems (rows, rows of the stem as a word) and words."""
     children: dict[str, list[str]] = {}
     for stem in sorted(good):
-        children.setdefault(stem[:-1], []).append(stem)
+        children.setdefault(shorter(stem), []).append(stem)
     terms = {}
-    todo = [stem for stem in good if stem[:-1] not in good]
+    todo = [stem for stem in good if shorter(stem) not in good]
     while todo:
         stem = todo.pop()
         # The branch that holds nearly all rows stands for the stem; the others go on by themselves.
@@ -281,8 +334,9 @@ def choose_terms(good: dict[str, tuple[int, int]], words: set[str]) -> list[tupl
             if terms[stem]:
                 continue
         todo += children.get(stem, [])
+    lengths = sorted({len(stem) for stem, is_open in terms.items() if is_open})
     for word in words:
-        if not any(terms.get(word[:i]) for i in range(1, len(word) + 1)):
+        if not any(terms.get(word[:i]) for i in lengths if i <= len(word)):
             terms.setdefault(word, False)
     return sorted(terms.items())
 
@@ -305,7 +359,7 @@ def _witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = int(first[i]), int(first[i + 1])
                 if lo == hi:
                     continue
-                own = {low[x:y] for x, y in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True) if y - x <= LONGEST}
+                own = {low[x:y] for x, y in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)}
                 word += own
                 family += [int(pair[lo : max(hi - 1, lo + 1)].min().view(np.int64))] * len(own)
                 t += [int(toxic[a + i] > 0)] * len(own)
@@ -319,7 +373,9 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     by_word = written(texts.groupBy("word").agg(F.sum("t").alias("t"), F.count("*").alias("n")))
     enough = (F.col("t") >= MIN_ROWS) & (F.col("t") >= MIN_SHARE * F.col("n"))
     words = {r.word for r in by_word.where(enough).select("word").collect()}  # a fifth of the sample's words at most
-    prefix = by_word.where(F.length("word") >= MIN_CHARS).select(F.explode(F.expr(f"transform(sequence({MIN_CHARS}, least({MAX_CHARS}, length(word))), i -> struct(left(word, i) AS stem, length(word) = i AS whole))")).alias("s"), "t", "n")
+    lengths = ", ".join(map(str, stem_lengths((1 << 31) - 1)))
+    stems = f"transform(array_append(filter(array({lengths}), i -> i < length(word)), length(word)), i -> struct(left(word, i) AS stem, length(word) = i AS whole))"
+    prefix = by_word.where(F.length("word") >= MIN_CHARS).select(F.explode(F.expr(stems)).alias("s"), "t", "n")
     prefix = prefix.groupBy("s.stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.when(F.col("s.whole"), F.col("t")).otherwise(0)).alias("whole"))
     good = {r.stem: (r.t, r.whole) for r in prefix.where(enough).collect()}
     discard(by_word)
@@ -343,19 +399,8 @@ def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return rows.select("text", "toxic")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample_rows: int = SAMPLE_ROWS, columns: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` with held_out, score, predicted, n_hits, n_quoted, n_misspelled added.
-
-    Labels (id, toxic) are learned only from rows whose crc32 of the id as text is
-    not divisible by `folds`, and from `sample_rows` of them at most, whatever repeats;
-    every whole text is scored, in time that grows with its length.  Rows with a null
-    label or id teach nothing; ids that repeat in `labels` count by their largest
-    label.  Rows that repeat are scored alike.  A null text
-    is empty; empty texts get the score of a text without hits.  Without labels no
-    term is known and all texts get the same low score.  Columns of `docs` that have
-    a name of an added column are replaced; `columns` are those to keep (all).
-    """
-    rows = teaching_rows(docs, labels, id_col, text_col, folds, sample_rows)
+def learn(rows: DataFrame) -> tuple[Automaton, dict[str, float], np.ndarray, np.ndarray]:
+    """The automaton, the weights of context words and of hits, and the model, from `rows` (text, toxic)."""
     automaton = Automaton(learn_terms(rows))
     context = context_weights(rows, automaton)
     seen = rows.mapInArrow(_collect_hits(automaton, context), "toxic int, n_words long, hits array<int>, quoted array<boolean>, times array<long>").toPandas()
@@ -373,7 +418,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weight = np.clip(weight, 0.0, 6.0)
     found = [dict(zip(zip(*x[:2], strict=True), x[2], strict=True)) for x in zip(seen["hits"], seen["quoted"], seen["times"], strict=True)]
     x = np.array([features(n, hits, weight) for n, hits in zip(seen["n_words"], found, strict=True)]).reshape(-1, len(PRIOR))
-    model = fit(x, (y > 0).astype(float))
+    return automaton, context, weight, fit(x, (y > 0).astype(float))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample_rows: int = SAMPLE_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """The rows of `docs` with held_out, score, predicted, n_hits, n_quoted, n_misspelled added.
+
+    Labels (id, toxic) are learned only from rows whose crc32 of the id as text is
+    not divisible by `folds`, and from `sample_rows` of them at most, whatever repeats;
+    every whole text is scored, in time that grows with its length.  Rows with a null
+    label or id teach nothing; ids that repeat in `labels` count by their largest
+    label.  Rows that repeat are scored alike.  A null text
+    is empty; empty texts get the score of a text without hits.  Bytes that are no UTF-8
+    count as replacement characters.  Without labels no
+    term is known and all texts get the same low score.  Columns of `docs` that have
+    a name of an added column are replaced; `columns` are those to keep (all).
+    """
+    automaton, context, weight, model = learn(teaching_rows(docs, labels, id_col, text_col, folds, sample_rows))
 
     added = ["held_out", "score", "predicted", "n_hits", "n_quoted", "n_misspelled"]
     keep = [c for c in (columns or docs.columns) if c.lower() not in added]
