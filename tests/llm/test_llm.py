@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat_repair, class_lm, decontaminate, mixing, near_dedup, near_vectors, secrets, suffix_dedup, toxicity, training_order
+from tidebar.llm import _spark, chat_repair, class_lm, decontaminate, mixing, near_dedup, near_vectors, secrets, suffix_dedup, toxicity, training_order
 from tidebar.llm import _text as T
 from tidebar.llm._spark import components
 
@@ -514,6 +514,76 @@ def test_training_order(spark, rows, tmp_path):
     assert training_order.training_order(table(spark, [])).count() == 0
 
 
+def test_training_order_deals_by_bytes_and_reads_broken_utf8(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "OUTPUT_BYTES", 100)
+    broken = spark.createDataFrame([(1, bytearray(b"a \xff b")), (2, bytearray(b"ok")), (3, None)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) AS text")
+    repaired = table(spark, [(1, "a \ufffd b"), (2, "ok"), (3, None)]).select("doc_id", "text")
+    got, want = ({(r["slot"], r["doc_id"], bytes(r["tokens"])) for r in training_order.training_order(d, length=8).collect()} for d in (broken, repaired))
+    assert got == want and len(got) == 3
+    rows = [(i, f"text {i} " * 10) for i in range(60)]
+    out = training_order.training_order(table(spark, rows), length=8, shard_slots=4)
+    parts = out.select("slot", "shard", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in parts}) > 10 and len({(r["p"], r["shard"]) for r in parts}) == len({r["shard"] for r in parts})
+    assert [r["slot"] for r in sorted(parts)] == list(range(len(parts)))
+
+
+def test_broadcasts_are_checked_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "BROADCAST_BYTES", 100)
+    hinted = lambda rows: "broadcast" in _spark.sized(spark.createDataFrame(rows, "k string, n long"))._jdf.queryExecution().logical().toString().lower()
+    assert hinted([("a" * 50, 1), (None, 2)]) and not hinted([("a" * 50, 1), ("b" * 51, 2)])
+
+
+def test_class_lm_scores_match_brute_force(spark, rows, monkeypatch):
+    """With the classes it learned, the table of class bigrams and each score are those of a loop over tokens."""
+    seen = {}
+    learn = class_lm.learn_classes
+
+    def recorded(units, core, n_words):
+        seen["out"] = learn(units, core, n_words)
+        return seen["out"]
+
+    monkeypatch.setattr(class_lm, "learn_classes", recorded)
+    got = class_lm.score_texts(table(spark, rows)).collect()
+    cls, bigrams = seen["out"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    train = [words(t) for i, t in rows if not held(i)]
+    count = Counter(w for t in train for w in t)
+
+    def coded(w):
+        raw = np.frombuffer(w, np.uint8)
+        a, b = np.array([0]), np.array([len(raw)])
+        return int(T.word_hashes(raw, a, b).view(np.int64)[0]), int(class_lm.endings(raw, a, b)[0])
+
+    code = {w: coded(w) for _, t in rows for w in words(t)}
+    own = sorted((w for w, n in count.items() if n >= class_lm.MIN_COUNT), key=lambda w: (-count[w], code[w][0]))
+    unit = {w: len(own) + e for w, (_, e) in code.items()} | {w: k for k, w in enumerate(own)}
+    end = len(cls) - 1
+    assert len(cls) == len(own) + class_lm.ENDINGS + 1
+    path = lambda t: [int(cls[u]) for u in (end, *(unit[w] for w in t), end)]
+    want = Counter(pair for t in train for pair in zip(path(t)[:-1], path(t)[1:], strict=True))
+    assert {(a, b): bigrams[a, b] for a, b in zip(*np.nonzero(bigrams), strict=True)} == want
+    of_class, kinds = Counter(), Counter(int(cls[unit[w]]) for w in count)
+    for (_, b), n in want.items():
+        of_class[b] += n
+    before = Counter()
+    for (a, _), n in want.items():
+        before[a] += n
+    total = sum(of_class.values())
+
+    def score(t):
+        k, out = path(t), 0.0
+        for i, w in enumerate([*t, None]):
+            a, b = k[i], k[i + 1]
+            share = (of_class[b] + 1) / (total + class_lm.CLASSES)
+            out += math.log10((want[a, b] + class_lm.PRIOR * share) / (before[a] + class_lm.PRIOR))
+            if w is not None:
+                out += math.log10((count[w] + class_lm.ADD) / (of_class[b] + class_lm.ADD * (kinds[b] + 1)))
+        return out
+
+    scores = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in got)
+    assert scores == Counter((i, len(words(t)) + 1, round(score(words(t)), 5)) for i, t in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_feistel_is_a_permutation(n):
     assert sorted(training_order.feistel(np.arange(n), n, 5).tolist()) == list(range(n))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when counted and no larger than this many rows of at most a few numbers.
 BROADCAST_ROWS = 1_000_000
+#: And its texts must be no more bytes than this.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +54,13 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast only if its count is within the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A written table of narrow rows, marked for broadcast only if its count and the bytes of its texts are within their limits."""
+    if df.limit(limit + 1).count() > limit:
+        return df
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    if texts and (df.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def _with_low(edges: DataFrame, limit: int) -> DataFrame:

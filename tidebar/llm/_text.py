@@ -71,6 +71,14 @@ def repaired(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The texts of a column; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
+
+
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about `limit` bytes."""
     raw, off = utf8(column)

@@ -35,6 +35,8 @@ ROUNDS = 6
 REMEMBER = 200_000
 #: Sequences are dealt to so many buckets by hash and numbered inside each: a part of the order, not of the cluster.
 BUCKETS = 1 << 18
+#: Packed bytes of a partition of the output, which is whole shards.
+OUTPUT_BYTES = 128 << 20
 #: White space for which words cannot be encoded one by one: two spaces in a row, or any but space, tab and line ends.
 UNUSUAL_SPACE = ["  ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\r")]
 
@@ -100,7 +102,7 @@ def _tokenise(ranks, length: int, eos: int, kind: type):
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 ids, numbers, sizes, contents, packed = [], [], [], [], []
-                for i, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500).to_pylist(), strict=True):
+                for i, text in zip(batch.column(0).slice(lo, 500).to_pylist(), T.strings(batch.column(1).slice(lo, 500)), strict=True):
                     tokens = encoder.encode(text or "") + end
                     for k, at in enumerate(range(0, len(tokens), length * width)):
                         part = tokens[at : at + length * width]
@@ -136,7 +138,8 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     little-endian 16-bit numbers (32-bit where `eos` needs them).  Null and empty
     texts are one sequence with `eos` alone; texts may be of any length; repeated rows
     are sequences of their own (equal ones may change places, which no reader can tell).
-    A null id is an id.  The slot depends on the rows and the parameters only, not on
+    A null id is an id; ids are numbers.  Bytes that are no UTF-8 count as replacement
+    characters.  The slot depends on the rows and the parameters only, not on
     partitions or settings: sequences go to `buckets` by a hash of id, number and
     tokens, are ordered by these inside, and the permutation takes their place in that
     order to the slot.
@@ -153,9 +156,9 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "seq_no", "content"), F.lit(buckets)).cast("int"))
     rank = F.expr("row_number() OVER (PARTITION BY bucket ORDER BY doc_id, seq_no, content)")
     rows = written(rows.withColumn("rank", rank))
-    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")))
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("packed")).alias("bytes")))
     before = sizes.select("bucket", (F.expr("sum(n) OVER (ORDER BY bucket)") - F.col("n")).alias("before"))
-    n = sizes.agg(F.sum("n")).first()[0] or 0
+    n, packed_bytes = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("bytes")).first())
 
     def slots(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(np.int64), n, key))
@@ -164,7 +167,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = rows.join(F.broadcast(before), "bucket").withColumn("slot", slot(F.col("before") + F.col("rank") - 1))  # `buckets` rows of two numbers
     shards = max(1, -(-n // shard_slots))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long"))
-    share = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    share = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed_bytes // OUTPUT_BYTES)), shards)
     # Each partition is a run of whole shards; their bounds are known, so nothing is sampled.
     placed = placed.repartitionById(share, F.floor(F.col("shard") * share / shards).cast("int")).sortWithinPartitions("slot")
     width = np.dtype(kind).itemsize * length
