@@ -199,13 +199,22 @@ def test_class_lm(spark, rows):
     assert class_lm.score_texts(table(spark, [])).count() == 0
 
 
-def test_class_lm_sends_no_more_units_than_it_may(spark, rows, monkeypatch):
-    """With few units most words are counted by shuffle: the base score does not change, and tasks hold the bound at most."""
-    held = []
-    frequent = class_lm.Frequent
+def test_class_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch):
+    """Words that are joined by hash get the counts, classes and moves that they get where they are at hand."""
+    rng = random.Random(7)
+    names = [f"w{i}{e}" for i in range(300) for e in ("ing", "ed", "s")]
+    lines = [" ".join(rng.choice(names[k % 3 :: 3] if rng.random() < 0.7 else names) for k in range(rng.randrange(80))) for _ in range(300)]
+    rows = [*((f"d{i}", t) for i, t in enumerate(lines)), ("d1", lines[1]), ("d2", lines[1]), (None, lines[0]), ("e", None), ("f", "   "), ("g", "never seen before")]
+    held, frequent = [], class_lm.Frequent
     monkeypatch.setattr(class_lm, "Frequent", lambda word, count, unit: held.append(len(word)) or frequent(word, count, unit))
-    score = lambda **most: Counter((r["doc_id"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in class_lm.score_texts(table(spark, rows), **most).collect())
-    assert score(most_units=100) == score() and 0 < held[0] <= 100 < held[1]
+    monkeypatch.setattr(class_lm, "WORD_UNITS", 60)
+    monkeypatch.setattr(class_lm, "UNITS", 60 + class_lm.ENDINGS + 1)
+    monkeypatch.setattr(class_lm, "AT_ONCE", 50)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    score = lambda **some: Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in class_lm.score_texts(docs, **some).collect())
+    whole = score()
+    assert score(local_words=100) == whole and score(local_words=0) == whole
+    assert held[2] == 60 <= held[1] <= 160 < held[0]
 
 
 def test_exchange_separates_two_vocabularies():
@@ -538,13 +547,13 @@ def test_class_lm_scores_match_brute_force(spark, rows, monkeypatch):
     seen = {}
     learn = class_lm.learn_classes
 
-    def recorded(units, core, n_words):
-        seen["out"] = learn(units, core, n_words)
+    def recorded(*given):
+        seen["out"] = learn(*given)
         return seen["out"]
 
     monkeypatch.setattr(class_lm, "learn_classes", recorded)
     got = class_lm.score_texts(table(spark, rows)).collect()
-    cls, bigrams = seen["out"]
+    cls, bigrams, _ = seen["out"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [words(t) for i, t in rows if not held(i)]
     count = Counter(w for t in train for w in t)
