@@ -217,6 +217,27 @@ def test_class_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch):
     assert held[2] == 60 <= held[1] <= 160 < held[0]
 
 
+def test_ids_may_be_texts(spark, rows):
+    """Ids that are no integers give what integers of the same order give."""
+    text_of = lambda i: None if i is None else f"id {i + 1000:09d}"
+    by_text = spark.createDataFrame([(text_of(i), t) for i, t in rows], "doc_id string, text string")
+    by_number = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = lambda df, *ids: Counter(tuple(text_of(v) if c in ids and not isinstance(v, str) else str(v) for c, v in r.asDict().items()) for r in df.collect())
+    for operator in (near_dedup.near_duplicates, suffix_dedup.repeated_bytes):
+        assert taken(operator(by_text), "doc_id", "component_id") == taken(operator(by_number), "doc_id", "component_id")
+    kept = taken(training_order.training_order(by_text).select("doc_id", "seq_no", "n_tokens", "tokens"), "doc_id")
+    assert kept == taken(training_order.training_order(by_number).select("doc_id", "seq_no", "n_tokens", "tokens"), "doc_id")
+    vecs = [(i % 30, [float(i % 7), 1.0 + i // 40], 1) for i in range(60)] + [(None, [1.0, 2.0], 1)]
+    schema = "vec_id {}, embedding array<double>, label int"
+    got = near_vectors.near_vectors(spark.createDataFrame([(text_of(i), v, k) for i, v, k in vecs], schema.format("string")))
+    want = near_vectors.near_vectors(spark.createDataFrame(vecs, schema.format("long")))
+    assert taken(got, "vec_id", "component_id") == taken(want, "vec_id", "component_id")
+    turns = [(c, k, role, f"t {c} {k}") for c in (1, 2, None) for k, role in enumerate(("user", "user", "assistant", None, "system"))]
+    schema = "conv_id {}, turn int, role string, text string"
+    got = chat_repair.repair_conversations(spark.createDataFrame([(text_of(c), *r) for c, *r in turns], schema.format("string")))
+    assert taken(got, "conv_id") == taken(chat_repair.repair_conversations(spark.createDataFrame(turns, schema.format("long"))), "conv_id")
+
+
 def test_exchange_separates_two_vocabularies():
     rng = np.random.default_rng(0)
     counts = np.zeros((9, 9))

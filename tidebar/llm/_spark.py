@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 #: A side is broadcast only when counted and no larger than this many rows of at most a few numbers.
 BROADCAST_ROWS = 1_000_000
@@ -63,6 +65,31 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
+def with_long_ids(df: DataFrame, column: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`df` with `column` as a long, and a function that puts the ids back into named columns of a result.
+
+    Integers are taken as they are.  Ids of any other type that can be ordered get their
+    places among all distinct ids, so the smallest id stays the smallest; null stays null.
+    """
+    if isinstance(df.schema[column].dataType, (Ty.IntegralType, Ty.NullType)):
+        return df.withColumn(column, F.col(column).cast("long")), lambda out, *columns: out
+    ids = df.select(F.col(column).alias("__id")).where("__id is not null").distinct()
+    ids = written(ids.repartitionByRange("__id").withColumn("__part", F.spark_partition_id()))
+    sizes = ids.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.expr("sum(n) OVER (ORDER BY __part) - n").alias("before"))  # one row a partition
+    place = F.expr("row_number() OVER (PARTITION BY __part ORDER BY __id)")
+    ids = written(ids.withColumn("__place", place).join(F.broadcast(before), "__part").select("__id", (F.col("__place") + F.col("before") - 1).alias("__no")))
+
+    def back(out: DataFrame, *columns: str) -> DataFrame:
+        names = out.columns
+        for c in columns:
+            out = out.join(ids.select(F.col("__no").alias(c), F.col("__id")), c, "left").drop(c).withColumnRenamed("__id", c)
+        return out.select(*names)
+
+    numbered = df.join(ids.withColumnRenamed("__id", column), column, "left")
+    return numbered.select(*(F.col("__no").alias(column) if c == column else F.col(c) for c in df.columns)), back
+
+
 def _with_low(edges: DataFrame, limit: int) -> DataFrame:
     """Edges (u, v) with m, the smallest v of their u.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import with_long_ids, written
 
 #: States of the automaton: what the conversation's last message is.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -279,7 +279,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     have a fixed order and repeated rows are turns of their own.  Roles count in any
     case and with spaces around; null and other roles fit none and are relabelled.  A
     null text is empty; texts may be of any length.  A null conversation id is one
-    conversation.  `position` counts a conversation's turns from 0.  `rendered` pieces
+    conversation; ids are of any type that can be ordered.  `position` counts a conversation's turns from 0.  `rendered` pieces
     joined in its order are the conversation's text, which `rendered_chunks` gives;
     n_inserted counts the empty messages put before a turn.  In texts, "<|" gets a
     backslash ("<\\|") and "<\\|" one more.  Other columns are not used.  Neither
@@ -287,7 +287,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     role = F.lower(F.trim(F.col(role_col)))
     number = F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(START).cast("int")
-    base = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), number.alias("role_no"), F.col(text_col).cast("string").alias("text"), F.col(role_col).alias("role"), F.xxhash64(F.col(text_col)).alias("h"))
+    base, back = with_long_ids(turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), number.alias("role_no"), F.col(text_col).cast("string").alias("text"), F.col(role_col).alias("role"), F.xxhash64(F.col(text_col)).alias("h")), "conv_id")
     # Range partitions by the whole order also cut a conversation that is most of the table; no text is sampled.
     order = ["conv_id", "turn", "role", "h"]
     rows = base.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("conv_id", "turn", "role_no", "text")
@@ -298,7 +298,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     # Two rows a partition at most.
     some = some.join(F.broadcast(ends.drop("conv_id")), ["part", "run"]).repartition("part", "run").sortWithinPartitions("part", "run", "position")
     late = some.mapInArrow(_between, _ddl(OUT))
-    return done.where("not open").select(*OUT.names).union(late)
+    return back(done.where("not open").select(*OUT.names).union(late), "conv_id")
 
 
 def rendered_chunks(repaired_turns: DataFrame, turns_per_chunk: int = 1000) -> DataFrame:

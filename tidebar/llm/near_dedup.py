@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import components, sized, written
+from ._spark import components, sized, with_long_ids, written
 
 HASHES, ROWS, BANDS, BATCH = 128, 5, 25, 16
 _A = (T.mix(np.arange(1, HASHES + 1, dtype=np.uint64), 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -237,11 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k-word shingles is `threshold` or more (compared as an exact fraction).  Null and
     blank texts have no shingles and link with nothing.  Rows that repeat an id are
     one document, which has the links of all its rows.  A row with a null id is
-    returned with a null component and kept true.  Other columns are not used.
+    returned with a null component and kept true.  Ids are of any type that can be ordered.
+    Other columns are not used.
     """
     share = Fraction(str(threshold))
     num, den = share.numerator, share.denominator
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base, back = with_long_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     feats = written(base.mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary"))
     usable = feats.where("n > 0 and doc_id is not null")
     reps = written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -288,4 +289,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = reps.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(root, "key", "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return back(out, "doc_id", "component_id")

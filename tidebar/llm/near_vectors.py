@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import components, sized, written
+from ._spark import components, sized, with_long_ids, written
 
 #: Tables at least, and the share of pairs at the threshold that all tables together may miss.
 TABLES, ROUNDS, MISSED = 10, 3, 0.005
@@ -286,9 +286,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     with nothing, not even with copies.  Each row is a vector of its own, also where
     rows repeat; rows of one id are one node, each with its own count.  About one link in 200 at
     the threshold may be missed, whatever the dimensions, threshold and size.  A null id links
-    with nothing.  Other columns are not used; an empty table gives an empty one.
+    with nothing; ids are of any type that can be ordered.  Other columns are not used; an empty table gives an empty one.
     """
-    base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label")).mapInArrow(_prepare, "vec_id long, label string, key binary, vec binary"))
+    rows, back = with_long_ids(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label")), "vec_id")
+    base = written(rows.mapInArrow(_prepare, "vec_id long, label string, key binary, vec binary"))
     usable = base.where("key is not null and vec_id is not null")
     classes = written(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")))
     most = classes.groupBy("label").agg(F.count("*").alias("m"), F.min(F.octet_length("vec")).alias("bytes")).agg(F.max("m").alias("m"), F.min("bytes").alias("bytes")).first()
@@ -340,4 +341,5 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = known.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     out = base.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return back(out, "vec_id", "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import sized, written
+from ._spark import sized, with_long_ids, written
 
 GRAM = 20
 #: Starts in a segment at most, and bytes of text for each group of segments.
@@ -391,9 +391,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     it also starts in a document with a smaller id; strings are judged on the input.
     `spans` are the removed runs, from and to in turn.  Rows of one id do not affect
     each other.  A row with a null id neither loses bytes nor makes others lose any.
-    Other columns are not used.  `length` is 28 or more.
+    Ids are
+    of any type that can be ordered.  Other columns are not used.  `length` is 28 or more.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base, back = with_long_ids(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
     base = base.withColumn("th", F.xxhash64("text"))
     thin = base.where("doc_id is not null").select("doc_id", "th", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
     first = thin.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
@@ -416,4 +417,4 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = base.join(lost, ["doc_id", "th"], "left_semi").join(gone, ["doc_id", "th"]).select("doc_id", "text", "whole", "blobs")
     touched = touched.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     same = base.join(lost, ["doc_id", "th"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"))
-    return touched.union(same)
+    return back(touched.union(same), "doc_id")

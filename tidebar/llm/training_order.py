@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from . import _text as T
-from ._spark import written
+from ._spark import with_long_ids, written
 
 #: Fixed value: how the byte-level vocabularies split a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,7 +138,8 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     little-endian 16-bit numbers (32-bit where `eos` needs them).  Null and empty
     texts are one sequence with `eos` alone; texts may be of any length; repeated rows
     are sequences of their own (equal ones may change places, which no reader can tell).
-    A null id is an id; ids are numbers.  Bytes that are no UTF-8 count as replacement
+    A null id is an id; ids that are no integers go by their places
+    among all ids.  Bytes that are no UTF-8 count as replacement
     characters.  The slot depends on the rows and the parameters only, not on
     partitions or settings: sequences go to `buckets` by a hash of id, number and
     tokens, are ordered by these inside, and the permutation takes their place in that
@@ -151,7 +152,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = np.uint16 if eos < 1 << 16 else np.uint32
     with open(tokenizer, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: about 1 MB whatever the corpus
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base, back = with_long_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     rows = base.mapInArrow(_tokenise(ranks, length, eos, kind), "doc_id long, seq_no long, n_tokens long, content long, packed binary")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "seq_no", "content"), F.lit(buckets)).cast("int"))
     rank = F.expr("row_number() OVER (PARTITION BY bucket ORDER BY doc_id, seq_no, content)")
@@ -168,11 +169,13 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, -(-n // shard_slots))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long"))
     share = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed_bytes // OUTPUT_BYTES)), shards)
+    placed = back(placed, "doc_id")
+    id_type = placed.schema["doc_id"].dataType.simpleString()
     # Each partition is a run of whole shards; their bounds are known, so nothing is sampled.
     placed = placed.repartitionById(share, F.floor(F.col("shard") * share / shards).cast("int")).sortWithinPartitions("slot")
     width = np.dtype(kind).itemsize * length
     placed = placed.select("slot", "shard", (F.col("slot") % shard_slots * width).alias("shard_offset"), "doc_id", "seq_no", "n_tokens", "packed")
-    return placed.mapInArrow(_unpack(length, eos, kind), "slot long, shard long, shard_offset long, doc_id long, seq_no long, n_tokens long, tokens binary")
+    return placed.mapInArrow(_unpack(length, eos, kind), f"slot long, shard long, shard_offset long, doc_id {id_type}, seq_no long, n_tokens long, tokens binary")
 
 
 def write_shards(ordered: DataFrame, uri: str, **parameters) -> DataFrame:
