@@ -217,6 +217,30 @@ def test_class_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch):
     assert held[2] == 60 <= held[1] <= 160 < held[0]
 
 
+def test_suffix_dedup_of_hot_minima(spark):
+    """A phrase that many documents hold in different surroundings: split by whole strings or not, the bytes are those of a loop."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    phrase, rows = "a phrase of forty bytes in many documents", []
+    for i in range(120):
+        near = noise(12) if i % 5 else "same ending "
+        rows.append((i, noise(rng.randrange(80)) + phrase + near + noise(30) + (phrase + near if i % 7 == 0 else "")))
+    rows += [(3, rows[10][1]), (None, rows[0][1]), (200, None), (201, phrase), (7, rows[7][1])]
+    low: dict[bytes, int] = {}
+    for i, t in rows:
+        for k in range(len(t or "") - 49 if i is not None else 0):
+            low[t[k : k + 50]] = min(low.get(t[k : k + 50], i), i)
+    def removed(i, t):
+        t = t or ""
+        gone = {p for k in range(len(t) - 49) if i is not None and low[t[k : k + 50]] < i for p in range(k, k + 50)}
+        return i, len(t), len(gone), hashlib.sha256("".join(c for p, c in enumerate(t) if p not in gone).encode()).hexdigest()
+    want = Counter(removed(i, t) for i, t in rows)
+    assert sum(n for (_, _, n, _) in want.elements()) > 1000
+    for hot in (2, 30, 10**6):
+        got = suffix_dedup.repeated_bytes(table(spark, rows), hot=hot).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
 def test_ids_may_be_texts(spark, rows):
     """Ids that are no integers give what integers of the same order give."""
     text_of = lambda i: None if i is None else f"id {i + 1000:09d}"

@@ -12,6 +12,8 @@ starts and length - 1 bytes of context.
 2. Minima are shuffled as packed hashes; those of one document only are dropped.
 3. Segments of the others are shuffled by their minimum.  Segments that repeat within
    a task (equal in 128 bits of a cryptographic hash) are sent once, with their smallest id.
+   Segments of a minimum that very many documents hold would all meet in one task: they
+   are cut into single starts, each sent by the hash of its whole string.
 4. Each task sorts the suffixes of its segments in two stages: only suffixes smaller
    than their successors are sorted directly, the rest is induced by scanning the
    buckets of first bytes in order; adjacent common prefixes of `length` bytes then
@@ -35,6 +37,8 @@ from ._spark import sized, with_long_ids, written
 GRAM = 20
 #: Starts in a segment at most, and bytes of text for each group of segments.
 RUN, GROUP_BYTES = 512, 4 << 20
+#: A minimum of more documents than this, and than one in 2^HOT_BITS bytes of text, is hot: at most 2^HOT_BITS of them, 128 MB.
+HOT, HOT_BITS = 20_000, 24
 #: Digests of sent segments that a task remembers.
 SEEN = 2_000_000
 DIGEST = np.dtype([("x", np.uint64), ("y", np.uint64)])
@@ -202,7 +206,7 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack((ranges[new, 0], reach[last]), axis=1)
 
 
-_MINIMA = pa.schema([("part", pa.int32()), ("m", pa.binary()), ("row", pa.binary()), ("ids", pa.binary()), ("ths", pa.binary())])
+_MINIMA = pa.schema([("part", pa.int32()), ("m", pa.binary()), ("row", pa.binary()), ("n", pa.binary()), ("ids", pa.binary()), ("ths", pa.binary())])
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -210,7 +214,13 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _send_minima(length: int, parts: int):
+    """Minima of documents by their part; of many documents of a batch the first and last stand for all.
+
+    The documents between these two are known to share the minimum: rows with part -1 - k.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for whole in batches:
             for lo in range(0, len(whole), 16_000):
                 batch = whole.slice(lo, 16_000)
@@ -225,36 +235,53 @@ def _send_minima(length: int, parts: int):
                     ms.append(m[new])
                     rows.append(text[new] + a)
                 m, row = np.concatenate(ms), np.concatenate(rows).astype(np.uint16)
-                part = (m % np.uint64(parts)).astype(np.int32)
+                order = np.lexsort((ids[row], m))
+                m, row = m[order], row[order]
+                head = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, np.int64)
+                size = np.diff(np.concatenate((head, [len(m)])))
+                n, part = np.ones(len(m), np.uint16), (m % np.uint64(parts)).astype(np.int32)
+                shared = (size > 2) & (ids[row[head]] < ids[row[head + size - 1]])
+                n[head[shared]] = size[shared] - 1
+                turn += 1
+                between = np.repeat(shared, size)
+                between[head[shared]] = between[(head + size - 1)[shared]] = False
+                part[between] = -1 - turn % parts
                 order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                for k in np.flatnonzero(np.diff(cut)):
-                    which = order[cut[k] : cut[k + 1]]
+                head = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0))) if len(m) else np.zeros(0, np.int64)
+                for which in np.split(order, head[1:]) if len(m) else []:
                     used, at = np.unique(row[which], return_inverse=True)
-                    yield pa.record_batch([pa.array([x], t) for x, t in zip((k, m[which].tobytes(), at.astype(np.uint16).tobytes(), ids[used].tobytes(), ths[used].tobytes()), _MINIMA.types, strict=True)], schema=_MINIMA)
+                    cells = (part[which[0]], m[which].tobytes(), at.astype(np.uint16).tobytes(), n[which].tobytes(), ids[used].tobytes(), ths[used].tobytes())
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip(cells, _MINIMA.types, strict=True)], schema=_MINIMA)
 
     return run
 
 
-def _repeated_minima(table: pa.Table) -> pa.Table:
-    """(doc_id, th, minima) of the minima that stand in more than one document."""
-    load = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    m, row, ids, ths = load("m", np.uint64), load("row", np.uint16), load("ids", np.int64), load("ths", np.int64)
-    shift = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-    at = np.concatenate([r.astype(np.int64) + s for r, s in zip(row, shift[:-1], strict=True)])
-    m, ids, ths = np.concatenate(m), np.concatenate(ids), np.concatenate(ths)
-    order = np.argsort(m, kind="stable")
-    m, at = m[order], at[order]
-    new = np.ones(len(m), bool)
-    new[1:] = m[1:] != m[:-1]
-    group, head = np.cumsum(new) - 1, np.flatnonzero(new)
-    low, high = np.minimum.reduceat(ids[at], head), np.maximum.reduceat(ids[at], head)
-    keep = (low < high)[group]
-    m, at = m[keep], at[keep]
-    order = np.argsort(at, kind="stable")
-    m, at = m[order], at[order]
-    used, first = np.unique(at, return_index=True)
-    return pa.table({"doc_id": ids[used], "th": ths[used], "m": pa.array([x.tobytes() for x in np.split(m, first[1:])] if len(used) else [], pa.binary())})
+def _repeated_minima(limit: int):
+    """(doc_id, th, minima) of the minima that stand in more than one document; those of more than `limit` also without a document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        load = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        m, row, ids, ths = load("m", np.uint64), load("row", np.uint16), load("ids", np.int64), load("ths", np.int64)
+        shift = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        at = np.concatenate([r.astype(np.int64) + s for r, s in zip(row, shift[:-1], strict=True)])
+        m, ids, ths, n = np.concatenate(m), np.concatenate(ids), np.concatenate(ths), np.concatenate(load("n", np.uint16)).astype(np.int64)
+        order = np.argsort(m, kind="stable")
+        m, at, n = m[order], at[order], n[order]
+        new = np.ones(len(m), bool)
+        new[1:] = m[1:] != m[:-1]
+        group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+        low, high = np.minimum.reduceat(ids[at], head), np.maximum.reduceat(ids[at], head)
+        hot = m[head][(np.add.reduceat(n, head) > limit) & (low < high)] if table.column("part")[0].as_py() >= 0 else m[:0]
+        keep = (low < high)[group] | (table.column("part")[0].as_py() < 0)
+        m, at = m[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        m, at = m[order], at[order]
+        used, first = np.unique(at, return_index=True)
+        blobs = [x.tobytes() for x in np.split(m, first[1:])] if len(used) else []
+        found = pa.table({"doc_id": ids[used], "th": ths[used], "m": pa.array(blobs, pa.binary())})
+        return pa.concat_tables((found, pa.table({"doc_id": pa.array([None], pa.int64()), "th": pa.array([None], pa.int64()), "m": pa.array([hot.tobytes()], pa.binary())}))) if len(hot) else found
+
+    return run
 
 
 def digests(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -272,8 +299,8 @@ _SEGMENTS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("ths", pa.bi
 _RANGES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("ranges", pa.binary())])
 
 
-def _send_segments(length: int, parts: int):
-    """Segments by their minimum's part.  Rows with part -1 - k are ranges already known to go."""
+def _send_segments(length: int, parts: int, hot: np.ndarray):
+    """Segments by their minimum's part; starts of the `hot` minima by the hash of their string.  Rows with part -1 - k are ranges already known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, seen_id = np.zeros(0, DIGEST), np.zeros(0, np.int64)  # segments already sent: rows come in order of id
@@ -288,7 +315,12 @@ def _send_segments(length: int, parts: int):
                     text, first, count, m = segments(raw, off, length)
                     keep = np.isin(m, known)
                     text, first, count, m = text[keep], first[keep], count[keep], m[keep]
+                    single = np.isin(m, hot)
+                    size = np.where(single, count, 1)
+                    first = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    text, m, single, count = np.repeat(text, size), np.repeat(m, size), np.repeat(single, size), np.repeat(np.where(single, 1, count), size)
                     key, doc = digests(raw, first, count + length - 1), ids[a + text]
+                    m[single] = key["x"][single]
                     order = np.lexsort((first, doc, key["y"], key["x"]))
                     key, doc = key[order], doc[order]
                     head = np.ones(len(key), bool)
@@ -384,7 +416,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans for each row of `docs`.
 
     Texts are UTF-8 bytes; null is empty.  A byte goes if a `length`-byte string over
@@ -393,6 +425,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other.  A row with a null id neither loses bytes nor makes others lose any.
     Ids are
     of any type that can be ordered.  Other columns are not used.  `length` is 28 or more.
+    Minima of more than `hot` documents are split; results do not depend on it.
     """
     base, back = with_long_ids(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
     base = base.withColumn("th", F.xxhash64("text"))
@@ -403,12 +436,14 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = sized(written(thin.join(first.where("low < high").select("key", "low"), "key").where("doc_id > low").select("doc_id", "th").distinct()))
     alone = base.where((F.col("doc_id").isNotNull()) & (F.octet_length("text") >= length)).join(copies, ["doc_id", "th"], "left_anti")
     parts = max(16, total // GROUP_BYTES)
-    packed = alone.select("doc_id", "th", "text").mapInArrow(_send_minima(length, max(8, parts // 8)), "part int, m binary, row binary, ids binary, ths binary")
-    repeated = packed.groupBy("part").applyInArrow(_repeated_minima, "doc_id long, th long, m binary")
-    repeated = written(repeated.groupBy("doc_id", "th").agg(F.collect_list("m").alias("ms")))  # at most one blob for each part
+    packed = alone.select("doc_id", "th", "text").mapInArrow(_send_minima(length, max(8, parts // 8)), "part int, m binary, row binary, n binary, ids binary, ths binary")
+    repeated = packed.groupBy("part").applyInArrow(_repeated_minima(max(hot, total >> HOT_BITS)), "doc_id long, th long, m binary")
+    repeated = written(repeated.groupBy("doc_id", "th").agg(F.collect_list("m").alias("ms")))  # at most one blob for each part and batch
+    hot_minima = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for row in repeated.where("doc_id is null").toLocalIterator() for x in row["ms"])])
+    repeated = repeated.where("doc_id is not null")
     need = sized(repeated.select("doc_id", "th"))
     text = alone.join(need, ["doc_id", "th"], "left_semi")
-    sent = text.join(repeated, ["doc_id", "th"]).select("doc_id", "th", "text", "ms").sortWithinPartitions("doc_id").mapInArrow(_send_segments(length, parts), "part int, ids binary, ths binary, start binary, count binary, bytes binary")
+    sent = text.join(repeated, ["doc_id", "th"]).select("doc_id", "th", "text", "ms").sortWithinPartitions("doc_id").mapInArrow(_send_segments(length, parts, hot_minima), "part int, ids binary, ths binary, start binary, count binary, bytes binary")
     ranges = sent.groupBy("part").applyInArrow(_sort_segments(length), "doc_id long, th long, ranges binary")
     ranges = written(ranges.groupBy("doc_id", "th").agg(F.collect_list("ranges").alias("blobs")).select("doc_id", "th", F.lit(False).alias("whole"), "blobs"))
     gone = ranges.union(copies.select("doc_id", "th", F.lit(True).alias("whole"), F.array().cast("array<binary>").alias("blobs")))
