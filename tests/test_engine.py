@@ -308,6 +308,14 @@ def test_spans_equal_whole_tickers(spark):
             assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]), (c, a["bar_date"])
 
 
+def test_no_span_is_a_look_back_only(spark):
+    """The end of a ticker is sent nowhere else: 150 and 100 bars in spans of 100 are 250 rows and one look-back of 80."""
+    rows = [(1.0, 2.0, 0.5, 1.0 + i % 3, 10) for i in range(150)]
+    df = bars(spark, rows, "A").unionByName(bars(spark, rows[:100], "B"))
+    got = halo.in_spans(df, 100, 80).groupBy("ticker", "__span").agg(F.count("*").alias("n"), F.count_if(F.expr("__home = __span")).alias("own")).orderBy("ticker", "__span").collect()
+    assert [tuple(r) for r in got] == [("A", 0, 100, 100), ("A", 1, 130, 50), ("B", 0, 100, 100)]
+
+
 def random_bars(spark, n, ticker="A", seed=8, gaps=True):
     rng = random.Random(seed)
     rows, price = [], 50.0

@@ -27,32 +27,39 @@ def look_back(cfg: StrategyConfig) -> int:
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    """Bars with rn, their number in their ticker (from 1), and kn, the number of bars with all prices up to them."""
+    """Bars with rn, their number in their ticker (from 1), kn, the number of bars with all prices up to them, and k_all, that number for the whole ticker."""
+    bars = kept(bars)
     known = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     df = bars.withColumn("__year", F.year("bar_date"))
     per_year = df.groupBy(F.col("ticker").alias("__t"), F.col("__year").alias("__y")).agg(F.count("*").alias("__n"), F.count_if(known).alias("__k"))
     before = Window.partitionBy("__t").orderBy("__y").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_year.select("__t", "__y", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__k0"))
+    starts = per_year.select("__t", "__y", F.sum("__k").over(Window.partitionBy("__t")).alias("k_all"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__k0"))
     inside = Window.partitionBy("ticker", "__year").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"rn": F.count("*").over(inside), "kn": F.count_if(known).over(inside)})
     df = df.join(starts, (F.col("ticker") == F.col("__t")) & (F.col("__year") == F.col("__y")))
     return df.withColumns({"rn": F.col("rn") + F.col("__n0"), "kn": F.col("kn") + F.col("__k0")}).drop("__year", "__t", "__y", "__n0", "__k0")
 
 
+def in_spans(bars: DataFrame, span: int, back: int) -> DataFrame:
+    """Numbered bars with __home, the span a bar is of, and __span, the span it is sent to; each span has bars of its own."""
+    df = numbered(bars).withColumn("__home", F.greatest(F.floor((F.col("kn") - 1) / span), F.lit(0)))
+    # The last `back` bars with prices of a span, and what lies among them, go to the next span as well, if there is one.
+    more = ((F.col("__home") + 1) * span < F.col("k_all")) & (F.col("kn") > (F.col("__home") + 1) * span - back)
+    return df.withColumn("__span", F.explode(F.when(more, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))))
+
+
 def with_indicators_by_span(bars: DataFrame, cfg: StrategyConfig, market: DataFrame | None = None, span: int = 4096) -> DataFrame:
     """The columns of `with_indicators`, computed span by span; a span is at least as long as the look-back."""
     back = look_back(cfg)
     span = max(span, back)
-    home = F.greatest(F.floor((F.col("kn") - 1) / span), F.lit(0))
-    df = numbered(bars).withColumn("__home", home)
-    # The last `back` bars with prices of a span, and what lies among them, go to the next span as well.
-    df = df.withColumn("__span", F.explode(F.when(F.col("kn") > (F.col("__home") + 1) * span - back, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))))
+    df = in_spans(bars, span, back)
     columns = [*bars.columns, "rn", "kn"]
     df = df.select(*(F.col(c).alias({"rn": "__number", "ticker": "__ticker"}.get(c, c)) for c in columns), "__home", "__span", F.concat_ws("\u0001", "ticker", F.col("__span").cast("string")).alias("ticker"))
     df = with_indicators(df, cfg)
     w = Window.partitionBy("ticker").orderBy("bar_date")
-    # What the halo has added to the volume when the span begins.
-    df = df.withColumn("__halo_obv", F.coalesce(F.last(F.when(F.col("__home") < F.col("__span"), F.col("obv")), ignorenulls=True).over(w), F.lit(0.0)))
+    # What the halo has added to the volume when the span begins, and the span's own last bar so far that is not oversold.
+    above = F.last(F.when((F.col("__home") == F.col("__span")) & (F.col("oversold_streak_days") == 0), F.col("__number")), ignorenulls=True).over(w)
+    df = df.withColumns({"__halo_obv": F.coalesce(F.last(F.when(F.col("__home") < F.col("__span"), F.col("obv")), ignorenulls=True).over(w), F.lit(0.0)), "__own_above": above})
     df = kept(df.where("__home = __span").withColumn("obv", F.col("obv") - F.col("__halo_obv")).drop("__halo_obv"))
     ends = df.groupBy(F.col("__ticker").alias("__t"), F.col("__span").alias("__s")).agg(
         F.max_by("obv", "__number").alias("__obv"), F.max(F.when(F.col("oversold_streak_days") == 0, F.col("__number"))).alias("__above"),
@@ -61,12 +68,11 @@ def with_indicators_by_span(bars: DataFrame, cfg: StrategyConfig, market: DataFr
     before = Window.partitionBy("__t").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("__t", "__s", F.coalesce(F.sum("__obv").over(before), F.lit(0.0)).alias("__obv0"), F.max("__above").over(before).alias("__above0"), F.max("__out").over(before).alias("__out0"))
     df = df.join(carried, (F.col("__ticker") == F.col("__t")) & (F.col("__span") == F.col("__s")))
-    above = F.last(F.when(F.col("oversold_streak_days") == 0, F.col("__number")), ignorenulls=True).over(w)
-    streak = F.when(F.col("oversold_streak_days") == 0, 0).otherwise(F.col("__number") - F.coalesce(above, "__above0", F.lit(0))).cast("int")
+    streak = F.when(F.col("oversold_streak_days") == 0, 0).otherwise(F.col("__number") - F.coalesce("__own_above", "__above0", F.lit(0))).cast("int")
     df = df.withColumns({
         "obv": F.col("obv") + F.col("__obv0"), "__streak": streak, "days_since_breakout": F.coalesce("days_since_breakout", (F.col("__number") - F.col("__out0.rn")).cast("int")),
         "last_breakout_level": F.coalesce("last_breakout_level", F.col("__out0.level")),
     })
     df = df.withColumns({"oversold_streak_days": F.col("__streak"), "extended_decline_warning": F.col("__streak") >= cfg.decline_days, "rn": F.col("__number"), "ticker": F.col("__ticker")})
-    df = df.drop("__home", "__span", "__ticker", "__number", "kn", "__t", "__s", "__obv0", "__above0", "__out0", "__streak")
+    df = df.drop("__home", "__span", "__ticker", "__number", "kn", "__t", "__s", "__obv0", "__above0", "__out0", "__own_above", "__streak")
     return df if market is None else relative_strength(df.drop("relative_strength"), market, cfg.breakout_lookback)

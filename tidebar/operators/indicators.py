@@ -135,12 +135,18 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig, market: DataFrame | No
     """Bars with all indicator columns of the five strategies; `market` bars add relative strength.
 
     Columns are added level by level, each level from those before it, so that windows
-    of one level are one operator and the plan stays short.
+    of one level are one operator and the plan stays short.  The smoothed ones, which sort
+    by blocks, come first, while rows are narrow.
     """
     w = by_ticker()
+    df = rsi(bars, cfg.rsi_window)
+    if cfg.atr_window == cfg.adx_window:
+        df = adx(df, cfg.adx_window, atr_out="atr")
+    else:
+        df = adx(atr(df, cfg.atr_window), cfg.adx_window)
     level, day = support(cfg.support_lookback)
     step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(w)) * F.col("volume"), F.lit(0.0))
-    df = bars.withColumns({
+    df = df.withColumns({
         "rn": F.row_number().over(w), "sma": sma("close", cfg.ma_window), "sma_trend": sma("close", cfg.sma_trend), "avg_volume": sma("volume", cfg.volume_lookback),
         "highest_high": prior_high(cfg.breakout_lookback), "week52_high": full(F.max("high"), "high", cfg.week52_lookback), "support_level": level, "support_date": day, "__step": step,
         "volatility": F.try_divide(full(F.stddev_samp("close"), "close", cfg.bb_window), full(F.avg("close"), "close", cfg.bb_window)),
@@ -155,12 +161,7 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig, market: DataFrame | No
         "obv_zscore": z_score("obv", cfg.obv_window), "squeeze_zscore": F.lag("__sq").over(w), "last_breakout_level": since("highest_high"),
         "days_since_breakout": (F.col("rn") - since("rn")).cast("int"), "volume_ratio": F.try_divide(F.col("volume"), F.col("avg_volume_prior")),
     })
-    df = rsi(df.drop("__step", "__sq"), cfg.rsi_window)
-    if cfg.atr_window == cfg.adx_window:
-        df = adx(df, cfg.adx_window, atr_out="atr")
-    else:
-        df = adx(atr(df, cfg.atr_window), cfg.adx_window)
-    df = streak(df, F.col("rsi") < cfg.rsi_oversold).withColumn("extended_decline_warning", F.col("oversold_streak_days") >= cfg.decline_days)
+    df = streak(df.drop("__step", "__sq"), F.col("rsi") < cfg.rsi_oversold).withColumn("extended_decline_warning", F.col("oversold_streak_days") >= cfg.decline_days)
     if market is None:
         return df.withColumn("relative_strength", F.lit(None).cast("double"))
     return relative_strength(df, market, cfg.breakout_lookback)
