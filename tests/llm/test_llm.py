@@ -841,3 +841,13 @@ def test_near_vectors_reach_their_recall_at_any_dimension_and_threshold(spark, d
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = ((u @ u.T) >= threshold).sum() - len(x)
     assert 0.99 * want <= sum(got.values()) <= want
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_a_text_of_new_words_is_encoded_at_once(kind):
+    encoder = training_order.Encoder(open(training_order.TOKENIZER, "rb").read(), kind)
+    text = " ".join(f"word{i}x{i * 7919}" for i in range(300)) + "\n \tend "
+    want, calls, plain = encoder.one(text), [], encoder.bpe.encode_ordinary
+    encoder.bpe.encode_ordinary = lambda t: calls.append(t) or plain(t)
+    assert encoder.encode(text) == want
+    assert calls == [text]

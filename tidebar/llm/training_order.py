@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 EOS = 50256
 ROUNDS = 6
-#: Encoded words that a task remembers.
-REMEMBER = 200_000
 #: Sequences are dealt to so many buckets by hash and numbered inside each: a part of the order, not of the cluster.
 BUCKETS = 1 << 18
 #: Packed bytes of a partition of the output, which is whole shards.
 OUTPUT_BYTES = 128 << 20
-#: White space for which words cannot be encoded one by one: two spaces in a row, or any but space, tab and line ends.
-UNUSUAL_SPACE = ["  ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\r")]
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -59,36 +56,20 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class Encoder:
-    """Byte-level BPE as token bytes; equal words between single spaces are encoded once.
-
-    The pattern joins no character but unusual white space with a space that follows it,
-    so a text without two spaces in a row can be split before each space.
-    """
+    """Byte-level BPE as token bytes, a text at a time: nothing is remembered, so new words cost what known ones do."""
 
     def __init__(self, ranks: bytes, kind: type):
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.splitlines()))}, special_tokens={})
-        self.kind, self.known = kind, {}
+        self.kind, self.code = kind, "HI"[np.dtype(kind).itemsize == 4]
 
     def one(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in UNUSUAL_SPACE):
-            return self.one(text)
-        head, *rest = text.split(" ")
-        known, parts = self.known, [self.one(head)]
-        if len(known) > REMEMBER:
-            known.clear()
-        for w in rest:
-            x = known.get(w)
-            if x is None:
-                x = self.one(" " + w)
-                if len(w) < 64:
-                    known[w] = x
-            parts.append(x)
-        return b"".join(parts)
+        """As `one`; an array takes a list of numbers in half numpy's time."""
+        return array(self.code, self.bpe.encode_ordinary(text)).tobytes()
 
 
 def _tokenise(ranks, length: int, eos: int, kind: type):
