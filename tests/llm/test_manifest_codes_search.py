@@ -201,3 +201,15 @@ def test_windows_hold_what_they_should():
     for q in x[:20]:
         some, score, seen = index.search(q, -1, 5)
         assert np.array_equal(score, ann.products(x[some], q)) and 5 <= seen <= 300
+
+
+@pytest.mark.parametrize("n", [1, 70, 66_000])
+def test_collisions_are_lines_whose_windows_hold_a_vector(n):
+    rng = np.random.default_rng(n)
+    x, q = rng.normal(size=(n, 3)), rng.normal(size=(2, 3))
+    index = ann.Index(x, lines=5)
+    point = np.c_[index.unit, np.sqrt(np.maximum(index.most**2 - (index.unit**2).sum(axis=1), 0))] @ index.lines
+    for i, (lows, highs) in enumerate(zip(*index.windows(q), strict=True)):
+        at = q[i] / np.linalg.norm(q[i]) * index.most @ index.lines[:-1]
+        for radius, low, high in zip(index.radii, lows, highs, strict=True):
+            assert (np.abs(index.collisions(low, high) - (np.abs(point - at) <= radius).sum(axis=1)) <= (np.abs(np.abs(point - at) - radius) < 1e-9).sum(axis=1)).all()

@@ -6,8 +6,9 @@ with it on the lines whose windows hold the vector.  The windows' half width is
 R: of the vectors at most R away each collides on a line with a known probability (68 %),
 so one that collides on fewer lines than a threshold is within R with a known
 probability only.  Vectors that reach the threshold are verified.
-R grows (virtual rehashing: windows only get wider, so only what they newly
-cover is counted) until the k-th best verified vector is at most R away, or none is left.
+R grows (virtual rehashing: windows only get wider) until the k-th best verified vector is
+at most R away, or none is left.  Each vector knows its place on each line, so it is in a window if
+its place is within the window's: collisions are counted by comparing small numbers.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2), with M the
 largest norm of the block; blocks hold vectors of about one norm.  Blocks of queries meet
@@ -75,25 +76,34 @@ class Index:
         p = self.unit @ self.lines[:-1] + last[:, None] * self.lines[-1]
         order = np.argsort(p, axis=0, kind="stable").T
         self.values = np.take_along_axis(p, order.T, axis=0).T.copy()
-        self.ids = order.ravel()
+        # Of each vector, its place among the values of each line.
+        self.places = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(x), dtype=self.places.dtype)[None], axis=1)
+        # Rooms that all searches use.
+        self.within, self.hit = np.empty_like(self.places), np.empty(order.shape, bool)
         self.least = least_collisions(lines) if least is None else least
         # No two vectors are farther apart than 2 M; the last window holds all.
         steps = math.ceil(math.log(5, GROWTH))
         self.radii = np.r_[self.most / 2 * GROWTH ** np.arange(steps + 1), np.inf]
 
     def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends in `ids` of the windows of each query, radius and line."""
+        """First places of the windows of each query, radius and line, and those after their last."""
         top = np.abs(queries).max(axis=1, keepdims=True)
         unit = queries / top
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) * self.most
         at = unit @ self.lines[:-1]
-        n = len(self.x)
-        low, high = (np.empty((len(queries), len(self.radii), len(self.values)), np.int64) for _ in range(2))
+        low, high = (np.empty((len(queries), len(self.radii), len(self.values)), self.places.dtype) for _ in range(2))
         for i, v in enumerate(self.values):
-            low[:, :, i] = i * n + np.searchsorted(v, at[:, i, None] - self.radii, "left")
-            high[:, :, i] = i * n + np.searchsorted(v, at[:, i, None] + self.radii, "right")
+            low[:, :, i] = np.searchsorted(v, at[:, i, None] - self.radii, "left")
+            high[:, :, i] = np.searchsorted(v, at[:, i, None] + self.radii, "right")
         return low, high
 
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of each vector, the number of lines whose window holds it."""
+        # Places before the window wrap around to large numbers.
+        np.less(np.subtract(self.places, low[:, None], out=self.within), (high - low)[:, None], out=self.hit)
+        return self.hit.view(np.uint8).sum(axis=0, dtype=np.uint8 if len(self.hit) < 256 else np.int64)
+
     def search(self, q: np.ndarray, own: int, k: int, windows: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores, number verified) of about the k best rows and all that tie with the last of them; `own` is left out (-1: none)."""
         n = len(self.x)
@@ -104,28 +114,19 @@ class Index:
         lows, highs = (w[0] for w in self.windows(q[None])) if windows is None else windows
         unit = q / np.abs(q).max()
         unit = unit / np.linalg.norm(unit) * self.most
-        count, done, score = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -np.inf)
+        done, score = np.zeros(n, bool), np.full(n, -np.inf)
         if own >= 0:
             done[own] = True
-        verified, low, high = 0, None, None
-        for radius, a, z in zip(self.radii.tolist(), lows.tolist(), highs.tolist(), strict=True):
-            if low is None:
-                new = [self.ids[i:j] for i, j in zip(a, z, strict=True)]
-            else:
-                new = [self.ids[i:j] for i, j in zip(a, low, strict=True)] + [self.ids[i:j] for i, j in zip(high, z, strict=True)]
-            low, high = a, z
-            count += np.bincount(np.concatenate(new), minlength=n)
-            ready = np.flatnonzero((count >= self.least) & ~done)
+        verified = 0
+        for radius, low, high in zip(self.radii.tolist(), lows, highs, strict=True):
+            ready = np.flatnonzero((self.collisions(low, high) >= self.least) & ~done)
             if len(ready):
                 done[ready] = True
                 score[ready] = self.unit[ready] @ unit
                 verified += len(ready)
-            if verified == left:
+            # The k-th best is at most the radius away.
+            if verified == left or verified >= want and np.count_nonzero(score >= self.most**2 - radius**2 / 2) >= want:
                 break
-            if verified >= want:
-                worst = np.partition(score, n - want)[n - want]
-                if 2 * (self.most**2 - worst) <= radius**2:
-                    break
         worst = np.partition(score, n - want)[n - want]
         some = np.flatnonzero(score >= worst - 1e-9 * self.most**2)
         return some, products(self.x[some], q), verified
