@@ -1,7 +1,10 @@
 """Hand-made bars, brute force and invariants."""
 
 import datetime as dt
+import os
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,6 +311,48 @@ def test_spans_equal_whole_tickers(spark):
             assert a[c] == (pytest.approx(b[c], rel=1e-9, abs=1e-9) if isinstance(b[c], float) else b[c]), (c, a["bar_date"])
 
 
+def test_short_tickers_and_spans_of_whole_bars(spark):
+    """Windows put together from powers of two and sums without blocks equal the plain ones; so do spans of bars with all prices."""
+    from tidebar.operators import short
+
+    cfg = StrategyConfig(ma_window=7, sma_trend=20, volume_lookback=5, breakout_lookback=9, week52_lookback=31, support_lookback=6, rsi_window=3, atr_window=4, adx_window=3, bb_window=7, squeeze_window=9, pullback_ma=8, pullback_slope=3, obv_window=5, rsi_oversold=60.0)
+    # Gaps, few bars, and one price for longer than all windows.
+    flat = bars(spark, [(5.1, 5.1, 5.1, 5.1, 3)] * 60 + [(6.0, 6.5, 5.5, 6.1, 4)] * 30, "C")
+    df = random_bars(spark, 300).unionByName(random_bars(spark, 5, "B", 9)).unionByName(flat)
+    for c in (cfg, replace(cfg, atr_window=3, rsi_window=1)):
+        want = indicators.with_indicators(df, c).drop("relative_strength").orderBy("ticker", "bar_date")
+        got = short.with_indicators(df, c).select(*want.columns).orderBy("ticker", "bar_date")
+        close_rows(got.collect(), want.collect())
+    whole = random_bars(spark, 700, gaps=False).unionByName(random_bars(spark, 90, "B", 9, gaps=False))
+    c = replace(cfg, breakout_lookback=60)
+    assert halo.look_back(c) < 250 and short.fits(c, 500) and not short.fits(c, 5000)
+    want = indicators.with_indicators(whole, c).orderBy("ticker", "bar_date")
+    close_rows(halo.with_indicators_by_span(whole, c, span=10, whole_bars=True).select(*want.columns).orderBy("ticker", "bar_date").collect(), want.collect())
+
+
+def close_rows(got, want):
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want, strict=True):
+        for c, x, y in zip(b.__fields__, a, b, strict=True):
+            assert x == (pytest.approx(y, rel=1e-9, abs=1e-9) if isinstance(y, float) else y), (c, a["ticker"], a["bar_date"])
+
+
+def test_spans_are_shuffled_once_and_nothing_is_written(spark):
+    from tidebar.plans import queries
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = sorted(os.listdir(shared))
+    out = queries.QUERIES["q_w25_indicators_by_span"](spark, "/root/testdata/sf0.001")
+    assert out.collect()
+    assert sorted(os.listdir(shared)) == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    # The lines and the spans are read twice each from one shuffle; the rows themselves are not sent again.
+    assert re.search(r"ReusedExchange \[[^\]]*l_orderkey", final) and re.search(r"ReusedExchange \[[^\]]*__home", final)
+    sent = re.findall(r"Exchange hashpartitioning\(([a-z_]*)", re.sub(r"ReusedExchange.*", "", final))
+    assert sent.count("ticker") == 2, sent
+
+
 def test_no_span_is_a_look_back_only(spark):
     """The end of a ticker is sent nowhere else: 150 and 100 bars in spans of 100 are 250 rows and one look-back of 80."""
     rows = [(1.0, 2.0, 0.5, 1.0 + i % 3, 10) for i in range(150)]

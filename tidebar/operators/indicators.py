@@ -82,12 +82,19 @@ def wilder(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
     return wilder_all(df, {x: out}, n)
 
 
-def rsi(df: DataFrame, n: int, out: str = "rsi") -> DataFrame:
+def moves() -> dict[str, Column]:
+    """Rises and falls of the close."""
     change = F.col("close") - F.lag("close").over(by_ticker())
-    df = df.withColumns({"__up": F.greatest(change, F.lit(0.0) * change), "__down": F.greatest(-change, F.lit(0.0) * change)})
-    df = wilder_all(df, {"__up": "__gain", "__down": "__loss"}, n)
-    value = F.try_divide(F.lit(100.0) * F.col("__gain"), F.col("__gain") + F.col("__loss"))
-    return df.withColumn(out, value).drop("__up", "__down", "__gain", "__loss")
+    return {"__up": F.greatest(change, F.lit(0.0) * change), "__down": F.greatest(-change, F.lit(0.0) * change)}
+
+
+def strength() -> Column:
+    return F.try_divide(F.lit(100.0) * F.col("__gain"), F.col("__gain") + F.col("__loss"))
+
+
+def rsi(df: DataFrame, n: int, out: str = "rsi") -> DataFrame:
+    df = wilder_all(df.withColumns(moves()), {"__up": "__gain", "__down": "__loss"}, n)
+    return df.withColumn(out, strength()).drop("__up", "__down", "__gain", "__loss")
 
 
 def true_range() -> Column:
@@ -100,14 +107,22 @@ def atr(df: DataFrame, n: int, out: str = "atr") -> DataFrame:
     return wilder(df.withColumn("__tr", true_range()), "__tr", n, out).drop("__tr")
 
 
-def adx(df: DataFrame, n: int, out: str = "adx", atr_out: str = "__atr") -> DataFrame:
-    """Adds the average directional index, and the average true range of the same length where `atr_out` names it."""
+def ranges() -> dict[str, Column]:
+    """True range and directional moves."""
     up, down = F.col("high") - F.lag("high").over(by_ticker()), F.lag("low").over(by_ticker()) - F.col("low")
     known = up.isNotNull() & down.isNotNull()
-    df = df.withColumns({"__tr": true_range(), "__plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "__minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0))})
-    df = wilder_all(df, {"__tr": atr_out, "__plus": "__pdm", "__minus": "__mdm"}, n)
-    pdi, mdi = F.try_divide(F.col("__pdm"), F.col(atr_out)), F.try_divide(F.col("__mdm"), F.col(atr_out))
-    df = df.withColumn("__dx", F.lit(100.0) * F.try_divide(F.abs(pdi - mdi), pdi + mdi))
+    return {"__tr": true_range(), "__plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "__minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0))}
+
+
+def directional(tr: str) -> Column:
+    pdi, mdi = F.try_divide(F.col("__pdm"), F.col(tr)), F.try_divide(F.col("__mdm"), F.col(tr))
+    return F.lit(100.0) * F.try_divide(F.abs(pdi - mdi), pdi + mdi)
+
+
+def adx(df: DataFrame, n: int, out: str = "adx", atr_out: str = "__atr") -> DataFrame:
+    """Adds the average directional index, and the average true range of the same length where `atr_out` names it."""
+    df = wilder_all(df.withColumns(ranges()), {"__tr": atr_out, "__plus": "__pdm", "__minus": "__mdm"}, n)
+    df = df.withColumn("__dx", directional(atr_out))
     return wilder(df, "__dx", n, out).drop("__tr", "__plus", "__minus", "__atr", "__pdm", "__mdm", "__dx")
 
 

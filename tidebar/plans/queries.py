@@ -159,8 +159,9 @@ SUPPLIER_BARS = f"u AS (SELECT 1), bars AS (SELECT l_suppkey::VARCHAR AS ticker,
 
 @register("q_w25_indicators_by_span", f"WITH {SUPPLIER_BARS}, {O.frame(SPANS)} SELECT ticker, bar_date, {', '.join(f'round({c}, {SPAN_DIGITS.get(c, 6)}) AS {c}' if c != 'rn' else c for c in SPAN_COLUMNS)}, days_since_breakout::INT AS days_since_breakout, oversold_streak_days::INT AS oversold_streak_days FROM f")
 def q_w25(spark, sf):
-    df = B.daily_supplier_bars(spark, sf).withColumn("bar_date", F.to_date("bar_date"))
-    out = halo.with_indicators_by_span(df, SPANS, span=200)
+    # All prices of a bar are of the same lines, so one with a close has the others.
+    df = B.daily_supplier_bars_by_year(spark, sf).drop("open")
+    out = halo.with_indicators_by_span(df, SPANS, span=200, whole_bars=True)
     return out.select("ticker", "bar_date", *(F.round(c, SPAN_DIGITS.get(c, 6)).alias(c) if c != "rn" else F.col(c) for c in SPAN_COLUMNS), "days_since_breakout", "oversold_streak_days")
 
 

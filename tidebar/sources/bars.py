@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .shared import kept
 
+#: The calendar year of bars that are partitioned by ticker and year.
+YEAR = "bar_year"
 BAR = ["open", "high", "low", "close", "volume"]
 #: Calendar days of history read before a test window, for indicators to warm up.
 WARM_UP_DAYS = 420
@@ -85,6 +87,16 @@ def daily_supplier_bars(spark, sf_dir: str) -> DataFrame:
     return bars_from_lines(_lines(spark, sf_dir), ["l_suppkey"], "l_shipdate").withColumn("ticker", F.col("l_suppkey").cast("string"))
 
 
+def daily_supplier_bars_by_year(spark, sf_dir: str) -> DataFrame:
+    """Daily bars by supplier with `bar_year`, partitioned by ticker and year.
+
+    A supplier has hardly more than one line a day, so the lines are sent as they are, narrower than parts of
+    bars would be; bars are made where they arrive.
+    """
+    lines = _lines(spark, sf_dir).drop("week").withColumns({"ticker": F.col("l_suppkey").cast("string"), "bar_day": F.to_date("l_shipdate"), YEAR: F.year("l_shipdate")}).drop("l_suppkey")
+    return bars_from_lines(lines.repartition("ticker", YEAR), ["ticker", YEAR], "bar_day")
+
+
 def trailing_year(bars: DataFrame, as_of) -> DataFrame:
     """Bars of the year up to a date."""
     return bars.where((F.col("bar_date") >= F.add_months(F.lit(as_of).cast("date"), -12)) & (F.col("bar_date") <= F.lit(as_of).cast("date")))
