@@ -82,9 +82,13 @@ def wilder(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
     return wilder_all(df, {x: out}, n)
 
 
-def moves() -> dict[str, Column]:
-    """Rises and falls of the close."""
-    change = F.col("close") - F.lag("close").over(by_ticker())
+def one_before(x: str) -> Column:
+    return F.lag(x).over(by_ticker())
+
+
+def moves(before=one_before) -> dict[str, Column]:
+    """Rises and falls of the close; `before` gives a column of the bar before."""
+    change = F.col("close") - before("close")
     return {"__up": F.greatest(change, F.lit(0.0) * change), "__down": F.greatest(-change, F.lit(0.0) * change)}
 
 
@@ -97,21 +101,21 @@ def rsi(df: DataFrame, n: int, out: str = "rsi") -> DataFrame:
     return df.withColumn(out, strength()).drop("__up", "__down", "__gain", "__loss")
 
 
-def true_range() -> Column:
+def true_range(before=one_before) -> Column:
     """Null on the first bar: greatest skips nulls, so it is guarded."""
-    before = F.lag("close").over(by_ticker())
-    return F.when(before.isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    close = before("close")
+    return F.when(close.isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - close), F.abs(F.col("low") - close)))
 
 
 def atr(df: DataFrame, n: int, out: str = "atr") -> DataFrame:
     return wilder(df.withColumn("__tr", true_range()), "__tr", n, out).drop("__tr")
 
 
-def ranges() -> dict[str, Column]:
+def ranges(before=one_before) -> dict[str, Column]:
     """True range and directional moves."""
-    up, down = F.col("high") - F.lag("high").over(by_ticker()), F.lag("low").over(by_ticker()) - F.col("low")
+    up, down = F.col("high") - before("high"), before("low") - F.col("low")
     known = up.isNotNull() & down.isNotNull()
-    return {"__tr": true_range(), "__plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "__minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0))}
+    return {"__tr": true_range(before), "__plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "__minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0))}
 
 
 def directional(tr: str) -> Column:

@@ -2,9 +2,10 @@
 
 Where no ticker has more than some hundred or thousand bars, r^-t stays in the range of a double, so
 smoothed values are one running sum without blocks.  Sums, spreads and maxima over n bars are put together
-from those over powers of two, each of two of half its length; what is null in one is null in
+from those over powers of four, each of four of a quarter of its length; what is null in one is null in
 all that hold it, so a window is null until all its bars are known.  Columns are added level by
-level, all that depend on the same level in one window operator.
+level, all that depend on the same level in one window operator, and a column of some bars ago
+is made once for all that read it.
 """
 
 from __future__ import annotations
@@ -30,16 +31,18 @@ class Levels:
     def __init__(self, columns: list[str]):
         self.level = dict.fromkeys(columns, 0)
         self.steps: dict[tuple[int, int], dict[str, Column]] = {}
+        self.added: list[str] = []
 
     def window(self, name: str, column: Column, *reads: str) -> str:
         return self._put(name, column, max((self.level[x] for x in reads), default=0) + 1, 0)
 
     def plain(self, name: str, column: Column, *reads: str) -> str:
         """A column without windows; it may read plain ones of its level that were added before.  None comes before the first windows, as it would be shuffled as well."""
-        return self._put(name, column, max(1, *(self.level[x] for x in reads)), len(self.level))
+        return self._put(name, column, max(1, *(self.level[x] for x in reads)), len(self.added) + 1)
 
     def _put(self, name: str, column: Column, level: int, place: int) -> str:
-        if name not in self.level:
+        if name not in self.added:
+            self.added.append(name)
             self.level[name] = level
             self.steps.setdefault((level, place), {})[name] = column
         return name
@@ -48,71 +51,66 @@ class Levels:
         return reduce(lambda d, at: d.withColumns(self.steps[at]), sorted(self.steps), df)
 
 
-def before(x: str, k: int) -> Column:
-    return F.lag(x, k).over(by_ticker()) if k else F.col(x)
+def ago(c: Levels, x: str, k: int) -> str:
+    """The column of k bars ago."""
+    return c.window(f"__{x}_{k}_ago", F.lag(x, k).over(by_ticker()), x) if k else x
+
+
+def power(n: int) -> int:
+    return 1 if n < 4 else 4 * power(n // 4)
 
 
 def parts(n: int) -> list[tuple[int, int]]:
-    """n as powers of two, the largest first, with the number of bars after each."""
+    """n as smaller powers of four, the largest first, with the number of bars after each."""
     out, after = [], 0
     while after < n:
-        p = 1 << ((n - after).bit_length() - 1)
+        p = power(n - after) if power(n) < n else n // 4
         out.append((p, after))
         after += p
     return out
 
 
-def power(n: int) -> int:
-    return 1 << (n.bit_length() - 1)
+def added(xs: list[Column]) -> Column:
+    """The sum in pairs, so that four equal values give exactly four times one."""
+    return xs[0] if len(xs) == 1 else added(xs[: (len(xs) + 1) // 2]) + added(xs[(len(xs) + 1) // 2 :])
 
 
 def sum_over(c: Levels, x: str, n: int) -> str:
     """Sum over n bars."""
     if n == 1:
         return x
-    pieces = parts(n)
-    if len(pieces) == 1:
-        half = sum_over(c, x, n // 2)
-        return c.window(f"__sum_{x}_{n}", F.col(half) + before(half, n // 2), half)
-    names = [sum_over(c, x, p) for p, _ in pieces]
-    return c.window(f"__sum_{x}_{n}", reduce(lambda a, b: a + b, (before(s, k) for s, (_, k) in zip(names, pieces, strict=True))), *names)
+    names = [ago(c, sum_over(c, x, p), k) for p, k in parts(n)]
+    return c.plain(f"__sum_{x}_{n}", added([F.col(s) for s in names]), *names)
 
 
 def spread_over(c: Levels, x: str, n: int) -> str:
     """Sum of squared distances from the mean over n bars: those of the parts, and of the parts' means in pairs (exactly 0 where all values are one)."""
     if n == 1:
         return c.plain(f"__spread_{x}_1", F.lit(0.0) * F.col(x), x)
-    pieces = parts(n) if n != power(n) else [(n // 2, 0), (n // 2, n // 2)]
-    sums, spreads = [sum_over(c, x, p) for p, _ in pieces], [spread_over(c, x, p) for p, _ in pieces]
-    mean = [before(s, k) / p for s, (p, k) in zip(sums, pieces, strict=True)]
-    own = reduce(lambda a, b: a + b, (before(s, k) for s, (_, k) in zip(spreads, pieces, strict=True)))
-    pairs = [(mean[i] - mean[j]) * (mean[i] - mean[j]) * (pieces[i][0] * pieces[j][0] / n) for i in range(len(pieces)) for j in range(i)]
-    return c.window(f"__spread_{x}_{n}", reduce(lambda a, b: a + b, pairs, own), *sums, *spreads)
-
-
-def both(a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+    pieces = parts(n)
+    sums, spreads = [ago(c, sum_over(c, x, p), k) for p, k in pieces], [ago(c, spread_over(c, x, p), k) for p, k in pieces if p > 1]
+    means = [(F.col(s) / p, p) for s, (p, _) in zip(sums, pieces, strict=True)]
+    pairs = [(a - b) * (a - b) * (p * q / n) for i, (a, p) in enumerate(means) for b, q in means[:i]]
+    return c.plain(f"__spread_{x}_{n}", added([F.col(s) for s in spreads] + pairs), *sums, *spreads)
 
 
 def highest_over(c: Levels, x: str, n: int, out: str | None = None, skip: int = 0) -> str:
-    """Maximum of n bars up to the one `skip` bars ago: the larger of two over a power of two."""
-    p = power(n)
-    if p == n and not skip and not out:
-        if n == 1:
-            return x
-        half = highest_over(c, x, n // 2)
-        return c.window(f"__high_{x}_{n}", both(F.col(half), before(half, n // 2)), half)
-    top = highest_over(c, x, p)
-    return c.window(out or f"__high_{x}_{n}_{skip}", both(before(top, skip), before(top, n - p + skip)), top)
+    """Maximum of n bars up to the one `skip` bars ago; its parts may overlap."""
+    p = power(n) if power(n) < n else max(1, n // 4)
+    top = x if p == 1 else highest_over(c, x, p)
+    names = [ago(c, top, min(k, n - p) + skip) for k in range(0, n, p)]
+    highest = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    return c.plain(out or f"__high_{x}_{n}", F.when(reduce(lambda a, b: a & b, (F.col(s).isNotNull() for s in names)), highest), *names)
 
 
 def lowest_over(c: Levels, x: str, n: int) -> str:
     """Minimum of at most n bars."""
     if n == 1:
         return x
-    p = power(n) if n != power(n) else n // 2
+    p = power(n) if power(n) < n else n // 4
     least = lowest_over(c, x, p)
-    return c.window(f"__low_{x}_{n}", F.least(F.col(least), before(least, n - p)), least)
+    names = [ago(c, least, min(k, n - p)) for k in range(0, n, p)]
+    return c.plain(f"__low_{x}_{n}", F.least(*names), *names)
 
 
 def smooth(c: Levels, outs: dict[str, str], n: int) -> None:
@@ -147,8 +145,10 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig) -> DataFrame:
     w = by_ticker()
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     c = Levels(bars.columns)
-    for name, column in (moves() | ranges()).items():
-        c.window(name, column, "close", "high", "low")
+    prices = [ago(c, x, 1) for x in ("close", "high", "low")]
+    before = lambda x: F.col(ago(c, x, 1))
+    for name, column in (moves(before) | ranges(before)).items():
+        c.plain(name, column, "close", "high", "low", *prices)
     smooth(c, {"__up": "__gain", "__down": "__loss"}, cfg.rsi_window)
     c.plain("rsi", strength(), "__gain", "__loss")
     tr = "atr" if cfg.atr_window == cfg.adx_window else "__atr"
@@ -161,15 +161,16 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig) -> DataFrame:
     c.window("rn", F.row_number().over(w))
     for out, x, n in (("sma", "close", cfg.ma_window), ("sma_trend", "close", cfg.sma_trend), ("ma_pullback", "close", cfg.pullback_ma), ("avg_volume", "volume", cfg.volume_lookback)):
         mean(c, out, x, n)
-    c.window("ma_pullback_prior", before("ma_pullback", cfg.pullback_slope), "ma_pullback")
-    c.window("avg_volume_prior", before("avg_volume", 1), "avg_volume")
+    for out, x, k in (("ma_pullback_prior", "ma_pullback", cfg.pullback_slope), ("avg_volume_prior", "avg_volume", 1)):
+        c.plain(out, F.col(ago(c, x, k)), ago(c, x, k))
     c.plain("volume_ratio", F.try_divide(F.col("volume"), F.col("avg_volume_prior")), "volume", "avg_volume_prior")
     c.plain("__lowest", F.when(F.col("low").isNotNull(), F.struct("low", "bar_date")), "low", "bar_date")
     lowest = lowest_over(c, "__lowest", cfg.support_lookback)
     c.plain("support_level", F.col(lowest)["low"], lowest)
     c.plain("support_date", F.col(lowest)["bar_date"], lowest)
 
-    c.window("k_return", F.try_divide(F.col("close"), before("close", cfg.breakout_lookback)) - 1, "close")
+    past = ago(c, "close", cfg.breakout_lookback)
+    c.plain("k_return", F.try_divide(F.col("close"), F.col(past)) - 1, "close", past)
     highest_over(c, "high", cfg.week52_lookback, "week52_high")
     highest_over(c, "high", cfg.breakout_lookback, "highest_high", 1)
     c.plain("breakout_flag", F.coalesce(F.col("close") > F.col("highest_high"), F.lit(False)), "close", "highest_high")
@@ -178,16 +179,16 @@ def with_indicators(bars: DataFrame, cfg: StrategyConfig) -> DataFrame:
     c.window("__out", since("rn"), "breakout_flag", "rn")
     c.plain("days_since_breakout", (F.col("rn") - F.col("__out")).cast("int"), "rn", "__out")
 
-    c.window("__step", F.coalesce(F.signum(F.col("close") - before("close", 1)) * F.col("volume"), F.lit(0.0)), "close", "volume")
+    c.plain("__step", F.coalesce(F.signum(F.col("close") - before("close")) * F.col("volume"), F.lit(0.0)), "volume", *prices)
     c.window("obv", F.sum("__step").over(running), "__step")
     z_score(c, "obv_zscore", "obv", cfg.obv_window)
     s, q = sum_over(c, "close", cfg.bb_window), spread_over(c, "close", cfg.bb_window)
     c.plain("volatility", F.try_divide(F.sqrt(F.try_divide(F.col(q), F.lit(cfg.bb_window - 1.0))), F.col(s) / cfg.bb_window), s, q)
     z_score(c, "__sq", "volatility", cfg.squeeze_window)
-    c.window("squeeze_zscore", before("__sq", 1), "__sq")
+    c.window("squeeze_zscore", F.lag("__sq").over(w), "__sq")
 
     c.plain("__below", F.coalesce(F.col("rsi") < cfg.rsi_oversold, F.lit(False)), "rsi")
     c.window("__above", F.coalesce(F.last(F.when(~F.col("__below"), F.col("rn")), ignorenulls=True).over(running), F.lit(0)), "__below", "rn")
     c.plain("oversold_streak_days", F.when(F.col("__below"), F.col("rn") - F.col("__above")).otherwise(0).cast("int"), "__below", "rn", "__above")
     c.plain("extended_decline_warning", F.col("oversold_streak_days") >= cfg.decline_days, "oversold_streak_days")
-    return c.added_to(bars).drop(*(x for x in c.level if x.startswith("__") and x not in bars.columns))
+    return c.added_to(bars).drop(*(x for x in c.added if x.startswith("__")))
