@@ -93,8 +93,9 @@ def daily_supplier_bars_by_year(spark, sf_dir: str) -> DataFrame:
     A supplier has hardly more than one line a day, so the lines are sent as they are, narrower than parts of
     bars would be; bars are made where they arrive.
     """
-    lines = _lines(spark, sf_dir).drop("week").withColumns({"ticker": F.col("l_suppkey").cast("string"), "bar_day": F.to_date("l_shipdate"), YEAR: F.year("l_shipdate")}).drop("l_suppkey")
-    return bars_from_lines(lines.repartition("ticker", YEAR), ["ticker", YEAR], "bar_day")
+    ticker, year = F.col("l_suppkey").cast("string"), F.year("l_shipdate")
+    lines = _lines(spark, sf_dir).drop("week").repartition(ticker, year).withColumns({"ticker": ticker, "bar_day": F.to_date("l_shipdate"), YEAR: year})
+    return bars_from_lines(lines, ["ticker", YEAR], "bar_day")
 
 
 def trailing_year(bars: DataFrame, as_of) -> DataFrame:
